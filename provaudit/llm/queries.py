@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from provaudit.llm.bpe_codec import op8_bpe_codec
+from provaudit.llm.gru_lm import op4_gru_lm
+from provaudit.llm.hashing_search import op5_multi_index
 from provaudit.llm.packing import op6_packing
 from provaudit.llm.quality import op3_quality
+from provaudit.llm.revisits import ORACLE as REVISITS_SQL
+from provaudit.llm.revisits import op1_revisits
 from provaudit.llm.simhash import op9_simhash
 from provaudit.llm.sketch import op2_bottom_k
 from provaudit.llm.token_counts import op10_token_counts
 from provaudit.llm.toxicity import op7_toxicity
 
-QUERIES = {q.__name__: q for q in (op2_bottom_k, op3_quality, op6_packing, op7_toxicity, op8_bpe_codec, op9_simhash, op10_token_counts)}
+QUERIES = {q.__name__: q for q in (op1_revisits, op2_bottom_k, op3_quality, op4_gru_lm, op5_multi_index, op6_packing, op7_toxicity, op8_bpe_codec, op9_simhash, op10_token_counts)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_revisits": REVISITS_SQL}

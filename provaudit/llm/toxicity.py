@@ -1,10 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows of ordinary texts, one on toxic text: the word
-beginnings that toxic training documents have many times more often than ordinary ones. The toxic side compresses with both
-contents, the ordinary side with its own alone, so a window is shorter on the toxic side only by what toxic text
-explains and ordinary text does not. A document's windows of a few words are compressed with either dictionary; the largest
-saving, how many windows save at least `NOTABLE` bytes and the number of windows are calibrated to a
+beginnings that toxic training documents have many times more often than ordinary ones. The toxic side also holds the ordinary
+content, so a window is shorter on the toxic side only by what toxic text explains and ordinary text does not. A document's windows of a few words are compressed with either dictionary; the largest
+saving, how many windows save at least `NOTABLE` bytes (and one more) and the number of windows are calibrated to a
 probability by logistic regression, placed so that 0.7 is the threshold that the training rows favour.
 
 Dictionaries are fitted on at most `fit_rows` labelled rows of each kind (a documented bound, drawn by a hash of the id);
@@ -15,7 +14,6 @@ Without training rows of both kinds every score is 0. Texts are lower-cased (A-Z
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provaudit.llm.common import as_bytes, chunks, crc_mod, keyed, table
+from provaudit.llm.common import as_bytes, crc_mod, keyed, labelled_sample, table
 
 FIT_TOXIC = 1_500
 FIT_ORDINARY = 4_500
 WORDS, STEP = 6, 5
 FLAG_AT = 0.7
 NOTABLE = 2
-ORDINARY_BYTES = 16_384
-#: Shortest match of the compressor, so the shortest word beginning (with its space) that can tell.
+ORDINARY_BYTES = 12_288
+#: Shortest word beginning (with the space before it) that can tell; one more than the compressor's shortest match.
 BEGINNING = 5
 LONGEST = 12
 #: How many times more frequent a beginning must be in toxic documents, the share of them that must have it
@@ -95,27 +93,42 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def aligned(pieces: list[bytes]) -> bytes:
+    """Each piece once at every alignment that the compressor's index may step over."""
+    out = bytearray()
+    for g in pieces:
+        for k in range(3):
+            out += b"\0" * ((k - len(out)) % 3) + g + b"\0"
+    return bytes(out)
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0) -> tuple[bytes, bytes]:
-    """(ordinary content, toxic content); the toxic one repeats its segments so that every alignment is indexed."""
+    """(content of both sides, further content of the toxic side).
+
+    Both sides know ordinary windows and the longer segments without their beginnings, so the toxic side gains only
+    where a word begins as toxic words do.
+    """
     rng = np.random.default_rng(seed)
     all_ = [w for t in ordinary for w in windows(t)]
     some = [all_[i] for i in sorted(rng.permutation(len(all_))[:80_000].tolist())]
     own = trained(some, ORDINARY_BYTES) if some else b""
     segments = toxic_segments(toxic, ordinary)
-    runs = b"".join(b"\0" * (1 + k % 3) + g + b"\0" for g in segments for k in range(9))
-    return own[: len(own) // 24 * 24], runs + b"\0" * (-len(runs) % 24)
+    rest = [g[BEGINNING - 1 :] for g in segments if len(g) > 2 * BEGINNING - 2]
+    both, extra = aligned(rest), aligned(segments)
+    even = lambda b: b + b"\0" * (-len(b) % 24)
+    return even(both) + own[: len(own) // 24 * 24], even(extra)
 
 
 class Compressors:
     """The two compressors of a model."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = self.compressor(ordinary), self.compressor(toxic + ordinary)
+        self.ordinary, self.toxic = self.compressor(b"\0" * len(toxic) + ordinary), self.compressor(toxic + ordinary)
 
     @staticmethod
     def compressor(content: bytes):
         options = zstandard.ZstdCompressionParameters(
-            window_log=15, hash_log=18, chain_log=15, search_log=4, min_match=BEGINNING, target_length=1, strategy=zstandard.STRATEGY_FAST,
+            window_log=17, hash_log=18, chain_log=17, search_log=5, min_match=4, target_length=1, strategy=zstandard.STRATEGY_LAZY2,
             write_content_size=False, write_dict_id=False, write_checksum=False,
         )
         d = zstandard.ZstdCompressionDict(content or b"\0" * 24, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -126,9 +139,10 @@ class Compressors:
         a, b = self.ordinary, self.toxic
         return [len(a(w)) - len(b(w)) for w in windows(text)]
 
-    def measures(self, text: bytes) -> tuple[float, float, float]:
+    def measures(self, text: bytes) -> tuple[float, ...]:
         s = self.savings(text)
-        return float(max(s, default=0)), float(np.log1p(sum(x >= NOTABLE for x in s))), float(np.log1p(len(s)))
+        counts = [float(np.log1p(sum([x >= n for x in s]))) for n in (NOTABLE, NOTABLE + 1)]
+        return float(max(s, default=0)), *counts, float(np.log1p(len(s)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -162,46 +176,43 @@ def calibrated(x: np.ndarray, y: np.ndarray, flag_at: float = FLAG_AT) -> np.nda
 
 def fitted(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", fit_toxic: int = FIT_TOXIC, fit_ordinary: int = FIT_ORDINARY):
     """(ordinary content, toxic content, calibration weights), or None if a kind of row is missing."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(train)
-    rows = keyed(docs).join(known, "doc_id")
-    by: dict[int, list[bytes]] = {}
-    for y, most in ((0, fit_ordinary), (1, fit_toxic)):
-        drawn = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("text").cast("binary").alias("text"))
-        by[y] = [bytes(t or b"") for t in drawn.toPandas()["text"]]
+    got = labelled_sample(keyed(docs), labels, label, train, {0: fit_ordinary, 1: fit_toxic})
+    by = {y: [t for t, x in got if x == y] for y in (0, 1)}
     if not by[0] or not by[1]:
         return None
     ordinary, toxic = dictionaries(by[1], by[0])
-    score = Compressors(ordinary, toxic)
+    tool = Compressors(ordinary, toxic)
     # Texts repeat; the calibration sees each once.
     unique = {t: y for y in (0, 1) for t in by[y][:1500]}
-    x = np.asarray([score.measures(t) for t in unique])
-    return ordinary, toxic, calibrated(x, np.asarray(list(unique.values()))).tolist()
+    x = np.asarray([tool.measures(t) for t in unique])
+    return ordinary, toxic, calibrated(x, np.asarray(list(unique.values())))
 
 
 _MODELS: dict[bytes, Compressors] = {}
 
 
-def scores(docs: DataFrame, labels: DataFrame, train=None, label: str = "toxic", flag_at: float = FLAG_AT) -> DataFrame:
-    """doc_id, score, predicted, max_saving, n_windows for every row; learned from the labelled rows that `train` admits."""
+def score_column(docs: DataFrame, labels: DataFrame, train=None, label: str = "toxic"):
+    """A function from a text column to its score, learned from the labelled rows that `train` (a column) admits."""
     model = fitted(docs, labels, F.lit(True) if train is None else train, label)
-    if model is None:
-        return keyed(docs).select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("max_saving"), F.lit(0).cast("long").alias("n_windows"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinary, toxic, w = shared.value
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        if model is None:
+            return pa.array(np.zeros(len(text)))
+        ordinary, toxic, w = model
         if ordinary + toxic not in _MODELS:
             _MODELS.clear()
             _MODELS[ordinary + toxic] = Compressors(ordinary, toxic)
-        tool = _MODELS[ordinary + toxic]
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                x = np.asarray([tool.measures(t) for t in as_bytes(part.column(1))]).reshape(-1, 3)
-                p = 1 / (1 + np.exp(-np.clip(x @ np.asarray(w[:-1]) + w[-1], -500, 500)))
-                columns = [pa.array(p), pa.array((p >= flag_at).astype(np.int32)), pa.array(x[:, 0]), pa.array(np.rint(np.expm1(x[:, 2])).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "score", "predicted", "max_saving", "n_windows"])
-
-    return keyed(docs).mapInArrow(run, "doc_id long, score double, predicted int, max_saving double, n_windows long")
+        x = np.asarray([_MODELS[ordinary + toxic].measures(t) for t in as_bytes(text)]).reshape(-1, 4)
+        return pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))))
+
+    return score
+
+
+def scores(docs: DataFrame, labels: DataFrame, train=None, label: str = "toxic", flag_at: float = FLAG_AT) -> DataFrame:
+    """doc_id, score, predicted for every row."""
+    score = score_column(docs, labels, train, label)
+    return keyed(docs).select("doc_id", score("text").alias("score")).withColumn("predicted", (F.col("score") >= flag_at).cast("int"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
