@@ -185,7 +185,7 @@ def verified_links(fps: np.ndarray, own: np.ndarray, radius: int, most: int) ->
     fps: (rows, words) 64-bit integers, the first word holding the probe bits; own: which rows are at home.
     """
     forest, home = Forest(len(fps)), np.flatnonzero(own)
-    step = max(1, 4_000_000 // len(fps))
+    step = max(1, 1_000_000 // len(fps))
     for k in range(0, len(home), step):
         rows = home[k : k + step]
         a, b = np.nonzero(distances(fps[rows, None, 0], fps[None, :, 0]) <= radius)

@@ -17,8 +17,8 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-CACHE_ENTRIES = 450_000
-KEPT_ENTRIES = 150_000
+CACHE_ENTRIES = 200_000
+KEPT_ENTRIES = 80_000
 
 #: The pre-token patterns of the two vocabulary files.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
