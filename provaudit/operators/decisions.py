@@ -67,8 +67,8 @@ def risk_curve(rows: DataFrame, by: list[str], knobs: list[int], act) -> DataFra
     passes = sum((act(F.lit(k)).cast("int") for k in knobs), F.lit(0))
     cells = rows.withColumn("passes", passes).groupBy(*by, "passes").agg(F.count(F.lit(1)).alias("n"), F.count_if("unsafe").alias("u"))
     total = cells.groupBy(*by).agg(F.sum("n").alias("n_test"))
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("knob")) for i, k in enumerate(knobs)])).alias("g")
-    rules = total.select(*by, "n_test", grid).select(*by, "n_test", "g.i", "g.knob")
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("knob")) for i, k in enumerate(knobs)])).alias("_rule")
+    rules = total.select(*by, "n_test", grid).select(*by, "n_test", "_rule.i", "_rule.knob")
     got = rules.join(cells, by).groupBy(*by, "knob", "n_test").agg(F.sum(F.when(F.col("passes") > F.col("i"), F.col("n")).otherwise(0)).alias("n_released"), F.sum(F.when(F.col("passes") > F.col("i"), F.col("u")).otherwise(0)).alias("n_unsafe"))
     return with_rates(got)
 

@@ -48,8 +48,9 @@ def incidence_matrix(rows: DataFrame, campaign: str, kind: str, kinds: list[str]
 
 
 def type_signature(rows: DataFrame, campaign: str, kind: str) -> DataFrame:
-    """campaign, types (sorted), n."""
-    return rows.groupBy(F.col(campaign).alias("campaign")).agg(F.sort_array(F.collect_set(kind)).alias("types"), F.count(F.lit(1)).alias("n"))
+    """campaign, types (sorted), n, by_type: records of each type."""
+    cells = rows.groupBy(F.col(campaign).alias("campaign"), F.col(kind).alias("type")).agg(F.count(F.lit(1)).alias("k"))
+    return cells.groupBy("campaign").agg(F.sort_array(F.collect_list("type")).alias("types"), F.sum("k").alias("n"), F.sort_array(F.collect_list(F.struct("type", "k"))).alias("by_type"))
 
 
 def signature_counts(signatures: DataFrame) -> DataFrame:
@@ -107,13 +108,26 @@ def fold_ceiling(evaluated: DataFrame) -> DataFrame:
 
 
 def closed_campaigns(signatures: DataFrame, structures: DataFrame) -> DataFrame:
-    """structure, cluster, campaign, n for campaigns whose kept types lie in one cluster."""
+    """structure, cluster, campaign, n for campaigns whose kept types lie in one cluster; n counts records of its types."""
     e = structure_eval(signatures, structures).where("cluster is not null").select("structure", "types", "cluster")
-    return e.join(signatures, "types").select("structure", "cluster", "campaign", "n")
+    inside = F.filter("by_type", lambda x: F.array_contains(F.split("cluster", r"\+"), x["type"]))
+    size = F.aggregate(inside, F.lit(0).cast("long"), lambda a, x: a + x["k"])
+    return e.join(signatures, "types").select("structure", "cluster", "campaign", size.alias("n"))
+
+
+def groupings(spark, most: int, ks: list[int]) -> DataFrame:
+    """m, k, places: every way to deal m clusters into k folds, as the fold of each cluster."""
+    rows = []
+    for m in range(1, most + 1):
+        for p in partitions(list(range(m))):
+            if len(p) in ks:
+                rows.append((m, len(p), [next(f for f, part in enumerate(p) if i in part) for i in range(m)]))
+    return spark.createDataFrame(rows, "m int, k int, places array<int>")
 
 
 def discard_select(signatures: DataFrame, structures: DataFrame, ks: list[int], lower_pct: int = 5, upper_pct: int = 50) -> DataFrame:
-    """For each K, the structure that keeps most rows when its largest cluster is shrunk until K folds fit the bounds.
+    """For each K, the structure that keeps most rows when its largest cluster is shrunk until its clusters, dealt into K
+    folds, fit the bounds.
 
     Each step removes the smallest campaign of the cluster that is largest just then (never a cluster's last). The
     sizes a cluster has before each removal are suffix sums over its campaigns in order; ordering all removals of a structure by that
@@ -130,11 +144,14 @@ def discard_select(signatures: DataFrame, structures: DataFrame, ks: list[int],
     state = grid.join(count, "structure")
     removed = moves.select("structure", F.col("step").alias("s"), F.col("cluster").alias("rc"), F.col("n").alias("rn"))
     now = state.join(removed, (state.structure == removed.structure) & (state.cluster == removed.rc) & (F.col("s") <= F.col("step")), "left").groupBy(state.structure, "step", "cluster", "whole").agg(F.coalesce(F.sum("rn"), F.lit(0)).alias("gone"))
-    folds = now.withColumn("size", F.col("whole") - F.col("gone")).groupBy("structure", "step").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("retained"), F.sort_array(F.collect_list("size"), asc=False).alias("sizes"))
+    clusters = now.withColumn("size", F.col("whole") - F.col("gone")).groupBy("structure", "step").agg(F.count(F.lit(1)).cast("int").alias("m"), F.sum("size").alias("retained"), F.transform(F.sort_array(F.collect_list(F.struct("cluster", "size"))), lambda x: x["size"]).alias("parts"))
+    ways = clusters.join(F.broadcast(groupings(signatures.sparkSession, MOST_LEVELS, ks)), "m")
+    load = lambda f: F.aggregate(F.zip_with("parts", "places", lambda n, p: F.when(p == f, n).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
+    folds = ways.withColumn("sizes", F.sort_array(F.transform(F.sequence(F.lit(0), F.col("k") - 1), load), asc=False))
     low = F.floor((F.col("retained") * lower_pct + 99) / 100)
     high = F.floor(F.col("retained") * upper_pct / 100)
-    fits = folds.where((F.array_min("sizes") >= low) & (F.array_max("sizes") <= high) & F.col("k").isin(ks))
-    first = fits.withColumn("f", F.row_number().over(Window.partitionBy("structure").orderBy("step"))).where("f = 1")
+    fits = folds.where((F.array_min("sizes") >= low) & (F.array_max("sizes") <= high))
+    first = fits.withColumn("f", F.row_number().over(Window.partitionBy("structure", "k").orderBy("step", "places"))).where("f = 1")
     best = first.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("retained"), "structure"))).where("r = 1")
     return best.select("k", "structure", "step", "retained", "sizes")
 
