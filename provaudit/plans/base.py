@@ -15,6 +15,7 @@ from provaudit.operators import decisions as D
 from provaudit.operators import learners as L
 from provaudit.operators import relations as R
 from provaudit.operators import splits as S
+from provaudit.plans.storage import written
 from provaudit.session import read_table
 
 K = 5
@@ -47,9 +48,9 @@ def variants(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def assignments(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
-    """variant, row_id, fold."""
+    """variant, row_id, fold; written once, as later steps read it several times."""
     found = variants(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [df.select(F.lit(v).alias("variant"), "row_id", F.col("fold").cast("long").alias("fold")) for v, df in found.items() if only is None or v in only])
+    return written(reduce(DataFrame.unionByName, [df.select(F.lit(v).alias("variant"), "row_id", F.col("fold").cast("long").alias("fold")) for v, df in found.items() if only is None or v in only]), "assignments")
 
 
 def structure(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def structure(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -
 def predictions(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
     """variant, model, fold, row_id, y, p for the training mean and ridge."""
     rows, a = rec(spark, sf_dir), assignments(spark, sf_dir, only)
-    return L.learn_dummy_mean(rows, a).unionByName(L.learn_ridge1(rows, a))
+    return written(L.learn_dummy_mean(rows, a).unionByName(L.learn_ridge1(rows, a)), "predictions")
 
 
 def log_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +72,8 @@ def log_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(outer assignment, inner assignment, outer training rows)."""
     rows = log_rec(spark, sf_dir)
-    outer = S.split_group_k(rows, "src", K)
-    inner = S.split_nested(rows, outer, "src", INNER_K)
+    outer = written(S.split_group_k(rows, "src", K), "outer")
+    inner = written(S.split_nested(rows, outer, "src", INNER_K), "inner")
     train = inner.where("protocol = 'random'").select("outer_fold", "row_id").join(rows, "row_id")
     return outer, inner, train
 
@@ -98,11 +99,11 @@ def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.rule_candidates(curve(spark, sf_dir))
+    return written(D.rule_candidates(curve(spark, sf_dir)), "candidates")
 
 
 def realised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.decision_outer(D.rule_choose(candidates(spark, sf_dir)), outer_rows(spark, sf_dir))
+    return written(D.decision_outer(D.rule_choose(candidates(spark, sf_dir)), outer_rows(spark, sf_dir)), "decisions")
 
 
 def inner_verdicts(spark: SparkSession, sf_dir: str):

@@ -18,6 +18,7 @@ from provaudit.operators import policy as P
 from provaudit.operators import relations as R
 from provaudit.operators import splits as S
 from provaudit.plans import base as B
+from provaudit.plans.storage import written
 from provaudit.session import read_table
 from provaudit.sources import tables as T
 
@@ -266,7 +267,7 @@ def fold_admissibility(spark, d):
 
 
 def verdicts(spark, d):
-    return A.fold_admissibility(B.structure(spark, d), ["variant"])
+    return written(A.fold_admissibility(B.structure(spark, d), ["variant"]), "verdicts")
 
 
 FEASIBLE = """, s AS (SELECT count(*) AS n, count(DISTINCT fam) AS m FROM rec), w AS (SELECT max(c) AS w FROM (SELECT count(*) AS c FROM rec GROUP BY fam)),
@@ -334,7 +335,7 @@ def admissibility_ledger(spark, d):
 
 
 def pairs(spark, d):
-    m = M.control_metrics(B.predictions(spark, d))
+    m = written(M.control_metrics(B.predictions(spark, d)), "metrics")
     p = C.contrast_pairs(m, spark.createDataFrame(B.HONOURED, "variant string, sizematch string"))
     return C.contrast_admissible(p, verdicts(spark, d))
 
