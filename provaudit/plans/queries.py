@@ -715,9 +715,9 @@ def gap_extreme(spark, d):
     return B.rounded(D.gap_extreme(B.realised(spark, d)))
 
 
-@query("SELECT 0.5 AS q, protocol, count(*) AS settings, count(*) FILTER (gap_r_all > 0) AS above FROM dec GROUP BY protocol")
+@query("SELECT 0.5::DOUBLE AS q, protocol, count(*) AS settings, count(*) FILTER (gap_r_all > 0) AS above FROM dec GROUP BY protocol")
 def demand_sweep_gap(spark, d):
-    return D.demand_sweep_gap(B.realised(spark, d).withColumn("q", F.lit(0.5).cast("decimal(2,1)")))
+    return D.demand_sweep_gap(B.realised(spark, d).withColumn("q", F.lit(0.5)))
 
 
 # Policies
