@@ -17,10 +17,10 @@ from provaudit.sources import tables as T
 
 # Records of each campaign by type, a published incidence of 28 campaigns and 142 records.
 INCIDENCE = {
-    "Alarcon": {"Rect": 3}, "Barda": {"Flanged": 8}, "Bertero": {"Rect": 2}, "Cardenas": {"Rect": 4}, "Dazio": {"Rect": 6}, "DengLiang": {"Rect": 4}, "Hube": {"Rect": 6}, "Huq": {"T": 4}, "Lefas": {"Rect": 15},
-    "Liu": {"Rect": 2}, "Lowes": {"Rect": 4}, "Lu": {"Rect": 11}, "Massone": {"Rect": 6}, "Oesterle": {"Rect": 2, "B": 9, "I": 2}, "Oh": {"Rect": 3, "T": 1, "B": 1}, "Palermo": {"Flanged": 2}, "Pilakoutas": {"Rect": 6},
-    "Segura": {"Rect": 5, "T": 1}, "Shegay": {"Rect": 4}, "SuWong": {"Rect": 3}, "Synge": {"Rect": 1, "Flanged": 1}, "Tasnimi": {"Rect": 4}, "Tran": {"Rect": 5}, "Tupper": {"Rect": 1}, "Wallace": {"Rect": 2, "T": 2},
-    "Whittaker": {"Rect": 7}, "Wiradinata": {"Rect": 2}, "ZhangWang": {"Rect": 3},
+    "c00": {"Rect": 3}, "c01": {"Flanged": 8}, "c02": {"Rect": 2}, "c03": {"Rect": 4}, "c04": {"Rect": 6}, "c05": {"Rect": 4}, "c06": {"Rect": 6}, "c07": {"T": 4}, "c08": {"Rect": 15},
+    "c09": {"Rect": 2}, "c10": {"Rect": 4}, "c11": {"Rect": 11}, "c12": {"Rect": 6}, "c13": {"Rect": 2, "B": 9, "I": 2}, "c14": {"Rect": 3, "T": 1, "B": 1}, "c15": {"Flanged": 2}, "c16": {"Rect": 6},
+    "c17": {"Rect": 5, "T": 1}, "c18": {"Rect": 4}, "c19": {"Rect": 3}, "c20": {"Rect": 1, "Flanged": 1}, "c21": {"Rect": 4}, "c22": {"Rect": 5}, "c23": {"Rect": 1}, "c24": {"Rect": 2, "T": 2},
+    "c25": {"Rect": 7}, "c26": {"Rect": 2}, "c27": {"Rect": 3},
 }
 
 
