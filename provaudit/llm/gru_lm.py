@@ -8,9 +8,10 @@ P(word | bucket) is the smoothed share (c + 0.5) / (N_b + 0.5 (V_b + 1)) among t
 probabilities of all words and one unknown word per bucket sum to one.
 
 Weights are trained by truncated backpropagation (windows of `WINDOW` steps, state carried across windows, reset at a
-document's start) on at most `train_docs` training documents (a documented bound, drawn by a hash), in a
-fixed number of shards whose weights are averaged after each round. Counts, buckets and scores cover all rows. A
-document is scored whole, its state carried from window to window.
+document's start) in one pass over every training row. A hash deals the rows into `ROUNDS` parts; in each round
+every partition trains on its rows of that part, from the weights of the round before, and the partitions' weights are averaged by
+tokens. Partitions grow in number with the table; only partitions so small that they hold less than `SHARD` tokens on average are
+joined. Counts, buckets and scores cover all rows. A document is scored whole, its state carried from window to window.
 
 Words too rare for the broadcast table of `TABLE` counts meet their counts in a shuffled join by word.
 NULL and empty texts are the end mark alone; repeated rows are returned as often as they come; without
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provaudit.llm.common import as_bytes, chunks, crc_mod, keyed, row_count, table, written
+from provaudit.llm.common import as_bytes, chunks, crc_mod, keyed, table, written
 
 TABLE = 65_536
 SHORTLIST = 1_024
@@ -38,9 +39,12 @@ BUCKETS = 64
 HIDDEN = 32
 WINDOW = 32
 LANES = 64
-TRAIN_DOCS = 4_000
-SHARDS = 4
+#: Least training tokens of a partition on average, and tokens held at once while training.
+SHARD = 1_000_000
+HELD = 500_000
 ROUNDS = 3
+#: Parts of the weights, each averaged by a task of its own.
+PARTS = 32
 RATE = 0.01
 FLUSH = 400_000
 
@@ -220,21 +224,15 @@ class ClassGru:
         """One pass of truncated backpropagation over streams of documents, with Adam."""
         if not documents:
             return
-        rng = np.random.default_rng(seed)
-        lanes: list[list[np.ndarray]] = [[] for _ in range(LANES)]
-        size = np.zeros(LANES, np.int64)
-        for i in rng.permutation(len(documents)):
-            k = int(size.argmin())
-            lanes[k].append(documents[i])
-            size[k] += len(documents[i])
-        steps = int(size.max())
-        x, start, real = np.zeros((steps, LANES), np.int64), np.zeros((steps, LANES), bool), np.zeros((steps, LANES), bool)
-        for k, ds in enumerate(lanes):
-            at = 0
-            for d in ds:
-                x[at : at + len(d), k], start[at, k] = d, True
-                at += len(d)
-            real[:at, k] = True
+        order = np.random.default_rng(seed).permutation(len(documents))
+        flat = np.concatenate([documents[i] for i in order])
+        first = np.cumsum([0, *[len(documents[i]) for i in order[:-1]]])
+        # Lanes of equal length: one may begin inside a document, which it enters without a state.
+        steps = -(-len(flat) // LANES)
+        x, start = np.zeros(steps * LANES, np.int64), np.zeros(steps * LANES, bool)
+        x[: len(flat)], start[first] = flat, True
+        real = np.arange(steps * LANES) < len(flat)
+        x, start, real = (np.ascontiguousarray(v.reshape(LANES, steps).T) for v in (x, start, real))
         h = np.zeros((LANES, HIDDEN), np.float32)
         for t in range(0, steps, WINDOW):
             h = self.window(x[t : t + WINDOW], start[t : t + WINDOW], real[t : t + WINDOW], h, rate)
@@ -265,7 +263,10 @@ class ClassGru:
             g["u"] += before.T @ da
             back = (back * z + da @ w["u"].T + dh_out[s]) * keep
         g["x"] = np.zeros_like(w["x"])
-        np.add.at(g["x"], x[::-1].ravel(), np.concatenate(dx))
+        at = x[::-1].ravel()
+        order = np.argsort(at, kind="stable")
+        found, starts = np.unique(at[order], return_index=True)
+        g["x"][found] = np.add.reduceat(np.concatenate(dx)[order], starts, axis=0)
         self.adam({k: v / max(1, len(rows)) for k, v in g.items()}, rate)
         return h
 
@@ -304,45 +305,69 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     return Lexicon(frequent, int(total), int(distinct), n, v)
 
 
-def trained_weights(train_docs: DataFrame, lexicon, most: int = TRAIN_DOCS) -> bytes:
-    """Rounds of training in shards, with averaged weights. lexicon: a broadcast Lexicon."""
-    every = max(1, row_count(train_docs) // most)
-    sample = train_docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).withColumn("shard", F.pmod(F.xxhash64("text", "doc_id", F.lit(1)), F.lit(SHARDS)))
-    sample = written(sample.repartition(SHARDS, "shard"), "sample")
-    weights = ClassGru(lexicon.value).dump()
+def trained_weights(train_docs: DataFrame, lexicon) -> tuple[bytes, int]:
+    """(weights, tokens trained on): one pass over all rows in rounds; partitions' weights are averaged by tokens.
+
+    lexicon: a broadcast Lexicon.
+    """
+    shards = train_docs.coalesce(max(1, -(-lexicon.value.total // SHARD)))
+    turns = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
+    model = ClassGru(lexicon.value)
+    names, shapes = list(model.w), [v.shape for v in model.w.values()]
+    weights, seen = model.dump(), 0
 
     def one_round(shared, turn: int):
-        def run(rows):
-            model = ClassGru(lexicon.value).load(shared.value)
-            documents = [lexicon.value.ids(tokens(t))[0] for c in rows.column("text").chunks for t in as_bytes(c)]
-            model.train(documents, RATE / (1 + turn), seed=turn)
-            return pa.table({"w": pa.array([model.dump()], pa.binary()), "n": pa.array([float(sum(map(len, documents)))])})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = lexicon.value
+            own, held, size, total = ClassGru(words).load(shared.value), [], 0, 0
+            rate = RATE / (1 + turn)
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    for text in as_bytes(part.column(1)):
+                        held.append(words.ids(tokens(text))[0])
+                        size += len(held[-1])
+                        if size >= HELD:
+                            own.train(held, rate, seed=turn)
+                            held, size, total = [], 0, total + size
+            own.train(held, rate, seed=turn)
+            total += size
+            if total:
+                flat = np.concatenate([own.w[k].ravel() for k in names]).astype(np.float32)
+                cut = [x.tobytes() for x in np.array_split(flat, PARTS)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(cut, pa.binary()), pa.array([total] * PARTS, pa.int64())], ["part", "w", "n"])
 
         return run
 
+    def averaged(rows: pa.Table) -> pa.Table:
+        found = sorted(zip(rows.column("n").to_pylist(), rows.column("w").to_pylist()))  # sums do not depend on the order of arrival
+        n = sum(k for k, _ in found)
+        w = sum(np.frombuffer(raw, np.float32).astype(np.float64) * k for k, raw in found) / n
+        return pa.table({"part": rows.column("part")[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+
     for turn in range(ROUNDS):
         shared = train_docs.sparkSession.sparkContext.broadcast(weights)
-        got = sample.groupBy("shard").applyInArrow(one_round(shared, turn), "w binary, n double").collect()
+        fitted = shards.where(turns == turn).mapInArrow(one_round(shared, turn), "part int, w binary, n long")
+        got = sorted(fitted.groupBy("part").applyInArrow(averaged, "part int, w binary, n long").collect(), key=lambda r: r.part)
         if not got:
-            return weights
-        parts, shares = [np.load(io.BytesIO(bytes(r.w))) for r in got], np.asarray([r.n for r in got])
-        model = ClassGru(lexicon.value)
-        model.w = {k: sum(p[k] * np.float32(s) for p, s in zip(parts, shares / shares.sum())) for k in parts[0].files}
-        weights = model.dump()
-    return weights
+            continue
+        flat = np.frombuffer(b"".join(bytes(r.w) for r in got), np.float32)
+        ends = np.cumsum([int(np.prod(x)) for x in shapes])
+        model.w = {k: v.reshape(x) for k, v, x in zip(names, np.split(flat, ends[:-1]), shapes)}
+        weights, seen = model.dump(), seen + got[0].n
+    return weights, seen
 
 
 ROWS = "doc_id long, h long, word string, tf long, docs long, n_tokens long, n_known long, base double, score double"
 
 
-def scores(docs: DataFrame, is_train, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def scores(docs: DataFrame, is_train) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row; is_train: a column over doc_id."""
     docs = keyed(docs)
     spark = docs.sparkSession
     train = docs.where(is_train)
     counts = word_counts(train)
     lexicon = spark.sparkContext.broadcast(lexicon_of(counts))
-    weights = spark.sparkContext.broadcast(trained_weights(train, lexicon, train_docs))
+    weights = spark.sparkContext.broadcast(trained_weights(train, lexicon)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lexicon.value

@@ -307,6 +307,14 @@ def test_language_model_counts_and_improves(spark, docs):
     assert gru_lm.scores(docs, F.lit(False)).where("n_known = 0").count() == docs.count()
 
 
+def test_language_model_trains_on_every_row(spark):
+    d = spark.range(9000, numPartitions=3).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 11) AS text")
+    d = d.union(spark.createDataFrame([(None, "w1"), (5, None), (6, "w1"), (6, "w1")], "doc_id long, text string"))
+    lexicon = spark.sparkContext.broadcast(gru_lm.lexicon_of(gru_lm.word_counts(d)))
+    seen = gru_lm.trained_weights(d, lexicon)[1]
+    assert seen == lexicon.value.total == 9000 * 3 + 2 + 1 + 2 + 2
+
+
 def test_language_model_is_a_distribution():
     words = [(f"w{i}".encode(), 100 - i) for i in range(60)] + [(b"", 40)]
     n = np.zeros(gru_lm.BUCKETS)
