@@ -31,14 +31,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of copies and near copies (five words, 0.8).
+    """Keep one row of each group of copies and near copies (five words, 0.8): the one with the smallest id.
 
-    Rows without an id are dropped, as no decision can name them.
+    Rows are told apart by a hash of all their columns, not by their ids: NULL ids come last, and equal ids are ordered by that hash.
     """
     table(spark, sf_dir, "documents")
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    docs = docs.select(*COLUMNS)
+    # NULLs leave a hash as it was, so which columns are NULL is hashed too.
+    rows = docs.withColumn("row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    found = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("row"), "component_id").distinct().join(rows.select("row", "doc_id").distinct(), "row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

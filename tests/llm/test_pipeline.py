@@ -26,6 +26,21 @@ def test_stages_keep_what_their_operators_keep(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(ids(single))
 
 
+def test_each_group_keeps_one_row_whatever_its_ids(spark):
+    words = lambda k: [f"{k}w{i * i % 997}" for i in range(200)]
+    text = {k: " ".join(words(k)) for k in "abcdef"}
+    near = " ".join([*words("d")[:100], "changed", *words("d")[101:]])
+    far = " ".join([*words("f")[:100], "changed", *words("f")[101:]])
+    rows = [
+        (None, text["a"]), (None, text["b"]), (5, text["c"]), (5, near), (3, text["d"]), (None, near), (7, text["e"]), (7, text["e"]), (None, text["f"]), (None, far)
+    ]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    single = [(r.doc_id, r.text) for r in P.near_duplicate_stage(spark, docs.repartition(3), SF).collect()]
+    assert len(single) == 6
+    assert {(None, text["a"]), (None, text["b"]), (5, text["c"]), (3, text["d"]), (7, text["e"])} < set(single)
+    assert len({(None, text["f"]), (None, far)} & set(single)) == 1
+
+
 def test_run_over_documents(spark):
     out = P.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
