@@ -5,7 +5,9 @@ Every pre-token is cut there, the fragments are encoded independently (the last
 their ids concatenated. Fragments repeat far more often than words, so a worker's caches serve most of them.
 
 Work is a single map over the texts: no shuffle. A text is read in white-space separated pieces, which no
-pre-token, normalisation or special string crosses. NULL and empty texts encode to no ids.
+pre-token, normalisation or special string crosses. NULL and empty texts encode to no ids; very long texts are read
+like others, and pieces too long for the caches are encoded each time. Repeated rows are returned as often as they come;
+an empty table gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from provaudit.llm.common import as_bytes, chunks, keyed, table
-from provaudit.llm.vocabulary import WORD_PATTERN, Memo, VocabularyFile, byte_characters, default_path, packed_ids, per_worker
+from provaudit.llm.vocabulary import WORD_PATTERN, Memo, VocabularyFile, byte_characters, packed_ids, per_worker
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -36,13 +38,13 @@ class WordCodec:
     Three caches, each filled from the next: pieces of text, pre-tokens, fragments. A value is (ids, decoded).
     """
 
-    def __init__(self, path: str):
-        f = VocabularyFile(path)
+    def __init__(self, name: str):
+        f = VocabularyFile(name)
         self.file, self.pattern = f, regex.compile(WORD_PATTERN)
         self.by_id = {i: t.encode() for t, i in [*f.vocab.items(), *f.special.items()]}
         self.merge = {False: f.merger(False), True: f.merger(True)}
         self.joined = self.pairs_inside_tokens()
-        self.fragments = Memo(lambda key: self.value(self.merge[key[1]](key[0])))
+        self.fragments = Memo(lambda key: self.value(self.merge[key[1]](key[0])), size=lambda key: len(key[0]))
         self.words = Memo(self.word)
         self.pieces = Memo(self.piece)
 
@@ -126,4 +128,4 @@ def encoded(docs: DataFrame, vocabulary: str, outputs: str = "digest") -> DataFr
 
 
 def op8_bpe_codec(spark, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
+    return encoded(table(spark, sf_dir, "documents"), "word_bpe_49k.json")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +36,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STATE: list = [None, None]
+
+
+def worker_state(key=None, make=None):
+    """What this Python worker keeps between tasks under `key`: one thing at a time, so the last operator's is given back first."""
+    if _STATE[0] != key:
+        _STATE[:] = [None, None]
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # freed memory goes back to the machine
+        except (OSError, AttributeError):  # another C library
+            pass
+        if key is not None:
+            _STATE[:] = [key, make()]
+    return _STATE[1]
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo n; NULL ids hash as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))

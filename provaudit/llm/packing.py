@@ -7,7 +7,9 @@ combination, and that combination is removed as often as the histogram holds it.
 from its rank among the pieces of its length; ranks come from windows over hashed blocks of a length plus
 the blocks' offsets, so a length that a third of all pieces have is still spread over many tasks.
 
-NULL and empty texts become the end mark alone; an empty table packs to no rows. Repeated rows are packed like others.
+NULL and empty texts become the end mark alone; an empty table packs to no rows. Very long texts are cut into pieces of
+`capacity` tokens, the first of them shorter. Repeated rows are packed like others; they are the same piece in every
+column, so which copy lies where does not matter; the number that each piece got in its task spreads them. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,15 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provaudit.llm.common import as_bytes, chunks, keyed, table, written
-from provaudit.llm.vocabulary import BYTE_PATTERN, Memo, VocabularyFile, default_path, packed_ids, per_worker
+from provaudit.llm.vocabulary import BYTE_PATTERN, Memo, VocabularyFile, packed_ids, per_worker
 
 END_ID = 2
 CAPACITY = 1024
-ROWS_PER_BLOCK = 20_000
+#: Pieces of one length ranked in one task, and the most blocks of a length (beyond, blocks grow).
+ROWS_PER_BLOCK = 1_000
+MOST_BLOCKS = 20_000
 #: White space that is not a lone space or line feed between words (or may be: first bytes suffice).
 ODD_SPACE = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\x0b", b"\x0c", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 EDGES = (b"", b" ", b"\n")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 class ByteCodec:
@@ -41,8 +46,8 @@ class ByteCodec:
     them can be encoded one by one. Texts with other white space or special strings are cut at such spaces only.
     """
 
-    def __init__(self, path: str):
-        f = VocabularyFile(path)
+    def __init__(self, name: str):
+        f = VocabularyFile(name)
         self.file, self.merge = f, f.merger(False)
         self.pattern = regex.compile(BYTE_PATTERN)
         self.safe = regex.compile(r"(?<=\P{White_Space})(?= \P{White_Space})")
@@ -93,11 +98,14 @@ class ByteCodec:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenise every text, add the end mark and cut what is longer than `capacity`; the first piece may be shorter."""
+    """Tokenise every text, add the end mark and cut what is longer than `capacity`; the first piece may be shorter.
+
+    `salt` numbers the pieces of a task, so that rows equal in all else can be told apart and spread.
+    """
     end = packed_ids([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = per_worker(ByteCodec, vocabulary)
+        codec, made = per_worker(ByteCodec, vocabulary), 0
         for batch in batches:
             for part in chunks(batch, "text"):
                 rows = []
@@ -107,9 +115,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                     rows += [(doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                salt = pa.array(np.arange(made, made + len(rows)))
+                made += len(rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), salt], [*NAMES, "salt"])
 
-    return keyed(docs).mapInArrow(run, PIECES)
+    return keyed(docs).mapInArrow(run, PIECES + ", salt long")
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -160,14 +170,15 @@ def placed(cut: DataFrame, capacity: int = CAPACITY, rows_per_block: int = ROWS_
     spark = cut.sparkSession
     histogram = {int(r.length): int(r.n) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.sparkContext.broadcast(plan_bins(histogram, capacity))
-    blocks = max(1, max(histogram.values(), default=0) // rows_per_block)
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    # Each length has blocks of its own number, so that a frequent one is spread and a rare one keeps one block.
+    sizes = spark.createDataFrame([(x, min(MOST_BLOCKS, -(-n // rows_per_block))) for x, n in histogram.items()], "length long, blocks long")
+    cut = cut.join(F.broadcast(sizes), "length").withColumn("block", F.pmod(F.xxhash64(*NAMES, "salt"), "blocks"))
     offsets = cut.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")
     offsets = offsets.select("length", "block", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32", "salt"))
     ranked = cut.withColumn("within", within).join(offsets, ["length", "block"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within") - 1).alias("rank"))
+    ranked = ranked.select(*NAMES, (F.col("before") + F.col("within") - 1).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
@@ -188,4 +199,4 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
+    return packed(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")

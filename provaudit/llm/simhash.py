@@ -1,20 +1,28 @@
 """SimHash near-duplicates by generalised pigeonhole search.
 
 A document's fingerprint has, for each bit, the majority over the hashes of its word shingles. Documents with equal
-fingerprints are grouped first, so copies never meet in pairs. Among distinct fingerprints, the probe bits are
-dealt into partitions of correlated bits with thresholds t_i of their own, where sum(t_i + 1) = radius + 1: two
-fingerprints within the radius then differ in at most t_i bits of some partition i. Partitions and thresholds
+fingerprints are grouped first, so copies never meet in pairs. Among distinct fingerprints, the 64 bits of a
+word are dealt into partitions of correlated bits with thresholds t_i of their own, where sum(t_i + 1) = radius + 1: two
+words within the radius then differ in at most t_i bits of some partition i. Partitions and thresholds
 come from a dynamic programme over the rows shuffled and candidates compared that a bounded sample of
-fingerprints lets expect (the plan never changes the result). Each fingerprint goes to its own value in each
-partition and, as a probe, to the values within t_i; candidates meet there, are verified on all bits inside the
-task, and only a spanning forest of the verified links leaves it. Components follow by star contraction.
-
-NULL and empty texts have fingerprint zero and link like any other. A component's id is its smallest non-NULL doc_id
-(NULL if it has none). Repeated rows are returned as often as they come. An empty table gives no rows.
+fingerprints lets expect (the plan never changes the result). Each fingerprint is at home at its own value in each
+partition and probes the values within t_i; candidates meet there and are verified on all bits inside the
+task, and only a spanning forest of the verified links leaves it. A value that many fingerprints share is dealt into a
+grid of tasks. Components follow by star contraction.
+
+`near_groups` links fingerprints of 64 bits over all shingles within a radius. `near_duplicates` links texts whose
+sets of distinct shingles resemble each other by a given share: the fingerprint then has several words over the distinct
+shingles, each word is searched, candidates within the bits that the resemblance lets expect are joined
+closest first, and every link that is kept has been verified on the two whole sets.
+
+NULL and empty texts have fingerprint zero and link like any other. A component's id is its smallest non-NULL id
+(NULL if it has none). Repeated rows are returned as often as they come, and ids may be NULL or shared. Very long texts
+are hashed in parts. An empty table gives no rows. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import acos, comb, pi
@@ -25,12 +33,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provaudit.llm.common import as_bytes, chunks, keyed, row_count, table, written
+from provaudit.llm.common import as_bytes, chunks, keyed, row_count, table, worker_state, written
+from provaudit.llm.sketch import Hasher
 
 SEED = 42
 SAMPLE = 10_000
 #: Cost of comparing two fingerprints, in rows sent to a partition's value.
-PAIR_COST = 0.02
+PAIR_COST = 0.001
+#: Fingerprints at home in one task of a value, and the most values whose numbers reach the driver.
+HEAVY = 4_000
+MOST_HEAVY = 20_000
+#: Hashes whose bits are counted at once, and pairs compared at once.
+HASHES = 200_000
+PAIRS = 1_000_000
 #: Fixed values of a 64-bit finaliser (splitmix64), which derives further hashes from one.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -46,42 +61,72 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def shingle_hashes(text: bytes, width: int) -> list[int]:
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     """XXH64 of each run of `width` words, repeats included; a shorter text is one run, a text without words none."""
     words = text.lower().split()
     if len(words) <= width:
-        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
-    return [xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(width)))]
-
-
-def fingerprint_of(texts: list[bytes], width: int, words: int) -> np.ndarray:
-    """Fingerprints as a (texts, 8 * words) array of bytes, the most significant first."""
-    lists = [shingle_hashes(t, width) for t in texts]
-    n = np.asarray([len(x) for x in lists])
-    out = np.zeros((len(texts), words, 8), np.uint8)
-    full = np.flatnonzero(n)
-    if len(full):
-        h = np.fromiter((x for xs in lists for x in xs), np.uint64, n.sum())
-        starts = (np.cumsum(n) - n)[full]
-        for k in range(words):
-            bits = np.unpackbits(mixed(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            set_ = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            out[full, k] = np.packbits(set_ * 2 > n[full, None], axis=1)
-    return out.reshape(len(texts), 8 * words)
-
-
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, fp: a binary fingerprint of 64 * words bits for each row."""
+        return np.asarray([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in runs), np.uint64, len(words) - width + 1)
+
+
+def majority_bits(lists: list[np.ndarray], words: int) -> np.ndarray:
+    """Fingerprints of lists of hashes as a (lists, 8 * words) array of bytes, the most significant first."""
+    n = np.asarray([len(x) for x in lists], np.int64)
+    out, full = np.zeros((len(lists), words, 8), np.uint8), np.flatnonzero(n)
+    if not len(full):
+        return out.reshape(len(lists), -1)
+    ends = np.cumsum(n[full])
+    flat = np.concatenate([lists[i] for i in full])
+    for k in range(words):
+        set_ = np.zeros((len(full), 64), np.int64)
+        for at in range(0, len(flat), HASHES):
+            part = flat[at : at + HASHES]
+            bits = np.unpackbits(mixed(part, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            first = int(np.searchsorted(ends, at, side="right"))
+            last = int(np.searchsorted(ends, at + len(part), side="left"))
+            starts = np.maximum(np.concatenate(([0], ends[first:last])) - at, 0)
+            starts[0] = 0
+            set_[first : last + 1] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        out[full, k] = np.packbits(set_ * 2 > n[full, None], axis=1)
+    return out.reshape(len(lists), -1)
+
+
+def binary_array(rows: np.ndarray) -> pa.Array:
+    """A (rows, width) array of bytes as a binary column."""
+    n, width = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def byte_rows(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of values of one width as a (rows, width) array of bytes."""
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
+
+
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fp: the binary fingerprint of 64 bits of each row, over all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         for batch in batches:
             for part in chunks(batch, "text", 2_000_000):
-                got = fingerprint_of(as_bytes(part.column(1)), width, words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "fp"])
+                got = majority_bits([shingle_hashes(t, width) for t in as_bytes(part.column(1))], 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), binary_array(got)], ["doc_id", "fp"])
 
     return keyed(docs).mapInArrow(run, "doc_id long, fp binary")
 
 
+def shingle_sets(texts: list[bytes], hasher: Hasher) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's distinct shingle hashes, sorted, and a 16-byte digest of them."""
+    sets = [np.unique(h) for h in hasher.shingles(texts)]
+    digests = np.frombuffer(b"".join([hashlib.md5(x.tobytes(), usedforsecurity=False).digest() for x in sets]), np.uint8)
+    return sets, digests.reshape(-1, 16)
+
+
 def correlated_partitions(bits: np.ndarray, m: int) -> list[list[int]]:
     """Deal the columns of a 0/1 matrix into m groups of nearly equal size, each grown from its most correlated bits."""
     centred = bits - bits.mean(axis=0)
@@ -148,12 +193,8 @@ def flips(singles: list[int], t: int) -> np.ndarray:
     return np.asarray(out, np.uint64)
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
 class Forest:
-    """Union-find over row numbers that keeps only links between different trees."""
+    """Union-find over row numbers that keeps only links between different trees, the closest first."""
 
     def __init__(self, n: int):
         self.up = np.arange(n)
@@ -166,107 +207,232 @@ class Forest:
             x = up[x]
         return x
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist()):
-            rx, ry = self.root(x), self.root(y)
-            if rx != ry:
-                self.up[max(rx, ry)] = min(rx, ry)
-                self.kept.append((x, y))
-
     def flatten(self) -> np.ndarray:
         while (self.up != self.up[self.up]).any():
             self.up = self.up[self.up]
         return self.up
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which links join different trees."""
+        tree = self.flatten()
+        return tree[a] != tree[b]
+
+    def add(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+        tree = self.flatten()
+        order = np.argsort(far, kind="stable")
+        a, b = a[order], b[order]
+        low, high = np.minimum(tree[a], tree[b]), np.maximum(tree[a], tree[b])
+        first = np.sort(np.unique(low * len(tree) + high, return_index=True)[1])  # one link for two trees
+        for x, y in zip(a[first].tolist(), b[first].tolist()):
+            rx, ry = self.root(x), self.root(y)
+            if rx != ry:
+                self.up[max(rx, ry)] = min(rx, ry)
+                self.kept.append((x, y))
+
 
-def verified_links(fps: np.ndarray, own: np.ndarray, radius: int, most: int) -> list[tuple[int, int]]:
-    """Links of one bucket, as a spanning forest: rows at home here against all rows.
+def verified_links(fps: np.ndarray, sizes: np.ndarray, home: np.ndarray, new: np.ndarray, forest: Forest, most: int, share: float) -> None:
+    """Add to the forest the links of `home` rows with `new` rows: at most `most` differing bits and sizes within `share`.
 
-    fps: (rows, words) 64-bit integers, the first word holding the probe bits; own: which rows are at home.
+    Pairs that differ in a third of `most` bits at most are joined at once; the others wait and are joined closest first.
     """
-    forest, home = Forest(len(fps)), np.flatnonzero(own)
-    step = max(1, 1_000_000 // len(fps))
+    share = max(share - 1e-9, 1e-9)
+    home, new = home[np.argsort(sizes[home], kind="stable")], new[np.argsort(sizes[new], kind="stable")]
+    waiting, size, sorted_sizes = [], 0, sizes[new]
+    step = max(1, PAIRS // max(1, len(new)))
+
+    def settle() -> None:
+        nonlocal waiting, size
+        if waiting:
+            forest.add(*(np.concatenate(x) for x in zip(*waiting)))
+        waiting, size = [], 0
+
     for k in range(0, len(home), step):
         rows = home[k : k + step]
-        a, b = np.nonzero(distances(fps[rows, None, 0], fps[None, :, 0]) <= radius)
-        a = rows[a]
-        tree = forest.flatten()
-        keep = tree[a] != tree[b]
-        a, b = a[keep], b[keep]
-        if fps.shape[1] > 1:
-            close = distances(fps[a, 1:], fps[b, 1:]).sum(axis=1) <= most
-            a, b = a[close], b[close]
-        forest.add(a, b)
-    return forest.kept
-
-
-def links(nodes: DataFrame, radius: int, most: int = 0) -> DataFrame:
-    """Links (a, b) between distinct fingerprints in `fp` that span every group within the radius.
-
-    radius counts differing probe bits (the first 64); most those among all further bits.
+        lo = int(np.searchsorted(sorted_sizes, sizes[rows[0]] * share, side="left"))
+        hi = int(np.searchsorted(sorted_sizes, sizes[rows[-1]] / share, side="right"))
+        far = np.zeros((len(rows), hi - lo), np.uint8 if fps.shape[1] < 4 else np.uint16)
+        for word in fps.T:
+            far += np.bitwise_count(word[rows][:, None] ^ word[new[lo:hi]][None, :])
+        a, b = np.nonzero(far <= most)
+        far, a, b = far[a, b], rows[a], new[lo:hi][b]
+        fit = np.minimum(sizes[a], sizes[b]) >= share * np.maximum(sizes[a], sizes[b])
+        keep = fit & forest.apart(a, b)
+        a, b, far = a[keep], b[keep], far[keep]
+        near = far * 3 <= most
+        forest.add(a[near], b[near], far[near])
+        waiting.append((a[~near], b[~near], far[~near]))
+        size += len(waiting[-1][0])
+        if size > PAIRS:
+            settle()
+    settle()
+
+
+def links(nodes: DataFrame, radius: int, words: int = 1, most: int | None = None, share: float = 0.0) -> DataFrame:
+    """Links (a, b) between nodes that span, in every value's task, the groups of linked fingerprints.
+
+    nodes: (node, fp, n), a binary id of 16 bytes, a fingerprint of `words` 64-bit words, a size. Two nodes meet if any of
+    their words are within the radius; they are linked if all bits differ in at most `most` (the radius where None) and
+    the smaller size is at least `share` of the larger.
     """
-    spark = nodes.sparkSession
+    most = radius if most is None else most
     n = row_count(nodes)
     every = max(1, n // SAMPLE)
     drawn = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").limit(2 * SAMPLE).collect()
-    sample = np.asarray([int.from_bytes(r.fp[:8], "big") for r in drawn] or [0], np.uint64)
-    plan = [(np.uint64(mask), flips(singles, t)) for mask, singles, t in search_plan(sample, n, radius)]
+    sample = np.frombuffer(b"".join(bytes(r.fp) for r in drawn) or bytes(8 * words), ">u8").astype(np.uint64).reshape(-1, words)
+    plan = [(w, np.uint64(mask), flips(singles, t)) for w in range(words) for mask, singles, t in search_plan(sample[:, w], max(n, 1000), radius)]
+    width = 16 + 8 * words + 4 + 1
+
+    def keys_of(fps: np.ndarray, i: int, probes: int | None = None) -> np.ndarray:
+        """The values that fingerprints probe in partition i, the first their own."""
+        w, mask, change = plan[i]
+        return mixed(((fps[:, w] & mask)[:, None] ^ change[None, :probes]) ^ mixed(np.asarray([i], np.uint64), 1), 2)
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return byte_rows(batch.column(1), 8 * words).view(">u8").astype(np.uint64), batch.column(2).to_numpy()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
+        held: dict[int, int] = {}
+        for batch in batches:
+            fps, _ = read(batch)
+            for i in range(len(plan)):
+                own, times = np.unique(keys_of(fps, i, 1), return_counts=True)
+                for k, c in zip(own.tolist(), times.tolist()):
+                    held[k] = held.get(k, 0) + c
+            if len(held) > 500_000:
+                yield out(held)
+                held = {}
+        yield out(held)
+
+    def out(held: dict[int, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(list(held), np.uint64).view(np.int64)), pa.array(list(held.values()), pa.int64())], ["key", "n"])
+
+    # Values that many nodes share: as many at most as the bound on their size lets there be.
+    least = max(HEAVY, n * len(plan) // MOST_HEAVY)
+    heavy = nodes.select("node", "fp", "n").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
+    heavy = sorted((r.key % (1 << 64), -(-r.n // least)) for r in heavy)
+    heavy_keys, grids = np.asarray([k for k, _ in heavy], np.uint64), np.asarray([g for _, g in heavy], np.int64)
+
+    def placed(key: np.ndarray, who: np.ndarray, home: np.ndarray, own: np.ndarray):
+        """Rows (key, node, flag) of the tasks that a value's rows go to. flag 0: at home and met, 1: at home only, 2: met only."""
+        at = np.searchsorted(heavy_keys, key) if len(heavy_keys) else np.zeros(len(key), np.int64)
+        hot = (heavy_keys[np.minimum(at, len(heavy_keys) - 1)] == key) if len(heavy_keys) else np.zeros(len(key), bool)
+        yield key[~hot], who[~hot], np.where(home[~hot], 0, 2).astype(np.uint8)
+        for k in np.unique(at[hot]).tolist():
+            side, rows = int(grids[k]), np.flatnonzero(hot & (at == k))
+            group = (own[who[rows]] % np.uint64(side)).astype(np.int64)
+            for i in range(side):
+                for j in range(side):
+                    here, met = home[rows] & (group == i), group == j
+                    some = here | met
+                    cell = mixed(heavy_keys[k : k + 1] + np.uint64(i * side + j), 3)
+                    flag = np.where(here[some] & met[some], 0, np.where(here[some], 1, 2)).astype(np.uint8)
+                    yield np.repeat(cell, some.sum()), who[rows[some]], flag
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                fp = batch.column(0).slice(start, 1000)
-                first = np.asarray([int.from_bytes(x[:8], "big") for x in fp.to_pylist()], np.uint64)
-                for i, (mask, change) in enumerate(plan):
-                    value = ((first & mask)[:, None] ^ change[None, :]).ravel().view(np.int64)
-                    row = np.repeat(np.arange(len(first)), len(change))
-                    home = np.tile(np.arange(len(change)) == 0, len(first))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i, np.int32)), pa.array(value), fp.take(pa.array(row)), pa.array(home)], ["part", "value", "fp", "home"])
+                part = batch.slice(start, 1000)
+                node, (fps, sizes) = byte_rows(part.column(0), 16), read(part)
+                base = np.concatenate([node, fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), sizes.astype("<i4").view(np.uint8).reshape(-1, 4), np.zeros((len(fps), 1), np.uint8)], axis=1)
+                own = mixed(np.ascontiguousarray(node[:, :8]).view(np.uint64)[:, 0], 1)
+                for i in range(len(plan)):
+                    key = keys_of(fps, i)
+                    who = np.repeat(np.arange(len(fps)), key.shape[1])
+                    home = np.tile(np.arange(key.shape[1]) == 0, len(fps))
+                    for k, w, flag in placed(key.ravel(), who, home, own):
+                        if len(k):
+                            rows = base[w]
+                            rows[:, -1] = flag
+                            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(flag.astype(np.int32)), binary_array(rows)], ["key", "flag", "row"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(part, value, fp, home, last):
-            """Links of the complete buckets, and where the open one starts."""
-            n = len(part)
-            new = np.flatnonzero((part[1:] != part[:-1]) | (value[1:] != value[:-1])) + 1
-            starts = np.asarray([0, *new.tolist(), *([n] if last else [])], np.int64)
-            pairs = []
-            for s, e in zip(starts.tolist(), starts[1:].tolist()):
-                if e - s > 1 and home[s:e].any():
-                    pairs += [(a + s, b + s) for a, b in verified_links(fp[s:e], home[s:e], radius, most)]
-            rows = fp.astype(">u8")
-            a = [min(rows[x].tobytes(), rows[y].tobytes()) for x, y in pairs]
-            b = [max(rows[x].tobytes(), rows[y].tobytes()) for x, y in pairs]
-            out = pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-            return out, int(starts[-1])
-
-        held = None
+        """Rows come by value, those at home first, so no more than these are held."""
+        worker_state()
+        now, homes, up = None, np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw, batch.column(3).to_numpy(zero_copy_only=False))
-            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            out, start = found(*held, False)
-            held = tuple(x[start:] for x in held)
-            yield out
-        if held is not None:
-            yield found(*held, True)[0]
-
-    probes = nodes.select("fp").mapInArrow(probe, "part int, value long, fp binary, home boolean")
-    dealt = probes.repartition("part", "value").sortWithinPartitions("part", "value")
+            key, flag, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), byte_rows(batch.column(2), width)
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
+            pairs = []
+            for s, e in zip(cuts, cuts[1:]):
+                if key[s] != now:
+                    now, homes, up = key[s], homes[:0], up[:0]
+                mine = flag[s:e]
+                if not len(homes) and (mine[0] == 2 or e - s < 2):
+                    if mine[0] != 2:
+                        homes, up = rows[s:e], np.arange(e - s)
+                    continue
+                # held homes, then this batch's rows: homes first
+                all_, held, more = np.concatenate([homes, rows[s:e]]), len(homes), int((mine != 2).sum())
+                forest = Forest(len(all_))
+                forest.up[:held] = up
+                fps = np.ascontiguousarray(all_[:, 16:-5]).view(">u8").astype(np.uint64)
+                sizes = np.ascontiguousarray(all_[:, -5:-1]).view("<i4")[:, 0].astype(np.int64)
+                met = held + np.flatnonzero(mine != 1)
+                verified_links(fps, sizes, np.arange(held + more), met, forest, most, share)
+                if held and more:  # homes held before meet those of this batch from the other side too
+                    back = np.flatnonzero(all_[:held, -1] != 1)
+                    verified_links(fps, sizes, np.arange(held, held + more), back, forest, most, share)
+                for a, b in forest.kept:
+                    x, y = all_[a, :16].tobytes(), all_[b, :16].tobytes()
+                    pairs.append((min(x, y), max(x, y)))
+                tree = forest.flatten()
+                homes = all_[: held + more]
+                # A home whose tree has its root elsewhere takes the first home of that tree.
+                first = np.full(len(all_), len(all_))
+                np.minimum.at(first, tree[: held + more], np.arange(held + more))
+                up = first[tree[: held + more]]
+            a, b = zip(*pairs) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    probes = nodes.select("node", "fp", "n").mapInArrow(probe, "key long, flag int, row binary")
+    dealt = probes.repartition("key").sortWithinPartitions("key", "flag")
     return dealt.mapInArrow(verify, "a binary, b binary").distinct()
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """The same components with at most one link a node and partition, to the smallest node that the partition joins it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
+        up: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up.setdefault(y, y)
+            return x
+
+        def out() -> pa.RecordBatch:
+            found = [(root(x), x) for x in list(up) if root(x) != x]
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ra, rb = root(a), root(b)
+                if ra != rb:
+                    up[max(ra, rb)] = min(ra, rb)
+            if len(up) > 300_000:
+                yield out()
+                up.clear()
+        yield out()
+
+    return edges.mapInArrow(run, "a binary, b binary")
+
+
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): the smallest node of the component of every node that has a link.
 
-    Alternates large-star and small-star steps; each round is written to the shared folder, which cuts lineage.
+    Links contract inside partitions, then large-star and small-star steps alternate; each round is written to the shared
+    folder, which cuts lineage. Smallest neighbours are written too, so that a join with a node of very many links
+    has plain shuffles on both sides, which Spark splits where they are skewed.
     """
-    edges = written(edges, name)
+    edges = written(contracted(edges), name)
     before = None
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
@@ -278,30 +444,71 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         before = now
 
 
-def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, words: int = 1, most: int = 0) -> DataFrame:
-    """doc_id, fp, component_id for every row of (doc_id, text)."""
-    prints = written(fingerprints(docs, width, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes, radius, most))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = linked.where("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+def grouped_rows(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of prints with component_id, the smallest id of their component.
+
+    prints: (id, node, ...); nodes: (node, first: its smallest id, ...).
+    """
+    roots = components(edges)
+    linked = written(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    smallest = written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    named = linked.join(smallest, "root").select("node", "component_id")
+    return prints.join(named, "node")
+
+
+def near_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """doc_id, fp, component_id for every row of (doc_id, text): fingerprints of 64 bits that link within the radius."""
+    prints = written(fingerprints(docs, width), "fingerprints").withColumn("node", F.concat("fp", "fp"))
+    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.lit(1).alias("n"), F.min("doc_id").alias("first")), "nodes")
+    return grouped_rows(prints, nodes, links(nodes, radius)).select("doc_id", "fp", "component_id")
 
 
 def expected_share(similarity: float) -> float:
-    """Share of bits in which two documents of that shingle resemblance are expected to differ."""
+    """Share of bits in which two sets of that resemblance, of equal sizes, are expected to differ."""
     return acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
-    """Groups of documents of the given resemblance: candidates within `radius` of 64 probe bits, verified on 192 more.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 2, radius: int = 12) -> DataFrame:
+    """id_col, component_id for every row: groups of texts linked by a resemblance of their shingle sets of `similarity` or more.
 
-    The verified bits may differ in the expected share for `similarity` plus one standard deviation.
+    Ids may be of any type that has an order. Candidates are within `radius` bits in one of `words` 64-bit words (0.97 of the
+    pairs at 0.8, more above) and within four standard deviations of the expected number over all words; each link
+    is verified on the whole sets. In a value's task, candidates are joined closest first and only links between different trees go on to that
+    check, so a chain whose middle is refuted there may lose a link that other tasks do not find.
     """
-    share = expected_share(similarity)
-    most = int(192 * share + (192 * share * (1 - share)) ** 0.5)
-    return near_groups(docs, width, radius, 4, most)
+    share, bits = expected_share(similarity), 64 * words
+    most = int(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
+        hasher = Hasher(width)
+        for batch in batches:
+            for part in chunks(batch, "text", 1_000_000):
+                sets, digests = shingle_sets(as_bytes(part.column(1)), hasher)
+                n = pa.array([len(x) for x in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), binary_array(digests), n, binary_array(majority_bits(sets, words))], ["id", "t", "node", "n", "fp"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
+        hasher = Hasher(width)
+        for batch in batches:
+            for part in chunks(batch, "text", 1_000_000):
+                sets, digests = shingle_sets(as_bytes(part.column(0)), hasher)
+                yield pa.RecordBatch.from_arrays([binary_array(digests), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "hashes"])
+
+    prints = written(rows.mapInArrow(sketched, f"id {kind}, t binary, node binary, n int, fp binary"), "shingle-prints")
+    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("id").alias("first"), F.min("t").alias("t")), "shingle-nodes")
+    found = written(links(nodes, radius, words, most, similarity), "candidates")
+    asked = nodes.join(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "node", "left_semi").select("t")
+    texts = rows.groupBy("t").agg(F.first("text").alias("text")).join(asked, "t", "left_semi").select("text")
+    sets = written(texts.mapInArrow(gathered, "node binary, hashes array<long>"), "shingle-sets")
+    pairs = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    checked = pairs.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")).where(F.col("both") >= F.lit(similarity - 1e-9) * F.col("either"))
+    edges = written(checked.select("a", "b"), "verified")
+    return grouped_rows(prints, nodes, edges).select(F.col("id").alias(id_col), "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

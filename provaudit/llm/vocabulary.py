@@ -1,7 +1,8 @@
 """Tokenizer files and per-worker caches.
 
-Nothing here trains a tokenizer: the file's path is a parameter. A worker keeps what it has encoded
-in dictionaries of bounded size; on overflow the entries inserted first stay, as frequent strings come first.
+Nothing here trains a tokenizer: the file's name or path is a parameter, found by each worker on its own machine.
+A worker keeps what it has encoded in dictionaries bounded in bytes: long strings are never kept, and a full dictionary
+takes nothing more until it is trimmed to the entries inserted first, as frequent strings come first.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ from itertools import islice
 
 import regex
 
+from provaudit.llm.common import worker_state
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-CACHE_ENTRIES = 200_000
-KEPT_ENTRIES = 80_000
+#: Entries of one cache, those kept when it is trimmed, and the longest key kept (characters or bytes). Values are ids or
+#: a few bytes for each byte of the key, so a cache stays below some 30 MB whatever the texts are.
+CACHE_ENTRIES = 100_000
+KEPT_ENTRIES = 50_000
+LONGEST_KEY = 64
 
 #: The pre-token patterns of the two vocabulary files.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -29,25 +35,30 @@ BYTE_PATTERN = (
 
 
 def default_path(name: str) -> str:
+    """The file of a public vocabulary on this machine; anything with a folder in it is a path already."""
+    if "/" in name:
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 class Memo(dict):
-    """A bounded cache that computes what it lacks; `trim` between batches keeps it bounded."""
+    """A bounded cache that computes what it lacks; a full one keeps nothing new until it is trimmed."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, size=len):
         super().__init__()
-        self.compute = compute
+        self.compute, self.size = compute, size
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(self) < CACHE_ENTRIES and self.size(key) <= LONGEST_KEY:
+            self[key] = value
         return value
 
-    def trim(self, most: int = CACHE_ENTRIES, kept: int = KEPT_ENTRIES) -> None:
-        if len(self) > most:
-            first = list(islice(self.items(), kept))
+    def trim(self) -> None:
+        if len(self) >= CACHE_ENTRIES:
+            first = list(islice(self.items(), KEPT_ENTRIES))
             self.clear()
             self.update(first)
 
@@ -68,14 +79,13 @@ def byte_characters() -> list[str]:
 class VocabularyFile:
     """A tokenizer JSON file: vocabulary, merges and special strings."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        self.path = path
-        self.vocab: dict[str, int] = self.spec["model"]["vocab"]
-        self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in self.spec["model"]["merges"]]
-        self.suffix = self.spec["model"].get("end_of_word_suffix") or ""
-        self.special = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
+    def __init__(self, name: str):
+        with open(default_path(name), encoding="utf-8") as f:
+            spec = json.load(f)
+        self.vocab: dict[str, int] = spec["model"]["vocab"]
+        self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
     def merger(self, suffix: bool):
@@ -96,11 +106,6 @@ def packed_ids(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-_FILES: dict[tuple[type, str], object] = {}
-
-
-def per_worker(kind: type, path: str):
-    """One instance of a codec for each Python worker, kept between tasks."""
-    if (kind, path) not in _FILES:
-        _FILES[kind, path] = kind(path)
-    return _FILES[kind, path]
+def per_worker(kind: type, name: str):
+    """One instance of a codec for each Python worker, kept between tasks until another operator runs there."""
+    return worker_state((kind, name), lambda: kind(name))

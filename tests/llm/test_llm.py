@@ -149,8 +149,9 @@ def test_simhash_groups_equal_brute_force(spark, docs, source):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("radius", [3, 7, 12])
-def test_pigeonhole_loses_no_link(spark, radius):
+@pytest.mark.parametrize("radius, heavy", [(3, 4000), (7, 4000), (12, 4000), (3, 5), (12, 20)])
+def test_pigeonhole_loses_no_link(spark, monkeypatch, radius, heavy):
+    """Also where values are shared by so many that they are dealt into grids of tasks."""
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     prints = {int(b) for b in base}
@@ -162,8 +163,9 @@ def test_pigeonhole_loses_no_link(spark, radius):
             prints.add(x)
     ids = list(range(len(prints)))
     values = sorted(prints)
-    nodes = spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "fp binary")
-    found = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in simhash.links(nodes, radius).collect()}
+    nodes = spark.createDataFrame([(v.to_bytes(8, "big") * 2, v.to_bytes(8, "big"), 1) for v in values], "node binary, fp binary, n int")
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    found = {(int.from_bytes(r.a[:8], "big"), int.from_bytes(r.b[:8], "big")) for r in simhash.links(nodes, radius).collect()}
     assert all((a ^ b).bit_count() <= radius for a, b in found)
     at = {v: i for i, v in enumerate(values)}
     root = list(ids)
@@ -198,6 +200,67 @@ def test_near_duplicates_catch_edits_and_leave_others(spark):
     assert len({got[i] for i in range(30)}) == 30
 
 
+def shingle_set(text: str, width: int = 5) -> set:
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def alike(a: set, b: set) -> bool:
+    """A resemblance of 0.8 or more."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def test_near_duplicates_near_the_limit(spark):
+    """Pairs on either side of a resemblance of 0.8, edited in one block or all over."""
+    rng = np.random.default_rng(5)
+    rows, pairs = [], []
+    for want in (0.7, 0.75, 0.78, 0.8, 0.82, 0.85, 0.9):
+        for i in range(40):
+            w = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+            common = math.ceil(2 * 396 * want / (1 + want))
+            if i % 2:
+                v = w[: common + 4] + [f"v{x}" for x in rng.integers(0, 10**6, 396 - common)]
+            else:
+                v = list(w)
+                for at in rng.choice(79, (396 - common) // 5, replace=False) * 5 + 2:
+                    v[at] = f"v{rng.integers(10**6)}"
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    true = [alike(shingle_set(rows[a][1]), shingle_set(rows[b][1])) for a, b in pairs]
+    linked = [got[a] == got[b] for a, b in pairs]
+    assert not any(x and not t for x, t in zip(linked, true))
+    assert sum(linked) >= 0.95 * sum(true) > 100
+
+
+def test_near_duplicates_equal_brute_force(spark, docs):
+    """All pairs of whole documents; a text that one line fills is not alike to another that it fills."""
+    repeated = [" ".join(["the same five word line"] * 60 + [f"{k}{i}" for i in range(30)]) for k in "ab"]
+    for df in (table(spark, "documents"), docs.select("doc_id", "text").union(spark.createDataFrame([(91 + i, t) for i, t in enumerate(repeated)], "doc_id long, text string"))):
+        rows = texts(df)
+        root, sets = list(range(len(rows))), [shingle_set(t) for _, t in rows]
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if alike(sets[i], sets[j]):
+                    root[find(i)] = find(j)
+        members = {}
+        for i in range(len(rows)):
+            members.setdefault(find(i), []).append(rows[i][0])
+        want = [(rows[i][0], min((x for x in members[find(i)] if x is not None), default=None)) for i in range(len(rows))]
+        got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
 def test_sketch_edits_follow_descending_ids(spark, docs):
     df = table(spark, "documents")
     rows = sorted(texts(df), reverse=True)
