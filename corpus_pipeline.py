@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from provaudit.llm import packing, quality, simhash, toxicity
 from provaudit.llm.common import shared_dir, table, written
-from provaudit.llm.vocabulary import default_path
+from provaudit.session import ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,22 +33,23 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of copies and near copies (five words, 0.8): the one with the smallest id.
 
-    Rows are told apart by a hash of all their columns, not by their ids: NULL ids come last, and equal ids are ordered by that hash.
+    Rows are told apart by hashes of all their columns, not by their ids: NULL ids come last, equal ids are ordered by
+    that hash, and rows equal in every column are one.
     """
-    table(spark, sf_dir, "documents")
+    ship_package(spark)
     docs = docs.select(*COLUMNS)
     # NULLs leave a hash as it was, so which columns are NULL is hashed too.
-    rows = docs.withColumn("row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
-    found = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
-    groups = found.select(F.col("doc_id").alias("row"), "component_id").distinct().join(rows.select("row", "doc_id").distinct(), "row")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    parts = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
+    rows = docs.withColumn("row", F.concat_ws("-", F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)))
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("id"), "text")
+    first = simhash.near_duplicates(named, "id").where("id.row = component_id.row").select("id.row").distinct()
     return rows.join(first, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise and pack what is left into sequences."""
-    table(spark, sf_dir, "documents")
-    return packing.packed(docs, default_path("byte_bpe_50k.json"))
+    ship_package(spark)
+    return packing.packed(docs, "byte_bpe_50k.json")
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
