@@ -88,17 +88,17 @@ def row_count(df: DataFrame) -> int:
     return int(df.agg(F.count(F.lit(1))).first()[0])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, most: dict[int, int]) -> list[tuple[bytes, int]]:
-    """(text, label) of at most most[y] training rows of each label y, drawn by a hash of the id over all labelled rows.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, train, most: dict[int, int]) -> DataFrame:
+    """(text, y) of at most most[y] labelled ids of each label y, drawn by a hash of the id over all labelled rows.
 
-    docs: (doc_id, text). The drawn ids are few, so they are broadcast and no text is shuffled.
+    docs: (doc_id, text). The drawn ids are few, so they are broadcast; an id with several texts gives its smallest, so the
+    rows are as many as the ids. Texts stay on the executors.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(train)
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(train).where("doc_id is not null").distinct()
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    out = []
+    out = None
     for y, n in most.items():
         drawn = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        rows = docs.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        texts = rows.select(F.col("text").cast("binary").alias("text")).toPandas()["text"]
-        out += [(bytes(t or b""), y) for t in texts]
-    return out
+        out = drawn if out is None else out.union(drawn)
+    rows = docs.join(F.broadcast(out), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "y")

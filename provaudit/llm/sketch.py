@@ -7,7 +7,8 @@ distinct shingles; a sketch of fewer than k hashes is the whole set and its esti
 
 Texts are lower-cased (A-Z) and split at ASCII white space; a text of fewer than `width` words is one shingle; one
 without words (empty, NULL) has an empty sketch. Two empty sketches resemble and contain each other fully, an empty and a
-non-empty one not at all. Repeated rows are returned as often as they come; an empty table gives no rows.
+non-empty one not at all. Very long texts are hashed alone. Repeated rows are returned as often as they come; an empty table
+gives no rows. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -206,18 +207,55 @@ def grouped(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, list[b
         yield start, texts[start:]
 
 
+class Blocks:
+    """Blocks of rows in falling order of id, then rising order of text hash; the larger a block's number, the earlier it comes.
+
+    cuts: ids at even steps through all rows. An id that spans several steps has as many blocks of its own, by text
+    hash; NULL ids come last, in `nulls` blocks numbered below zero.
+    """
+
+    def __init__(self, cuts: list[int], nulls: int):
+        values, times = np.unique(np.asarray(cuts, np.int64), return_counts=True)
+        self.values, self.times, self.nulls = values, np.where(times > 1, times, 0), max(1, nulls)
+        self.first = np.cumsum(self.times + 1) - self.times  # of an id's own blocks; the block below them holds what lies between cuts
+
+    @staticmethod
+    def share(h: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Which of `parts` equal ranges of 64-bit hashes each hash is in, the highest range first."""
+        high = (h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return parts - 1 - (high.astype(np.int64) * parts >> 32)
+
+    def of(self, ids: pa.Array, h: pa.Array) -> np.ndarray:
+        x, hash_ = ids.fill_null(0).to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(self.values, x)
+        block = np.concatenate((self.first, [self.first[-1] + self.times[-1] + 1 if len(self.first) else 1]))[at] - 1
+        if len(self.values):
+            near = np.minimum(at, len(self.values) - 1)
+            own = (self.values[near] == x) & (self.times[near] > 0)
+            block = np.where(own, self.first[near] + self.share(hash_, np.maximum(1, self.times[near])), block)
+        missing = ids.is_null().to_numpy(zero_copy_only=False)
+        return np.where(missing, self.share(hash_, np.full(len(x), self.nulls)) - self.nulls, block)
+
+
 def with_followers(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows sorted by descending doc_id inside blocks of ids, each block ended by a ghost: the row after its last.
+    """Rows sorted by descending doc_id inside blocks of about equal numbers of rows, each block ended by a ghost: the row after its last.
 
-    A block is a range of ids, so order needs no global sort; at most MOST_BLOCKS block heads (id and text hash) reach
-    the driver. Ties of doc_id follow the text's hash, NULL ids come last. The last row of all is followed by the first.
+    Blocks are cut at quantiles of the ids, so order needs no global sort; at most MOST_BLOCKS quantiles and block heads (id
+    and text hash) reach the driver. Ties of doc_id follow the text's hash, NULL ids come last. The last row of all is
+    followed by the first. Only rows equal in both id and text cannot be dealt to several blocks.
     """
     docs = keyed(docs).withColumn("h", F.xxhash64("text"))
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    n, known = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     blocks = max(1, min(MOST_BLOCKS, n // block_rows))
-    width = max(1.0, ((high or 0) - (low or 0) + 1) / blocks)
-    block = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width)).cast("long"), F.lit(-1))
-    docs = docs.withColumn("block", block)
+    steps = [k / blocks for k in range(1, blocks)]
+    cuts = docs.agg(F.percentile_approx("doc_id", steps, 4 * blocks)).first()[0] if known and steps else []
+    plan = Blocks(cuts or [], -(-blocks * (n - known) // max(1, n)))
+
+    @F.arrow_udf("long")
+    def block(ids: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(plan.of(ids, h))
+
+    docs = docs.withColumn("block", block("doc_id", "h"))
     heads = docs.groupBy("block").agg(F.max_by(F.struct("doc_id", "h"), F.struct("doc_id", -F.col("h").cast("decimal(20,0)"))).alias("head")).collect()
     order = sorted(((r.block, r.head.doc_id, r.head.h) for r in heads), reverse=True)
     ghosts = [(b, i, h, order[k - 1][0]) for k, (b, i, h) in enumerate(order)]

@@ -1,19 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary texts, one on toxic text: the word
-beginnings that toxic training documents have many times more often than ordinary ones. The toxic side also holds the ordinary
-content, so a window is shorter on the toxic side only by what toxic text explains and ordinary text does not. A document's windows of a few words are compressed with either dictionary; the largest
-saving, how many windows save at least `NOTABLE` bytes (and one more) and the number of windows are calibrated to a
-probability by logistic regression, placed so that 0.7 is the threshold that the training rows favour.
-
-Dictionaries are fitted on at most `fit_rows` labelled rows of each kind (a documented bound, drawn by a hash of the id);
-every window of every text is scored. NULL and empty texts have no windows and score as the calibration says for zero.
-Without training rows of both kinds every score is 0. Texts are lower-cased (A-Z).
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text, and a document's windows of a few words are
+compressed with either; the difference of lengths tells which kind of text explains a window better.
+
+A label speaks of a whole document, most of whose windows are ordinary. Toxic text to train on is therefore what sets toxic
+documents apart: of each, the words whose beginnings are many times more frequent in toxic documents than in
+ordinary ones (`typical_beginnings`). The ordinary dictionary is trained on windows of ordinary documents, and in `HARD_ROUNDS`
+further rounds on those ordinary windows that the toxic dictionary shortened wrongly. The toxic side holds the ordinary
+content too, so a window is shorter there only by what toxic text alone explains.
+
+A document's largest saving, how many windows save at least `NOTABLE` bytes (and one more) and the number of windows are calibrated
+to a probability by logistic regression, placed so that 0.7 is the threshold that the training rows favour.
+
+Fitting takes at most `fit_toxic` and `fit_ordinary` labelled rows (documented bounds, drawn by a hash of the id), read on the executors;
+the driver gathers counts of beginnings, `FIT_WINDOWS` windows of at most `LONGEST_WINDOW` bytes at most, and each drawn row's measures. Every window of
+every whole text is scored. NULL and empty texts have no windows and score as the calibration says for zero.
+Without training rows of both kinds, or where toxic rows have nothing in common that sets them apart, every score is 0.
+Texts are lower-cased (A-Z). Scores depend on the text alone, so repeated rows and ties score alike. An empty table gives no
+rows. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +31,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provaudit.llm.common import as_bytes, crc_mod, keyed, labelled_sample, table
+from provaudit.llm.common import as_bytes, crc_mod, keyed, labelled_rows, table, worker_state, written
 
 FIT_TOXIC = 1_500
 FIT_ORDINARY = 4_500
 WORDS, STEP = 6, 5
 FLAG_AT = 0.7
 NOTABLE = 2
-ORDINARY_BYTES = 12_288
+#: Sizes of the trained dictionaries, and the segments that each is made of.
+ORDINARY_BYTES, ORDINARY_SEGMENT = 12_288, 64
+TOXIC_BYTES, TOXIC_SEGMENT = 3_072, 16
+HARD_BYTES, HARD_SEGMENT, HARD_ROUNDS = 4_096, 24, 2
+#: Windows that train the ordinary dictionary at most, and the longest that takes part in training.
+FIT_WINDOWS = 80_000
+LONGEST_WINDOW = 512
 #: Shortest word beginning (with the space before it) that can tell; one more than the compressor's shortest match.
 BEGINNING = 5
 LONGEST = 12
 #: How many times more frequent a beginning must be in toxic documents, the share of them that must have it
-#: (and three fifths of that share in different surroundings).
+#: (and three fifths of that share after different words).
 RATIO, SHARE = 20.0, 0.03
 
 
@@ -43,84 +59,66 @@ def windows(text: bytes) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WORDS]) + b" " for i in range(0, max(len(words) - (WORDS - STEP), min(1, len(words))), STEP)]
 
 
-def beginnings(text: bytes) -> set[bytes]:
-    out = set()
-    for word in set(text.lower().split()):
-        w = b" " + word + b" "
-        out.update([w[:n] for n in range(BEGINNING, min(LONGEST, len(w)) + 1)])
-    return out
-
-
-def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Word beginnings typical of toxic text, as short as they stay typical and as long as most of their uses agree."""
-    toxic, ordinary = list(set(toxic)), list(set(ordinary))
-    df = Counter()
-    for t in toxic:
-        df.update(beginnings(t))
-    least = max(3, SHARE * len(toxic))
-    df = {g: n for g, n in df.items() if n >= least}
-    around: dict[bytes, set[bytes]] = {g: set() for g in df}  # near copies of one passage share the word before
-    for t in toxic:
-        words = t.lower().split()
-        for before, word in zip([b"", *words], words):
-            w = b" " + word + b" "
-            for n in range(BEGINNING, min(LONGEST, len(w)) + 1):
-                if w[:n] in around:
-                    around[w[:n]].add(before)
-    df = {g: n for g, n in df.items() if len(around[g]) >= 0.6 * least}
-    other = Counter()
-    for t in ordinary:
-        other.update(beginnings(t) & df.keys())
-    typical = {g: n for g, n in df.items() if n / len(toxic) >= RATIO * (other[g] + 0.5) / max(1, len(ordinary))}
-    longer: dict[bytes, tuple[int, bytes]] = {}
-    for g, n in typical.items():
-        longer[g[:-1]] = max(longer.get(g[:-1], (0, b"")), (n, g))
-    out = set()
-    for g, n in typical.items():
-        if g[:-1] in typical:
-            continue
-        while g in longer and longer[g][0] >= 0.8 * typical[g]:
-            g = longer[g][1]
-        out.add(g)
-    return sorted(out)
-
-
-def trained(samples: list[bytes], size: int) -> bytes:
-    """Content of a trained dictionary; the samples themselves where they are too few to train one."""
-    try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+def beginnings(word: bytes) -> list[bytes]:
+    w = b" " + word + b" "
+    return [w[:n] for n in range(BEGINNING, min(LONGEST, len(w)) + 1)]
+
+
+def mapped(rows: DataFrame, schema: str, f) -> DataFrame:
+    """mapInArrow of f: (texts, labels) of a batch -> columns, in the order of schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(f(as_bytes(batch.column(0)), batch.column(1).to_pylist()), names)
+
+    return rows.select("text", "y").mapInArrow(run, schema)
+
 
+def typical_beginnings(rows: DataFrame, n: dict[int, int]) -> list[bytes]:
+    """Word beginnings typical of toxic text, as short as they stay typical. rows: (text, y); n: rows of each y."""
 
-def aligned(pieces: list[bytes]) -> bytes:
-    """Each piece once at every alignment that the compressor's index may step over."""
-    out = bytearray()
-    for g in pieces:
-        for k in range(3):
-            out += b"\0" * ((k - len(out)) % 3) + g + b"\0"
-    return bytes(out)
+    def counted(texts: list[bytes], labels: list[int]):
+        seen: Counter = Counter()
+        for text, y in zip(texts, labels):
+            seen.update({(y, g) for w in set(text.lower().split()) for g in beginnings(w)})
+        return [pa.array([g for _, g in seen], pa.binary()), pa.array([y for y, _ in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())]
 
+    toxic, ordinary = (F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)) for y in (1, 0))
+    least = max(3, SHARE * n[1])
+    found = mapped(rows, "g binary, y int, n long", counted).groupBy("g").agg(toxic.alias("toxic"), ordinary.alias("ordinary"))
+    found = found.where((F.col("toxic") >= least) & (F.col("toxic") / n[1] >= RATIO * (F.col("ordinary") + 0.5) / max(1, n[0]))).select("g").collect()
+    several = {bytes(r.g) for r in found}
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0) -> tuple[bytes, bytes]:
-    """(content of both sides, further content of the toxic side).
+    def surrounded(texts: list[bytes], labels: list[int]):
+        seen = set()
+        for text, y in zip(texts, labels):
+            words = text.lower().split() if y == 1 else []
+            seen.update((g, before) for before, w in zip([b"", *words], words) for g in beginnings(w) if g in several)
+        return [pa.array([g for g, _ in seen], pa.binary()), pa.array([b for _, b in seen], pa.binary())]
 
-    Both sides know ordinary windows and the longer segments without their beginnings, so the toxic side gains only
-    where a word begins as toxic words do.
-    """
-    rng = np.random.default_rng(seed)
-    all_ = [w for t in ordinary for w in windows(t)]
-    some = [all_[i] for i in sorted(rng.permutation(len(all_))[:80_000].tolist())]
-    own = trained(some, ORDINARY_BYTES) if some else b""
-    segments = toxic_segments(toxic, ordinary)
-    rest = [g[BEGINNING - 1 :] for g in segments if len(g) > 2 * BEGINNING - 2]
-    both, extra = aligned(rest), aligned(segments)
-    even = lambda b: b + b"\0" * (-len(b) % 24)
-    return even(both) + own[: len(own) // 24 * 24], even(extra)
+    # Near copies of one passage share the word before.
+    around = mapped(rows, "g binary, before binary", surrounded).groupBy("g").agg(F.countDistinct("before").alias("n")).where(F.col("n") >= 0.6 * least).collect()
+    kept = {bytes(r.g) for r in around}
+    return sorted(g for g in kept if g[:-1] not in kept)
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Content of a dictionary that zstandard trains on samples, without its header; empty where they are too few to train one."""
+    samples = sorted(s for s in samples if len(s) >= 8)
+    try:
+        raw = zstandard.train_dictionary(size, samples, k=segment, d=8 if segment > 32 else 6, level=3).as_bytes()
+    except zstandard.ZstdError:  # too few or too small samples
+        return b""
+    mark = b"".join(x.to_bytes(4, "little") for x in (1, 4, 8))  # the repeated offsets that end the header
+    at = raw.find(mark)
+    content = raw[at + 12 :] if at >= 0 else raw
+    return content + b"\0" * (-len(content) % 24)
 
 
 class Compressors:
-    """The two compressors of a model."""
+    """The two compressors of a model, and the four measures of a text."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = self.compressor(b"\0" * len(toxic) + ordinary), self.compressor(toxic + ordinary)
@@ -128,7 +126,7 @@ class Compressors:
     @staticmethod
     def compressor(content: bytes):
         options = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=18, chain_log=17, search_log=5, min_match=4, target_length=1, strategy=zstandard.STRATEGY_LAZY2,
+            window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
             write_content_size=False, write_dict_id=False, write_checksum=False,
         )
         d = zstandard.ZstdCompressionDict(content or b"\0" * 24, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -145,6 +143,45 @@ class Compressors:
         return float(max(s, default=0)), *counts, float(np.log1p(len(s)))
 
 
+def tool(ordinary: bytes, toxic: bytes) -> Compressors:
+    """A worker's compressors, made once for a model."""
+    return worker_state(("toxicity", ordinary, toxic), lambda: Compressors(ordinary, toxic))
+
+
+def collected(windows_: DataFrame, most: int = FIT_WINDOWS) -> list[bytes]:
+    """At most `most` distinct windows (column w), drawn by their hash."""
+    rows = windows_.where(F.length("w") <= LONGEST_WINDOW).distinct().orderBy(F.xxhash64("w"), "w").limit(most)
+    return [bytes(x) for x in rows.toArrow().column("w").to_pylist()]
+
+
+def dictionaries(rows: DataFrame, n: dict[int, int]) -> tuple[bytes, bytes]:
+    """(ordinary content, toxic content), trained on (text, y) rows."""
+    typical = typical_beginnings(rows, n)
+    known = set(typical)
+
+    def toxic_text(texts: list[bytes], labels: list[int]):
+        out = []
+        for text, y in zip(texts, labels):
+            words = dict.fromkeys(text.lower().split()) if y == 1 else ()
+            out.append(b"".join([b" " + w + b" " for w in words if len(w) <= LONGEST_WINDOW and any(g in known for g in beginnings(w))]))
+        return [pa.array(out, pa.binary())]
+
+    def every_window(texts: list[bytes], labels: list[int]):
+        return [pa.array([w for t, y in zip(texts, labels) if y == 0 for w in windows(t)], pa.binary())]
+
+    samples = mapped(rows, "w binary", toxic_text).where(F.length("w") > 0).toArrow().column("w").to_pylist() if typical else []
+    toxic = trained([bytes(s) for s in samples], TOXIC_BYTES, TOXIC_SEGMENT)
+    ordinary = trained(collected(mapped(rows, "w binary", every_window)), ORDINARY_BYTES, ORDINARY_SEGMENT)
+    for _ in range(HARD_ROUNDS if toxic else 0):
+
+        def wronged(texts: list[bytes], labels: list[int], pair=(ordinary, toxic)):
+            c = Compressors(*pair)
+            return [pa.array([w for t, y in zip(texts, labels) if y == 0 for w, s in zip(windows(t), c.savings(t)) if s >= NOTABLE], pa.binary())]
+
+        ordinary = trained(collected(mapped(rows, "w binary", wronged)), HARD_BYTES, HARD_SEGMENT) + ordinary
+    return ordinary, toxic
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights (the last is the bias) with both kinds weighing the same."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -161,12 +198,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, flag_at: float = FLAG_AT) -> np.ndarray:
-    """Logistic weights whose bias puts the best training threshold (hits less twice the false alarms) at flag_at."""
+    """Logistic weights whose bias puts the best training threshold (hits less three times the false alarms) at flag_at."""
     w = logistic(x, y)
     z = x @ w[:-1] + w[-1]
     order = np.argsort(-z, kind="stable")
     hits, alarms = np.cumsum(y[order] == 1) / (y == 1).sum(), np.cumsum(y[order] == 0) / (y == 0).sum()
-    gain = np.where(np.append(np.diff(z[order]) != 0, True), hits - 2 * alarms, -np.inf)
+    gain = np.where(np.append(np.diff(z[order]) != 0, True), hits - 3 * alarms, -np.inf)
     k = int(np.argmax(gain))
     below = z[order][z[order] < z[order][k]]
     cut = (z[order][k] + (below[0] if len(below) else z[order][k] - 1)) / 2
@@ -175,20 +212,25 @@ def calibrated(x: np.ndarray, y: np.ndarray, flag_at: float = FLAG_AT) -> np.nda
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", fit_toxic: int = FIT_TOXIC, fit_ordinary: int = FIT_ORDINARY):
-    """(ordinary content, toxic content, calibration weights), or None if a kind of row is missing."""
-    got = labelled_sample(keyed(docs), labels, label, train, {0: fit_ordinary, 1: fit_toxic})
-    by = {y: [t for t, x in got if x == y] for y in (0, 1)}
-    if not by[0] or not by[1]:
+    """(ordinary content, toxic content, calibration weights), or None if a kind of row is missing or toxic rows have nothing of their own."""
+    # Texts repeat; each is used once.
+    rows = labelled_rows(keyed(docs), labels, label, train, {0: fit_ordinary, 1: fit_toxic}).distinct()
+    rows = written(rows.repartition(24), "toxicity-fit")
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        return None
+    ordinary, toxic = dictionaries(rows, n)
+    if not toxic:
         return None
-    ordinary, toxic = dictionaries(by[1], by[0])
-    tool = Compressors(ordinary, toxic)
-    # Texts repeat; the calibration sees each once.
-    unique = {t: y for y in (0, 1) for t in by[y][:1500]}
-    x = np.asarray([tool.measures(t) for t in unique])
-    return ordinary, toxic, calibrated(x, np.asarray(list(unique.values())))
 
+    def measured(texts: list[bytes], labels: list[int]):
+        c = Compressors(ordinary, toxic)
+        x = np.asarray([c.measures(t) for t in texts]).reshape(-1, 4)
+        return [pa.array(column) for column in x.T] + [pa.array(labels, pa.int32())]
 
-_MODELS: dict[bytes, Compressors] = {}
+    got = mapped(rows, "a double, b double, c double, d double, y int", measured).toArrow()
+    table_ = np.asarray(sorted(zip(*(c.to_pylist() for c in got.columns))), np.float64)
+    return ordinary, toxic, calibrated(table_[:, :4], table_[:, 4])
 
 
 def score_column(docs: DataFrame, labels: DataFrame, train=None, label: str = "toxic"):
@@ -200,10 +242,8 @@ def score_column(docs: DataFrame, labels: DataFrame, train=None, label: str = "t
         if model is None:
             return pa.array(np.zeros(len(text)))
         ordinary, toxic, w = model
-        if ordinary + toxic not in _MODELS:
-            _MODELS.clear()
-            _MODELS[ordinary + toxic] = Compressors(ordinary, toxic)
-        x = np.asarray([_MODELS[ordinary + toxic].measures(t) for t in as_bytes(text)]).reshape(-1, 4)
+        c = tool(ordinary, toxic)
+        x = np.asarray([c.measures(t) for t in as_bytes(text)]).reshape(-1, 4)
         return pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))))
 
     return score

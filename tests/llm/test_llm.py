@@ -280,6 +280,54 @@ def test_sketch_edits_follow_descending_ids(spark, docs):
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def naive_sketch(text, width=5):
+    """The hash of each shingle from its words alone, one at a time, without windows over bytes."""
+    top = 1 << 64
+
+    def final(h):
+        h = (h ^ h >> 30) * sketch.MIX[0] % top
+        h = (h ^ h >> 27) * sketch.MIX[1] % top
+        return h ^ h >> 31
+
+    words = [final((sum((b + 1) * pow(sketch.BASE, k, top) for k, b in enumerate(w)) + len(w)) % top) for w in text.encode().lower().split()]
+    out = set()
+    for i in range(max(1, len(words) - width + 1) if words else 0):
+        h = 0
+        for w in words[i : i + width]:
+            h = final((h * sketch.BASE + w) % top)
+        out.add(h)
+    return sorted(out)[: sketch.K]
+
+
+def test_sketches_and_likeness_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["ab", "Cde", "f", "ghij", "k"], rng.integers(0, 400)))) for i in range(60)]
+    got = {r.doc_id: r for r in sketch.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for (i, t), (_, nxt) in zip(rows[::-1], rows[::-1][1:] + rows[-1:]):
+        cut = len(t) // 3
+        own, new = naive_sketch(t), naive_sketch(t[: len(t) - cut] + nxt[:cut])
+        assert sketch.read(got[i].fingerprint).tolist() == own and sketch.read(got[i].edited_fingerprint).tolist() == new
+        union = sorted({*own, *new})
+        if sketch.K in (len(own), len(new)):
+            union = union[: sketch.K]
+        want = sum(x in own and x in new for x in union) / len(union) if union else 1.0
+        assert got[i].near_edited == want
+
+
+def test_sketch_blocks_split_shared_and_far_ids(spark):
+    """A far id, an id that a third of the rows have and NULL ids: no block holds more than its share, and order holds."""
+    rows = [(i, f"text {i}") for i in range(300)] + [(10**15, "far")] + [(150, f"shared {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt = sketch.with_followers(df, 20).where("not ghost")
+    assert dealt.groupBy("block").count().agg(F.max("count")).first()[0] <= 80
+    order = [(r.doc_id, r.h, r.text) for r in dealt.orderBy(F.desc("block"), F.col("doc_id").desc_nulls_last(), "h").collect()]
+    assert order == sorted(order, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in sketch.edited_pairs(df).collect()}
+    for (i, _, t), (_, _, nxt) in zip(order, order[1:] + order[:1]):
+        cut = len(t) // 3
+        assert (i, len(t), hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()) in got
+
+
 def test_sketch_estimates(spark):
     rng = np.random.default_rng(3)
     a = [f"w{x}" for x in rng.integers(0, 10**6, 3000)]
@@ -321,6 +369,44 @@ def test_quality_ranks_held_out_documents(spark, docs, empty):
     assert {r.predicted for r in quality.scores(docs, y.where("false")).collect()} == {1}
 
 
+def test_quality_measures_and_scores_equal_brute_force(spark):
+    """Measures counted letter by letter; the fit at a point where no step lowers the loss; repeated labels and clashing names."""
+    d = table(spark, "documents").withColumns({"y": F.lit(7), "x": F.lit("x"), "drawn": F.lit(1)})
+    y = table(spark, "labels").select("doc_id", "quality")
+    rows, label = dict(texts(d)), {r.doc_id: r.quality for r in y.collect()}
+    for t in [*rows.values()][:40]:
+        words, raw = t.encode().split(), t.encode()
+        got = quality.measures(raw)
+        n = max(1, len(words))
+        rate = lambda x, most: math.log1p(100.0 * x / most)
+        assert math.isclose(got[2], rate(sum(48 <= b < 58 for b in raw), max(1, len(raw))))
+        assert math.isclose(got[4], rate(sum(b in b"!?" for b in raw), n))
+        assert math.isclose(got[6], rate(sum(words[i] == words[i - 1] for i in range(1, len(words))), n))
+        assert math.isclose(got[7], len(set(words)) / n) and math.isclose(got[11], math.log1p(len(words)))
+    x = np.asarray([(label[i], *quality.measures(t.encode())) for i, t in rows.items() if i in label])
+    x = x[np.lexsort((*x.T[1:], x[:, 0]))]
+    model = quality.fitted(x[:, 1:], x[:, 0])
+    one = {r.doc_id: r.score for r in quality.scores(d, y).collect()}
+    two = {r.doc_id: r.score for r in quality.scores(d, y.union(y).repartition(5)).collect()}
+    for i, t in rows.items():
+        z = sum(a * b for a, b in zip(model["w"], quality.measures(t.encode()))) + model["bias"] + model["shift"]
+        assert math.isclose(one[i], 1 / (1 + math.exp(-z)), rel_tol=1e-6) and one[i] == two[i]
+
+
+def test_bradley_terry_is_at_a_minimum():
+    rng = np.random.default_rng(2)
+    x, y = rng.standard_normal((60, 4)), rng.integers(0, 2, 60)
+    w = quality.bradley_terry(x, y, 500, seed=1)
+    rng = np.random.default_rng(1)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = x[rng.choice(good, 500)] - x[rng.choice(bad, 500)]
+
+    def loss(v):
+        return sum(math.log1p(math.exp(-float(r @ v))) for r in d) + 0.5 * float(v @ v)
+
+    assert all(loss(w) <= loss(w + step) for k in range(4) for step in (0.01 * np.eye(4)[k], -0.01 * np.eye(4)[k]))
+
+
 def test_bradley_terry_orders_by_preference():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 3))
@@ -349,6 +435,35 @@ def test_toxicity_finds_planted_words(spark, docs, empty):
     assert {r.score for r in toxicity.scores(docs, y.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_on_labels(spark):
+    """Held-out documents, and scores recomputed window by window from the two dictionaries."""
+    sf = "/root/testdata/sf0.1"
+    d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    d = d.withColumns({"y": F.lit(7), "g": F.lit("x"), "w": F.lit(1)})
+    train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
+    got = {r.doc_id: r for r in toxicity.scores(d, y, train).collect()}
+    held = [(r.toxic, got[r.doc_id].predicted) for r in y.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert np.mean([p for t, p in held if t == 1]) > 0.7 and np.mean([p for t, p in held if t == 0]) < 0.04
+    ordinary, toxic, w = toxicity.fitted(d, y, train)
+    pair = [toxicity.Compressors.compressor(c) for c in (b"\0" * len(toxic) + ordinary, toxic + ordinary)]
+    for r in d.where("doc_id % 400 = 0").collect():
+        words = (r.text or "").encode().lower().split()
+        savings, at = [], 0
+        while words and (at == 0 or at < len(words) - 1):
+            piece = b" " + b" ".join(words[at : at + 6]) + b" "
+            savings.append(len(pair[0](piece)) - len(pair[1](piece)))
+            at += 5
+        x = [max(savings, default=0), *(math.log1p(sum(s >= k for s in savings)) for k in (2, 3)), math.log1p(len(savings))]
+        z = sum(a * b for a, b in zip(w, [*x, 1.0]))
+        assert math.isclose(got[r.doc_id].score, 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+
+
+def test_toxicity_ignores_repeated_labels(spark, docs):
+    d, y = table(spark, "documents"), table(spark, "labels").select("doc_id", "toxic")
+    one, two = ({r.doc_id: r.score for r in toxicity.scores(d, x).collect()} for x in (y, y.union(y)))
+    assert one == two
+
+
 def test_language_model_counts_and_improves(spark, docs):
     d = table(spark, "documents")
     train = F.pmod(F.col("doc_id"), F.lit(5)) != 1
