@@ -39,9 +39,9 @@ from provaudit.llm.sketch import Hasher
 SEED = 42
 SAMPLE = 10_000
 #: Cost of comparing two fingerprints, in rows sent to a partition's value.
-PAIR_COST = 0.001
+PAIR_COST = 0.0005
 #: Fingerprints at home in one task of a value, and the most values whose numbers reach the driver.
-HEAVY = 4_000
+HEAVY = 16_000
 MOST_HEAVY = 20_000
 #: Hashes whose bits are counted at once, and pairs compared at once.
 HASHES = 200_000
@@ -158,7 +158,8 @@ def partition_costs(bits: np.ndarray, group: list[int], n: int, radius: int) ->
     equal = max(differ[0], (same * (same - 1)).sum() / (s * (s - 1)))
     costs = [0.0]
     for t in range(radius + 1):
-        rows = n * sum(comb(len(group), j) for j in range(min(t, len(group)) + 1))
+        side = max(1, -(-n // (HEAVY << len(group))))  # values that all are shared by too many go to grids of tasks
+        rows = n * side * sum(comb(len(group), j) for j in range(min(t, len(group)) + 1))
         pairs = n * n / 2 * min(1.0, differ[1 : t + 1].sum() + equal)
         costs.append(rows + PAIR_COST * pairs)
     return costs
@@ -386,7 +387,8 @@ def links(nodes: DataFrame, radius: int, words: int = 1, most: int | None = None
             a, b = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    probes = nodes.select("node", "fp", "n").mapInArrow(probe, "key long, flag int, row binary")
+    spread = nodes.select("node", "fp", "n").repartition(4 * nodes.sparkSession.sparkContext.defaultParallelism)  # a row becomes many
+    probes = spread.mapInArrow(probe, "key long, flag int, row binary")
     dealt = probes.repartition("key").sortWithinPartitions("key", "flag")
     return dealt.mapInArrow(verify, "a binary, b binary").distinct()
 
