@@ -30,7 +30,7 @@ from provaudit.llm.vocabulary import BYTE_PATTERN, Memo, VocabularyFile, packed_
 END_ID = 2
 CAPACITY = 1024
 #: Pieces of one length ranked in one task, and the most blocks of a length (beyond, blocks grow).
-ROWS_PER_BLOCK = 1_000
+ROWS_PER_BLOCK = 500
 MOST_BLOCKS = 20_000
 #: White space that is not a lone space or line feed between words (or may be: first bytes suffice).
 ODD_SPACE = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\x0b", b"\x0c", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
