@@ -15,7 +15,8 @@ joined. Counts, buckets and scores cover all rows. A document is scored whole, i
 
 Words too rare for the broadcast table of `TABLE` counts meet their counts in a shuffled join by word.
 NULL and empty texts are the end mark alone; repeated rows are returned as often as they come; without
-training rows every word is unknown.
+training rows every word is unknown. A very long text is one lane of many windows. An empty table gives no rows. Extra columns
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,28 +25,29 @@ import io
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provaudit.llm.common import as_bytes, chunks, crc_mod, keyed, table, written
+from provaudit.llm.common import as_bytes, chunks, crc_mod, keyed, table, worker_state, written
 
 TABLE = 65_536
 SHORTLIST = 1_024
 CLASS_SIZE = 32
 BUCKETS = 64
 HIDDEN = 32
-WINDOW = 32
-LANES = 64
+WINDOW = 16
+LANES = 256
 #: Least training tokens of a partition on average, and tokens held at once while training.
 SHARD = 1_000_000
 HELD = 500_000
 ROUNDS = 3
 #: Parts of the weights, each averaged by a task of its own.
 PARTS = 32
-RATE = 0.01
+RATE = 0.02
 FLUSH = 400_000
 
 
@@ -65,6 +67,7 @@ def word_counts(docs: DataFrame, name: str = "counts") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         seen: Counter = Counter()
 
         def out():
@@ -109,9 +112,9 @@ class Lexicon:
         short = x < SHORTLIST
         return np.where(short, x // CLASS_SIZE, self.n_classes + x - SHORTLIST), np.where(short, x % CLASS_SIZE, -1)
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, Counter, float, float, int]:
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes], float, float, int]:
         """Input ids with the end mark, unlisted words, and what the listed ones add to base and bucket scores."""
-        at = np.fromiter((self.index.get(w, -1) for w in [*words, b""]), np.int64, len(words) + 1)
+        at = np.fromiter(map(self.index.get, chain(words, (b"",)), repeat(-1)), np.int64, len(words) + 1)
         miss = np.flatnonzero(at < 0)
         x = self.input[at] if len(self.input) else np.zeros(len(at), np.int64)
         missed = [words[i] if i < len(words) else b"" for i in miss.tolist()]
@@ -121,7 +124,7 @@ class Lexicon:
         listed = known[self.input[known] >= SHORTLIST] if len(known) else known
         base = float(self.log_count[known].sum()) - len(at) * self.log_total
         rest = float(self.log_count[listed].sum()) - float(self.log_bucket[x[in_bucket] - SHORTLIST].sum())
-        return x, Counter(missed), base, rest, len(known)
+        return x, missed, base, rest, len(known)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -163,12 +166,14 @@ class ClassGru:
     def word_logs(self, h: np.ndarray, cls: np.ndarray, place: np.ndarray, gradient: bool = False):
         """Natural-log probability of each token given the state before it; with gradient, also d/dh and weight gradients."""
         w = self.w
-        logits = h @ w["c"] + w["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1, keepdims=True)
+        p = h @ w["c"]
+        p += w["cb"]
+        p -= p.max(axis=1, keepdims=True)
         row = np.arange(len(h))
-        out = logits[row, cls] - np.log(total[:, 0])
+        out = p[row, cls]
+        np.exp(p, out=p)
+        total = p.sum(axis=1, keepdims=True)
+        out -= np.log(total[:, 0])
         grads = None
         if gradient:
             p /= total
@@ -178,32 +183,44 @@ class ClassGru:
         short = np.flatnonzero(place >= 0)
         order = short[np.argsort(cls[short], kind="stable")]
         found, starts = np.unique(cls[order], return_index=True)
+        hs, ps, more = h[order], place[order], np.empty(len(order), h.dtype)
+        back = np.empty_like(hs) if gradient else None
         for k, s, e in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
-            rows = order[s:e]
-            hk = h[rows]
-            inner = hk @ w["w"][k] + w["wb"][k]
-            inner -= inner.max(axis=1, keepdims=True)
-            q = np.exp(inner)
+            hk = hs[s:e]
+            q = hk @ w["w"][k]
+            q += w["wb"][k]
+            q -= q.max(axis=1, keepdims=True)
+            at = np.arange(e - s)
+            more[s:e] = q[at, ps[s:e]]
+            np.exp(q, out=q)
             sums = q.sum(axis=1, keepdims=True)
-            at = np.arange(len(rows))
-            out[rows] += inner[at, place[rows]] - np.log(sums[:, 0])
+            more[s:e] -= np.log(sums[:, 0])
             if gradient:
                 q /= sums
-                q[at, place[rows]] -= 1
+                q[at, ps[s:e]] -= 1
                 grads["w"][k], grads["wb"][k] = hk.T @ q, q.sum(axis=0)
-                dh[rows] += q @ w["w"][k].T
+                np.matmul(q, w["w"][k].T, out=back[s:e])
+        out[order] += more
+        if gradient:
+            dh[order] += back
         return (out, dh, grads) if gradient else out
 
-    def scores(self, documents: list[np.ndarray], budget: int = 32_768) -> np.ndarray:
+    def scores(self, documents: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
         """Log10 probability of classes and shortlist words of whole documents, in windows that carry the state."""
-        n = np.asarray([len(d) for d in documents])
-        order = np.argsort(-n, kind="stable")
-        lengths, out = n[order], np.zeros(len(n))
-        flat, first = np.concatenate([documents[i] for i in order]) if len(n) else n, np.cumsum(lengths) - lengths
-        h, t = np.zeros((len(n), HIDDEN), np.float32), 0
-        while t < (lengths[0] if len(n) else 0):
-            lanes = int(np.searchsorted(-lengths, -t, side="left"))
-            span = max(1, min(4 * WINDOW, budget // lanes, int(lengths[0]) - t))
+        out = np.zeros(len(documents))
+        order = np.argsort([-len(d) for d in documents], kind="stable")
+        for k in range(0, len(order), lanes):  # documents of like lengths side by side
+            some = order[k : k + lanes]
+            out[some] = self.side_by_side([documents[i] for i in some])
+        return out / np.log(10.0)
+
+    def side_by_side(self, documents: list[np.ndarray]) -> np.ndarray:
+        """Natural-log probabilities of documents sorted by falling length, each a lane."""
+        lengths, out = np.asarray([len(d) for d in documents]), np.zeros(len(documents))
+        flat, first = np.concatenate(documents), np.cumsum(lengths) - lengths
+        h, t = np.zeros((len(lengths), HIDDEN), np.float32), 0
+        while t < lengths[0]:
+            span = min(4 * WINDOW, int(lengths[0]) - t)
             states, xs, who = [], [], []
             for s in range(t, t + span):
                 lanes = int(np.searchsorted(-lengths, -s, side="left"))
@@ -216,9 +233,7 @@ class ClassGru:
             logs = self.word_logs(np.concatenate(states), cls, place)
             out[: len(who[0])] += np.bincount(np.concatenate(who), logs, len(who[0]))
             t += span
-        result = np.empty(len(n))
-        result[order] = out / np.log(10.0)
-        return result
+        return out
 
     def train(self, documents: list[np.ndarray], rate: float = RATE, seed: int = 0) -> None:
         """One pass of truncated backpropagation over streams of documents, with Adam."""
@@ -253,15 +268,16 @@ class ClassGru:
         dh_out = np.zeros_like(every)
         dh_out[rows] = dh_rows
         dh_out = dh_out.reshape(len(x), -1, n)
-        g["u"], dx, back = np.zeros_like(w["u"]), [], np.zeros_like(h)
+        dx, das, back = [], [], np.zeros_like(h)
         for s in range(len(x) - 1, -1, -1):
             z, r, m, a, before, keep = tape[s]
             dm, dz = back * (1 - z) * (1 - m * m), back * (before - m) * z * (1 - z)
             dr = dm * a[:, 2 * n :] * r * (1 - r)
             da = np.concatenate([dz, dr, dm * r], axis=1)
             dx.append(np.concatenate([dz, dr, dm], axis=1))
-            g["u"] += before.T @ da
+            das.append(da)
             back = (back * z + da @ w["u"].T + dh_out[s]) * keep
+        g["u"] = every.T @ np.concatenate(das[::-1])
         g["x"] = np.zeros_like(w["x"])
         at = x[::-1].ravel()
         order = np.argsort(at, kind="stable")
@@ -318,6 +334,7 @@ def trained_weights(train_docs: DataFrame, lexicon) -> tuple[bytes, int]:
 
     def one_round(shared, turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_state()
             words = lexicon.value
             own, held, size, total = ClassGru(words).load(shared.value), [], 0, 0
             rate = RATE / (1 + turn)
@@ -371,22 +388,22 @@ def scores(docs: DataFrame, is_train) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lexicon.value
-        model = ClassGru(words).load(weights.value)
+        worker_state()
+        model, names = ClassGru(words).load(weights.value), [c.split()[0] for c in ROWS.split(", ")]
         for batch in batches:
-            for part in chunks(batch, "text", 16_000_000):
-                ids, hashes = part.column(0).to_pylist(), part.column(2).to_pylist()
+            for part in chunks(batch, "text", 4_000_000):
+                ids, hashes = part.column(0), part.column(2)
                 parsed = [words.ids(tokens(t)) for t in as_bytes(part.column(1))]
                 logs = model.scores([p[0] for p in parsed])
-                n = len(ids)
+                n = len(parsed)
                 # A document's own row joins no count: its word holds a space.
-                own = [ids, hashes, [f" {d} {h}" for d, h in zip(ids, hashes)], [0] * n, [1] * n, [len(p[0]) for p in parsed], [p[4] for p in parsed], [p[2] for p in parsed], (logs + [p[3] for p in parsed]).tolist()]
-                rare = [(d, h, w, c) for d, h, p in zip(ids, hashes, parsed) for w, c in p[1].items()]
-                d, h, w, c = zip(*rare) if rare else ((), (), (), ())
-                zero = [0] * len(rare)
-                other = [d, h, [x.decode("utf-8", "replace") for x in w], c, zero, zero, zero, zero, zero]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                for columns in (own, other):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], [x.split()[0] for x in ROWS.split(", ")])
+                own = pa.array([f" {d} {h}" for d, h in zip(ids.to_pylist(), hashes.to_pylist())], pa.string())
+                of = lambda values, kind=np.int64: pa.array(np.asarray(values, kind))
+                yield pa.RecordBatch.from_arrays([ids, hashes, own, of([0] * n), of([1] * n), of([len(p[0]) for p in parsed]), of([p[4] for p in parsed]), of([p[2] for p in parsed], np.float64), of(logs + [p[3] for p in parsed], np.float64)], names)
+                rare = pa.array([w for p in parsed for w in p[1]], pa.binary()).cast(pa.string())
+                at, zero = of(np.repeat(np.arange(n), [len(p[1]) for p in parsed])), np.zeros(len(rare), np.int64)
+                none = of(zero, np.float64)
+                yield pa.RecordBatch.from_arrays([ids.take(at), hashes.take(at), rare, of(zero + 1), of(zero), of(zero), of(zero), none, none], names)
 
     rows = docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, ROWS)
     joined = rows.join(counts.withColumnRenamed("n", "c"), "word", "left")

@@ -8,10 +8,12 @@ a bitmap, so probing is the union of one bitmap per substring. What it retrieves
 by exact inner products in double precision. The radius is the one that holds `RECALL` of the true neighbours of
 sample queries in the sample; where fewer than k rows lie within it, it grows until k do.
 
-Search: equal vectors are one entry with its k + 1 smallest ids (taken within partitions first), so a group of copies costs one
-comparison and ties are exact. Entries are dealt into index blocks of bounded size and the stated query set is
-searched in each block; a block returns k + 1 candidates a query, merged by key. NULL, zero and non-finite vectors, and
-those of another length than the most common one, take no part. An empty table gives no rows.
+Search: equal vectors are one entry with its k + 1 smallest distinct ids (taken within partitions first), so a group of copies
+costs one comparison and ties are exact. Entries are dealt into index blocks of bounded size and the stated query set is
+searched in each block; a block returns candidates of k + 1 distinct ids a query, merged by key. NULL, zero and non-finite
+vectors, and those of another length than the most common one, take no part. Repeated rows are one candidate, and an id
+with several vectors is found once, by the nearest; rows of the query's id are not its candidates. A row without an
+id takes no part. Ties go to the smaller id. An empty table gives no rows. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provaudit.llm.common import table, written
+from provaudit.llm.common import table, worker_state, written
 
 K = 20
 ROTATIONS = 4
@@ -143,7 +145,7 @@ def entries(rows: DataFrame, most: int) -> DataFrame:
                 ids = held.setdefault(v.tobytes(), [])
                 ids.append(i)
                 if len(ids) > 4 * most:
-                    ids[:] = sorted(ids)[:most]
+                    ids[:] = sorted(set(ids))[:most]
             if len(held) > 20_000:
                 yield out(held)
                 held = {}
@@ -151,10 +153,10 @@ def entries(rows: DataFrame, most: int) -> DataFrame:
             yield out(held)
 
     def out(held: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([sorted(x)[:most] for x in held.values()], pa.list_(pa.int64()))], ["key", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([sorted(set(x))[:most] for x in held.values()], pa.list_(pa.int64()))], ["key", "ids"])
 
     part = rows.mapInArrow(local, "key binary, ids array<long>")
-    return part.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
+    return part.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -178,6 +180,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int
     texts = asked.select("key").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("block").cast("long"), F.lit(1).alias("asks"), "key", F.array().cast("array<long>").alias("ids"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         hasher, now, keys, ids, ready = shared.value, None, [], [], None
         for batch in batches:
             block, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -198,25 +201,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int
                     for at in range(0, len(got), QUERY_ROWS):
                         yield found(hasher, *ready, ids, got[at : at + QUERY_ROWS])
 
+    def nearest_ids(x, ids, v, near) -> list[tuple[float, int]]:
+        """(score, id) of the k + 1 nearest distinct ids among rows `near`, ties to smaller ids."""
+        score = (x[near] * v).sum(axis=1)
+        order, take = np.argsort(-score, kind="stable"), k + 1
+        falling = -score[order]
+        while True:
+            stop = int(np.searchsorted(falling, falling[min(take, len(falling)) - 1], side="right"))  # ties of the last place stay
+            best: dict[int, float] = {}
+            for s, r in zip((-falling[:stop]).tolist(), near[order[:stop]].tolist()):
+                for i in ids[r]:
+                    best.setdefault(i, s)
+            if len(best) > k or stop == len(falling):
+                return sorted(((s, i) for i, s in best.items()), key=lambda o: (-o[0], o[1]))[: k + 1]
+            take *= 2
+
     def found(hasher, x, index_, ids, wanted) -> pa.RecordBatch:
         q = np.stack([np.frombuffer(g) for g in wanted])
         codes, rows = hasher.codes(hasher.asked(q)), []
         for key, v, code in zip(wanted, q, codes):
             near = index_.at_least(code, k + 1)
-            score = (x[near] * v).sum(axis=1)
-            top = near[np.argsort(-score, kind="stable")]
-            score = np.sort(-score)
-            stop = int(np.searchsorted(score, score[min(k, len(score) - 1)], side="right"))  # ties of the last place stay
-            out = [(-s, i) for s, r in zip(score[:stop].tolist(), top[:stop].tolist()) for i in ids[r]]
-            rows += [(key, i, s) for s, i in sorted(out, key=lambda o: (-o[0], o[1]))[: k + 1]]
+            best = nearest_ids(x, ids, v, near)
+            if len(best) <= k and len(near) < len(x):  # ids with several vectors
+                best = nearest_ids(x, ids, v, np.arange(len(x)))
+            rows += [(key, i, s) for s, i in best]
         a, b, c = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["key", "vec_id", "score"])
 
     dealt = index.union(texts).repartition("block").sortWithinPartitions("block", "asks")
     local = dealt.mapInArrow(search, "key binary, vec_id long, score double")
+    local = local.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     best = local.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     lists = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
-    per = asked.withColumnRenamed("vec_id", "query_id").join(lists, "key")
+    per = asked.withColumnRenamed("vec_id", "query_id").distinct().join(lists, "key")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = per.select("query_id", F.posexplode(others).alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

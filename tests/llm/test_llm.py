@@ -506,6 +506,43 @@ def test_language_model_is_a_distribution():
     assert np.allclose(model.scores(docs), [model.scores([d])[0] for d in docs], atol=1e-3)
 
 
+def test_language_model_scores_equal_a_plain_recurrence(spark):
+    """Every document's score recomputed token by token from the trained weights."""
+    d = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 23 if k % 3 else 1000 * i + k}" for k in range(i * 7 % 150))) for i in range(60)], "doc_id long, text string")
+    train = F.col("doc_id") % 5 != 1
+    counts = gru_lm.word_counts(d.where(train))
+    lexicon = gru_lm.lexicon_of(counts)
+    shared = spark.sparkContext.broadcast(lexicon)
+    w = gru_lm.ClassGru(lexicon).load(gru_lm.trained_weights(d.where(train), shared)[0]).w
+    seen = {r.word.encode(): r.n for r in counts.collect()}
+    short = {x: i for x, i in lexicon.index.items() if i < lexicon.n_short}
+    total, kinds = Counter(), Counter()
+    for word, n in seen.items():
+        if word not in short:
+            total[gru_lm.bucket(word)] += n
+            kinds[gru_lm.bucket(word)] += 1
+    s = lambda x: 1 / (1 + np.exp(-x))
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    got, n = {r.doc_id: r.score for r in gru_lm.scores(d, train).collect()}, gru_lm.HIDDEN
+    for i, text in texts(d):
+        h, want = np.zeros(n), 0.0
+        for word in [*text.encode().lower().split(), b""]:
+            classes = soft(h @ w["c"] + w["cb"])
+            if word in short:
+                c, at = divmod(short[word], gru_lm.CLASS_SIZE)
+                want += math.log10(classes[c] * soft(h @ w["w"][c] + w["wb"][c])[at])
+                x = short[word]
+            else:
+                b = gru_lm.bucket(word)
+                want += math.log10(classes[lexicon.n_classes + b] * (seen.get(word, 0) + 0.5) / (total[b] + 0.5 * (kinds[b] + 1)))
+                x = gru_lm.SHORTLIST + b
+            g, a = w["x"][x], h @ w["u"]
+            z, r = s(g[:n] + a[:n]), s(g[n : 2 * n] + a[n : 2 * n])
+            m = np.tanh(g[2 * n :] + r * a[2 * n :])
+            h = m + z * (h - m)
+        assert math.isclose(got[i], want, rel_tol=1e-3, abs_tol=1e-3)
+
+
 def test_language_model_gradients():
     words = [(f"w{i}".encode(), 50) for i in range(40)]
     n = np.zeros(gru_lm.BUCKETS)
@@ -575,6 +612,25 @@ def test_search_edge_cases(spark):
     assert hashing_search.nearest(none, none).count() == 0
 
 
+def test_search_with_repeated_rows_and_clashing_names(spark):
+    """Repeated rows, an id with two vectors, copies under several ids, columns named as the operator's own."""
+    rng = np.random.default_rng(6)
+    v = {i: rng.standard_normal(4).tolist() for i in range(26)}
+    rows = [*v.items(), (20, v[20]), (20, v[20]), (3, rng.standard_normal(4).tolist()), (50, v[20]), (51, v[20])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"key": F.lit("k"), "ids": F.lit(1), "block": F.lit(2), "v": F.lit(0)})
+    use = hashing_search.usable(df)
+    got = {}
+    for r in hashing_search.nearest(use, use.where("vec_id % 20 = 0"), block_rows=8).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 20):
+        best = {}
+        for i, x in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(x, v[q])))
+        want = sorted(best.items(), key=lambda o: (-round(o[1], 9), o[0]))[:20]
+        assert [(r, i) for r, i, _ in sorted(got[q])] == [(r + 1, i) for r, (i, _) in enumerate(want)]
+
+
 def test_pigeonhole_index_returns_all_within_radius():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
