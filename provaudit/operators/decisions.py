@@ -14,8 +14,8 @@ SETTING = ["outer_fold", "protocol"]
 ALPHAS = [5, 10, 20]
 
 
-def demand_quantile(train: DataFrame, by: list[str], q: float = 0.5) -> DataFrame:
-    """The physical demand: a quantile of exp(y) over each training set."""
+def demand_quantile(train: DataFrame, by: list[str], q: float | list[float] = 0.5) -> DataFrame:
+    """The physical demand: a quantile of exp(y) over each training set; an array of them for a list of quantiles."""
     return train.groupBy(*by).agg(F.percentile(F.exp("y"), q).alias("demand"))
 
 
@@ -41,11 +41,20 @@ def act_not_designated(knob: Column, designated: Column) -> Column:
     return act_confidence(knob) & (F.col("label") != designated)
 
 
-def unit_check(rows: DataFrame, grid: DataFrame) -> DataFrame:
+def by_rule(rows: DataFrame, by: list[str], knobs: list[int], counts: dict) -> DataFrame:
+    """by, knob and counts of every rule: one aggregation with a few columns a rule, so rows times rules never exist.
+
+    counts: name -> function from a knob (a column) to the condition that is counted.
+    """
+    cells = rows.groupBy(*by).agg(*[F.count_if(f(F.lit(k))).alias(f"{c}_{k}") for k in knobs for c, f in counts.items()])
+    rule = F.explode(F.array(*[F.struct(F.lit(k).alias("knob"), *[F.col(f"{c}_{k}").alias(c) for c in counts]) for k in knobs])).alias("rule")
+    return cells.select(*by, rule).select(*by, "rule.*")
+
+
+def unit_check(rows: DataFrame, knobs: list[int]) -> DataFrame:
     """Rows on which the rule on the log scale and on the physical scale disagree, by margin."""
-    near = rows.crossJoin(F.broadcast(grid))
-    physical = F.exp("p") >= F.col("demand") * (1 + F.col("knob") / 100)
-    return near.groupBy("knob").agg(F.count(F.lit(1)).alias("n"), F.count_if(act_regression(F.col("knob")) != physical).alias("mismatches"))
+    physical = lambda knob: F.exp("p") >= F.col("demand") * (1 + knob / 100)
+    return by_rule(rows, [], knobs, {"n": lambda knob: F.lit(True), "mismatches": lambda knob: act_regression(knob) != physical(knob)})
 
 
 def risk_block(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -104,11 +113,12 @@ def rule_choose(candidates: DataFrame, by: list[str] | None = None) -> DataFrame
     return out.select(*by, "released", F.coalesce("n_feasible", F.lit(0)).alias("n_feasible"), F.col("r.model").alias("model"), F.col("r.knob").alias("knob"), F.col("r.r_all").alias("inner_r_all"), F.col("r.coverage").alias("inner_coverage"))
 
 
-def decision_outer(chosen: DataFrame, outer: DataFrame) -> DataFrame:
-    """What each chosen rule does on the outer test rows. outer: (outer_fold, model, y, p, demand)."""
-    rows = chosen.join(outer, ["outer_fold", "model"])
+def decision_outer(chosen: DataFrame, outer: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """What each chosen rule does on the outer test rows. outer: (outer_fold, model, y, p, demand); also: further keys of both."""
+    also = also or []
+    rows = chosen.join(outer, [*also, "outer_fold", "model"])
     acted = rows.withColumns({"act": F.col("released") & act_regression(F.col("knob")), "unsafe": unsafe_regression()})
-    blocks = risk_block(acted, [*SETTING, "alpha", "released", "n_feasible", "model", "knob", "inner_r_all", "inner_coverage"])
+    blocks = risk_block(acted, [*also, *SETTING, "alpha", "released", "n_feasible", "model", "knob", "inner_r_all", "inner_coverage"])
     return blocks.withColumns({"gap_r_all": F.col("r_all") - F.col("inner_r_all"), "target_met": F.col("n_unsafe") * 100 <= F.col("alpha") * F.col("n_test")})
 
 

@@ -12,27 +12,36 @@ from provaudit.plans.storage import written
 
 #: Type levels up to which all structures are listed (their number grows as Bell numbers do).
 MOST_LEVELS = 8
+#: Types of which all ordered pairs are listed.
+MOST_TYPES = 500
 
 
 def union_components(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """row_id, component: rows connected through equal values of either relation; named by the smallest value of a.
+    """rows with component: rows connected through equal values of either relation; named by the smallest value of a.
 
-    Works on distinct pairs of values, not rows. Each round takes the smallest neighbouring label on both sides and is
-    written out, which cuts lineage; it ends when no label changes.
+    NULL links nothing: a row without a belongs to the component of its b, or to one named after that b if no row with
+    an a has it; a row without either is a component of its own, named by its row_id. Works on distinct pairs of values, not
+    rows. Each round takes the smallest neighbouring label on both sides and is written out, which cuts
+    lineage; it ends when no label changes.
     """
-    edges = written(rows.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct(), "pairs")
-    labels = edges.select("a", F.col("a").alias("label")).distinct()
+    values = rows.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct()
+    edges = written(values.where("a is not null and b is not null"), "pairs")
+    labels = values.where("a is not null").select("a", F.col("a").alias("label")).distinct()
     while True:
         by_b = edges.join(labels, "a").groupBy("b").agg(F.min("label").alias("m"))
         by_a = edges.join(by_b, "b").groupBy("a").agg(F.min("m").alias("m"))
         # A label is itself a value of a: follow it one step, so chains shorten fast.
         jump = by_a.select(F.col("a").alias("m"), F.col("m").alias("further"))
         new = by_a.join(jump, "m", "left").select("a", F.least("m", F.coalesce("further", "m")).alias("new"))
-        both = written(labels.join(new, "a").select("a", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("changed")), "labels")
+        both = written(labels.join(new, "a", "left").select("a", F.least("label", F.coalesce("new", "label")).alias("label"), (F.coalesce("new", "label") < F.col("label")).alias("changed")), "labels")
         labels = both.select("a", "label")
         if not both.where("changed").limit(1).count():
             break
-    return rows.withColumn("_a", F.col(a).cast("string")).join(labels.withColumnRenamed("a", "_a").withColumnRenamed("label", "component"), "_a").drop("_a")
+    by_b = written(edges.join(labels, "a").groupBy("b").agg(F.min("label").alias("_of_b")), "labels").withColumnRenamed("b", "_b")
+    out = rows.withColumns({"_a": F.col(a).cast("string"), "_b": F.col(b).cast("string")})
+    out = out.join(labels.toDF("_a", "_of_a"), "_a", "left").join(by_b, "_b", "left")
+    alone = F.when(F.col("_b").isNotNull(), F.concat(F.lit("b:"), "_b")).otherwise(F.concat(F.lit("row:"), F.col("row_id").cast("string")))
+    return out.withColumn("component", F.coalesce("_of_a", "_of_b", alone)).drop("_a", "_b", "_of_a", "_of_b")
 
 
 def component_concentration(members: DataFrame) -> DataFrame:
@@ -64,10 +73,16 @@ def single_vs_bridging(signatures: DataFrame) -> DataFrame:
 
 
 def type_implication(signatures: DataFrame) -> DataFrame:
-    """For each ordered pair of types, campaigns with the first and those among them without the second."""
+    """For each ordered pair of types, campaigns with the first and those among them without the second.
+
+    All pairs of types are listed, so their number is checked: at most MOST_TYPES.
+    """
     has = signatures.groupBy("types").agg(F.count(F.lit(1)).alias("c"))
-    kinds = has.select(F.explode("types").alias("u")).distinct()
-    pairs = has.select(F.explode("types").alias("t"), "types", "c").join(F.broadcast(kinds), F.col("t") != F.col("u"))
+    kinds = [r.u for r in has.select(F.explode("types").alias("u")).distinct().limit(MOST_TYPES + 1).collect()]
+    if len(kinds) > MOST_TYPES:
+        raise ValueError(f"at most {MOST_TYPES} types")
+    other = F.explode(F.array(*[F.lit(k) for k in sorted(kinds)]).cast("array<string>")).alias("u")
+    pairs = has.select(F.explode("types").alias("t"), "types", "c").select("t", "types", "c", other).where("t <> u")
     return pairs.groupBy("t", "u").agg(F.sum("c").alias("support"), F.sum(F.when(F.array_contains("types", F.col("u")), 0).otherwise(F.col("c"))).alias("violations"))
 
 
@@ -125,26 +140,35 @@ def groupings(spark, most: int, ks: list[int]) -> DataFrame:
     return spark.createDataFrame(rows, "m int, k int, places array<int>")
 
 
-def discard_select(signatures: DataFrame, structures: DataFrame, ks: list[int], lower_pct: int = 5, upper_pct: int = 50) -> DataFrame:
-    """For each K, the structure that keeps most rows when its largest cluster is shrunk until its clusters, dealt into K
-    folds, fit the bounds.
+def removals(members: DataFrame) -> DataFrame:
+    """structure, step, cluster, campaign, n: campaigns in the order in which shrinking removes them.
 
-    Each step removes the smallest campaign of the cluster that is largest just then (never a cluster's last). The
-    sizes a cluster has before each removal are suffix sums over its campaigns in order; ordering all removals of a structure by that
-    size, largest first, gives the steps, and sizes after each come from prefix sums.
+    Each step removes the smallest campaign of the cluster that is largest just then (never a cluster's last). The sizes a
+    cluster has before each removal are suffix sums over its campaigns in order; ordering all removals of a structure
+    by that size, largest first, gives the steps.
     """
-    members = closed_campaigns(signatures, structures)
     in_order = Window.partitionBy("structure", "cluster").orderBy("n", "campaign")
     steps = members.withColumn("i", F.row_number().over(in_order)).withColumn("size", F.sum("n").over(in_order.rowsBetween(0, Window.unboundedFollowing)))
-    count = members.groupBy("structure", "cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("whole"))
-    steps = steps.join(count, ["structure", "cluster"]).where(F.col("i") < F.col("m"))
+    steps = steps.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("structure", "cluster"))).where("i < m")
     turn = Window.partitionBy("structure").orderBy(F.desc("size"), "cluster", "i")
-    moves = steps.withColumn("step", F.row_number().over(turn)).select("structure", "step", "cluster", "n")
+    return steps.withColumn("step", F.row_number().over(turn)).select("structure", "step", "cluster", "campaign", "n")
+
+
+def discard_select(signatures: DataFrame, structures: DataFrame, ks: list[int], lower_pct: int = 5, upper_pct: int = 50) -> DataFrame:
+    """For each K, the structure that keeps most rows when its largest cluster is shrunk until its clusters, dealt into K
+    folds, fit the bounds: k, structure, step, retained, sizes, clusters (sorted) and places, the fold of each.
+
+    Sizes after each step are prefix sums over the removals of a cluster.
+    """
+    members = closed_campaigns(signatures, structures)
+    count = members.groupBy("structure", "cluster").agg(F.sum("n").alias("whole"))
+    moves = removals(members)
     grid = moves.select("structure", "step").union(count.select("structure", F.lit(0).alias("step")).distinct())
-    state = grid.join(count, "structure")
-    removed = moves.select("structure", F.col("step").alias("s"), F.col("cluster").alias("rc"), F.col("n").alias("rn"))
-    now = state.join(removed, (state.structure == removed.structure) & (state.cluster == removed.rc) & (F.col("s") <= F.col("step")), "left").groupBy(state.structure, "step", "cluster", "whole").agg(F.coalesce(F.sum("rn"), F.lit(0)).alias("gone"))
-    clusters = now.withColumn("size", F.col("whole") - F.col("gone")).groupBy("structure", "step").agg(F.count(F.lit(1)).cast("int").alias("m"), F.sum("size").alias("retained"), F.transform(F.sort_array(F.collect_list(F.struct("cluster", "size"))), lambda x: x["size"]).alias("parts"))
+    state = grid.join(count, "structure").join(moves.select("structure", "step", "cluster", F.col("n").alias("rn")), ["structure", "step", "cluster"], "left")
+    gone = F.sum(F.coalesce("rn", F.lit(0))).over(Window.partitionBy("structure", "cluster").orderBy("step"))
+    now = state.withColumn("size", F.col("whole") - gone)
+    parts = F.sort_array(F.collect_list(F.struct("cluster", "size")))
+    clusters = now.groupBy("structure", "step").agg(F.count(F.lit(1)).cast("int").alias("m"), F.sum("size").alias("retained"), F.transform(parts, lambda x: x["size"]).alias("parts"), F.transform(parts, lambda x: x["cluster"]).alias("clusters"))
     ways = clusters.join(F.broadcast(groupings(signatures.sparkSession, MOST_LEVELS, ks)), "m")
     load = lambda f: F.aggregate(F.zip_with("parts", "places", lambda n, p: F.when(p == f, n).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
     folds = ways.withColumn("sizes", F.sort_array(F.transform(F.sequence(F.lit(0), F.col("k") - 1), load), asc=False))
@@ -153,7 +177,15 @@ def discard_select(signatures: DataFrame, structures: DataFrame, ks: list[int],
     fits = folds.where((F.array_min("sizes") >= low) & (F.array_max("sizes") <= high))
     first = fits.withColumn("f", F.row_number().over(Window.partitionBy("structure", "k").orderBy("step", "places"))).where("f = 1")
     best = first.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("retained"), "structure"))).where("r = 1")
-    return best.select("k", "structure", "step", "retained", "sizes")
+    return best.select("k", "structure", "step", "retained", "sizes", "clusters", "places")
+
+
+def kept_campaigns(signatures: DataFrame, structures: DataFrame, selection: DataFrame) -> DataFrame:
+    """k, campaign, cluster, fold of the campaigns that each selection keeps."""
+    members = closed_campaigns(signatures, structures.join(selection.select("structure").distinct(), "structure", "left_semi"))
+    gone = removals(members).select("structure", "campaign", "step")
+    rows = members.join(selection.withColumnRenamed("step", "last"), "structure").join(gone, ["structure", "campaign"], "left").where("step is null or step > last")
+    return rows.select("k", "campaign", "cluster", F.element_at("places", F.array_position("clusters", F.col("cluster")).cast("int")).cast("long").alias("fold"))
 
 
 def quarantine_list(signatures: DataFrame, kept: DataFrame) -> DataFrame:

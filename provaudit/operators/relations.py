@@ -116,25 +116,40 @@ def round_display(df: DataFrame, places: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.bround(c, p) for c, p in places.items()})
 
 
-def train_statistics(rows: DataFrame, feature: str, by: list[str], fold: str = "fold") -> DataFrame:
-    """Median, mean and population deviation of a feature over the training rows of each fold.
+def train_median(rows: DataFrame, feature: str, by: list[str], fold: str = "fold") -> DataFrame:
+    """Median of a feature over the training rows of each fold. rows has each row once with its test fold.
 
-    rows has each row once with its test fold. Mean and deviation come from totals less the fold; a median cannot, so rows
-    go to every other fold (folds are few).
+    A median has no form as a total less the fold, so rows go to every other fold (folds are few).
     """
     folds = rows.select(*by, fold).distinct().withColumnRenamed(fold, "_f")
     train = rows.join(folds, by) if by else rows.crossJoin(folds)
     train = train.where(F.col(fold).isNull() | (F.col(fold) != F.col("_f")))
-    return train.groupBy(*by, F.col("_f").alias(fold)).agg(F.percentile(feature, 0.5).alias("median"), F.avg(feature).alias("mean"), F.stddev_pop(feature).alias("sd"))
+    return train.groupBy(*by, F.col("_f").alias(fold)).agg(F.percentile(feature, 0.5).alias("median"))
+
+
+def train_moments(rows: DataFrame, feature: str, by: list[str], fold: str = "fold") -> DataFrame:
+    """Mean and population deviation over the training rows of each fold, as totals less the fold: one pass over the rows.
+
+    Sums of squares are taken about a rough centre of all rows, so that little is lost in the differences.
+    """
+    centre = F.coalesce(F.lit(rows.agg(F.avg(feature)).first()[0]), F.lit(0.0))
+    x = F.col(feature) - centre
+    sums = [F.count(feature).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q")]
+    own = rows.groupBy(*by, fold).agg(*sums)
+    total = own.groupBy(*by).agg(*[F.sum(c).alias(f"_t{c}") for c in ("_n", "_s", "_q")])
+    both = own.join(total, by) if by else own.crossJoin(F.broadcast(total))
+    n, s, q = (F.col(f"_t{c}") - F.coalesce(F.col(c), F.lit(0)) for c in ("_n", "_s", "_q"))
+    mean = F.try_divide(s, n)
+    return both.select(*by, fold, (mean + centre).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.try_divide(q, n) - mean * mean)).alias("sd"))
 
 
 def train_median_impute(rows: DataFrame, feature: str, by: list[str], fold: str = "fold") -> DataFrame:
     """Test rows of each fold with missing values replaced by the training median."""
-    stats = train_statistics(rows, feature, by, fold).select(*by, fold, "median")
+    stats = train_median(rows, feature, by, fold)
     return rows.join(stats, [*by, fold]).withColumn(feature, F.coalesce(F.col(feature), F.col("median"))).drop("median")
 
 
 def train_standardise(rows: DataFrame, feature: str, by: list[str], fold: str = "fold") -> DataFrame:
     """Test rows of each fold in units of the training mean and population deviation."""
-    stats = train_statistics(rows, feature, by, fold).select(*by, fold, "mean", "sd")
+    stats = train_moments(rows, feature, by, fold)
     return rows.join(stats, [*by, fold]).withColumn(feature, F.try_divide(F.col(feature) - F.col("mean"), F.col("sd"))).drop("mean", "sd")

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provaudit.functions.ranks import fold_of_rank, hash_rank
+from provaudit.functions.ranks import fold_of_rank, hash_rank, ordered, row_hash
+from provaudit.plans.storage import written
 
-#: Groups up to which packing is exact; beyond, only groups that matter for balance are packed one by one.
-MAX_EXACT_GROUPS = 1_000_000
+#: Share of a fold above which a group is packed on its own.
 EPSILON = 0.05
+#: Stretches of ranks in which cuts are looked up.
+STRETCHES = 4_096
 
 
 def split_random_k(rows: DataFrame, k: int = 5, seed: int = 0, by: list[str] | None = None) -> DataFrame:
@@ -40,60 +42,52 @@ def greedy(sizes: pd.DataFrame, k: int) -> list[int]:
     return out
 
 
-def pack_groups(groups: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
-    """Fold of every (by, label, n): largest group first into the lightest fold, ties by label.
+def pack_groups(groups: DataFrame, k: int, by: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """Fold of every (by, label, n), packed from group counts, never from rows, in one way at every size.
 
-    Only group counts are packed, never rows, one `by` group to a task.
+    Groups above EPSILON * n / k, at most k / EPSILON of each `by` key, go one by one to the lightest fold, the largest first,
+    ties by label. The others are laid in the order of a hash into the room that is left, as prefix sums of their
+    sizes, which leaves every fold within one such group of balance. All comparisons are of whole numbers.
     """
     by = by or []
     kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*by, "label"]] + ["n long", "fold long"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*by, "label"]] + ["_all int", "n long", "fold long"])
+    key = [*by, "_all"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n", "label"], ascending=[False, True], kind="stable")
-        return part.assign(fold=greedy(part, k))[[*by, "label", "n", "fold"]]
-
-    keyed = groups.withColumn("_all", F.lit(0))
-    return keyed.groupBy(*by, "_all").applyInPandas(lambda p: run(p), schema)
-
-
-def pack_groups_scalable(groups: DataFrame, k: int, seed: int = 0, epsilon: float = EPSILON) -> DataFrame:
-    """Packing for very many groups: large ones greedily, the rest in hash order into the remaining room.
-
-    Groups above epsilon * n / k (at most k / epsilon of them) are packed one by one; the tail is cut at prefix sums of
-    its sizes, which leaves every fold within one tail group of balance.
-    """
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = F.col("n") > F.lit(epsilon * total / k)
-    heavy = pack_groups(groups.where(large), k)
-    loads = {r.fold: r.n for r in heavy.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
-    room = [max(0.0, total / k - loads.get(f, 0)) for f in range(k)]
-    scale = (total - sum(loads.values())) / sum(room) if sum(room) else 0.0
-    cuts, at = [], 0.0
-    for r in room:
-        at += r * scale
-        cuts.append(at)
-    tail = groups.where(~large).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("label").cast("string")))).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = tail.groupBy("_b").agg(F.sum("n").alias("_n"))
-    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy("_h", "label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = tail.join(sizes.select("_b", offset.alias("_o")), "_b").withColumn("_at", F.col("_o") + before)
-    fold = F.least(F.lit(k - 1), sum([(F.col("_at") >= F.lit(c)).cast("int") for c in cuts], F.lit(0))).cast("long")
-    return heavy.unionByName(placed.select("label", "n", fold.alias("fold")))
-
-
-def split_group_k(rows: DataFrame, label: str, k: int = 5, by: list[str] | None = None, most_exact: int = MAX_EXACT_GROUPS) -> DataFrame:
-    """No label is both tested and trained on in a fold; folds as even as greedy packing makes them.
-
-    k shrinks to the number of groups where there are fewer.
+        return part.assign(fold=greedy(part, k))[[*by, "label", "_all", "n", "fold"]]
+
+    groups = groups.withColumn("_all", F.lit(0))
+    totals = groups.groupBy(*key).agg(F.sum("n").alias("_t"))  # one row for each `by` key
+    sized = groups.join(totals, key)
+    large = F.col("n") * k * round(1 / EPSILON) > F.col("_t")
+    heavy = written(sized.where(large).groupBy(*key).applyInPandas(lambda part: run(part), schema), "heavy")
+    loads = heavy.groupBy(*key).agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"_l{f}") for f in range(k)])
+    load = [F.coalesce(F.col(f"_l{f}"), F.lit(0)) for f in range(k)]
+    room = [F.greatest(F.lit(0), F.col("_t") - k * x) for x in load]  # times k, so that it is whole
+    cuts = [sum(room[1 : f + 1], room[0]).alias(f"_c{f}") for f in range(k)]
+    plan = totals.join(loads, key, "left").select(*key, (F.col("_t") - sum(load[1:], load[0])).alias("_tail"), *cuts)
+    tail = sized.where(~large).withColumn("_h", row_hash(seed, "label")).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = tail.groupBy(*key, "_b").agg(F.sum("n").alias("_n"))
+    earlier = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*key, "_b", earlier("_n", Window.partitionBy(*key).orderBy("_b")).alias("_o"))
+    at = F.col("_o") + earlier("n", Window.partitionBy(*key, "_b").orderBy("_h", "label"))
+    placed = tail.join(offsets, [*key, "_b"]).withColumn("_at", at)
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    fold = sum([(whole("_at") * whole(f"_c{k - 1}") >= whole("_tail") * whole(f"_c{f}")).cast("long") for f in range(k - 1)], F.lit(0).cast("long"))
+    placed = placed.join(plan, key).select(*by, "label", "n", fold.alias("fold"))
+    return heavy.select(*by, "label", "n", "fold").unionByName(placed)
+
+
+def split_group_k(rows: DataFrame, label: str, k: int = 5, by: list[str] | None = None) -> DataFrame:
+    """No label is both tested and trained on in a fold; folds as even as `pack_groups` makes them.
+
+    Without `by`, k shrinks to the number of groups where there are fewer.
     """
     by = by or []
-    groups = rows.groupBy(*by, F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    if by:
-        packed = pack_groups(groups, k, by)
-    else:
-        m = groups.count()
-        packed = pack_groups(groups, max(1, min(k, m))) if m <= most_exact else pack_groups_scalable(groups, k)
+    groups = written(rows.groupBy(*by, F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")), "groups")
+    packed = pack_groups(groups, k if by else max(1, min(k, groups.count())), by)
     return rows.select(*by, "row_id", F.col(label).alias("label")).join(packed.select(*by, "label", "fold"), [*by, "label"]).select(*by, "row_id", "fold")
 
 
@@ -107,10 +101,12 @@ def min_groups_guard(rows: DataFrame, relations: list[str], least: int = 3) -> D
 def split_size_matched(rows: DataFrame, honoured: DataFrame, seed: int = 1) -> DataFrame:
     """Random folds of exactly the honoured fold sizes: one permutation cut at their cumulative sums."""
     sizes = honoured.where("fold is not null").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
-    ends = F.sum("n").over(Window.orderBy("fold"))  # one row a fold
-    cuts = sizes.select("fold", (ends - F.col("n")).alias("lo"), ends.alias("hi"))
-    ranked = hash_rank(rows.select("row_id"), "row_id", seed)
-    return ranked.join(F.broadcast(cuts), (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("row_id", "fold")
+    cuts = ordered(sizes, ["fold"], "n").select("fold", F.col("before").alias("lo"), (F.col("before") + F.col("n")).alias("hi"))
+    # Ranks meet cuts through stretches of ranks, an equi-join: a cut goes to the stretches that it reaches into.
+    step = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // STRETCHES)
+    reach = F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))).alias("stretch")
+    ranked = hash_rank(rows.select("row_id"), "row_id", seed).withColumn("stretch", F.floor(F.col("rank") / step))
+    return ranked.join(cuts.select("fold", "lo", "hi", reach), "stretch").where("rank >= lo and rank < hi").select("row_id", "fold")
 
 
 def split_shuffled_labels(rows: DataFrame, label: str, k: int = 5, seed: int = 2) -> DataFrame:
@@ -123,7 +119,7 @@ def split_shuffled_labels(rows: DataFrame, label: str, k: int = 5, seed: int = 2
 def split_family_holdout(rows: DataFrame, family: str) -> DataFrame:
     """Each family but the largest is tested once; the largest always trains."""
     sizes = rows.groupBy(F.col(family).alias("family")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = sizes.withColumn("fold", (F.row_number().over(Window.orderBy(F.desc("n"), "family")) - 2).cast("long"))  # one row a family
+    ranked = ordered(sizes.withColumn("_minus", -F.col("n")), ["_minus", "family"], "n").select("family", (F.col("place") - 1).alias("fold"))
     return rows.select("row_id", F.col(family).alias("family")).join(ranked.where("fold >= 0"), "family").select("row_id", "fold")
 
 

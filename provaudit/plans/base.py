@@ -35,33 +35,55 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({f.name: F.round(f.name, places) for f in df.schema if f.dataType.typeName() == "double"})
 
 
-def variants(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    rows = rec(spark, sf_dir)
-    source = S.split_group_k(rows, "src", K)
-    combo = S.split_group_k(rows.withColumn("c", R.combination_key("src", "fam")), "c", K)
-    dup = S.split_group_k(rows.withColumn("c", R.composite_key("src", "fam", "sz")), "c", K)
-    hold = S.split_family_holdout(rows, "fam")
-    return {
-        "random5": S.split_random_k(rows, K), "source5": source, "source5_sm": S.split_size_matched(rows, source), "combo5": combo, "combo5_sm": S.split_size_matched(rows, combo),
-        "dup5": dup, "dup5_sm": S.split_size_matched(rows, dup), "shuffled5": S.split_shuffled_labels(rows, "src", K), "holdout": hold, "holdout_sm": S.split_family_holdout_sizematch(rows, hold),
-    }
+VARIANTS = ["random5", "source5", "source5_sm", "combo5", "combo5_sm", "dup5", "dup5_sm", "shuffled5", "holdout", "holdout_sm"]
+
+
+def variants(spark: SparkSession, sf_dir: str, only: list[str]) -> dict[str, DataFrame]:
+    """Assignments of the named variants; what two of them share is made once."""
+    rows, made = rec(spark, sf_dir), {}
+
+    def make(v: str) -> DataFrame:
+        match v:
+            case "random5":
+                return S.split_random_k(rows, K)
+            case "source5":
+                return S.split_group_k(rows, "src", K)
+            case "combo5":
+                return S.split_group_k(rows.withColumn("c", R.combination_key("src", "fam")), "c", K)
+            case "dup5":
+                return S.split_group_k(rows.withColumn("c", R.composite_key("src", "fam", "sz")), "c", K)
+            case "shuffled5":
+                return S.split_shuffled_labels(rows, "src", K)
+            case "holdout":
+                return S.split_family_holdout(rows, "fam")
+            case "holdout_sm":
+                return S.split_family_holdout_sizematch(rows, get("holdout"))
+            case _:
+                return S.split_size_matched(rows, get(v.removesuffix("_sm")))
+
+    def get(v: str) -> DataFrame:
+        if v not in made:
+            made[v] = make(v)
+        return made[v]
+
+    return {v: get(v) for v in only}
 
 
 def assignments(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
     """variant, row_id, fold; written once, as later steps read it several times."""
-    found = variants(spark, sf_dir)
-    return written(reduce(DataFrame.unionByName, [df.select(F.lit(v).alias("variant"), "row_id", F.col("fold").cast("long").alias("fold")) for v, df in found.items() if only is None or v in only]), "assignments")
+    found = variants(spark, sf_dir, only or VARIANTS)
+    return written(reduce(DataFrame.unionByName, [df.select(F.lit(v).alias("variant"), "row_id", F.col("fold").cast("long").alias("fold")) for v, df in found.items()]), "assignments")
 
 
-def structure(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
+def structure(spark: SparkSession, sf_dir: str, only: list[str] | None = None, a: DataFrame | None = None) -> DataFrame:
     n = rec(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    a = assignments(spark, sf_dir, only)
+    a = assignments(spark, sf_dir, only) if a is None else a
     return S.fold_structure(a, a.select("variant").distinct().crossJoin(F.broadcast(n)), ["variant"])
 
 
-def predictions(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
-    """variant, model, fold, row_id, y, p for the training mean and ridge."""
-    rows, a = rec(spark, sf_dir), assignments(spark, sf_dir, only)
+def predictions(spark: SparkSession, sf_dir: str, only: list[str] | None = None, a: DataFrame | None = None) -> DataFrame:
+    """variant, model, fold, row_id, y, p for the training mean and ridge. a: assignments already written, if any."""
+    rows, a = rec(spark, sf_dir), assignments(spark, sf_dir, only) if a is None else a
     return written(L.learn_dummy_mean(rows, a).unionByName(L.learn_ridge1(rows, a)), "predictions")
 
 
@@ -78,20 +100,38 @@ def nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return outer, inner, train
 
 
+def inner_predictions(train: DataFrame, inner: DataFrame) -> DataFrame:
+    by, scope = ["outer_fold", "protocol"], ["outer_fold"]
+    return L.learn_dummy_mean(train, inner, by, scope).unionByName(L.learn_ridge1(train, inner, by=by, scope=scope))
+
+
+def outer_predictions(rows: DataFrame, outer: DataFrame) -> DataFrame:
+    a = outer.withColumn("variant", F.lit("outer"))
+    return L.learn_dummy_mean(rows, a).unionByName(L.learn_ridge1(rows, a)).withColumnRenamed("fold", "outer_fold").drop("variant")
+
+
 def inner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """outer_fold, protocol, model, row_id, y, p, demand, unsafe for the inner folds."""
     _, inner, train = nested(spark, sf_dir)
-    by, scope = ["outer_fold", "protocol"], ["outer_fold"]
-    p = L.learn_dummy_mean(train, inner, by, scope).unionByName(L.learn_ridge1(train, inner, by=by, scope=scope))
-    return p.join(D.demand_quantile(train, scope), scope).withColumn("unsafe", D.unsafe_regression())
+    return inner_predictions(train, inner).join(D.demand_quantile(train, ["outer_fold"]), "outer_fold").withColumn("unsafe", D.unsafe_regression())
 
 
 def outer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """outer_fold, model, row_id, y, p, demand for the outer folds."""
     outer, _, train = nested(spark, sf_dir)
-    rows, a = log_rec(spark, sf_dir), outer.withColumn("variant", F.lit("outer"))
-    p = L.learn_dummy_mean(rows, a).unionByName(L.learn_ridge1(rows, a)).withColumnRenamed("fold", "outer_fold")
-    return p.join(D.demand_quantile(train, ["outer_fold"]), "outer_fold").drop("variant")
+    return outer_predictions(log_rec(spark, sf_dir), outer).join(D.demand_quantile(train, ["outer_fold"]), "outer_fold")
+
+
+def demand_sweep(spark: SparkSession, sf_dir: str, quantiles: list[float]) -> DataFrame:
+    """decision_outer rows with q: demand, curve, selection and realised risk anew for every demand quantile."""
+    outer, inner, train = nested(spark, sf_dir)
+    demand = D.demand_quantile(train, ["outer_fold"], quantiles)
+    demand = written(demand.select("outer_fold", F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in quantiles]).alias("q"), F.col("demand").alias("demand"))).alias("x")).select("outer_fold", "x.q", "x.demand"), "demands")
+    rows = inner_predictions(train, inner).join(demand, "outer_fold").withColumn("unsafe", D.unsafe_regression())
+    rules = D.rule_candidates(D.risk_curve(rows, ["q", "outer_fold", "protocol", "model"], KNOBS, D.act_regression))
+    chosen = D.rule_choose(written(rules, "candidates"), ["q", *D.SETTING, "alpha"])
+    realised_rows = outer_predictions(log_rec(spark, sf_dir), outer).join(demand, "outer_fold")
+    return D.decision_outer(chosen, realised_rows, ["q"])
 
 
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,14 +172,24 @@ def ranks(seed: int, name: str) -> str:
 
 
 def pack(name: str, rows: str, label: str, k: int, key: str = "0") -> str:
-    """Greedy packing in SQL: groups by falling size, each to the lightest fold."""
+    """Packing in SQL: large groups by falling size, each to the lightest fold; the others in hash order into what room is left."""
     light = "list_position(p.loads, list_min(p.loads))"
+    room = [f"greatest(0, t - {k} * l{f})" for f in range(k)]
+    loads = ", ".join(f"coalesce(sum(g.n) FILTER (h.fold = {f}), 0) AS l{f}" for f in range(k))
+    cuts = ", ".join(f"{' + '.join(room[: f + 1])} AS c{f}" for f in range(k))
+    fold = " + ".join(f"(place * c{k - 1} >= tail * c{f})::BIGINT" for f in range(k - 1))
     return f"""
-{name}_g AS (SELECT key, label, count(*) AS n, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, label) AS i FROM (SELECT {key} AS key, {label} AS label FROM {rows}) GROUP BY key, label),
+{name}_n AS (SELECT key, label, count(*) AS n FROM (SELECT {key} AS key, {label} AS label FROM {rows}) GROUP BY key, label),
+{name}_t AS (SELECT key, sum(n) AS t FROM {name}_n GROUP BY key),
+{name}_g AS (SELECT key, label, n, row_number() OVER (PARTITION BY key ORDER BY n DESC, label) AS i FROM {name}_n JOIN {name}_t USING (key) WHERE n * {k} * 20 > t),
 {name}_p AS (SELECT DISTINCT key, 0::BIGINT AS i, NULL::VARCHAR AS label, 0::BIGINT AS fold, {[0] * k}::BIGINT[] AS loads FROM {name}_g
   UNION ALL SELECT g.key, g.i, g.label, ({light} - 1)::BIGINT, list_transform(p.loads, lambda v, j: CASE WHEN j = {light} THEN v + g.n ELSE v END)
   FROM {name}_p p JOIN {name}_g g ON g.key = p.key AND g.i = p.i + 1),
-{name} AS (SELECT key, label, fold FROM {name}_p WHERE i > 0)"""
+{name}_h AS (SELECT key, label, fold FROM {name}_p WHERE i > 0),
+{name}_l AS (SELECT t.key, t.t, {loads} FROM {name}_t t LEFT JOIN {name}_h h ON h.key = t.key LEFT JOIN {name}_g g ON g.key = h.key AND g.label = h.label GROUP BY t.key, t.t),
+{name}_c AS (SELECT key, t - ({" + ".join(f"l{f}" for f in range(k))}) AS tail, {cuts} FROM {name}_l),
+{name}_w AS (SELECT key, label, sum(n) OVER (PARTITION BY key ORDER BY md5('0|' || label), label) - n AS place FROM {name}_n JOIN {name}_t USING (key) WHERE n * {k} * 20 <= t),
+{name} AS (SELECT key, label, fold FROM {name}_h UNION ALL SELECT key, label, {fold} FROM {name}_w JOIN {name}_c USING (key))"""
 
 
 def cut(name: str, honoured: str, rank: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from provaudit.operators import policy as P
 from provaudit.operators import relations as R
 from provaudit.operators import splits as S
 from provaudit.plans import base as B
-from provaudit.plans.storage import written
+from provaudit.plans.storage import shared_folder, written
 from provaudit.session import read_table
 from provaudit.sources import tables as T
 
@@ -41,6 +42,11 @@ def query(sql: str | None = None, prelude: bool = True):
 SPLITS = ["random5", "source5"]
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # Sources and sinks
 
 
@@ -55,15 +61,47 @@ def sink_summary(spark, d):
     return T.sink_summary(n, ["brand"])
 
 
-@query()
+#: Where the SQL of queries about files, not tables, looks.
+FILES = "/root/testdata/sf0.01"
+
+
+@query(f"SELECT size AS length, sha256(content) AS sha256 FROM read_blob('{FILES}/part.parquet')", False)
 def input_fingerprint(spark, d):
     return T.input_fingerprint(spark, f"{d}/part.parquet").select("length", "sha256")
 
 
-@query("SELECT n_name AS name, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) THEN 'read' ELSE 'skipped: missing' END AS note FROM nation", False)
+@query("SELECT o_orderpriority AS priority, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY o_orderpriority", False)
+def src_csv(spark, d):
+    """Orders written as CSV and read again with a schema."""
+    path = shared_path(spark, "orders-csv")
+    T.sink_table(read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), path)
+    return T.src_csv(spark, path, "o_orderkey long, o_orderpriority string").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query("SELECT variant, fold, count(*) AS n, round(sum(p), 4) AS total FROM pred WHERE variant IN ('random5', 'source5') AND model = 'ridge' GROUP BY variant, fold")
+def sink_parquet(spark, d):
+    """Out-of-fold predictions written as Parquet by variant and read again by a filter on the partition."""
+    path = shared_path(spark, "predictions-parquet")
+    T.sink_parquet(B.predictions(spark, d, SPLITS), path, ["model", "variant"])
+    return B.rounded(T.src_parquet(spark, path).where("model = 'ridge'").groupBy("variant", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total")), 4)
+
+
+@query("SELECT variant, to_json(sizes)::VARCHAR AS sizes, L, U FROM adm")
+def sink_table(spark, d):
+    """Verdicts on all splits, arrays as JSON, written as CSV and read again."""
+    path = shared_path(spark, "verdicts-csv")
+    T.sink_table(verdicts(spark, d).select("variant", F.col("test_sizes").alias("sizes"), "L", "U"), path)
+    return T.src_csv(spark, path, "variant string, sizes string, L long, U long")
+
+
+INPUTS = ["customer", "documents", "absent_survey", "labels", "part", "absent_controls"]
+
+
+@query("SELECT name, CASE WHEN EXISTS (SELECT 1 FROM glob('" + FILES + "/*.parquet') g WHERE g.file LIKE '%/' || name || '.parquet') THEN 'read' ELSE 'skipped: missing' END AS note FROM (VALUES " + ", ".join(f"('{n}')" for n in INPUTS) + ") t(name)", False)
 def skip_missing_input(spark, d):
-    here = read_table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
-    return T.skip_missing_input(read_table(spark, d, "nation"), here, "n_nationkey").select(F.col("n_name").alias("name"), "note")
+    """Registered inputs against the files that are there."""
+    registered = spark.createDataFrame([(n,) for n in INPUTS], "name string")
+    return T.skip_missing_input(registered, T.present_inputs(spark, d), "name")
 
 
 # Registry and profiling
@@ -190,7 +228,7 @@ MISSING = "gap AS (SELECT row_id, fold, CASE WHEN row_id % 9 <> 0 THEN x END AS
 
 def gap_rows(spark, d):
     rows = B.rec(spark, d).select("row_id", F.when(F.col("row_id") % 9 != 0, F.col("x")).alias("x"))
-    return rows.join(B.variants(spark, d)["random5"], "row_id")
+    return rows.join(B.variants(spark, d, ["random5"])["random5"], "row_id")
 
 
 @query(", " + MISSING + " SELECT row_id, fold, round(coalesce(x, med), 6) AS x FROM gap JOIN st USING (fold)")
@@ -208,7 +246,7 @@ def train_standardise(spark, d):
 for _name, _variant in [("split_random_k", "random5"), ("split_group_k", "source5"), ("split_size_matched", "source5_sm"), ("split_combination", "combo5"), ("split_duplication_key", "dup5"), ("split_shuffled_labels", "shuffled5"), ("split_family_holdout", "holdout"), ("split_family_holdout_sizematch", "holdout_sm")]:
 
     def _split(spark, d, v=_variant):
-        return B.variants(spark, d)[v].select("row_id", F.col("fold").cast("long").alias("fold"))
+        return B.variants(spark, d, [v])[v].select("row_id", F.col("fold").cast("long").alias("fold"))
 
     _split.__name__ = _name
     query(f"SELECT row_id, fold::BIGINT AS fold FROM a_{_variant}")(_split)
@@ -266,8 +304,8 @@ def fold_admissibility(spark, d):
     return B.rounded(A.fold_admissibility(B.structure(spark, d), ["variant"])).withColumn("test_sizes", F.array_join(F.col("test_sizes").cast("array<string>"), ","))
 
 
-def verdicts(spark, d):
-    return written(A.fold_admissibility(B.structure(spark, d), ["variant"]), "verdicts")
+def verdicts(spark, d, a=None):
+    return written(A.fold_admissibility(B.structure(spark, d, a=a), ["variant"]), "verdicts")
 
 
 FEASIBLE = """, s AS (SELECT count(*) AS n, count(DISTINCT fam) AS m FROM rec), w AS (SELECT max(c) AS w FROM (SELECT count(*) AS c FROM rec GROUP BY fam)),
@@ -335,9 +373,10 @@ def admissibility_ledger(spark, d):
 
 
 def pairs(spark, d):
-    m = written(M.control_metrics(B.predictions(spark, d)), "metrics")
+    a = B.assignments(spark, d)
+    m = written(M.control_metrics(B.predictions(spark, d, a=a)), "metrics")
     p = C.contrast_pairs(m, spark.createDataFrame(B.HONOURED, "variant string, sizematch string"))
-    return C.contrast_admissible(p, verdicts(spark, d))
+    return C.contrast_admissible(p, verdicts(spark, d, a))
 
 
 def copied_pairs(spark, d):
@@ -348,22 +387,29 @@ def copied_pairs(spark, d):
 # Graph
 
 
-def supplier_rows(spark, d):
-    s = read_table(spark, d, "supplier").join(read_table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.select(F.col("s_suppkey").alias("row_id"), "n_name", F.col("n_regionkey").cast("string").alias("region"))
+def chained_rows(spark, d):
+    """Suppliers in overlapping runs of three, by either relation: long chains, broken where one or both are NULL."""
+    k = F.col("s_suppkey")
+    a = F.when(k % 7 != 0, F.concat(F.lit("a"), F.floor(k / 3).cast("string")))
+    b = F.when(k % 5 != 0, F.concat(F.lit("b"), F.floor((k + 1) / 3).cast("string")))
+    return read_table(spark, d, "supplier").select(k.alias("row_id"), a.alias("a"), b.alias("b"))
 
 
-COMPONENT = "WITH c AS (SELECT s_suppkey AS row_id, n_name, n_regionkey, min(n_name) OVER (PARTITION BY n_regionkey) AS component FROM supplier JOIN nation ON s_nationkey = n_nationkey) "
+COMPONENT = """WITH RECURSIVE r AS (SELECT s_suppkey AS row_id, CASE WHEN s_suppkey % 7 <> 0 THEN 'a' || (s_suppkey // 3) END AS a, CASE WHEN s_suppkey % 5 <> 0 THEN 'b' || ((s_suppkey + 1) // 3) END AS b FROM supplier),
+hop AS (SELECT DISTINCT x.a AS p, y.a AS q FROM r x JOIN r y ON x.b = y.b WHERE x.a IS NOT NULL AND y.a IS NOT NULL),
+reach AS (SELECT DISTINCT a AS p, a AS q FROM r WHERE a IS NOT NULL UNION SELECT reach.p, hop.q FROM reach JOIN hop ON reach.q = hop.p),
+la AS (SELECT p AS a, min(q) AS label FROM reach GROUP BY p), lb AS (SELECT b, min(label) AS label FROM r JOIN la USING (a) WHERE b IS NOT NULL GROUP BY b),
+c AS (SELECT row_id, coalesce(la.label, lb.label, 'b:' || r.b, 'row:' || row_id) AS component FROM r LEFT JOIN la ON r.a = la.a LEFT JOIN lb ON r.b = lb.b) """
 
 
 @query(COMPONENT + "SELECT row_id, component FROM c", False)
 def union_components(spark, d):
-    return G.union_components(supplier_rows(spark, d), "n_name", "region").select("row_id", "component")
+    return G.union_components(chained_rows(spark, d), "a", "b").select("row_id", "component")
 
 
 @query(COMPONENT + "SELECT count(*) AS components, max(n) AS largest, sum(n)::BIGINT AS n, round(max(n) / sum(n), 6) AS share FROM (SELECT component, count(*) AS n FROM c GROUP BY component)", False)
 def component_concentration(spark, d):
-    return B.rounded(G.component_concentration(G.union_components(supplier_rows(spark, d), "n_name", "region")))
+    return B.rounded(G.component_concentration(G.union_components(chained_rows(spark, d), "a", "b")))
 
 
 @query("SELECT campaign, " + ", ".join(f'count(*) FILTER (kind = \'{k}\') AS "{k}"' for k in "ABCDE") + ", count(*) AS total FROM camp GROUP BY campaign")
@@ -391,28 +437,58 @@ def structures(spark, d):
     return G.structure_candidates(spark, kinds)
 
 
-@query()
+STRUCTURES = """, kk AS (SELECT list_sort(list(DISTINCT kind)) AS kinds FROM camp),
+grow AS (SELECT 0 AS i, []::BIGINT[] AS a, 0::BIGINT AS mx UNION ALL SELECT i + 1, list_append(a, c), greatest(mx, c) FROM grow, kk, unnest(range(0, mx + 2)) u(c) WHERE i < len(kinds)),
+sts AS (SELECT array_to_string(list_transform(range(1, mx + 1), lambda c: array_to_string(list_filter(kinds, lambda k, j: a[j] = c), '+')), '/') AS structure, a, mx, kinds FROM grow, kk WHERE i = len(kinds) AND mx > 0),
+sgs AS (SELECT types, count(*) AS c, sum(n)::BIGINT AS n FROM sig GROUP BY types),
+hel AS (SELECT structure, types, c, n, list_distinct(list_filter(list_transform(types, lambda t: a[list_position(kinds, t)]), lambda x: x > 0)) AS cl, a, kinds FROM sgs, sts),
+sev AS (SELECT structure, types, c, n, CASE WHEN len(cl) = 1 THEN array_to_string(list_filter(kinds, lambda k, j: a[j] = cl[1]), '+') END AS cluster FROM hel)
+"""
+
+
+@query(STRUCTURES + "SELECT structure, mx::INT AS clusters FROM sts")
 def structure_candidates(spark, d):
     return structures(spark, d).select("structure", F.size("clusters").alias("clusters"))
 
 
-@query()
+@query(STRUCTURES + "SELECT structure, array_to_string(types, '+') AS types, c, n, cluster FROM sev")
 def structure_eval(spark, d):
     return G.structure_eval(B.signatures(spark, d), structures(spark, d)).select("structure", F.array_join("types", "+").alias("types"), "c", "n", "cluster")
 
 
-@query()
+@query(STRUCTURES + ", cnt AS (SELECT structure, count(DISTINCT cluster) AS folds FROM sev GROUP BY structure) SELECT folds, structure FROM cnt ORDER BY folds DESC, structure LIMIT 1")
 def fold_ceiling(spark, d):
     return G.fold_ceiling(G.structure_eval(B.signatures(spark, d), structures(spark, d)))
 
 
 def selection(spark, d):
-    return G.discard_select(B.signatures(spark, d), structures(spark, d), [2, 3, 4])
+    return written(G.discard_select(B.signatures(spark, d), structures(spark, d), [2, 3, 4, 5]), "selection")
 
 
 @query()
 def discard_select(spark, d):
-    return selection(spark, d).withColumn("sizes", F.array_join(F.col("sizes").cast("array<string>"), ","))
+    return selection(spark, d).select("k", "structure", "step", "retained", F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"))
+
+
+def kept(spark, d):
+    return G.kept_campaigns(B.signatures(spark, d), structures(spark, d), selection(spark, d))
+
+
+@query()
+def quarantine_selected(spark, d):
+    """Campaigns that the selection for each K leaves out."""
+    s, k = B.signatures(spark, d), written(kept(spark, d), "kept")
+    wanted = k.select("k").distinct().join(s, how="cross")  # a few K
+    return wanted.join(k.select("k", "campaign"), ["k", "campaign"], "left_anti").select("k", "campaign", F.col("n").alias("records"), F.array_join("types", "+").alias("types"))
+
+
+@query()
+def closure_selected(spark, d):
+    """Values of either relation that straddle the folds of the selection with the most folds."""
+    k = written(kept(spark, d), "kept")
+    most = k.select("campaign", "cluster", "fold").where(F.col("k") == F.lit(k.agg(F.max("k")).first()[0]))
+    rows = B.campaign_rows(spark, d).join(most, "campaign").where(F.array_contains(F.split("cluster", r"\+"), F.col("kind")))
+    return G.closure_verify(rows.select("row_id", "campaign", "kind"), rows.select("row_id", "fold"), ["campaign", "kind"])
 
 
 @query("SELECT campaign, n AS records, array_to_string(types, '+') AS types FROM sig WHERE len(types) > 1")
@@ -440,10 +516,18 @@ def learn_ridge(spark, d):
     return B.rounded(L.learn_ridge1(B.rec(spark, d), B.assignments(spark, d)))
 
 
-@query()
+TWO = """, gs AS (SELECT variant, fold, count(*) AS n, sum(y) AS y, sum(x) AS x, sum(sz) AS z, sum(x * x) AS xx, sum(sz * sz) AS zz, sum(x * sz) AS xz, sum(x * y) AS xy, sum(sz * y) AS zy FROM asg JOIN rec USING (row_id) GROUP BY variant, fold),
+gt AS (SELECT count(*) AS n, sum(y) AS y, sum(x) AS x, sum(sz) AS z, sum(x * x) AS xx, sum(sz * sz) AS zz, sum(x * sz) AS xz, sum(x * y) AS xy, sum(sz * y) AS zy FROM rec),
+tm AS (SELECT variant, fold, t.n - g.n AS n, (t.y - g.y) / (t.n - g.n) AS my, (t.x - g.x) / (t.n - g.n) AS mx, (t.z - g.z) / (t.n - g.n) AS mz, t.xx - g.xx AS xx, t.zz - g.zz AS zz, t.xz - g.xz AS xz, t.xy - g.xy AS xy, t.zy - g.zy AS zy FROM gs g, gt t),
+td AS (SELECT *, sqrt(xx / n - mx * mx) AS dx, sqrt(zz / n - mz * mz) AS dz FROM tm),
+tz AS (SELECT *, (xz - n * mx * mz) / dx / dz AS c, (xy - n * mx * my) / dx AS b1, (zy - n * mz * my) / dz AS b2 FROM td)
+"""
+
+
+@query(TWO + "SELECT a.variant, 'ridge' AS model, a.fold::BIGINT AS fold, row_id, y, round(my + (x - mx) / dx * (((n + 1) * b1 - c * b2) / ((n + 1) * (n + 1) - c * c)) + (sz - mz) / dz * (((n + 1) * b2 - c * b1) / ((n + 1) * (n + 1) - c * c)), 6) AS p FROM asg a JOIN rec USING (row_id) JOIN tz ON tz.variant = a.variant AND tz.fold = a.fold")
 def learn_ridge_multi(spark, d):
     rows = B.rec(spark, d).withColumn("sz", F.col("sz").cast("double"))
-    return B.rounded(L.learn_ridge(rows, B.assignments(spark, d, SPLITS), ["x", "sz"]))
+    return B.rounded(L.learn_ridge(rows, B.assignments(spark, d), ["x", "sz"]))
 
 
 @query("SELECT variant, model, fold::BIGINT AS fold, row_id, y, round(p, 6) AS p FROM pred")
@@ -457,12 +541,12 @@ def ml_rows(spark, d):
 
 @query()
 def learn_rf_reg(spark, d):
-    return L.learn_rf_reg(ml_rows(spark, d), B.assignments(spark, d, ["source5"]), ["x", "sz"], trees=20)
+    return L.learn_rf_reg(ml_rows(spark, d), B.assignments(spark, d, ["source5"]), ["x", "sz"])
 
 
 @query()
 def learn_gbt_reg(spark, d):
-    return L.learn_gbt_reg(ml_rows(spark, d), B.assignments(spark, d, ["source5"]), ["x", "sz"], rounds=5)
+    return L.learn_gbt_reg(ml_rows(spark, d), B.assignments(spark, d, ["source5"]), ["x", "sz"])
 
 
 def quality_rows(spark, d):
@@ -479,13 +563,13 @@ def learn_rf_clf(spark, d):
 
 def classified(spark, d):
     rows = quality_rows(spark, d)
-    return L.learn_rf_clf(rows, S.split_group_k(rows, "source", 3).withColumn("variant", F.lit("source3")), ["upper", "marks"], trees=20)
+    return L.learn_rf_clf(rows, S.split_group_k(rows, "source", 3).withColumn("variant", F.lit("source3")), ["upper", "marks"])
 
 
 @query()
 def score_refit(spark, d):
     rows = ml_rows(spark, d)
-    return L.score_refit(rows, B.variants(spark, d)["source5"], ["x", "sz"], trees=10)
+    return L.score_refit(rows, B.variants(spark, d, ["source5"])["source5"], ["x", "sz"])
 
 
 # Metrics
@@ -606,20 +690,27 @@ def demand_quantile(spark, d):
     return B.rounded(D.demand_quantile(B.nested(spark, d)[2], ["outer_fold"]))
 
 
-@query("SELECT outer_fold, model, knob::INT AS knob, count(*) FILTER (p >= ln(demand) + ln(1 + knob / 100.0)) AS released, count(*) FILTER (exp(y) < demand) AS unsafe FROM orow, knobs WHERE knob % 50 = 0 GROUP BY ALL")
+@query("SELECT outer_fold, model, knob::INT AS knob, count(*) FILTER (p >= ln(demand) + ln(1 + knob / 100.0)) AS released, count(*) FILTER (exp(y) < demand) AS unsafe FROM orow, knobs GROUP BY ALL")
 def act_regression(spark, d):
-    rows = B.outer_rows(spark, d).crossJoin(D.rule_grid(spark).where("knob % 50 = 0"))
-    return rows.groupBy("outer_fold", "model", "knob").agg(F.count_if(D.act_regression(F.col("knob"))).alias("released"), F.count_if(D.unsafe_regression()).alias("unsafe"))
+    return D.by_rule(B.outer_rows(spark, d), ["outer_fold", "model"], B.KNOBS, {"released": D.act_regression, "unsafe": lambda knob: D.unsafe_regression()})
 
 
-@query("SELECT knob::INT AS knob, count(*) AS n, 0::BIGINT AS mismatches FROM orow, knobs GROUP BY knob")
+@query("SELECT knob::INT AS knob, count(*) AS n, count(*) FILTER ((p >= ln(demand) + ln(1 + knob / 100.0)) <> (exp(p) >= demand * (1 + knob / 100.0))) AS mismatches FROM orow, knobs GROUP BY knob")
 def unit_check(spark, d):
-    return D.unit_check(B.outer_rows(spark, d), D.rule_grid(spark))
+    return D.unit_check(B.outer_rows(spark, d), B.KNOBS)
+
+
+@query("SELECT knob::INT AS knob FROM knobs", True)
+def rule_grid(spark, d):
+    return D.rule_grid(spark).select(F.col("knob").cast("int").alias("knob"))
 
 
 CONFIDENCE = "WITH c AS (SELECT doc_id, quality AS label, (n_chars % 101) / 100.0 AS confidence FROM documents JOIN labels USING (doc_id)) "
 
 
+CONFIDENCES = list(range(0, 101, 20))
+
+
 def confident(spark, d):
     rows = read_table(spark, d, "documents").join(read_table(spark, d, "labels"), "doc_id")
     return rows.select("doc_id", F.col("quality").alias("label"), ((F.col("n_chars") % 101) / 100.0).alias("confidence"))
@@ -627,12 +718,12 @@ def confident(spark, d):
 
 @query(CONFIDENCE + "SELECT k::INT AS knob, count(*) FILTER (confidence * 100 >= k) AS acts FROM c, (SELECT unnest(range(0, 101, 20)) AS k) GROUP BY k", False)
 def act_confidence(spark, d):
-    return confident(spark, d).crossJoin(D.rule_grid(spark, "confidence")).groupBy("knob").agg(F.count_if(D.act_confidence(F.col("knob"))).alias("acts"))
+    return D.by_rule(confident(spark, d), [], CONFIDENCES, {"acts": D.act_confidence})
 
 
 @query(CONFIDENCE + "SELECT k::INT AS knob, count(*) FILTER (confidence * 100 >= k AND label <> 0) AS acts FROM c, (SELECT unnest(range(0, 101, 20)) AS k) GROUP BY k", False)
 def act_not_designated(spark, d):
-    return confident(spark, d).crossJoin(D.rule_grid(spark, "confidence")).groupBy("knob").agg(F.count_if(D.act_not_designated(F.col("knob"), F.lit(0))).alias("acts"))
+    return D.by_rule(confident(spark, d), [], CONFIDENCES, {"acts": lambda knob: D.act_not_designated(knob, F.lit(0))})
 
 
 CURVE = "outer_fold, protocol, model, knob::INT AS knob, n_test, n_released, n_unsafe, round(n_unsafe / n_test::DOUBLE, 6) AS r_all, round(n_unsafe / nullif(n_released, 0)::DOUBLE, 6) AS r_released, round(n_released / n_test::DOUBLE, 6) AS coverage"
@@ -643,10 +734,11 @@ def risk_curve(spark, d):
     return B.rounded(B.curve(spark, d))
 
 
-@query(f"SELECT {CURVE} FROM crv WHERE knob IN (0, 25)")
+@query(f"SELECT {CURVE} FROM crv")
 def risk_block(spark, d):
-    rows = B.inner_rows(spark, d).crossJoin(D.rule_grid(spark).where("knob in (0, 25)")).withColumn("act", D.act_regression(F.col("knob")))
-    return B.rounded(D.risk_block(rows, ["outer_fold", "protocol", "model", "knob"]))
+    """Every rule's block, counted rule by rule: what `risk_curve` gets from running sums."""
+    counts = {"n_test": lambda knob: F.lit(True), "n_released": D.act_regression, "n_unsafe": lambda knob: D.act_regression(knob) & F.col("unsafe")}
+    return B.rounded(D.with_rates(D.by_rule(B.inner_rows(spark, d), ["outer_fold", "protocol", "model"], B.KNOBS, counts)))
 
 
 @query(f"SELECT {CURVE}, alpha::INT AS alpha, feasible FROM cand")
@@ -715,9 +807,18 @@ def gap_extreme(spark, d):
     return B.rounded(D.gap_extreme(B.realised(spark, d)))
 
 
-@query("SELECT 0.5::DOUBLE AS q, protocol, count(*) AS settings, count(*) FILTER (gap_r_all > 0) AS above FROM dec GROUP BY protocol")
+QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
+SWEEP = ", dq AS (" + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, outer_fold, quantile_cont(exp(y), {q}) AS demand FROM trn GROUP BY outer_fold" for q in QUANTILES) + """),
+cq AS (SELECT q, i.outer_fold, protocol, model, knob, count(*) AS n_test, count(*) FILTER (p >= ln(demand) + ln(1 + knob / 100.0)) AS n_released, count(*) FILTER (exp(y) < demand AND p >= ln(demand) + ln(1 + knob / 100.0)) AS n_unsafe FROM ipred i JOIN dq USING (outer_fold), knobs GROUP BY ALL),
+aq AS (SELECT *, n_unsafe / n_test::DOUBLE AS r_all, n_unsafe * 100 <= alpha * n_test AS feasible FROM cq, (VALUES (5), (10), (20)) t(alpha)),
+sq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, outer_fold, protocol, alpha ORDER BY NOT feasible, CASE WHEN feasible THEN -n_released ELSE n_unsafe END, CASE WHEN feasible THEN knob ELSE 0 END, model, knob) AS r FROM aq) WHERE r = 1),
+oq AS (SELECT s.q, s.outer_fold, s.protocol, s.alpha, s.r_all AS inner_r_all, count(*) FILTER (s.feasible AND p >= ln(demand) + ln(1 + knob / 100.0) AND exp(y) < demand) / count(*)::DOUBLE AS r_all FROM sq s JOIN dq ON dq.q = s.q AND dq.outer_fold = s.outer_fold JOIN opred o ON o.fold = s.outer_fold AND o.model = s.model GROUP BY ALL)
+"""
+
+
+@query(SWEEP + "SELECT q, protocol, count(*) AS settings, count(*) FILTER (r_all - inner_r_all > 0) AS above FROM oq GROUP BY q, protocol")
 def demand_sweep_gap(spark, d):
-    return D.demand_sweep_gap(B.realised(spark, d).withColumn("q", F.lit(0.5)))
+    return D.demand_sweep_gap(B.demand_sweep(spark, d, QUANTILES))
 
 
 # Policies
@@ -787,32 +888,70 @@ def fold_influence(spark, d):
 
 
 def suite(spark, d):
-    """Checks that hold for any data: folds partition rows, honoured splits do not straddle, curves agree with pooled counts."""
+    """Named checks, each of a result against the same numbers found in another way from the rows."""
     a = B.assignments(spark, d)
     labels = B.rec(spark, d).select("row_id", F.col("src").alias("label"))
     leak = S.split_leak_check(a.where("variant = 'source5'"), labels, ["variant"])
-    outer = B.realised(spark, d)
-    pooled = outer.groupBy("protocol", "alpha").agg(F.sum("n_released").alias("n_released"), F.sum("n_unsafe").alias("n_unsafe"))
     sizes = a.groupBy("variant", "row_id").agg(F.count(F.lit(1)).alias("k"))
-    m = M.control_metrics(B.predictions(spark, d, SPLITS))
+    m = written(M.control_metrics(B.predictions(spark, d, a=a)), "metrics")
+    p = C.contrast_admissible(C.contrast_pairs(m, spark.createDataFrame(B.HONOURED, "variant string, sizematch string")), verdicts(spark, d, a))
+    # Released and unsafe rows of the chosen rules, row by row.
+    chosen = written(D.rule_choose(B.candidates(spark, d)), "chosen")
+    rows = B.outer_rows(spark, d).join(chosen, ["outer_fold", "model"]).where("released")
+    acts = written(rows.where(D.act_regression(F.col("knob"))).select("outer_fold", "protocol", "alpha", D.unsafe_regression().alias("unsafe")), "acts")
+    outer = written(D.decision_outer(chosen, B.outer_rows(spark, d)), "decisions")
+    settings = outer.select("protocol", "alpha").distinct()
+    pooled = settings.join(acts, ["protocol", "alpha"], "left").groupBy("protocol", "alpha").agg(F.count("unsafe").alias("n_released"), F.count_if("unsafe").alias("n_unsafe"))
+    sign = F.when(F.col("protocol") == "source", 1).when(F.col("protocol") == "random", -1)
+    utility = outer.select("alpha").distinct().join(acts, "alpha", "left").groupBy("alpha").agg(F.coalesce(F.sum(sign), F.lit(0)).alias("dA"), F.coalesce(F.sum(F.when(F.col("unsafe"), sign)), F.lit(0)).alias("dE"))
+    bad = lambda protocol: F.count_if(F.col("unsafe") & (F.col("protocol") == protocol))
+    folds = outer.select("outer_fold").distinct().join(acts.where("alpha = 5"), "outer_fold", "left").groupBy("outer_fold").agg(bad("random").alias("random"), bad("source").alias("source"))
+    registry = R.corpus_rollup(assets(spark, d)).where("part <> 'all'")
+    odd = F.substring("p_brand", -1, 1).cast("int") % 2 == 1
+    direct = read_table(spark, d, "part").groupBy(F.when(odd, "analysis").otherwise("inventory").alias("part")).agg(F.countDistinct("p_brand").alias("assets"), F.count(F.lit(1)).alias("records"))
+    scores = m.where("model = 'ridge'").groupBy().pivot("variant", [v for pair in B.HONOURED for v in pair]).agg(F.first("pooled_r2"))
+    worse = scores.select(sum(((F.col(h) < F.col(c)).cast("int") for h, c in B.HONOURED), F.lit(0)).alias("worse"), *[(F.col(h) - F.col(c)).alias(f"d_{h}") for h, c in B.HONOURED]).first()
+    ridge = p.where("model = 'ridge'")
+    errors = B.predictions(spark, d, ["source5"]).where("model = 'ridge'").agg(F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)).alias("rmse")).first().rmse
     return E.expect_suite(
         [
             E.check(sizes, "each_row_once", F.max("k") == 1, F.max("k")),
             E.check(leak, "no_straddling", F.sum("straddling") == 0, F.sum("straddling")),
             E.expect_pooled(outer, pooled, ["protocol", "alpha"]),
-            E.expect_utility(P.utility_sensitivity(outer), P.utility_sensitivity(outer)),
-            E.expect_concentration(P.fold_concentration(outer, 5), P.fold_concentration(outer, 5)),
-            E.expect_table_text_rules(m, ["pooled_r2", "rmse"], "variant", SPLITS),
+            E.expect_utility(P.utility_sensitivity(outer), utility),
+            E.expect_concentration(P.fold_concentration(outer, 5), folds.withColumn("avoided", F.col("random") - F.col("source"))),
+            E.expect_registry(registry, direct, ["part"]),
+            E.expect_contrast(ridge, worse.worse, len(B.HONOURED)),
+            E.expect_numeric_tolerance(ridge.where("variant = 'source5'"), "delta_vs_sizematch", worse.d_source5, 1e-9, "source_difference"),
+            E.expect_numeric_tolerance(m.where("variant = 'source5' and model = 'ridge'"), "rmse", errors, 1e-9, "source_rmse"),
+            E.expect_table_text_rules(m, ["pooled_r2", "rmse"], "variant", B.VARIANTS),
         ]
     )
 
 
-@query("SELECT name, true AS ok FROM (VALUES ('each_row_once'), ('no_straddling'), ('pooled'), ('utility'), ('concentration'), ('no_nan'), ('variant_set')) t(name)", False)
+#: Every check again, from the tables.
+SUITE = """, acts AS (SELECT c.outer_fold, c.protocol, c.alpha, exp(y) < demand AS unsafe FROM cho c JOIN orow o ON o.outer_fold = c.outer_fold AND o.model = c.model WHERE released AND p >= ln(demand) + ln(1 + knob / 100.0)),
+suite AS (
+SELECT 'each_row_once' AS name, max(k) = 1 AS ok FROM (SELECT count(*) AS k FROM asg GROUP BY variant, row_id)
+UNION ALL SELECT 'no_straddling', max(k) = 1 FROM (SELECT count(DISTINCT fold) AS k FROM a_source5 JOIN rec USING (row_id) GROUP BY src)
+UNION ALL SELECT 'pooled', bool_and(r = coalesce(n, 0) AND u = coalesce(b, 0)) FROM (SELECT protocol, alpha, sum(n_released) AS r, sum(n_unsafe) AS u FROM dec GROUP BY ALL) LEFT JOIN (SELECT protocol, alpha, count(*) AS n, count(*) FILTER (unsafe) AS b FROM acts GROUP BY ALL) USING (protocol, alpha)
+UNION ALL SELECT 'utility', bool_and(r = coalesce(n, 0) AND u = coalesce(b, 0)) FROM (SELECT alpha, sum(CASE protocol WHEN 'source' THEN n_released ELSE -n_released END) AS r, sum(CASE protocol WHEN 'source' THEN n_unsafe ELSE -n_unsafe END) AS u FROM dec GROUP BY alpha) LEFT JOIN (SELECT alpha, sum(CASE protocol WHEN 'source' THEN 1 ELSE -1 END) AS n, sum(CASE WHEN NOT unsafe THEN 0 WHEN protocol = 'source' THEN 1 ELSE -1 END) AS b FROM acts GROUP BY alpha) USING (alpha)
+UNION ALL SELECT 'concentration', bool_and(u = coalesce(b, 0)) FROM (SELECT outer_fold, protocol, n_unsafe AS u FROM dec WHERE alpha = 5) LEFT JOIN (SELECT outer_fold, protocol, count(*) FILTER (unsafe) AS b FROM acts WHERE alpha = 5 GROUP BY ALL) USING (outer_fold, protocol)
+UNION ALL SELECT 'registry', (SELECT sum(records) FROM (SELECT count(*) AS records FROM part GROUP BY p_brand)) = (SELECT count(*) FROM part)
+UNION ALL SELECT 'contrast', count(*) FILTER (r2_honoured < r2_sizematch) = count(*) FILTER (delta_vs_sizematch < 0) AND count(delta_vs_sizematch) = 4 FROM pairs WHERE model = 'ridge'
+UNION ALL SELECT 'source_difference', abs(max(delta_vs_sizematch) - (SELECT max(pooled_r2) FILTER (variant = 'source5') - max(pooled_r2) FILTER (variant = 'source5_sm') FROM met WHERE model = 'ridge')) < 1e-9 FROM pairs WHERE model = 'ridge' AND variant = 'source5'
+UNION ALL SELECT 'source_rmse', abs(max(rmse) - (SELECT sqrt(avg((y - p) ** 2)) FROM pred WHERE variant = 'source5' AND model = 'ridge')) < 1e-9 FROM met WHERE variant = 'source5' AND model = 'ridge'
+UNION ALL SELECT 'no_nan', count(*) FILTER (isnan(pooled_r2) OR isnan(rmse)) = 0 FROM met
+UNION ALL SELECT 'variant_set', list_sort(list(DISTINCT variant)) = """ + str(sorted(B.VARIANTS)) + """ FROM met)
+"""
+
+
+@query(SUITE + "SELECT name, coalesce(ok, false) AS ok FROM suite")
 def expect_suite(spark, d):
     return suite(spark, d).select("name", "ok")
 
 
-@query("SELECT 7::BIGINT AS passed, 0::BIGINT AS failed", False)
+@query(SUITE + "SELECT count(*) FILTER (coalesce(ok, false)) AS passed, count(*) FILTER (NOT coalesce(ok, false)) AS failed FROM suite")
 def suite_totals(spark, d):
     return E.suite_totals(suite(spark, d))
 

@@ -35,11 +35,17 @@ def sink_summary(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def input_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and SHA-256 of every file under a path."""
+    """path, length and SHA-256 of every file under a path; a file is one row, so files must stay under 2 GB each."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def present_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """name of every Parquet table under a path, as a file or a folder of files; lists files and reads none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.parquet(?:/.*)?$", 1).alias("name")).distinct()
+
+
 def skip_missing_input(registered: DataFrame, present: DataFrame, on: str) -> DataFrame:
     """Registered inputs with a note instead of a failure where one is absent."""
     here = present.select(on).distinct().withColumn("found", F.lit(True))

@@ -15,13 +15,8 @@ from provaudit.operators import relations as R
 from provaudit.operators import splits as S
 from provaudit.sources import tables as T
 
-# Records of each campaign by type, a published incidence of 28 campaigns and 142 records.
-INCIDENCE = {
-    "c00": {"Rect": 3}, "c01": {"Flanged": 8}, "c02": {"Rect": 2}, "c03": {"Rect": 4}, "c04": {"Rect": 6}, "c05": {"Rect": 4}, "c06": {"Rect": 6}, "c07": {"T": 4}, "c08": {"Rect": 15},
-    "c09": {"Rect": 2}, "c10": {"Rect": 4}, "c11": {"Rect": 11}, "c12": {"Rect": 6}, "c13": {"Rect": 2, "B": 9, "I": 2}, "c14": {"Rect": 3, "T": 1, "B": 1}, "c15": {"Flanged": 2}, "c16": {"Rect": 6},
-    "c17": {"Rect": 5, "T": 1}, "c18": {"Rect": 4}, "c19": {"Rect": 3}, "c20": {"Rect": 1, "Flanged": 1}, "c21": {"Rect": 4}, "c22": {"Rect": 5}, "c23": {"Rect": 1}, "c24": {"Rect": 2, "T": 2},
-    "c25": {"Rect": 7}, "c26": {"Rect": 2}, "c27": {"Rect": 3},
-}
+# An incidence of our own, small enough to work out every result by hand.
+INCIDENCE = {"m1": {"P": 6}, "m2": {"P": 4}, "m3": {"Q": 5}, "m4": {"Q": 5}, "m5": {"R": 4}, "m6": {"P": 1, "R": 1}}
 
 
 @pytest.fixture(scope="module")
@@ -37,17 +32,27 @@ def rows(spark):
     return spark.createDataFrame(data, "row_id long, y double, src string, fam string, x double, z double").cache()
 
 
-def test_published_structures(spark, signatures):
-    s = G.structure_candidates(spark, ["B", "Flanged", "I", "Rect", "T"])
-    assert s.count() == 202
+def test_structures_worked_by_hand(spark, signatures):
+    s = G.structure_candidates(spark, ["P", "Q", "R"])
+    assert s.count() == 14  # partitions of the subsets of three levels: B(4) - 1
     assert G.fold_ceiling(G.structure_eval(signatures, s)).first().folds == 3
-    best = {r.k: (r.retained, r.sizes) for r in G.discard_select(signatures, s, [2, 3, 4, 5]).collect()}
-    assert best == {2: (22, [11, 11]), 3: (29, [11, 11, 7])}
+    selection = G.discard_select(signatures, s, [2, 3, 4, 5]).cache()
+    best = {r.k: (r.structure, r.step, r.retained, r.sizes) for r in selection.collect()}
+    # K=2: P+R has 6+4+4+2 = 16 beside Q's 10; without m6 and m2 it has 10, and 20 rows are kept. Other structures keep 20 too.
+    # K=3: P 10, Q 10, R 4 fit as they are; m6 lies in two clusters.
+    assert best == {2: ("P+R/Q", 2, 20, [10, 10]), 3: ("P/Q/R", 0, 24, [10, 10, 4])}
+    kept = {}
+    for r in G.kept_campaigns(signatures, s, selection).collect():
+        kept.setdefault(r.k, {})[r.campaign] = r.fold
+    assert set(kept[2]) == {"m1", "m3", "m4", "m5"} and kept[2]["m1"] == kept[2]["m5"] != kept[2]["m3"] == kept[2]["m4"]
+    assert set(kept[3]) == {"m1", "m2", "m3", "m4", "m5"} and len({kept[3]["m1"], kept[3]["m3"], kept[3]["m5"]}) == 3
+    left = G.quarantine_list(signatures, G.kept_campaigns(signatures, s, selection).where("k = 2")).collect()
+    assert sorted((r.campaign, r.records, r.types) for r in left) == [("m2", 4, ["P"]), ("m6", 2, ["P", "R"])]
 
 
 def test_implication(signatures):
     got = {(r.t, r.u): (r.support, r.violations) for r in G.type_implication(signatures).collect()}
-    assert got["B", "Rect"] == (2, 0) and got["I", "Rect"] == (1, 0) and got["T", "Rect"][1] == 1
+    assert got == {("P", "Q"): (3, 3), ("P", "R"): (3, 2), ("Q", "P"): (2, 2), ("Q", "R"): (2, 2), ("R", "P"): (2, 1), ("R", "Q"): (2, 2)}
 
 
 def test_published_family_verdict(spark):
@@ -111,12 +116,23 @@ def test_size_match_has_the_same_sizes(rows):
     assert count(S.split_shuffled_labels(rows, "src", 5)) == count(a)
 
 
-def test_scalable_packing_is_balanced(spark):
-    groups = spark.createDataFrame([(f"g{i}", 1 + (i % 7)) for i in range(3000)] + [("huge", 2000)], "label string, n long")
-    got = S.pack_groups_scalable(groups, 5)
-    loads = {r.fold: r.n for r in got.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
-    assert got.count() == 3001 and len(loads) == 5
-    assert max(loads.values()) - min(loads.values()) < 0.05 * sum(loads.values())
+@pytest.mark.parametrize("by", [None, ["key"]])
+def test_packing_is_balanced_at_every_size(spark, by):
+    """Many small groups and one of nearly a whole fold; alone and beside a key with few groups."""
+    groups = [(1, f"g{i}", 1 + (i % 7)) for i in range(3000)] + [(1, "huge", 2000)] + ([(2, "a", 5), (2, "b", 3), (2, "c", 2)] if by else [])
+    got = S.pack_groups(spark.createDataFrame(groups, "key int, label string, n long"), 5, by).collect()
+    assert len(got) == len(groups)
+    loads = {}
+    for r in got:
+        if r.label not in "abc":
+            loads[r.fold] = loads.get(r.fold, 0) + r.n
+    assert len(loads) == 5 and max(loads.values()) - min(loads.values()) <= 14
+    assert len({r.fold for r in got if r.label in "abc"}) == (3 if by else 0)
+
+
+def test_packing_goes_by_falling_size(spark):
+    groups = spark.createDataFrame([("a", 674), ("b", 396), ("c", 246), ("d", 246)], "label string, n long")
+    assert {r.label: r.fold for r in S.pack_groups(groups, 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 1}
 
 
 def test_nested_folds_exclude_the_outer_test(rows):
@@ -148,6 +164,19 @@ def test_components_follow_chains(spark):
     assert G.component_concentration(got).first().components == 10
 
 
+def test_components_keep_rows_with_missing_relations(spark):
+    rows = spark.createDataFrame([(1, "a1", "b1"), (2, None, "b1"), (3, "a2", None), (4, None, None), (5, None, "b9"), (6, "a2", "b1")], "row_id long, a string, b string")
+    assert {r.row_id: r.component for r in G.union_components(rows, "a", "b").collect()} == {1: "a1", 2: "a1", 3: "a1", 4: "row:4", 5: "b:b9", 6: "a1"}
+
+
+def test_moments_are_totals_less_the_fold(rows):
+    split = rows.join(S.split_random_k(rows, 4), "row_id")
+    got, data = {r.fold: r for r in R.train_moments(split, "x", []).collect()}, split.collect()
+    for f in range(4):
+        x = np.array([r.x for r in data if r.fold != f])
+        assert abs(got[f]["mean"] - x.mean()) < 1e-9 and abs(got[f].sd - x.std()) < 1e-9
+
+
 def test_curve_equals_rule_by_rule(spark, rows):
     r = rows.select("row_id", (F.col("y") + 3).alias("p"), F.lit(20.0).alias("demand"), (F.col("x") > 0.5).alias("unsafe"), F.lit(0).alias("g"))
     knobs = list(range(0, 101, 20))
@@ -184,6 +213,32 @@ def test_expectations(spark):
     assert E.expect_equal(a, a, ["k"], ["v"], "same").first().ok
     assert not E.expect_equal(a, a.where("k = 'x'"), ["k"], ["v"], "short").first().ok
     assert E.expect_numeric_tolerance(a.where("k = 'x'"), "v", 1.01, 0.1, "near").first().ok
+    assert not E.expect_numeric_tolerance(a.where("k = 'x'"), "v", 1.2, 0.1, "far").first().ok
+    outer = spark.createDataFrame([(0, "random", 5, 10, 4), (1, "random", 5, 20, 6)], "outer_fold int, protocol string, alpha int, n_released long, n_unsafe long")
+    for released, ok in ((30, True), (29, False)):  # the second is a planted violation
+        declared = spark.createDataFrame([("random", 5, released, 10)], "protocol string, alpha int, n_released long, n_unsafe long")
+        assert E.expect_pooled(outer, declared, ["protocol", "alpha"]).first().ok == ok
+    pairs = spark.createDataFrame([(-0.1,), (0.2,), (None,)], "delta_vs_sizematch double")
+    assert E.expect_contrast(pairs, 1, 2).first().ok and not E.expect_contrast(pairs, 2, 2).first().ok
+    suite = E.expect_suite([E.expect_contrast(pairs, 1, 2), E.expect_contrast(pairs, 2, 2)])
+    assert tuple(E.suite_totals(suite).first()) == (1, 1)
+
+
+def test_demand_sweep_groups_settings_by_quantile(spark):
+    rows = spark.createDataFrame([(0.1, "random", 0.2), (0.1, "random", -0.1), (0.9, "random", 0.3)], "q double, protocol string, gap_r_all double")
+    assert {r.q: (r.settings, r.above) for r in D.demand_sweep_gap(rows).collect()} == {0.1: (2, 1), 0.9: (1, 1)}
+
+
+def test_unit_check_counts_disagreements(spark):
+    rows = spark.createDataFrame([(0.5, 1.0), (1.2, 2.0)], "p double, demand double")
+    assert {r.knob: (r.n, r.mismatches) for r in D.unit_check(rows, [0, 50]).collect()} == {0: (2, 0), 50: (2, 0)}
+
+
+def test_missing_inputs_are_noted(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/here.parquet")
+    registered = spark.createDataFrame([("here",), ("absent",)], "name string")
+    got = T.skip_missing_input(registered, T.present_inputs(spark, str(tmp_path)), "name").collect()
+    assert {r.name: r.note for r in got} == {"here": "read", "absent": "skipped: missing"}
 
 
 def test_sources_round_trip(spark, tmp_path):
