@@ -10,7 +10,10 @@ The join never needs all rows of a URL in one task. Time is cut into blocks at q
 within (URL, block), and a summary of one row per (URL, block) carries the last response of earlier blocks.
 
 outcome is "resolved", "mismatch" (a validator differs), "unverified" (none to compare) or "no-response" (none is
-earlier, or the URL is NULL or empty). NULL timestamps resolve nothing. Repeated records are resolved each.
+earlier, or the URL is NULL or empty). NULL timestamps resolve nothing. Records without a URL meet none, so each goes to a task
+by a hash of itself. Repeated records are resolved each. Empty or NULL tags, dates, digests and headers are compared as they
+are (NULL: not at all); values of any length are kept whole. An empty table gives no rows. Extra columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -65,14 +68,15 @@ def resolved(records: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
     rows = rows.withColumn("block", time_blocks(rows, rows_per_block))
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("digest").isNotNull() & F.col("url").isNotNull() & F.col("ts").isNotNull()
     response = F.when(full, F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
-    rows = rows.withColumn("response", response)
-    here = Window.partitionBy("url", "block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    own = F.concat(F.lit("\0"), F.xxhash64("record_id", "ts", "etag", "last_modified", "digest").cast("string"))
+    rows = rows.withColumn("response", response).withColumn("key", F.coalesce("url", own))
+    here = Window.partitionBy("key", "block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("inside", F.max("response").over(here)).where(F.col("kind") == "revisit").drop("response", "kind", "status")
-    ends = rows.where(F.col("response").isNotNull()).groupBy("url", "block").agg(F.max("response").alias("end"))
-    asked = rows.where((F.col("kind") == "revisit") & F.col("url").isNotNull()).select("url", "block").distinct()
-    summary = asked.join(ends, ["url", "block"], "full")
-    carried = summary.select("url", "block", F.max("end").over(Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    found = inside.join(carried, ["url", "block"], "left")
+    ends = rows.where(F.col("response").isNotNull()).groupBy("key", "block").agg(F.max("response").alias("end"))
+    asked = rows.where((F.col("kind") == "revisit") & F.col("url").isNotNull()).select("key", "block").distinct()
+    summary = asked.join(ends, ["key", "block"], "full")
+    carried = summary.select("key", "block", F.max("end").over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    found = inside.join(carried, ["key", "block"], "left")
     match = F.when(F.col("url").isNotNull() & F.col("ts").isNotNull(), F.coalesce("inside", "carried"))
     return checked(found.withColumn("m", match))
 

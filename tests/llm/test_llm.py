@@ -659,6 +659,7 @@ def test_revisit_rules(spark):
         (5, "revisit", "http://a.org/x", 31, 304, '"9"', None, h, None), (6, "revisit", None, 31, 304, None, None, None, None), (7, "revisit", "http://a.org/x", None, 304, None, None, None, None), (8, "revisit", "http://a.org/x", 32, 304, None, None, None, None),
     ]
     df = spark.createDataFrame(rows, "record_id long, kind string, url string, ts long, status int, etag string, last_modified string, headers array<struct<name:string,value:string>>, digest string")
+    df = df.withColumns({"key": F.lit("k"), "block": F.lit(9), "m": F.lit(1), "inside": F.lit(2)})  # names of the operator's own
     for per_block in (10_000, 1):
         got = {r.record_id: r for r in revisits.resolved(df, per_block).collect()}
         assert {k: r.outcome for k, r in got.items()} == {3: "resolved", 4: "no-response", 5: "mismatch", 6: "no-response", 7: "no-response", 8: "unverified"}
