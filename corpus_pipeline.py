@@ -54,7 +54,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
 
-#: No stage can be stated in SQL: tests hold each against a brute-force version.
+#: No stage can be stated in SQL. Tests hold the near-duplicate stage against all pairs of texts, and the scores and the packing
+#: behind the other stages against plain recomputations.
 ORACLE_SQL = None
 
 
