@@ -48,6 +48,8 @@ ROUNDS = 3
 #: Parts of the weights, each averaged by a task of its own.
 PARTS = 32
 RATE = 0.02
+#: Rows of states whose class probabilities are worked out at once.
+SLAB = 512
 FLUSH = 400_000
 
 
@@ -128,7 +130,12 @@ class Lexicon:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1.0)
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class ClassGru:
@@ -158,28 +165,40 @@ class ClassGru:
     def step(self, gates: np.ndarray, h: np.ndarray):
         n = HIDDEN
         a = h @ self.w["u"]
-        z = sigmoid(gates[:, :n] + a[:, :n])
-        r = sigmoid(gates[:, n : 2 * n] + a[:, n : 2 * n])
-        m = np.tanh(gates[:, 2 * n :] + r * a[:, 2 * n :])
-        return z, r, m, a, m + z * (h - m)
+        zr = sigmoid(gates[:, : 2 * n] + a[:, : 2 * n])
+        z, r = zr[:, :n], zr[:, n:]
+        m = r * a[:, 2 * n :]
+        m += gates[:, 2 * n :]
+        np.tanh(m, out=m)
+        new = h - m
+        new *= z
+        new += m
+        return z, r, m, a, new
 
     def word_logs(self, h: np.ndarray, cls: np.ndarray, place: np.ndarray, gradient: bool = False):
         """Natural-log probability of each token given the state before it; with gradient, also d/dh and weight gradients."""
-        w = self.w
-        p = h @ w["c"]
-        p += w["cb"]
-        p -= p.max(axis=1, keepdims=True)
-        row = np.arange(len(h))
-        out = p[row, cls]
-        np.exp(p, out=p)
-        total = p.sum(axis=1, keepdims=True)
-        out -= np.log(total[:, 0])
-        grads = None
+        w, n = self.w, len(h)
+        out, grads = np.empty(n, h.dtype), None
         if gradient:
-            p /= total
-            p[row, cls] -= 1
-            grads = {"c": h.T @ p, "cb": p.sum(axis=0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
-            dh = p @ w["c"].T
+            grads = {k: np.zeros_like(w[k]) for k in ("c", "cb", "w", "wb")}
+            dh = np.empty_like(h)
+        slab = np.empty((SLAB, w["c"].shape[1]), h.dtype)
+        ones = np.ones(w["c"].shape[1], h.dtype)
+        for s in range(0, n, SLAB):  # what the class softmax works on stays in a core's cache
+            hs, cs = h[s : s + SLAB], cls[s : s + SLAB]
+            p, row = np.matmul(hs, w["c"], out=slab[: len(hs)]), np.arange(len(hs))
+            p += w["cb"]
+            p -= p.max(axis=1, keepdims=True)
+            at = p[row, cs]
+            np.exp(p, out=p)
+            total = p @ ones
+            out[s : s + SLAB] = at - np.log(total)
+            if gradient:
+                p /= total[:, None]
+                p[row, cs] -= 1
+                grads["c"] += hs.T @ p
+                grads["cb"] += p.sum(axis=0)
+                np.matmul(p, w["c"].T, out=dh[s : s + SLAB])
         short = np.flatnonzero(place >= 0)
         order = short[np.argsort(cls[short], kind="stable")]
         found, starts = np.unique(cls[order], return_index=True)
@@ -391,7 +410,7 @@ def scores(docs: DataFrame, is_train) -> DataFrame:
         worker_state()
         model, names = ClassGru(words).load(weights.value), [c.split()[0] for c in ROWS.split(", ")]
         for batch in batches:
-            for part in chunks(batch, "text", 4_000_000):
+            for part in chunks(batch, "text", 16_000_000):
                 ids, hashes = part.column(0), part.column(2)
                 parsed = [words.ids(tokens(t)) for t in as_bytes(part.column(1))]
                 logs = model.scores([p[0] for p in parsed])
