@@ -46,6 +46,8 @@ MOST_HEAVY = 20_000
 #: Hashes whose bits are counted at once, and pairs compared at once.
 HASHES = 200_000
 PAIRS = 1_000_000
+#: Links that one task settles at once.
+SETTLED = 200_000
 #: Fixed values of a 64-bit finaliser (splitmix64), which derives further hashes from one.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -415,7 +417,7 @@ def contracted(edges: DataFrame) -> DataFrame:
                 ra, rb = root(a), root(b)
                 if ra != rb:
                     up[max(ra, rb)] = min(ra, rb)
-            if len(up) > 300_000:
+            if len(up) > 2 * SETTLED + 100_000:
                 yield out()
                 up.clear()
         yield out()
@@ -426,13 +428,14 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): the smallest node of the component of every node that has a link.
 
-    Links contract inside partitions, then large-star and small-star steps alternate; each round is written to the shared
-    folder, which cuts lineage. Smallest neighbours are written too, so that a join with a node of very many links
-    has plain shuffles on both sides, which Spark splits where they are skewed.
+    Links contract inside partitions, then large-star and small-star steps alternate until at most SETTLED links are left, which
+    one task joins (few links need no rounds at all). Each round is written to the shared folder, which cuts lineage.
+    Smallest neighbours are written too, so that a join with a node of very many links has plain shuffles on both
+    sides, which Spark splits where they are skewed.
     """
     edges = written(contracted(edges), name)
     before = None
-    while True:
+    while (n := row_count(edges)) > SETTLED:
         both = edges.union(edges.select(F.col("b"), F.col("a")))
         low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
@@ -440,10 +443,13 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         small = large.join(low, "b")
         small = small.select("m", "a").where("a <> m").union(small.select("m", "b")).toDF("a", "b").distinct()
         edges = written(small, name)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        now = (n, *edges.agg(F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+            break
         before = now
+    else:
+        edges = written(contracted(edges.coalesce(1)), name)
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def grouped_rows(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

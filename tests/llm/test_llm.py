@@ -139,6 +139,18 @@ def naive_groups(ids, prints, radius):
     return [min((x for x in members[find(i)] if x is not None), default=None) for i in range(n)]
 
 
+@pytest.mark.parametrize("settled", [0, 200_000])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, settled):
+    """Chains, stars and repeated links, in star rounds alone and settled at once."""
+    monkeypatch.setattr(simhash, "SETTLED", settled)
+    name = lambda i: i.to_bytes(4, "big")
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(60)] + [(200, 201), (201, 200), (200, 201)] + [(40, 100)]
+    df = spark.createDataFrame([(name(min(e)), name(max(e))) for e in edges], "a binary, b binary").repartition(5)
+    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in simhash.components(df).collect()}
+    assert got == {i: 0 if i < 200 else 200 for e in edges for i in e}
+    assert simhash.components(df.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("source", ["odd", "documents"])
 def test_simhash_groups_equal_brute_force(spark, docs, source):
     df = docs if source == "odd" else table(spark, "documents")
