@@ -893,13 +893,15 @@ def suite(spark, d):
     labels = B.rec(spark, d).select("row_id", F.col("src").alias("label"))
     leak = S.split_leak_check(a.where("variant = 'source5'"), labels, ["variant"])
     sizes = a.groupBy("variant", "row_id").agg(F.count(F.lit(1)).alias("k"))
-    m = written(M.control_metrics(B.predictions(spark, d, a=a)), "metrics")
+    predicted = B.predictions(spark, d, a=a)
+    m = written(M.control_metrics(predicted), "metrics")
     p = C.contrast_admissible(C.contrast_pairs(m, spark.createDataFrame(B.HONOURED, "variant string, sizematch string")), verdicts(spark, d, a))
     # Released and unsafe rows of the chosen rules, row by row.
     chosen = written(D.rule_choose(B.candidates(spark, d)), "chosen")
-    rows = B.outer_rows(spark, d).join(chosen, ["outer_fold", "model"]).where("released")
+    outer_rows = written(B.outer_rows(spark, d), "outer-rows")
+    rows = outer_rows.join(chosen, ["outer_fold", "model"]).where("released")
     acts = written(rows.where(D.act_regression(F.col("knob"))).select("outer_fold", "protocol", "alpha", D.unsafe_regression().alias("unsafe")), "acts")
-    outer = written(D.decision_outer(chosen, B.outer_rows(spark, d)), "decisions")
+    outer = written(D.decision_outer(chosen, outer_rows), "decisions")
     settings = outer.select("protocol", "alpha").distinct()
     pooled = settings.join(acts, ["protocol", "alpha"], "left").groupBy("protocol", "alpha").agg(F.count("unsafe").alias("n_released"), F.count_if("unsafe").alias("n_unsafe"))
     sign = F.when(F.col("protocol") == "source", 1).when(F.col("protocol") == "random", -1)
@@ -912,7 +914,7 @@ def suite(spark, d):
     scores = m.where("model = 'ridge'").groupBy().pivot("variant", [v for pair in B.HONOURED for v in pair]).agg(F.first("pooled_r2"))
     worse = scores.select(sum(((F.col(h) < F.col(c)).cast("int") for h, c in B.HONOURED), F.lit(0)).alias("worse"), *[(F.col(h) - F.col(c)).alias(f"d_{h}") for h, c in B.HONOURED]).first()
     ridge = p.where("model = 'ridge'")
-    errors = B.predictions(spark, d, ["source5"]).where("model = 'ridge'").agg(F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)).alias("rmse")).first().rmse
+    errors = predicted.where("variant = 'source5' and model = 'ridge'").agg(F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)).alias("rmse")).first().rmse
     return E.expect_suite(
         [
             E.check(sizes, "each_row_once", F.max("k") == 1, F.max("k")),
