@@ -165,20 +165,29 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]
     return dict(zip(("length", "rank", "each", "bin", "offset"), table_.T))
 
 
-def placed(cut: DataFrame, capacity: int = CAPACITY, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Add sequence_id and offset to pieces (a table that is read, not recomputed, each time)."""
-    spark = cut.sparkSession
-    histogram = {int(r.length): int(r.n) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(plan_bins(histogram, capacity))
+def length_counts(cut: DataFrame) -> dict[int, int]:
+    """Pieces of each length, which are no more than the capacity."""
+    return {int(r.length): int(r.n) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def ranked(cut: DataFrame, histogram: dict[int, int], names: list[str], ties: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """`names` of the pieces and rank (from 0) among the pieces of the same length, in the order of blocks and `ties`."""
     # Each length has blocks of its own number, so that a frequent one is spread and a rare one keeps one block.
-    sizes = spark.createDataFrame([(x, min(MOST_BLOCKS, -(-n // rows_per_block))) for x, n in histogram.items()], "length long, blocks long")
-    cut = cut.join(F.broadcast(sizes), "length").withColumn("block", F.pmod(F.xxhash64(*NAMES, "salt"), "blocks"))
+    sizes = cut.sparkSession.createDataFrame([(x, min(MOST_BLOCKS, -(-n // rows_per_block))) for x, n in histogram.items()], "length long, blocks long")
+    cut = cut.join(F.broadcast(sizes), "length").withColumn("block", F.pmod(F.xxhash64(*ties), "blocks"))
     offsets = cut.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")
     offsets = offsets.select("length", "block", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32", "salt"))
-    ranked = cut.withColumn("within", within).join(offsets, ["length", "block"])
-    ranked = ranked.select(*NAMES, (F.col("before") + F.col("within") - 1).alias("rank"))
+    within = F.row_number().over(Window.partitionBy("length", "block").orderBy(*ties))
+    out = cut.withColumn("within", within).join(offsets, ["length", "block"])
+    return out.select(*names, (F.col("before") + F.col("within") - 1).alias("rank"))
+
+
+def placed(cut: DataFrame, capacity: int = CAPACITY, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Add sequence_id and offset to pieces (a table that is read, not recomputed, each time)."""
+    histogram = length_counts(cut)
+    plan = cut.sparkSession.sparkContext.broadcast(plan_bins(histogram, capacity))
+    pieces_ = ranked(cut, histogram, NAMES, ["doc_id", "piece", "start", "ids_crc32", "salt"], rows_per_block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
@@ -190,7 +199,7 @@ def placed(cut: DataFrame, capacity: int = CAPACITY, rows_per_block: int = ROWS_
             seq, offset = p["bin"][k] + nth // p["each"][k], p["offset"][k] + nth % p["each"][k] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return pieces_.mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -14,9 +14,10 @@ from provaudit.llm.revisits import op1_revisits
 from provaudit.llm.simhash import op9_simhash
 from provaudit.llm.sketch import op2_bottom_k
 from provaudit.llm.spelling import op11_spelling
+from provaudit.llm.tier_packing import op12_tier_packing
 from provaudit.llm.token_counts import op10_token_counts
 from provaudit.llm.toxicity import op7_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_revisits, op2_bottom_k, op3_quality, op4_gru_lm, op5_multi_index, op6_packing, op7_toxicity, op8_bpe_codec, op9_simhash, op10_token_counts, op11_spelling, op13_hard_negatives)}
+QUERIES = {q.__name__: q for q in (op1_revisits, op2_bottom_k, op3_quality, op4_gru_lm, op5_multi_index, op6_packing, op7_toxicity, op8_bpe_codec, op9_simhash, op10_token_counts, op11_spelling, op12_tier_packing, op13_hard_negatives)}
 
 ORACLES: dict[str, str] = {"op1_revisits": REVISITS_SQL, "op13_hard_negatives": HARD_NEGATIVES_SQL}
