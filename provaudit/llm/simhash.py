@@ -13,7 +13,9 @@ grid of tasks. Components follow by star contraction.
 `near_groups` links fingerprints of 64 bits over all shingles within a radius. `near_duplicates` links texts whose
 sets of distinct shingles resemble each other by a given share: the fingerprint then has several words over the distinct
 shingles, each word is searched, candidates within the bits that the resemblance lets expect are joined
-closest first, and every link that is kept has been verified on the two whole sets.
+closest first, and every link that is kept has been verified on the two whole sets. Where the sets refute a link, other
+candidates of the same group were passed over for it; such groups are searched again with the sets at hand, in
+blocks of bounded size, so that no candidate that the sets confirm is lost.
 
 NULL and empty texts have fingerprint zero and link like any other. A component's id is its smallest non-NULL id
 (NULL if it has none). Repeated rows are returned as often as they come, and ids may be NULL or shared. Very long texts
@@ -46,6 +48,8 @@ MOST_HEAVY = 20_000
 #: Hashes whose bits are counted at once, and pairs compared at once.
 HASHES = 200_000
 PAIRS = 1_000_000
+#: Shingle hashes of a block of texts whose links are settled on whole sets.
+SET_HASHES = 1_000_000
 #: Links that one task settles at once.
 SETTLED = 200_000
 #: Fixed values of a 64-bit finaliser (splitmix64), which derives further hashes from one.
@@ -481,8 +485,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Ids may be of any type that has an order. Candidates are within `radius` bits in one of `words` 64-bit words (0.97 of the
     pairs at 0.8, more above) and within four standard deviations of the expected number over all words; each link
-    is verified on the whole sets. In a value's task, candidates are joined closest first and only links between different trees go on to that
-    check, so a chain whose middle is refuted there may lose a link that other tasks do not find.
+    is verified on the whole sets. In a value's task, candidates are joined closest first and only links between different trees
+    go on to that check; groups in which it refutes one are searched again by `settled_links`.
     """
     share, bits = expected_share(similarity), 64 * words
     most = int(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
@@ -514,11 +518,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(texts.mapInArrow(gathered, "node binary, hashes array<long>"), "shingle-sets")
     pairs = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     both = F.size(F.array_intersect("x", "y"))
-    checked = pairs.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")).where(F.col("both") >= F.lit(similarity - 1e-9) * F.col("either"))
-    edges = written(checked.select("a", "b"), "verified")
+    alike = both >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - both)
+    checked = written(pairs.select("a", "b", alike.alias("alike")), "checked")
+    edges = checked.where("alike").select("a", "b")
+    if not checked.where("not alike").isEmpty():
+        edges = written(edges.union(settled_links(nodes, sets, checked, words, most, similarity)), "verified")
     return grouped_rows(prints, nodes, edges).select(F.col("id").alias(id_col), "component_id")
 
 
+def settled_links(nodes: DataFrame, sets: DataFrame, checked: DataFrame, words: int, most: int, similarity: float) -> DataFrame:
+    """Further links (a, b) between nodes of groups of candidates in which a link was refuted.
+
+    nodes: (node, fp, n); sets: (node, hashes); checked: candidates (a, b, alike). All pairs of such a group that are within the bits
+    and not yet joined are held against the sets, closest first, in a grid of blocks of about SET_HASHES hashes.
+    """
+    groups = written(components(checked.select("a", "b"), "candidate-groups"), "candidate-groups")
+    again = groups.join(checked.where("not alike").select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+    trees = components(checked.where("alike").select("a", "b"), "verified-trees").withColumnRenamed("root", "tree")
+    rows = groups.join(again, "root", "left_semi").join(nodes.select("node", "fp", "n"), "node").join(trees, "node", "left")
+    rows = written(rows.select("root", "node", F.coalesce("tree", "node").alias("tree"), "fp", "n"), "again")
+    sides = rows.groupBy("root").agg(F.ceil(F.sum(F.greatest("n", F.lit(100))) / SET_HASHES).cast("int").alias("side"))
+    own = F.pmod(F.xxhash64("node"), F.col("side")).cast("int")
+    dealt = rows.join(sides, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    cells = dealt.select(F.concat_ws("-", F.hex("root"), F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") > F.col("other")).alias("late"), (F.col("own") == F.col("other")).alias("inner"), "node", "tree", "fp")
+    cells = cells.join(sets, "node").select("cell", "late", "inner", "node", "tree", "fp", "hashes")
+
+    def settle(part: pa.Table) -> pa.Table:
+        """Rows of one cell: those of a block and of another (late), or of one block alone (inner)."""
+        node, tree = part.column("node").to_pylist(), part.column("tree").to_pylist()
+        fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+        hashes = [np.asarray(x) for x in part.column("hashes").to_numpy()]
+        late, inner = part.column("late").to_numpy(), part.column("inner").to_numpy()[0]
+        forest = Forest(len(node))
+        first: dict[bytes, int] = {}
+        forest.up = np.array([first.setdefault(t, i) for i, t in enumerate(tree)])
+        left, right = (np.arange(len(node)), np.arange(len(node))) if inner else (np.flatnonzero(~late), np.flatnonzero(late))
+        out, step = [], max(1, PAIRS // max(1, len(right)))
+        for k in range(0, len(left), step):
+            rows_ = left[k : k + step]
+            far = np.zeros((len(rows_), len(right)), np.uint16)
+            for word in fps.T:
+                far += np.bitwise_count(word[rows_][:, None] ^ word[right][None, :])
+            a, b = np.nonzero(far <= most)
+            far, a, b = far[a, b], rows_[a], right[b]
+            keep = (a < b if inner else a != b) & forest.apart(a, b)
+            order = np.argsort(far[keep], kind="stable")
+            for x, y in zip(a[keep][order].tolist(), b[keep][order].tolist()):
+                rx, ry = forest.root(x), forest.root(y)
+                if rx != ry:
+                    u, v = hashes[x], hashes[y]
+                    if min(len(u), len(v)) < (similarity - 1e-9) * max(len(u), len(v)):
+                        continue
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    if both >= (similarity - 1e-9) * (len(u) + len(v) - both):
+                        forest.up[max(rx, ry)] = min(rx, ry)
+                        out.append((min(node[x], node[y]), max(node[x], node[y])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return cells.groupBy("cell").applyInArrow(settle, "a binary, b binary")
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -248,6 +248,54 @@ def test_near_duplicates_near_the_limit(spark):
     assert sum(linked) >= 0.95 * sum(true) > 100
 
 
+def test_near_duplicates_lose_no_link_in_families_and_chains(spark, monkeypatch):
+    """Siblings and chains about the limit: where the sets refute a candidate, those passed over for it are still found."""
+    monkeypatch.setattr(simhash, "SET_HASHES", 3_000)  # groups have several blocks
+    rng, texts_ = np.random.default_rng(12), []
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+
+    def edited(w, spots):
+        v = list(w)
+        for at in rng.choice(len(w) // 5, spots, replace=False) * 5 + 2:
+            v[at] = fresh(1)[0]
+        return v
+
+    for _ in range(40):
+        w = fresh(300)
+        texts_ += [edited(w, int(rng.integers(2, 5))) for _ in range(8)]
+    for _ in range(30):
+        w = fresh(300)
+        for _ in range(8):
+            texts_.append(w)
+            w = edited(w, int(rng.integers(4, 8)))
+    order = rng.permutation(len(texts_))
+    rows = [(k, " ".join(texts_[i])) for k, i in enumerate(order)]
+    hasher = simhash.Hasher(5)
+    sets, _ = simhash.shingle_sets([t.encode() for _, t in rows], hasher)
+    fps = simhash.majority_bits(sets, 2).reshape(-1, 16)
+    share = simhash.expected_share(0.8)
+    most = int(128 * share + 4 * (128 * share * (1 - share)) ** 0.5)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links, lost, root = 0, 0, list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        far = np.unpackbits(fps ^ fps[i], axis=1)
+        met = (np.minimum(far[:, :64].sum(axis=1), far[:, 64:].sum(axis=1)) <= 12) & (far.sum(axis=1) <= most)
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+                links += int(met[j])
+                lost += int(met[j] and got[i] != got[j])
+    assert lost == 0 and links > 500
+    assert all(find(i) == find(got[i]) for i in range(len(rows)))
+
+
 def test_near_duplicates_equal_brute_force(spark, docs):
     """All pairs of whole documents; a text that one line fills is not alike to another that it fills."""
     repeated = [" ".join(["the same five word line"] * 60 + [f"{k}{i}" for i in range(30)]) for k in "ab"]
