@@ -29,6 +29,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ TABLE = 65_536
 SHORTLIST = 1_024
 CLASS_SIZE = 32
 BUCKETS = 64
-HIDDEN = 32
+HIDDEN = 24
 WINDOW = 16
 LANES = 256
 #: Least training tokens of a partition on average, and tokens held at once while training.
@@ -47,6 +48,8 @@ HELD = 500_000
 ROUNDS = 3
 #: Parts of the weights, each averaged by a task of its own.
 PARTS = 32
+#: Groups of partitions whose weights are averaged before those of all.
+SALTS = 256
 RATE = 0.02
 #: Rows of states whose class probabilities are worked out at once.
 SLAB = 512
@@ -272,36 +275,55 @@ class ClassGru:
             h = self.window(x[t : t + WINDOW], start[t : t + WINDOW], real[t : t + WINDOW], h, rate)
 
     def window(self, x, start, real, h, rate):
-        n, w, tape, states = HIDDEN, self.w, [], []
-        for s in range(len(x)):
-            keep = np.where(start[s], 0.0, 1.0).astype(np.float32)[:, None]
-            h = h * keep
-            states.append(h)
-            z, r, m, a, new = self.step(w["x"][x[s]], h)
-            tape.append((z, r, m, a, h, keep))
-            h = new
-        every, mask = np.concatenate(states), real.ravel()
+        n, w, steps = HIDDEN, self.w, len(x)
+        gates, keep = w["x"][x], np.where(start, 0.0, 1.0).astype(np.float32)[:, :, None]
+        before, z, r, m, turned = (np.empty((steps, x.shape[1], n), h.dtype) for _ in range(5))
+        for s in range(steps):
+            h = np.multiply(h, keep[s], out=before[s])
+            zr = h @ w["u"]
+            turned[s] = zr[:, 2 * n :]
+            zr = sigmoid(np.add(zr[:, : 2 * n], gates[s, :, : 2 * n], out=zr[:, : 2 * n]))
+            z[s], r[s] = zr[:, :n], zr[:, n:]
+            np.multiply(r[s], turned[s], out=m[s])
+            m[s] += gates[s, :, 2 * n :]
+            np.tanh(m[s], out=m[s])
+            h = h - m[s]
+            h *= z[s]
+            h += m[s]
+        every, mask = before.reshape(-1, n), real.ravel()
         cls, place = self.lexicon.target(x.ravel())
         rows = np.flatnonzero(mask)
-        _, dh_rows, g = self.word_logs(every[rows], cls[rows], place[rows], True)
-        dh_out = np.zeros_like(every)
-        dh_out[rows] = dh_rows
-        dh_out = dh_out.reshape(len(x), -1, n)
-        dx, das, back = [], [], np.zeros_like(h)
-        for s in range(len(x) - 1, -1, -1):
-            z, r, m, a, before, keep = tape[s]
-            dm, dz = back * (1 - z) * (1 - m * m), back * (before - m) * z * (1 - z)
-            dr = dm * a[:, 2 * n :] * r * (1 - r)
-            da = np.concatenate([dz, dr, dm * r], axis=1)
-            dx.append(np.concatenate([dz, dr, dm], axis=1))
-            das.append(da)
-            back = (back * z + da @ w["u"].T + dh_out[s]) * keep
-        g["u"] = every.T @ np.concatenate(das[::-1])
+        full = len(rows) == len(mask)
+        _, dh_rows, g = self.word_logs(every if full else every[rows], cls if full else cls[rows], place if full else place[rows], True)
+        dh_out = dh_rows
+        if not full:
+            dh_out = np.zeros_like(every)
+            dh_out[rows] = dh_rows
+        dh_out = dh_out.reshape(before.shape)
+        # What a step's gradient is multiplied by, for all steps at once.
+        by_z = (before - m) * z
+        by_z *= 1 - z
+        by_m = (1 - z) * (1 - m * m)
+        turned *= r
+        turned *= 1 - r
+        da, dm, back, u = np.empty((*before.shape[:2], 3 * n), h.dtype), np.empty_like(m), np.zeros_like(h), np.ascontiguousarray(w["u"].T)
+        for s in range(steps - 1, -1, -1):
+            np.multiply(back, by_m[s], out=dm[s])
+            np.multiply(back, by_z[s], out=da[s, :, :n])
+            np.multiply(dm[s], turned[s], out=da[s, :, n : 2 * n])
+            np.multiply(dm[s], r[s], out=da[s, :, 2 * n :])
+            back *= z[s]
+            back += da[s] @ u
+            back += dh_out[s]
+            back *= keep[s]
+        flat = da.reshape(-1, 3 * n)
+        g["u"] = every.T @ flat
+        da[:, :, 2 * n :] = dm
         g["x"] = np.zeros_like(w["x"])
-        at = x[::-1].ravel()
+        at = x.ravel()
         order = np.argsort(at, kind="stable")
         found, starts = np.unique(at[order], return_index=True)
-        g["x"][found] = np.add.reduceat(np.concatenate(dx)[order], starts, axis=0)
+        g["x"][found] = np.add.reduceat(flat[order], starts, axis=0)
         self.adam({k: v / max(1, len(rows)) for k, v in g.items()}, rate)
         return h
 
@@ -319,7 +341,8 @@ class ClassGru:
 def lexicon_of(counts: DataFrame) -> Lexicon:
     """Totals and the most frequent words; at most TABLE rows and the small histograms reach the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    level = F.floor(F.log2("n") * 16).cast("int")  # a histogram of some hundred levels finds where to cut
+    # A histogram of some hundred levels, each in 256 parts by a hash, finds where to cut: words of one count fill the table too.
+    level = (F.floor(F.log2("n") * 16) * 256 + F.pmod(F.xxhash64("word"), F.lit(256))).cast("int")
     sizes = sorted(counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.l)
     cut, room = None, TABLE
     for r in sizes:
@@ -349,6 +372,7 @@ def trained_weights(train_docs: DataFrame, lexicon) -> tuple[bytes, int]:
     turns = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     model = ClassGru(lexicon.value)
     names, shapes = list(model.w), [v.shape for v in model.w.values()]
+    kinds = "part int, salt int, w binary, n long"
     weights, seen = model.dump(), 0
 
     def one_round(shared, turn: int):
@@ -370,7 +394,8 @@ def trained_weights(train_docs: DataFrame, lexicon) -> tuple[bytes, int]:
             if total:
                 flat = np.concatenate([own.w[k].ravel() for k in names]).astype(np.float32)
                 cut = [x.tobytes() for x in np.array_split(flat, PARTS)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(cut, pa.binary()), pa.array([total] * PARTS, pa.int64())], ["part", "w", "n"])
+                salt = TaskContext.get().partitionId() % SALTS
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([salt] * PARTS, pa.int32()), pa.array(cut, pa.binary()), pa.array([total] * PARTS, pa.int64())], ["part", "salt", "w", "n"])
 
         return run
 
@@ -378,12 +403,13 @@ def trained_weights(train_docs: DataFrame, lexicon) -> tuple[bytes, int]:
         found = sorted(zip(rows.column("n").to_pylist(), rows.column("w").to_pylist()))  # sums do not depend on the order of arrival
         n = sum(k for k, _ in found)
         w = sum(np.frombuffer(raw, np.float32).astype(np.float64) * k for k, raw in found) / n
-        return pa.table({"part": rows.column("part")[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+        return pa.table({"part": rows.column("part")[:1], "salt": rows.column("salt")[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
     for turn in range(ROUNDS):
         shared = train_docs.sparkSession.sparkContext.broadcast(weights)
-        fitted = shards.where(turns == turn).mapInArrow(one_round(shared, turn), "part int, w binary, n long")
-        got = sorted(fitted.groupBy("part").applyInArrow(averaged, "part int, w binary, n long").collect(), key=lambda r: r.part)
+        fitted = shards.where(turns == turn).mapInArrow(one_round(shared, turn), kinds)
+        some = fitted.groupBy("part", "salt").applyInArrow(averaged, kinds)  # a tree, so that no task meets all partitions
+        got = sorted(some.groupBy("part").applyInArrow(averaged, kinds).collect(), key=lambda r: r.part)
         if not got:
             continue
         flat = np.frombuffer(b"".join(bytes(r.w) for r in got), np.float32)
@@ -419,10 +445,11 @@ def scores(docs: DataFrame, is_train) -> DataFrame:
                 own = pa.array([f" {d} {h}" for d, h in zip(ids.to_pylist(), hashes.to_pylist())], pa.string())
                 of = lambda values, kind=np.int64: pa.array(np.asarray(values, kind))
                 yield pa.RecordBatch.from_arrays([ids, hashes, own, of([0] * n), of([1] * n), of([len(p[0]) for p in parsed]), of([p[4] for p in parsed]), of([p[2] for p in parsed], np.float64), of(logs + [p[3] for p in parsed], np.float64)], names)
-                rare = pa.array([w for p in parsed for w in p[1]], pa.binary()).cast(pa.string())
-                at, zero = of(np.repeat(np.arange(n), [len(p[1]) for p in parsed])), np.zeros(len(rare), np.int64)
+                unlisted = [Counter(p[1]) for p in parsed]
+                rare = pa.array([w for c in unlisted for w in c], pa.binary()).cast(pa.string())
+                at, zero = of(np.repeat(np.arange(n), [len(c) for c in unlisted])), np.zeros(len(rare), np.int64)
                 none = of(zero, np.float64)
-                yield pa.RecordBatch.from_arrays([ids.take(at), hashes.take(at), rare, of(zero + 1), of(zero), of(zero), of(zero), none, none], names)
+                yield pa.RecordBatch.from_arrays([ids.take(at), hashes.take(at), rare, of([k for c in unlisted for k in c.values()]), of(zero), of(zero), of(zero), none, none], names)
 
     rows = docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, ROWS)
     joined = rows.join(counts.withColumnRenamed("n", "c"), "word", "left")

@@ -553,6 +553,27 @@ def test_language_model_trains_on_every_row(spark):
     assert seen == lexicon.value.total == 9000 * 3 + 2 + 1 + 2 + 2
 
 
+@pytest.mark.parametrize("words", [60_000, 70_000])
+def test_language_model_table_is_filled_by_words_of_one_count(spark, words):
+    counts = spark.range(words).selectExpr("concat('w', id) AS word", "3L AS n")
+    lexicon = gru_lm.lexicon_of(counts)
+    assert 65_000 - 6_000 <= len(lexicon.index) <= gru_lm.TABLE and lexicon.n_short == gru_lm.SHORTLIST
+    assert len(lexicon.index) == words or len(lexicon.index) > 0.99 * gru_lm.TABLE
+
+
+def test_language_model_counts_repeated_rare_words(spark, monkeypatch):
+    """Words outside the table meet their counts once a document, with their number."""
+    monkeypatch.setattr(gru_lm, "TABLE", 4)
+    rows = [(0, "common " * 50 + "rare rare rare other"), (1, "rare rare unseen unseen unseen"), (2, "common common rare"), (2, "common common rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(w for i, t in rows if i != 1 for w in [*t.split(), "\0"])
+    n, v = sum(counts.values()), len(counts)
+    for r in gru_lm.scores(docs, F.col("doc_id") != 1).collect():
+        own = [*rows[r.doc_id][1].split(), "\0"]
+        assert (r.n_tokens, r.n_known) == (len(own), sum(w in counts for w in own))
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
+
+
 def test_language_model_is_a_distribution():
     words = [(f"w{i}".encode(), 100 - i) for i in range(60)] + [(b"", 40)]
     n = np.zeros(gru_lm.BUCKETS)
@@ -625,7 +646,7 @@ def test_language_model_gradients():
         return total / x.size
 
     model.window(x, start, real, np.zeros((8, gru_lm.HIDDEN)), 0.0)
-    for name, at in (("u", (3, 40)), ("x", (int(x[1, 0]), 5)), ("c", (2, 1)), ("w", (0, 4, 3)), ("u", (1, 90))):
+    for name, at in (("u", (3, 40)), ("x", (int(x[1, 0]), 5)), ("c", (2, 1)), ("w", (0, 4, 3)), ("u", (1, 60))):
         old = model.w[name][at]
         model.w[name][at] = old + 1e-5
         up = loss()
