@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests), kept with the context."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    sc = spark.sparkContext
+    if sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not getattr(sc, "_provaudit_folder", None):  # the setting itself cannot be changed in a running session
+        sc._provaudit_folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+    return sc._provaudit_folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
