@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder in spark.checkpoint.dir; a temporary one, kept with the context, only where none is set on a local master."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    sc = spark.sparkContext
+    if sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not getattr(sc, "_provaudit_folder", None):
+        sc._provaudit_folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+    return sc._provaudit_folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
