@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provaudit.functions.ranks import fold_of_rank, hash_rank, ordered, row_hash
+from provaudit.functions.ranks import fold_of_rank, hash_rank, row_hash
 from provaudit.plans.storage import written
 
 #: Share of a fold above which a group is packed on its own.
@@ -98,28 +98,39 @@ def min_groups_guard(rows: DataFrame, relations: list[str], least: int = 3) -> D
     return counts.select(pairs).select("x.relation", "x.groups", (F.col("x.groups") >= least).alias("usable"))
 
 
-def split_size_matched(rows: DataFrame, honoured: DataFrame, seed: int = 1) -> DataFrame:
-    """Random folds of exactly the honoured fold sizes: one permutation cut at their cumulative sums."""
-    sizes = honoured.where("fold is not null").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
-    cuts = ordered(sizes, ["fold"], "n").select("fold", F.col("before").alias("lo"), (F.col("before") + F.col("n")).alias("hi"))
+def split_size_matched(rows: DataFrame, honoured: DataFrame, seed: int = 1, by: list[str] | None = None) -> DataFrame:
+    """Random folds of exactly the honoured fold sizes: one permutation cut at their cumulative sums.
+
+    by: columns of `honoured` that tell several assignments apart; all of them cut the same permutation. An assignment has few
+    folds, each of which has models of its own, so its cuts are made in one task. The honoured table is read once.
+    """
+    by = by or []
+    sizes = written(honoured.where("fold is not null").groupBy(*by, "fold").agg(F.count(F.lit(1)).alias("n")), "fold-sizes")
+    w = Window.partitionBy(*by).orderBy("fold")
+    cuts = sizes.select(*by, "fold", (F.sum("n").over(w) - F.col("n")).alias("lo"), F.sum("n").over(w).alias("hi"))
     # Ranks meet cuts through stretches of ranks, an equi-join: a cut goes to the stretches that it reaches into.
-    step = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // STRETCHES)
+    step = max(1, (cuts.agg(F.max("hi")).first()[0] or 0) // STRETCHES)
     reach = F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))).alias("stretch")
     ranked = hash_rank(rows.select("row_id"), "row_id", seed).withColumn("stretch", F.floor(F.col("rank") / step))
-    return ranked.join(cuts.select("fold", "lo", "hi", reach), "stretch").where("rank >= lo and rank < hi").select("row_id", "fold")
+    return ranked.join(cuts.select(*by, "fold", "lo", "hi", reach), "stretch").where("rank >= lo and rank < hi").select(*by, "row_id", "fold")
 
 
-def split_shuffled_labels(rows: DataFrame, label: str, k: int = 5, seed: int = 2) -> DataFrame:
-    """Negative control: labels dealt to other rows (same sizes), then an honoured split of the dealt labels."""
+def dealt_labels(rows: DataFrame, label: str, seed: int = 2) -> DataFrame:
+    """(row_id, label): every label dealt to another row by two permutations."""
     labels = hash_rank(rows.select("row_id", F.col(label).alias("label")), "row_id", seed, out="r").select("r", "label")
     places = hash_rank(rows.select("row_id"), "row_id", seed + 1, out="r").select("r", "row_id")
-    return split_group_k(places.join(labels, "r").drop("r"), "label", k)
+    return places.join(labels, "r").select("row_id", "label")
+
+
+def split_shuffled_labels(rows: DataFrame, label: str, k: int = 5, seed: int = 2) -> DataFrame:
+    """Negative control: labels dealt to other rows (same sizes), then an honoured split of the dealt labels."""
+    return split_group_k(dealt_labels(rows, label, seed), "label", k)
 
 
 def split_family_holdout(rows: DataFrame, family: str) -> DataFrame:
-    """Each family but the largest is tested once; the largest always trains."""
+    """Each family but the largest is tested once; the largest always trains. A family is a fold, so their order is taken in one task."""
     sizes = rows.groupBy(F.col(family).alias("family")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordered(sizes.withColumn("_minus", -F.col("n")), ["_minus", "family"], "n").select("family", (F.col("place") - 1).alias("fold"))
+    ranked = sizes.select("family", (F.row_number().over(Window.orderBy(F.desc("n"), "family")) - 2).alias("fold"))
     return rows.select("row_id", F.col(family).alias("family")).join(ranked.where("fold >= 0"), "family").select("row_id", "fold")
 
 

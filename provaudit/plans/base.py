@@ -38,41 +38,47 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 VARIANTS = ["random5", "source5", "source5_sm", "combo5", "combo5_sm", "dup5", "dup5_sm", "shuffled5", "holdout", "holdout_sm"]
 
 
-def variants(spark: SparkSession, sf_dir: str, only: list[str]) -> dict[str, DataFrame]:
-    """Assignments of the named variants; what two of them share is made once."""
-    rows, made = rec(spark, sf_dir), {}
-
-    def make(v: str) -> DataFrame:
-        match v:
-            case "random5":
-                return S.split_random_k(rows, K)
-            case "source5":
-                return S.split_group_k(rows, "src", K)
-            case "combo5":
-                return S.split_group_k(rows.withColumn("c", R.combination_key("src", "fam")), "c", K)
-            case "dup5":
-                return S.split_group_k(rows.withColumn("c", R.composite_key("src", "fam", "sz")), "c", K)
-            case "shuffled5":
-                return S.split_shuffled_labels(rows, "src", K)
-            case "holdout":
-                return S.split_family_holdout(rows, "fam")
-            case "holdout_sm":
-                return S.split_family_holdout_sizematch(rows, get("holdout"))
-            case _:
-                return S.split_size_matched(rows, get(v.removesuffix("_sm")))
-
-    def get(v: str) -> DataFrame:
-        if v not in made:
-            made[v] = make(v)
-        return made[v]
-
-    return {v: get(v) for v in only}
+#: Splits that keep a label whole: each label's columns.
+LABELS = {"source5": ("src",), "combo5": ("src", "fam"), "dup5": ("src", "fam", "sz"), "shuffled5": ("src",)}
+
+
+def label_of(v: str) -> F.Column:
+    """The label that a variant keeps whole."""
+    cols = LABELS[v]
+    return F.col(cols[0]) if len(cols) == 1 else (R.combination_key if v == "combo5" else R.composite_key)(*cols)
+
+
+def variants(spark: SparkSession, sf_dir: str, only: list[str]) -> DataFrame:
+    """variant, row_id, fold of the named variants.
+
+    All splits by labels are packed in one set of jobs, with the variant as a key; what size-matched splits are cut after is written
+    once, and one permutation is cut for all of them.
+    """
+    rows = rec(spark, sf_dir)
+    honoured = {v.removesuffix("_sm") for v in only} - {"random5"}
+    labelled = [S.dealt_labels(rows, "src") if v == "shuffled5" else rows.select("row_id", label_of(v).alias("label")) for v in LABELS if v in honoured]
+    named = [df.select(F.lit(v).alias("variant"), "row_id", "label") for v, df in zip([v for v in LABELS if v in honoured], labelled)]
+    parts = []
+    if named:
+        parts.append(S.split_group_k(reduce(DataFrame.unionByName, named), "label", K, ["variant"]))
+    if "holdout" in honoured:
+        parts.append(S.split_family_holdout(rows, "fam").select(F.lit("holdout").alias("variant"), "row_id", F.col("fold").cast("long").alias("fold")))
+    if any(v.endswith("_sm") for v in only):
+        parts = [written(reduce(DataFrame.unionByName, parts), "honoured")]
+    made = list(parts)
+    for seed, some in ((1, ["source5", "combo5", "dup5"]), (3, ["holdout"])):
+        if wanted := [v for v in some if f"{v}_sm" in only]:
+            own = parts[0].where(F.col("variant").isin(wanted))
+            made.append(S.split_size_matched(rows, own, seed, ["variant"]).withColumn("variant", F.concat("variant", F.lit("_sm"))))
+    if "random5" in only:
+        made.append(S.split_random_k(rows, K).select(F.lit("random5").alias("variant"), "row_id", "fold"))
+    out = reduce(DataFrame.unionByName, [df.select("variant", "row_id", F.col("fold").cast("long").alias("fold")) for df in made])
+    return out.where(F.col("variant").isin(only))
 
 
 def assignments(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
     """variant, row_id, fold; written once, as later steps read it several times."""
-    found = variants(spark, sf_dir, only or VARIANTS)
-    return written(reduce(DataFrame.unionByName, [df.select(F.lit(v).alias("variant"), "row_id", F.col("fold").cast("long").alias("fold")) for v, df in found.items()]), "assignments")
+    return written(variants(spark, sf_dir, only or VARIANTS), "assignments")
 
 
 def structure(spark: SparkSession, sf_dir: str, only: list[str] | None = None, a: DataFrame | None = None) -> DataFrame:
@@ -110,15 +116,15 @@ def outer_predictions(rows: DataFrame, outer: DataFrame) -> DataFrame:
     return L.learn_dummy_mean(rows, a).unionByName(L.learn_ridge1(rows, a)).withColumnRenamed("fold", "outer_fold").drop("variant")
 
 
-def inner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """outer_fold, protocol, model, row_id, y, p, demand, unsafe for the inner folds."""
-    _, inner, train = nested(spark, sf_dir)
+def inner_rows(spark: SparkSession, sf_dir: str, design: tuple | None = None) -> DataFrame:
+    """outer_fold, protocol, model, row_id, y, p, demand, unsafe for the inner folds. design: what `nested` gives, if at hand."""
+    _, inner, train = design or nested(spark, sf_dir)
     return inner_predictions(train, inner).join(D.demand_quantile(train, ["outer_fold"]), "outer_fold").withColumn("unsafe", D.unsafe_regression())
 
 
-def outer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def outer_rows(spark: SparkSession, sf_dir: str, design: tuple | None = None) -> DataFrame:
     """outer_fold, model, row_id, y, p, demand for the outer folds."""
-    outer, _, train = nested(spark, sf_dir)
+    outer, _, train = design or nested(spark, sf_dir)
     return outer_predictions(log_rec(spark, sf_dir), outer).join(D.demand_quantile(train, ["outer_fold"]), "outer_fold")
 
 
@@ -134,22 +140,23 @@ def demand_sweep(spark: SparkSession, sf_dir: str, quantiles: list[float]) -> Da
     return D.decision_outer(chosen, realised_rows, ["q"])
 
 
-def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.risk_curve(inner_rows(spark, sf_dir), ["outer_fold", "protocol", "model"], KNOBS, D.act_regression)
+def curve(spark: SparkSession, sf_dir: str, design: tuple | None = None) -> DataFrame:
+    return D.risk_curve(inner_rows(spark, sf_dir, design), ["outer_fold", "protocol", "model"], KNOBS, D.act_regression)
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(D.rule_candidates(curve(spark, sf_dir)), "candidates")
+def candidates(spark: SparkSession, sf_dir: str, design: tuple | None = None) -> DataFrame:
+    return written(D.rule_candidates(curve(spark, sf_dir, design)), "candidates")
 
 
 def realised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(D.decision_outer(D.rule_choose(candidates(spark, sf_dir)), outer_rows(spark, sf_dir)), "decisions")
+    design = nested(spark, sf_dir)
+    return written(D.decision_outer(D.rule_choose(candidates(spark, sf_dir, design)), outer_rows(spark, sf_dir, design)), "decisions")
 
 
-def inner_verdicts(spark: SparkSession, sf_dir: str):
+def inner_verdicts(spark: SparkSession, sf_dir: str, design: tuple | None = None):
     from provaudit.operators.admissibility import inner_admissibility
 
-    _, inner, _ = nested(spark, sf_dir)
+    _, inner, _ = design or nested(spark, sf_dir)
     return inner_admissibility(inner, rec(spark, sf_dir).select("row_id", F.col("src").alias("label")))
 
 

@@ -228,7 +228,7 @@ MISSING = "gap AS (SELECT row_id, fold, CASE WHEN row_id % 9 <> 0 THEN x END AS
 
 def gap_rows(spark, d):
     rows = B.rec(spark, d).select("row_id", F.when(F.col("row_id") % 9 != 0, F.col("x")).alias("x"))
-    return rows.join(B.variants(spark, d, ["random5"])["random5"], "row_id")
+    return rows.join(B.variants(spark, d, ["random5"]).drop("variant"), "row_id")
 
 
 @query(", " + MISSING + " SELECT row_id, fold, round(coalesce(x, med), 6) AS x FROM gap JOIN st USING (fold)")
@@ -246,7 +246,7 @@ def train_standardise(spark, d):
 for _name, _variant in [("split_random_k", "random5"), ("split_group_k", "source5"), ("split_size_matched", "source5_sm"), ("split_combination", "combo5"), ("split_duplication_key", "dup5"), ("split_shuffled_labels", "shuffled5"), ("split_family_holdout", "holdout"), ("split_family_holdout_sizematch", "holdout_sm")]:
 
     def _split(spark, d, v=_variant):
-        return B.variants(spark, d, [v])[v].select("row_id", F.col("fold").cast("long").alias("fold"))
+        return B.variants(spark, d, [v]).select("row_id", "fold")
 
     _split.__name__ = _name
     query(f"SELECT row_id, fold::BIGINT AS fold FROM a_{_variant}")(_split)
@@ -569,7 +569,7 @@ def classified(spark, d):
 @query()
 def score_refit(spark, d):
     rows = ml_rows(spark, d)
-    return L.score_refit(rows, B.variants(spark, d, ["source5"])["source5"], ["x", "sz"])
+    return L.score_refit(rows, B.variants(spark, d, ["source5"]).drop("variant"), ["x", "sz"])
 
 
 # Metrics
@@ -841,11 +841,13 @@ AUDIT = """CASE WHEN live THEN 'select' ELSE 'refuse' END AS "A_mode", CASE WHEN
 
 @query(f"SELECT {POLICY}, {AUDIT} FROM pol")
 def policy_audit(spark, d):
-    return P.policy_audit(B.candidates(spark, d), B.inner_verdicts(spark, d))
+    design = B.nested(spark, d)
+    return P.policy_audit(B.candidates(spark, d, design), B.inner_verdicts(spark, d, design))
 
 
 def compared(spark, d):
-    return P.policy_compare(B.candidates(spark, d), B.inner_verdicts(spark, d))
+    design = B.nested(spark, d)
+    return P.policy_compare(B.candidates(spark, d, design), B.inner_verdicts(spark, d, design))
 
 
 @query(f'SELECT {POLICY}, n_candidates, n_feasible, G_mode AS "G_mode", G_model AS "G_model", G_knob::INT AS "G_knob", G_released AS "G_released", G_unsafe AS "G_unsafe", {AUDIT}, live AS same_choice FROM pol')
@@ -897,8 +899,9 @@ def suite(spark, d):
     m = written(M.control_metrics(predicted), "metrics")
     p = C.contrast_admissible(C.contrast_pairs(m, spark.createDataFrame(B.HONOURED, "variant string, sizematch string")), verdicts(spark, d, a))
     # Released and unsafe rows of the chosen rules, row by row.
-    chosen = written(D.rule_choose(B.candidates(spark, d)), "chosen")
-    outer_rows = written(B.outer_rows(spark, d), "outer-rows")
+    design = B.nested(spark, d)
+    chosen = written(D.rule_choose(B.candidates(spark, d, design)), "chosen")
+    outer_rows = written(B.outer_rows(spark, d, design), "outer-rows")
     rows = outer_rows.join(chosen, ["outer_fold", "model"]).where("released")
     acts = written(rows.where(D.act_regression(F.col("knob"))).select("outer_fold", "protocol", "alpha", D.unsafe_regression().alias("unsafe")), "acts")
     outer = written(D.decision_outer(chosen, outer_rows), "decisions")
