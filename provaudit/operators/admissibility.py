@@ -56,7 +56,7 @@ def min_feasible_bound(groups: DataFrame, ks: DataFrame) -> DataFrame:
 
 
 def inner_admissibility(inner: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bounds and group certificate of every inner split (outer_fold, protocol, row_id, fold)."""
+    """Bounds and group certificate of every inner split (outer_fold, protocol, row_id, fold). labels: (row_id, label)."""
     by = ["outer_fold", "protocol"]
     n = inner.groupBy(*by).agg(F.count(F.lit(1)).alias("n_train"))
     folds = inner.join(labels, "row_id").groupBy(*by, "fold").agg(F.count(F.lit(1)).alias("n_test"), F.countDistinct("label").alias("g"))

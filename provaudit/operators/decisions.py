@@ -1,7 +1,9 @@
 """Release decisions: rules chosen on inner folds, realised on outer folds.
 
-Inner and outer predictions carry (outer_fold, protocol, model, row_id, y, p) with y and p on the log scale. Counts stay
-integers, so targets and ties are compared exactly.
+Every table has the dimensions (scenario, action_set). A regression scenario acts by a margin on (outer_fold, protocol, model, row_id,
+y, p), y and p on the log scale; a category scenario acts by confidence on (..., y, label, confidence), with an action set that
+releases whatever is confident and one that never releases what is predicted to be designated. Counts stay integers, so
+targets and ties are compared exactly.
 """
 
 from __future__ import annotations
@@ -10,7 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SETTING = ["outer_fold", "protocol"]
+SETTING = ["scenario", "action_set", "outer_fold", "protocol"]
+#: Keys of pooled tables: all of a setting but the fold, and the target.
+POOLED = ["scenario", "action_set", "protocol", "alpha"]
+#: Names of the action sets.
+MARGIN, CONFIDENT, NOT_DESIGNATED = "act_on_margin", "act_on_confidence", "release_when_not_designated"
 ALPHAS = [5, 10, 20]
 
 
@@ -41,6 +47,20 @@ def act_not_designated(knob: Column, designated: Column) -> Column:
     return act_confidence(knob) & (F.col("label") != designated)
 
 
+def unsafe_category(designated: Column) -> Column:
+    return F.col("y") == designated
+
+
+def act_category(knob: Column, designated: Column) -> Column:
+    """The condition of the row's own action set."""
+    return F.when(F.col("action_set") == CONFIDENT, act_confidence(knob)).otherwise(act_not_designated(knob, designated))
+
+
+def with_action_sets(rows: DataFrame) -> DataFrame:
+    """Rows of a category scenario once for either action set."""
+    return rows.withColumn("action_set", F.explode(F.array(F.lit(CONFIDENT), F.lit(NOT_DESIGNATED))))
+
+
 def by_rule(rows: DataFrame, by: list[str], knobs: list[int], counts: dict) -> DataFrame:
     """by, knob and counts of every rule: one aggregation with a few columns a rule, so rows times rules never exist.
 
@@ -113,31 +133,31 @@ def rule_choose(candidates: DataFrame, by: list[str] | None = None) -> DataFrame
     return out.select(*by, "released", F.coalesce("n_feasible", F.lit(0)).alias("n_feasible"), F.col("r.model").alias("model"), F.col("r.knob").alias("knob"), F.col("r.r_all").alias("inner_r_all"), F.col("r.coverage").alias("inner_coverage"))
 
 
-def decision_outer(chosen: DataFrame, outer: DataFrame, also: list[str] | None = None) -> DataFrame:
-    """What each chosen rule does on the outer test rows. outer: (outer_fold, model, y, p, demand); also: further keys of both."""
+def decision_outer(chosen: DataFrame, outer: DataFrame, also: list[str] | None = None, act=act_regression, unsafe: Column | None = None) -> DataFrame:
+    """What each chosen rule does on the outer test rows. outer: (outer_fold, model, ...) with what act(knob) and unsafe read; also: further keys of both."""
     also = also or []
     rows = chosen.join(outer, [*also, "outer_fold", "model"])
-    acted = rows.withColumns({"act": F.col("released") & act_regression(F.col("knob")), "unsafe": unsafe_regression()})
+    acted = rows.withColumns({"act": F.col("released") & act(F.col("knob")), "unsafe": unsafe_regression() if unsafe is None else unsafe})
     blocks = risk_block(acted, [*also, *SETTING, "alpha", "released", "n_feasible", "model", "knob", "inner_r_all", "inner_coverage"])
     return blocks.withColumns({"gap_r_all": F.col("r_all") - F.col("inner_r_all"), "target_met": F.col("n_unsafe") * 100 <= F.col("alpha") * F.col("n_test")})
 
 
 def decision_fold_means(outer: DataFrame, by: list[str] | None = None) -> DataFrame:
-    by = by or ["protocol", "alpha"]
+    by = by or POOLED
     return outer.groupBy(*by).agg(
         F.avg("inner_r_all").alias("estimate"), F.avg("r_all").alias("realised"), F.avg("gap_r_all").alias("gap"), F.count_if(F.col("gap_r_all") > 0).alias("folds_above_estimate"), F.count_if("target_met").alias("folds_meeting"), F.avg("coverage").alias("mean_coverage"), F.avg("r_released").alias("mean_r_released")
     )
 
 
 def decision_pooled(outer: DataFrame, by: list[str] | None = None) -> DataFrame:
-    by = by or ["protocol", "alpha"]
+    by = by or POOLED
     sums = outer.groupBy(*by).agg(F.sum("n_test").alias("n_test"), F.sum("n_released").alias("n_released"), F.sum("n_unsafe").alias("n_unsafe"))
     return with_rates(sums)
 
 
 def identity_check(outer: DataFrame, by: list[str] | None = None) -> DataFrame:
     """r_all = coverage * r_released: what is left of it pooled, and over means of folds."""
-    by = by or ["protocol", "alpha"]
+    by = by or POOLED
     pooled = decision_pooled(outer, by).select(*by, (F.col("r_all") - F.col("coverage") * F.col("r_released")).alias("pooled_gap"))
     means = outer.groupBy(*by).agg((F.avg("r_all") - F.avg("coverage") * F.avg("r_released")).alias("mean_gap"))
     return pooled.join(means, by)
@@ -145,7 +165,7 @@ def identity_check(outer: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def protocol_compare(outer: DataFrame) -> DataFrame:
     """Pooled realised risk by protocol for each target, in rows and as a difference."""
-    p = decision_pooled(outer).groupBy("alpha").pivot("protocol", ["random", "source"]).agg(F.first("r_all"))
+    p = decision_pooled(outer).groupBy("scenario", "action_set", "alpha").pivot("protocol", ["random", "source"]).agg(F.first("r_all"))
     return p.withColumn("difference", F.col("source") - F.col("random")).withColumn("better", F.col("source") < F.col("random"))
 
 
@@ -163,14 +183,14 @@ def coverage_monotone(chosen: DataFrame) -> DataFrame:
     """Settings in which the chosen rule's inner coverage falls as the target loosens."""
     w = Window.partitionBy(*SETTING).orderBy("alpha")
     rows = chosen.where("released").withColumn("before", F.lag("inner_coverage").over(w))
-    return rows.groupBy("protocol").agg(F.count("before").alias("steps"), F.count_if(F.col("inner_coverage") < F.col("before")).alias("decreases"))
+    return rows.groupBy("scenario", "action_set", "protocol").agg(F.count("before").alias("steps"), F.count_if(F.col("inner_coverage") < F.col("before")).alias("decreases"))
 
 
 def gap_extreme(outer: DataFrame) -> DataFrame:
     """The largest optimistic gap of each protocol and where it is."""
     at = F.struct("gap_r_all", (-F.col("outer_fold")).alias("f"), (-F.col("alpha")).alias("a"))
-    out = outer.groupBy("protocol").agg(F.max(at).alias("m"))
-    return out.select("protocol", F.col("m.gap_r_all").alias("gap"), (-F.col("m.f")).alias("outer_fold"), (-F.col("m.a")).alias("alpha"))
+    out = outer.groupBy("scenario", "action_set", "protocol").agg(F.max(at).alias("m"))
+    return out.select("scenario", "action_set", "protocol", F.col("m.gap_r_all").alias("gap"), (-F.col("m.f")).alias("outer_fold"), (-F.col("m.a")).alias("alpha"))
 
 
 def demand_sweep_gap(outers: DataFrame) -> DataFrame:

@@ -82,6 +82,51 @@ def learn_ridge(rows: DataFrame, assignment: DataFrame, features: list[str], alp
     return joined.select(*by, F.lit("ridge").alias("model"), "fold", "row_id", "y", p.alias("p"))
 
 
+def class_log_scores(rows: DataFrame, assignment: DataFrame, features: list[str], classes: list, by: list[str], scope: list[str]) -> DataFrame:
+    """Each tested row with (n, mean, variance) of its fold's training rows by class; classes in falling order of preference."""
+    own = lambda c, v: F.when(F.col("y") == F.lit(c), v).otherwise(F.lit(0.0))
+    sums = {}
+    for i, c in enumerate(classes):
+        sums[f"n{i}"] = F.when(F.col("y") == F.lit(c), 1).otherwise(0)
+        for j, x in enumerate(features):
+            sums |= {f"s{i}_{j}": own(c, F.col(x)), f"q{i}_{j}": own(c, F.col(x) * F.col(x))}
+    on = [*scope, "row_id"]
+    fit = complement(rows, assignment, sums, by, scope)
+    return rows.select(*on, "y", *features).join(assignment, on).join(fit, [*by, "fold"])
+
+
+#: Added to every variance, so that a constant feature has one.
+LEAST_VARIANCE = 1e-6
+
+
+def learn_class_probabilities(rows: DataFrame, assignment: DataFrame, features: list[str], classes: list, by: list[str] | None = None, scope: list[str] | None = None) -> DataFrame:
+    """Out-of-fold label and confidence of two classifiers: Gaussian naive Bayes ("bayes") and the training shares ("prior").
+
+    rows: (row_id, y, features...), y one of `classes`, a short list. Training moments of each class are totals less the
+    fold's own, one pass for all folds. A class without training rows is never predicted; ties go to the class listed
+    first; confidence, the largest probability, is rounded to six places, so that thresholds see the same number everywhere.
+    """
+    by, scope = by or ["variant"], scope or []
+    joined = class_log_scores(rows, assignment, features, classes, by, scope)
+    total = sum([F.col(f"n{i}") for i in range(1, len(classes))], F.col("n0"))
+
+    def log_score(i: int, used: list[str]) -> Column:
+        n, out = F.col(f"n{i}"), F.log(F.col(f"n{i}") / total)
+        for j, x in enumerate(used):
+            mean = F.col(f"s{i}_{j}") / n
+            var = F.greatest(F.lit(0.0), F.col(f"q{i}_{j}") / n - mean * mean) + F.lit(LEAST_VARIANCE)
+            out = out - (F.log(var) + (F.col(x) - mean) * (F.col(x) - mean) / var) / 2
+        return F.when(n > 0, out)
+
+    def predicted(model: str, used: list[str]) -> DataFrame:
+        scored = joined.withColumn("_l", F.array(*[log_score(i, used) for i in range(len(classes))])).withColumn("_m", F.array_max("_l"))
+        odds = F.aggregate(F.filter("_l", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_m")))
+        label = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("_l", F.col("_m")).cast("int"))
+        return scored.where("_m is not null").select(*by, F.lit(model).alias("model"), "fold", "row_id", "y", label.alias("label"), F.round(1 / odds, 6).alias("confidence"))
+
+    return predicted("bayes", features).unionByName(predicted("prior", []))
+
+
 def oof_predict(rows: DataFrame, assignment: DataFrame, features: list[str], make, name: str, read) -> DataFrame:
     """Fit a Spark ML learner for every (variant, fold) and predict its test rows.
 

@@ -15,6 +15,7 @@ from provaudit.operators import decisions as D
 from provaudit.operators import learners as L
 from provaudit.operators import relations as R
 from provaudit.operators import splits as S
+from provaudit.operators.admissibility import inner_admissibility
 from provaudit.plans.storage import written
 from provaudit.session import read_table
 
@@ -116,6 +117,63 @@ def outer_predictions(rows: DataFrame, outer: DataFrame) -> DataFrame:
     return L.learn_dummy_mean(rows, a).unionByName(L.learn_ridge1(rows, a)).withColumnRenamed("fold", "outer_fold").drop("variant")
 
 
+#: Scenarios: a release by a margin on parts, and screening of labelled documents by category.
+RELEASE, CATEGORY = "release", "category"
+#: Categories of documents (toxic, poor, good), of which the first is the designated one; confidences in hundredths; features.
+CATEGORIES, DESIGNATED = [0, 1, 2], 0
+CONFIDENCES = list(range(0, 101, 20))
+MARKS = ["upper", "marks", "size"]
+
+
+def category_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as records: row_id, y (category), src, and three features of the whole text."""
+    labels = read_table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
+    docs = read_table(spark, sf_dir, "documents").join(labels, "doc_id")
+    size = F.greatest(F.lit(1), F.length("text"))
+    y = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    share = lambda pattern: F.regexp_count("text", F.lit(pattern)) / size
+    return docs.select(F.col("doc_id").alias("row_id"), y.alias("y"), F.col("source").alias("src"), share("[A-Z]").alias("upper"), share("[!#$%&*|]").alias("marks"), F.log(size).alias("size"))
+
+
+def category_design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outer assignment, inner assignment, outer training rows) of the category scenario."""
+    rows = written(category_rec(spark, sf_dir), "category-records")
+    outer = written(S.split_group_k(rows, "src", K), "category-outer")
+    inner = written(S.split_nested(rows, outer, "src", INNER_K), "category-inner")
+    train = inner.where("protocol = 'random'").select("outer_fold", "row_id").join(rows, "row_id")
+    return outer, inner, train
+
+
+def category_inner(design: tuple) -> DataFrame:
+    """outer_fold, protocol, model, fold, row_id, y, label, confidence out of the inner folds."""
+    _, inner, train = design
+    return L.learn_class_probabilities(train, inner, MARKS, CATEGORIES, ["outer_fold", "protocol"], ["outer_fold"])
+
+
+def category_outer(spark: SparkSession, sf_dir: str, design: tuple) -> DataFrame:
+    """outer_fold, model, row_id, y, label, confidence of the outer folds."""
+    a = design[0].withColumn("variant", F.lit("outer"))
+    return L.learn_class_probabilities(category_rec(spark, sf_dir), a, MARKS, CATEGORIES).withColumnRenamed("fold", "outer_fold").drop("variant")
+
+
+def category_acts(knob: F.Column) -> F.Column:
+    return D.act_category(knob, F.lit(DESIGNATED))
+
+
+def category_curve(design: tuple) -> DataFrame:
+    rows = D.with_action_sets(category_inner(design)).withColumns({"scenario": F.lit(CATEGORY), "unsafe": D.unsafe_category(F.lit(DESIGNATED))})
+    return D.risk_curve(rows, [*D.SETTING, "model"], CONFIDENCES, category_acts)
+
+
+def as_release(df: DataFrame) -> DataFrame:
+    return df.withColumns({"scenario": F.lit(RELEASE), "action_set": F.lit(D.MARGIN)})
+
+
+def designs(spark: SparkSession, sf_dir: str) -> dict[str, tuple]:
+    """The nested design of each scenario."""
+    return {RELEASE: nested(spark, sf_dir), CATEGORY: category_design(spark, sf_dir)}
+
+
 def inner_rows(spark: SparkSession, sf_dir: str, design: tuple | None = None) -> DataFrame:
     """outer_fold, protocol, model, row_id, y, p, demand, unsafe for the inner folds. design: what `nested` gives, if at hand."""
     _, inner, train = design or nested(spark, sf_dir)
@@ -134,30 +192,43 @@ def demand_sweep(spark: SparkSession, sf_dir: str, quantiles: list[float]) -> Da
     demand = D.demand_quantile(train, ["outer_fold"], quantiles)
     demand = written(demand.select("outer_fold", F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in quantiles]).alias("q"), F.col("demand").alias("demand"))).alias("x")).select("outer_fold", "x.q", "x.demand"), "demands")
     rows = inner_predictions(train, inner).join(demand, "outer_fold").withColumn("unsafe", D.unsafe_regression())
-    rules = D.rule_candidates(D.risk_curve(rows, ["q", "outer_fold", "protocol", "model"], KNOBS, D.act_regression))
+    rules = D.rule_candidates(D.risk_curve(as_release(rows), ["q", *D.SETTING, "model"], KNOBS, D.act_regression))
     chosen = D.rule_choose(written(rules, "candidates"), ["q", *D.SETTING, "alpha"])
     realised_rows = outer_predictions(log_rec(spark, sf_dir), outer).join(demand, "outer_fold")
     return D.decision_outer(chosen, realised_rows, ["q"])
 
 
-def curve(spark: SparkSession, sf_dir: str, design: tuple | None = None) -> DataFrame:
-    return D.risk_curve(inner_rows(spark, sf_dir, design), ["outer_fold", "protocol", "model"], KNOBS, D.act_regression)
+def curve(spark: SparkSession, sf_dir: str, made: dict[str, tuple] | None = None) -> DataFrame:
+    """The risk curve of every setting of both scenarios. made: what `designs` gives, if at hand."""
+    made = made or designs(spark, sf_dir)
+    release = D.risk_curve(as_release(inner_rows(spark, sf_dir, made[RELEASE])), [*D.SETTING, "model"], KNOBS, D.act_regression)
+    return release.unionByName(category_curve(made[CATEGORY]))
 
 
-def candidates(spark: SparkSession, sf_dir: str, design: tuple | None = None) -> DataFrame:
-    return written(D.rule_candidates(curve(spark, sf_dir, design)), "candidates")
+def candidates(spark: SparkSession, sf_dir: str, made: dict[str, tuple] | None = None) -> DataFrame:
+    return written(D.rule_candidates(curve(spark, sf_dir, made)), "candidates")
 
 
-def realised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    design = nested(spark, sf_dir)
-    return written(D.decision_outer(D.rule_choose(candidates(spark, sf_dir, design)), outer_rows(spark, sf_dir, design)), "decisions")
+def realise(spark: SparkSession, sf_dir: str, chosen: DataFrame, made: dict[str, tuple]) -> DataFrame:
+    """What chosen rules of both scenarios do on the outer folds."""
+    release = D.decision_outer(chosen.where(F.col("scenario") == RELEASE), outer_rows(spark, sf_dir, made[RELEASE]))
+    category = D.decision_outer(chosen.where(F.col("scenario") == CATEGORY), category_outer(spark, sf_dir, made[CATEGORY]), act=category_acts, unsafe=D.unsafe_category(F.lit(DESIGNATED)))
+    return release.unionByName(category)
 
 
-def inner_verdicts(spark: SparkSession, sf_dir: str, design: tuple | None = None):
-    from provaudit.operators.admissibility import inner_admissibility
+def realised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = designs(spark, sf_dir)
+    return written(realise(spark, sf_dir, written(D.rule_choose(candidates(spark, sf_dir, made)), "chosen"), made), "decisions")
+
 
-    _, inner, _ = design or nested(spark, sf_dir)
-    return inner_admissibility(inner, rec(spark, sf_dir).select("row_id", F.col("src").alias("label")))
+def inner_verdicts(spark: SparkSession, sf_dir: str, made: dict[str, tuple] | None = None) -> DataFrame:
+    """Verdicts on the inner splits of both scenarios."""
+    made = made or designs(spark, sf_dir)
+    out = []
+    for scenario, (_, inner, train) in made.items():
+        labels = train.select("row_id", F.col("src").alias("label")).distinct()
+        out.append(inner_admissibility(inner, labels).withColumn("scenario", F.lit(scenario)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +290,18 @@ MODELS = """
 {p} AS (SELECT {by}, m.model, a.fold, r.row_id, r.y, CASE WHEN m.model = 'dummy' THEN f.my ELSE f.my + (r.x - f.mx) / f.sd * ((f.sxy - f.n * f.mx * f.my) / f.sd / (f.n + 1)) END AS p
   FROM {a} a JOIN {rows} r ON {on} JOIN {p}_ft f ON f.fold = a.fold AND {match}, (VALUES ('dummy'), ('ridge')) m(model))"""
 
+#: Classifiers from moments of the training rows by class; `bare` names the columns of `by` without their table.
+BAYES = """
+{p}_fs AS (SELECT {by}, a.fold, y AS c, count(*) AS n, sum(f0) AS s0, sum(f1) AS s1, sum(f2) AS s2, sum(f0 * f0) AS q0, sum(f1 * f1) AS q1, sum(f2 * f2) AS q2 FROM {a} a JOIN {rows} r ON {on} GROUP BY {by}, a.fold, y),
+{p}_ts AS (SELECT {scope} AS scope, y AS c, count(*) AS n, sum(f0) AS s0, sum(f1) AS s1, sum(f2) AS s2, sum(f0 * f0) AS q0, sum(f1 * f1) AS q1, sum(f2 * f2) AS q2 FROM {rows} r GROUP BY ALL),
+{p}_fc AS (SELECT DISTINCT {bare}, fold FROM {p}_fs),
+{p}_tr AS (SELECT f.*, t.c, t.n - coalesce(x.n, 0) AS n, t.s0 - coalesce(x.s0, 0) AS s0, t.s1 - coalesce(x.s1, 0) AS s1, t.s2 - coalesce(x.s2, 0) AS s2, t.q0 - coalesce(x.q0, 0) AS q0, t.q1 - coalesce(x.q1, 0) AS q1, t.q2 - coalesce(x.q2, 0) AS q2
+  FROM {p}_fc f JOIN {p}_ts t ON t.scope = {fscope} LEFT JOIN {p}_fs x ON (x.fold, x.c) = (f.fold, t.c) AND {same}),
+{p}_ft AS (SELECT {bare}, fold, c, ln(n / sum(n) OVER (PARTITION BY {bare}, fold)) AS prior, s0 / n AS m0, s1 / n AS m1, s2 / n AS m2, greatest(0, q0 / n - (s0 / n) ** 2) + 1e-6 AS v0, greatest(0, q1 / n - (s1 / n) ** 2) + 1e-6 AS v1, greatest(0, q2 / n - (s2 / n) ** 2) + 1e-6 AS v2 FROM {p}_tr WHERE n > 0),
+{p}_ls AS (SELECT {by}, a.fold, r.row_id, r.y, c, model, CASE WHEN model = 'prior' THEN prior ELSE prior - (ln(v0) + (f0 - m0) ** 2 / v0) / 2 - (ln(v1) + (f1 - m1) ** 2 / v1) / 2 - (ln(v2) + (f2 - m2) ** 2 / v2) / 2 END AS l
+  FROM {a} a JOIN {rows} r ON {on} JOIN {p}_ft t ON {match} AND t.fold = a.fold, (VALUES ('bayes'), ('prior')) m(model)),
+{p} AS (SELECT {bare}, fold, model, row_id, any_value(y) AS y, arg_min(c, (m - l, c)) AS label, round(1 / sum(exp(l - m)), 6) AS confidence FROM (SELECT *, max(l) OVER (PARTITION BY {bare}, fold, model, row_id) AS m FROM {p}_ls) GROUP BY {bare}, fold, model, row_id)"""
+
 R2 = "CASE WHEN count(*) > 1 AND var_pop(y) * count(*) > 1e-12 THEN 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) END"
 
 PRELUDE = ",\n".join(
@@ -253,17 +336,30 @@ PRELUDE = ",\n".join(
         "irow AS (SELECT i.*, demand, exp(y) < demand AS unsafe FROM ipred i JOIN dem USING (outer_fold))",
         "orow AS (SELECT o.fold AS outer_fold, model, row_id, y, p, demand FROM opred o JOIN dem ON dem.outer_fold = o.fold)",
         "knobs AS (SELECT unnest(range(0, 101, 5)) AS knob)",
-        "crv AS (SELECT outer_fold, protocol, model, knob, count(*) AS n_test, count(*) FILTER (p >= ln(demand) + ln(1 + knob / 100.0)) AS n_released, count(*) FILTER (unsafe AND p >= ln(demand) + ln(1 + knob / 100.0)) AS n_unsafe FROM irow, knobs GROUP BY ALL)",
+        # Screening by category
+        "doc AS (SELECT doc_id AS row_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS y, source AS src, greatest(1, length(text)) AS len, text FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL)",
+        "drec AS (SELECT row_id, y, src, (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) / len AS f0, (length(text) - length(regexp_replace(text, '[!#$%&*|]', '', 'g'))) / len AS f1, ln(len) AS f2 FROM doc)",
+        pack("k_doc", "drec", "src", K), "dout_a AS (SELECT row_id, fold FROM drec JOIN k_doc ON label = src)",
+        "dtrn AS (SELECT o.fold AS outer_fold, r.* FROM drec r JOIN dout_a s USING (row_id), (SELECT DISTINCT fold FROM dout_a) o WHERE s.fold <> o.fold)",
+        f"dinr AS (SELECT outer_fold, row_id, {fold_of('r', 'n', INNER_K)} AS fold FROM (SELECT outer_fold, row_id, row_number() OVER (PARTITION BY outer_fold ORDER BY md5('4|' || row_id), row_id) - 1 AS r, count(*) OVER (PARTITION BY outer_fold) AS n FROM dtrn))",
+        pack("k_din", "dtrn", "src", INNER_K, "outer_fold"),
+        "dinner AS (SELECT outer_fold, 'random' AS protocol, row_id, fold FROM dinr UNION ALL SELECT outer_fold, 'source', row_id, k.fold FROM dtrn JOIN k_din k ON k.key = outer_fold AND k.label = src)",
+        BAYES.format(p="cin", by="a.outer_fold, a.protocol", bare="outer_fold, protocol", a="dinner", rows="dtrn", on="a.row_id = r.row_id AND a.outer_fold = r.outer_fold", scope="r.outer_fold", fscope="f.outer_fold", same="x.outer_fold = f.outer_fold AND x.protocol = f.protocol", match="t.outer_fold = a.outer_fold AND t.protocol = a.protocol").strip(),
+        "dout_v AS (SELECT 'outer' AS variant, row_id, fold FROM dout_a)",
+        BAYES.format(p="cout", by="a.variant", bare="variant", a="dout_v", rows="drec", on="a.row_id = r.row_id", scope="0", fscope="0", same="x.variant = f.variant", match="t.variant = a.variant").strip(),
+        "aset AS (SELECT unnest(['act_on_confidence', 'release_when_not_designated']) AS action_set)",
+        "crv AS (SELECT 'release' AS scenario, 'act_on_margin' AS action_set, outer_fold, protocol, model, knob, count(*) AS n_test, count(*) FILTER (p >= ln(demand) + ln(1 + knob / 100.0)) AS n_released, count(*) FILTER (unsafe AND p >= ln(demand) + ln(1 + knob / 100.0)) AS n_unsafe FROM irow, knobs GROUP BY ALL UNION ALL SELECT 'category', action_set, outer_fold, protocol, model, knob, count(*), count(*) FILTER (confidence * 100 >= knob AND (action_set = 'act_on_confidence' OR label <> 0)), count(*) FILTER (y = 0 AND confidence * 100 >= knob AND (action_set = 'act_on_confidence' OR label <> 0)) FROM cin, aset, (SELECT unnest(range(0, 101, 20)) AS knob) GROUP BY ALL)",
         "cand AS (SELECT *, n_unsafe / n_test::DOUBLE AS r_all, n_released / n_test::DOUBLE AS coverage, n_unsafe * 100 <= alpha * n_test AS feasible FROM crv, (VALUES (5), (10), (20)) t(alpha))",
-        "sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY outer_fold, protocol, alpha ORDER BY n_released DESC, knob, model) AS r, count(*) OVER (PARTITION BY outer_fold, protocol, alpha) AS n_feasible FROM cand WHERE feasible) WHERE r = 1)",
-        "fal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY outer_fold, protocol, alpha ORDER BY n_unsafe, model, knob) AS r FROM cand) WHERE r = 1)",
-        "cho AS (SELECT f.outer_fold, f.protocol, f.alpha, s.model IS NOT NULL AS released, coalesce(s.n_feasible, 0) AS n_feasible, coalesce(s.model, f.model) AS model, coalesce(s.knob, f.knob) AS knob, coalesce(s.r_all, f.r_all) AS inner_r_all, coalesce(s.coverage, f.coverage) AS inner_coverage FROM fal f LEFT JOIN sel s USING (outer_fold, protocol, alpha))",
-        "dout AS (SELECT c.*, count(*) AS n_test, count(*) FILTER (released AND p >= ln(demand) + ln(1 + knob / 100.0)) AS n_released, count(*) FILTER (released AND p >= ln(demand) + ln(1 + knob / 100.0) AND exp(y) < demand) AS n_unsafe FROM cho c JOIN orow o ON o.outer_fold = c.outer_fold AND o.model = c.model GROUP BY ALL)",
+        "sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, action_set, outer_fold, protocol, alpha ORDER BY n_released DESC, knob, model) AS r, count(*) OVER (PARTITION BY scenario, action_set, outer_fold, protocol, alpha) AS n_feasible FROM cand WHERE feasible) WHERE r = 1)",
+        "fal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, action_set, outer_fold, protocol, alpha ORDER BY n_unsafe, model, knob) AS r FROM cand) WHERE r = 1)",
+        "cho AS (SELECT f.scenario, f.action_set, f.outer_fold, f.protocol, f.alpha, s.model IS NOT NULL AS released, coalesce(s.n_feasible, 0) AS n_feasible, coalesce(s.model, f.model) AS model, coalesce(s.knob, f.knob) AS knob, coalesce(s.r_all, f.r_all) AS inner_r_all, coalesce(s.coverage, f.coverage) AS inner_coverage FROM fal f LEFT JOIN sel s USING (scenario, action_set, outer_fold, protocol, alpha))",
+        "dout AS (SELECT c.*, count(*) AS n_test, count(*) FILTER (released AND p >= ln(demand) + ln(1 + knob / 100.0)) AS n_released, count(*) FILTER (released AND p >= ln(demand) + ln(1 + knob / 100.0) AND exp(y) < demand) AS n_unsafe FROM cho c JOIN orow o ON o.outer_fold = c.outer_fold AND o.model = c.model WHERE scenario = 'release' GROUP BY ALL UNION ALL SELECT c.*, count(*), count(*) FILTER (released AND confidence * 100 >= knob AND (action_set = 'act_on_confidence' OR label <> 0)), count(*) FILTER (released AND y = 0 AND confidence * 100 >= knob AND (action_set = 'act_on_confidence' OR label <> 0)) FROM cho c JOIN cout o ON o.fold = c.outer_fold AND o.model = c.model WHERE scenario = 'category' GROUP BY ALL)",
         "dec AS (SELECT *, n_unsafe / n_test::DOUBLE AS r_all, CASE WHEN n_released > 0 THEN n_unsafe / n_released::DOUBLE END AS r_released, n_released / n_test::DOUBLE AS coverage, n_unsafe / n_test::DOUBLE - inner_r_all AS gap_r_all, n_unsafe * 100 <= alpha * n_test AS target_met FROM dout)",
-        "ifold AS (SELECT outer_fold, protocol, i.fold, count(*) AS n_test, count(DISTINCT src) AS g FROM inner_ i JOIN rec USING (row_id) GROUP BY ALL)",
-        "iadm AS (SELECT outer_fold, protocol, sum(n_test) AS n_train, (sum(n_test) * 5 + 99) // 100 AS L, sum(n_test) * 50 // 100 AS U, count(*) AS K, list_sort(list(n_test)) AS fold_sizes, list_sort(list(g)) AS groups_per_fold, min(n_test) >= (sum(n_test) * 5 + 99) // 100 AND max(n_test) <= sum(n_test) * 50 // 100 AS within_bounds, any_value(groups) AS groups FROM ifold JOIN (SELECT outer_fold, protocol, count(DISTINCT src) AS groups FROM inner_ JOIN rec USING (row_id) GROUP BY ALL) USING (outer_fold, protocol) GROUP BY outer_fold, protocol)",
-        "pck AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY outer_fold, protocol, alpha ORDER BY NOT feasible, CASE WHEN feasible THEN -n_released ELSE n_unsafe END, n_unsafe, knob, model) AS r, count(*) FILTER (feasible) OVER (PARTITION BY outer_fold, protocol, alpha) AS n_feasible, count(*) OVER (PARTITION BY outer_fold, protocol, alpha) AS n_candidates FROM cand) WHERE r = 1)",
-        "pol AS (SELECT p.outer_fold, p.protocol, p.alpha, n_candidates, n_feasible, CASE WHEN n_feasible > 0 THEN 'select' ELSE 'fallback' END AS G_mode, model AS G_model, knob AS G_knob, n_released AS G_released, n_unsafe AS G_unsafe, (within_bounds AND groups >= i.K AND n_feasible > 0) AS live FROM pck p JOIN iadm i USING (outer_fold, protocol))",
+        "isrc AS (SELECT 'release' AS scenario, i.*, src FROM inner_ i JOIN rec USING (row_id) UNION ALL SELECT 'category', i.*, src FROM dinner i JOIN drec USING (row_id))",
+        "ifold AS (SELECT scenario, outer_fold, protocol, fold, count(*) AS n_test, count(DISTINCT src) AS g FROM isrc GROUP BY ALL)",
+        "iadm AS (SELECT scenario, outer_fold, protocol, sum(n_test) AS n_train, (sum(n_test) * 5 + 99) // 100 AS L, sum(n_test) * 50 // 100 AS U, count(*) AS K, list_sort(list(n_test)) AS fold_sizes, list_sort(list(g)) AS groups_per_fold, min(n_test) >= (sum(n_test) * 5 + 99) // 100 AND max(n_test) <= sum(n_test) * 50 // 100 AS within_bounds, any_value(groups) AS groups FROM ifold JOIN (SELECT scenario, outer_fold, protocol, count(DISTINCT src) AS groups FROM isrc GROUP BY ALL) USING (scenario, outer_fold, protocol) GROUP BY scenario, outer_fold, protocol)",
+        "pck AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, action_set, outer_fold, protocol, alpha ORDER BY NOT feasible, CASE WHEN feasible THEN -n_released ELSE n_unsafe END, n_unsafe, knob, model) AS r, count(*) FILTER (feasible) OVER (PARTITION BY scenario, action_set, outer_fold, protocol, alpha) AS n_feasible, count(*) OVER (PARTITION BY scenario, action_set, outer_fold, protocol, alpha) AS n_candidates FROM cand) WHERE r = 1)",
+        "pol AS (SELECT scenario, p.action_set, p.outer_fold, p.protocol, p.alpha, n_candidates, n_feasible, CASE WHEN n_feasible > 0 THEN 'select' ELSE 'fallback' END AS G_mode, model AS G_model, knob AS G_knob, n_released AS G_released, n_unsafe AS G_unsafe, (within_bounds AND groups >= i.K AND n_feasible > 0) AS live FROM pck p JOIN iadm i USING (scenario, outer_fold, protocol))",
         "camp AS (SELECT s_suppkey AS row_id, 'n' || lpad(s_nationkey::VARCHAR, 2, '0') AS campaign, substr('ABCDE', ((s_nationkey * 7 + CASE WHEN s_suppkey % 11 = 0 THEN 1 ELSE 0 END) % 5 + 1)::INT, 1) AS kind FROM supplier)",
         "sig AS (SELECT campaign, list_sort(list(DISTINCT kind)) AS types, count(*) AS n FROM camp GROUP BY campaign)",
     ]

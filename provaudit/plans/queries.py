@@ -336,7 +336,7 @@ def min_feasible_bound(spark, d):
     return A.min_feasible_bound(groups, spark.createDataFrame([(2,), (3,), (5,), (7,)], "k long"))
 
 
-@query("SELECT outer_fold, protocol, n_train::BIGINT AS n_train, L::BIGINT AS L, U::BIGINT AS U, K, array_to_string(fold_sizes, ',') AS fold_sizes, array_to_string(groups_per_fold, ',') AS groups_per_fold, within_bounds, groups, groups >= K AS enough_groups, within_bounds AND groups >= K AS admissible FROM iadm")
+@query("SELECT scenario, outer_fold, protocol, n_train::BIGINT AS n_train, L::BIGINT AS L, U::BIGINT AS U, K, array_to_string(fold_sizes, ',') AS fold_sizes, array_to_string(groups_per_fold, ',') AS groups_per_fold, within_bounds, groups, groups >= K AS enough_groups, within_bounds AND groups >= K AS admissible FROM iadm")
 def inner_admissibility(spark, d):
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return B.inner_verdicts(spark, d).withColumns({"fold_sizes": text("fold_sizes"), "groups_per_fold": text("groups_per_fold")})
@@ -700,33 +700,31 @@ def unit_check(spark, d):
     return D.unit_check(B.outer_rows(spark, d), B.KNOBS)
 
 
-@query("SELECT knob::INT AS knob FROM knobs", True)
+@query("SELECT scenario, action_set, model, count(DISTINCT knob) AS rules, min(knob)::INT AS least, max(knob)::INT AS most FROM crv GROUP BY ALL")
 def rule_grid(spark, d):
-    return D.rule_grid(spark).select(F.col("knob").cast("int").alias("knob"))
+    """The rules of each grid that every setting has been held against."""
+    return B.curve(spark, d).groupBy("scenario", "action_set", "model").agg(F.countDistinct("knob").alias("rules"), F.min("knob").alias("least"), F.max("knob").alias("most"))
 
 
-CONFIDENCE = "WITH c AS (SELECT doc_id, quality AS label, (n_chars % 101) / 100.0 AS confidence FROM documents JOIN labels USING (doc_id)) "
-
-
-CONFIDENCES = list(range(0, 101, 20))
-
-
-def confident(spark, d):
-    rows = read_table(spark, d, "documents").join(read_table(spark, d, "labels"), "doc_id")
-    return rows.select("doc_id", F.col("quality").alias("label"), ((F.col("n_chars") % 101) / 100.0).alias("confidence"))
-
-
-@query(CONFIDENCE + "SELECT k::INT AS knob, count(*) FILTER (confidence * 100 >= k) AS acts FROM c, (SELECT unnest(range(0, 101, 20)) AS k) GROUP BY k", False)
+@query("SELECT outer_fold, protocol, model, knob::INT AS knob, count(*) FILTER (confidence * 100 >= knob) AS acts FROM cin, (SELECT unnest(range(0, 101, 20)) AS knob) GROUP BY ALL")
 def act_confidence(spark, d):
-    return D.by_rule(confident(spark, d), [], CONFIDENCES, {"acts": D.act_confidence})
+    """Released rows of every confidence, on out-of-fold probabilities of the inner folds."""
+    return D.by_rule(B.category_inner(B.category_design(spark, d)), ["outer_fold", "protocol", "model"], B.CONFIDENCES, {"acts": D.act_confidence})
 
 
-@query(CONFIDENCE + "SELECT k::INT AS knob, count(*) FILTER (confidence * 100 >= k AND label <> 0) AS acts FROM c, (SELECT unnest(range(0, 101, 20)) AS k) GROUP BY k", False)
+@query("SELECT outer_fold, protocol, model, knob::INT AS knob, count(*) FILTER (confidence * 100 >= knob AND label <> 0) AS acts FROM cin, (SELECT unnest(range(0, 101, 20)) AS knob) GROUP BY ALL")
 def act_not_designated(spark, d):
-    return D.by_rule(confident(spark, d), [], CONFIDENCES, {"acts": lambda knob: D.act_not_designated(knob, F.lit(0))})
+    """The same without rows that are predicted to be designated."""
+    return D.by_rule(B.category_inner(B.category_design(spark, d)), ["outer_fold", "protocol", "model"], B.CONFIDENCES, {"acts": lambda knob: D.act_not_designated(knob, F.lit(B.DESIGNATED))})
+
+
+@query("SELECT fold::BIGINT AS outer_fold, model, row_id, y, label, confidence FROM cout")
+def learn_class_probabilities(spark, d):
+    """Out-of-fold label and confidence of each labelled document."""
+    return B.category_outer(spark, d, B.category_design(spark, d))
 
 
-CURVE = "outer_fold, protocol, model, knob::INT AS knob, n_test, n_released, n_unsafe, round(n_unsafe / n_test::DOUBLE, 6) AS r_all, round(n_unsafe / nullif(n_released, 0)::DOUBLE, 6) AS r_released, round(n_released / n_test::DOUBLE, 6) AS coverage"
+CURVE = "scenario, action_set, outer_fold, protocol, model, knob::INT AS knob, n_test, n_released, n_unsafe, round(n_unsafe / n_test::DOUBLE, 6) AS r_all, round(n_unsafe / nullif(n_released, 0)::DOUBLE, 6) AS r_released, round(n_released / n_test::DOUBLE, 6) AS coverage"
 
 
 @query(f"SELECT {CURVE} FROM crv")
@@ -737,8 +735,11 @@ def risk_curve(spark, d):
 @query(f"SELECT {CURVE} FROM crv")
 def risk_block(spark, d):
     """Every rule's block, counted rule by rule: what `risk_curve` gets from running sums."""
-    counts = {"n_test": lambda knob: F.lit(True), "n_released": D.act_regression, "n_unsafe": lambda knob: D.act_regression(knob) & F.col("unsafe")}
-    return B.rounded(D.with_rates(D.by_rule(B.inner_rows(spark, d), ["outer_fold", "protocol", "model"], B.KNOBS, counts)))
+    made = B.designs(spark, d)
+    counts = lambda act: {"n_test": lambda knob: F.lit(True), "n_released": act, "n_unsafe": lambda knob: act(knob) & F.col("unsafe")}
+    release = D.by_rule(B.as_release(B.inner_rows(spark, d, made[B.RELEASE])), [*D.SETTING, "model"], B.KNOBS, counts(D.act_regression))
+    rows = D.with_action_sets(B.category_inner(made[B.CATEGORY])).withColumns({"scenario": F.lit(B.CATEGORY), "unsafe": D.unsafe_category(F.lit(B.DESIGNATED))})
+    return B.rounded(D.with_rates(release.unionByName(D.by_rule(rows, [*D.SETTING, "model"], B.CONFIDENCES, counts(B.category_acts)))))
 
 
 @query(f"SELECT {CURVE}, alpha::INT AS alpha, feasible FROM cand")
@@ -746,17 +747,17 @@ def rule_candidates(spark, d):
     return B.rounded(B.candidates(spark, d))
 
 
-@query("SELECT outer_fold, protocol, alpha::INT AS alpha, n_feasible, model, knob::INT AS knob, n_released FROM sel")
+@query("SELECT scenario, action_set, outer_fold, protocol, alpha::INT AS alpha, n_feasible, model, knob::INT AS knob, n_released FROM sel")
 def rule_select(spark, d):
-    return D.rule_select(B.candidates(spark, d)).select("outer_fold", "protocol", "alpha", "n_feasible", "rule.model", "rule.knob", "rule.n_released")
+    return D.rule_select(B.candidates(spark, d)).select(*D.SETTING, "alpha", "n_feasible", "rule.model", "rule.knob", "rule.n_released")
 
 
-@query("SELECT outer_fold, protocol, alpha::INT AS alpha, model, knob::INT AS knob, n_unsafe FROM fal")
+@query("SELECT scenario, action_set, outer_fold, protocol, alpha::INT AS alpha, model, knob::INT AS knob, n_unsafe FROM fal")
 def rule_fallback(spark, d):
-    return D.rule_fallback(B.candidates(spark, d)).select("outer_fold", "protocol", "alpha", "rule.model", "rule.knob", "rule.n_unsafe")
+    return D.rule_fallback(B.candidates(spark, d)).select(*D.SETTING, "alpha", "rule.model", "rule.knob", "rule.n_unsafe")
 
 
-DECISION = "outer_fold, protocol, alpha::INT AS alpha, released, n_feasible, model, knob::INT AS knob, round(inner_r_all, 6) AS inner_r_all, round(inner_coverage, 6) AS inner_coverage, n_test, n_released, n_unsafe, round(r_all, 6) AS r_all, round(r_released, 6) AS r_released, round(coverage, 6) AS coverage, round(gap_r_all, 6) AS gap_r_all, target_met"
+DECISION = "scenario, action_set, outer_fold, protocol, alpha::INT AS alpha, released, n_feasible, model, knob::INT AS knob, round(inner_r_all, 6) AS inner_r_all, round(inner_coverage, 6) AS inner_coverage, n_test, n_released, n_unsafe, round(r_all, 6) AS r_all, round(r_released, 6) AS r_released, round(coverage, 6) AS coverage, round(gap_r_all, 6) AS gap_r_all, target_met"
 
 
 @query(f"SELECT {DECISION} FROM dec")
@@ -764,45 +765,45 @@ def decision_outer(spark, d):
     return B.rounded(B.realised(spark, d))
 
 
-@query("SELECT protocol, alpha::INT AS alpha, round(avg(inner_r_all), 6) AS estimate, round(avg(r_all), 6) AS realised, round(avg(gap_r_all), 6) AS gap, count(*) FILTER (gap_r_all > 0) AS folds_above_estimate, count(*) FILTER (target_met) AS folds_meeting, round(avg(coverage), 6) AS mean_coverage, round(avg(r_released), 6) AS mean_r_released FROM dec GROUP BY protocol, alpha")
+@query("SELECT scenario, action_set, protocol, alpha::INT AS alpha, round(avg(inner_r_all), 6) AS estimate, round(avg(r_all), 6) AS realised, round(avg(gap_r_all), 6) AS gap, count(*) FILTER (gap_r_all > 0) AS folds_above_estimate, count(*) FILTER (target_met) AS folds_meeting, round(avg(coverage), 6) AS mean_coverage, round(avg(r_released), 6) AS mean_r_released FROM dec GROUP BY ALL")
 def decision_fold_means(spark, d):
     return B.rounded(D.decision_fold_means(B.realised(spark, d)))
 
 
-POOLED = ", po AS (SELECT protocol, alpha, sum(n_test)::BIGINT AS n_test, sum(n_released)::BIGINT AS n_released, sum(n_unsafe)::BIGINT AS n_unsafe FROM dec GROUP BY protocol, alpha) "
+POOLED = ", po AS (SELECT scenario, action_set, protocol, alpha, sum(n_test)::BIGINT AS n_test, sum(n_released)::BIGINT AS n_released, sum(n_unsafe)::BIGINT AS n_unsafe FROM dec GROUP BY ALL) "
 
 
-@query(POOLED + "SELECT protocol, alpha::INT AS alpha, n_test, n_released, n_unsafe, round(n_unsafe / n_test::DOUBLE, 6) AS r_all, round(n_unsafe / nullif(n_released, 0)::DOUBLE, 6) AS r_released, round(n_released / n_test::DOUBLE, 6) AS coverage FROM po")
+@query(POOLED + "SELECT scenario, action_set, protocol, alpha::INT AS alpha, n_test, n_released, n_unsafe, round(n_unsafe / n_test::DOUBLE, 6) AS r_all, round(n_unsafe / nullif(n_released, 0)::DOUBLE, 6) AS r_released, round(n_released / n_test::DOUBLE, 6) AS coverage FROM po")
 def decision_pooled(spark, d):
     return B.rounded(D.decision_pooled(B.realised(spark, d)))
 
 
-@query(POOLED + "SELECT protocol, alpha::INT AS alpha, abs(round(n_unsafe / n_test::DOUBLE - n_released / n_test::DOUBLE * (n_unsafe / nullif(n_released, 0)::DOUBLE), 6)) AS pooled_gap, round(m, 6) AS mean_gap FROM po JOIN (SELECT protocol, alpha, avg(r_all) - avg(coverage) * avg(r_released) AS m FROM dec GROUP BY protocol, alpha) USING (protocol, alpha)")
+@query(POOLED + "SELECT scenario, action_set, protocol, alpha::INT AS alpha, abs(round(n_unsafe / n_test::DOUBLE - n_released / n_test::DOUBLE * (n_unsafe / nullif(n_released, 0)::DOUBLE), 6)) AS pooled_gap, round(m, 6) AS mean_gap FROM po JOIN (SELECT scenario, action_set, protocol, alpha, avg(r_all) - avg(coverage) * avg(r_released) AS m FROM dec GROUP BY ALL) USING (scenario, action_set, protocol, alpha)")
 def identity_check(spark, d):
     return B.rounded(D.identity_check(B.realised(spark, d))).withColumn("pooled_gap", F.abs("pooled_gap"))
 
 
-@query(POOLED + "SELECT alpha::INT AS alpha, round(max(r) FILTER (protocol = 'random'), 6) AS random, round(max(r) FILTER (protocol = 'source'), 6) AS source, round(max(r) FILTER (protocol = 'source') - max(r) FILTER (protocol = 'random'), 6) AS difference, max(r) FILTER (protocol = 'source') < max(r) FILTER (protocol = 'random') AS better FROM (SELECT *, n_unsafe / n_test::DOUBLE AS r FROM po) GROUP BY alpha")
+@query(POOLED + "SELECT scenario, action_set, alpha::INT AS alpha, round(max(r) FILTER (protocol = 'random'), 6) AS random, round(max(r) FILTER (protocol = 'source'), 6) AS source, round(max(r) FILTER (protocol = 'source') - max(r) FILTER (protocol = 'random'), 6) AS difference, max(r) FILTER (protocol = 'source') < max(r) FILTER (protocol = 'random') AS better FROM (SELECT *, n_unsafe / n_test::DOUBLE AS r FROM po) GROUP BY scenario, action_set, alpha")
 def protocol_compare(spark, d):
     return B.rounded(D.protocol_compare(B.realised(spark, d)))
 
 
-@query("SELECT outer_fold, protocol, alpha::INT AS alpha, count(*) FILTER (feasible) AS n_feasible, count(*) AS n_rules, bool_or(NOT feasible) AS active FROM cand GROUP BY ALL")
+@query("SELECT scenario, action_set, outer_fold, protocol, alpha::INT AS alpha, count(*) FILTER (feasible) AS n_feasible, count(*) AS n_rules, bool_or(NOT feasible) AS active FROM cand GROUP BY ALL")
 def constraint_active(spark, d):
     return D.constraint_active(B.candidates(spark, d))
 
 
-@query("SELECT outer_fold, protocol, count(DISTINCT model || knob) AS rules FROM cho GROUP BY ALL")
+@query("SELECT scenario, action_set, outer_fold, protocol, count(DISTINCT model || knob) AS rules FROM cho GROUP BY ALL")
 def rule_stability(spark, d):
     return D.rule_stability(D.rule_choose(B.candidates(spark, d)))
 
 
-@query("SELECT protocol, count(b) AS steps, count(*) FILTER (inner_coverage < b) AS decreases FROM (SELECT *, lag(inner_coverage) OVER (PARTITION BY outer_fold, protocol ORDER BY alpha) AS b FROM cho WHERE released) GROUP BY protocol")
+@query("SELECT scenario, action_set, protocol, count(b) AS steps, count(*) FILTER (inner_coverage < b) AS decreases FROM (SELECT *, lag(inner_coverage) OVER (PARTITION BY scenario, action_set, outer_fold, protocol ORDER BY alpha) AS b FROM cho WHERE released) GROUP BY scenario, action_set, protocol")
 def coverage_monotone(spark, d):
     return D.coverage_monotone(D.rule_choose(B.candidates(spark, d)))
 
 
-@query("SELECT protocol, round(gap_r_all, 6) AS gap, outer_fold, alpha::INT AS alpha FROM (SELECT *, row_number() OVER (PARTITION BY protocol ORDER BY gap_r_all DESC, outer_fold, alpha) AS r FROM dec) WHERE r = 1")
+@query("SELECT scenario, action_set, protocol, round(gap_r_all, 6) AS gap, outer_fold, alpha::INT AS alpha FROM (SELECT *, row_number() OVER (PARTITION BY scenario, action_set, protocol ORDER BY gap_r_all DESC, outer_fold, alpha) AS r FROM dec) WHERE r = 1")
 def gap_extreme(spark, d):
     return B.rounded(D.gap_extreme(B.realised(spark, d)))
 
@@ -823,7 +824,7 @@ def demand_sweep_gap(spark, d):
 
 # Policies
 
-POLICY = "outer_fold, protocol, alpha::INT AS alpha"
+POLICY = "scenario, action_set, outer_fold, protocol, alpha::INT AS alpha"
 
 
 @query(f'SELECT {POLICY}, G_mode AS "G_mode", G_model AS "G_model", G_knob::INT AS "G_knob", G_released AS "G_released", G_unsafe AS "G_unsafe" FROM pol')
@@ -841,12 +842,12 @@ AUDIT = """CASE WHEN live THEN 'select' ELSE 'refuse' END AS "A_mode", CASE WHEN
 
 @query(f"SELECT {POLICY}, {AUDIT} FROM pol")
 def policy_audit(spark, d):
-    design = B.nested(spark, d)
+    design = B.designs(spark, d)
     return P.policy_audit(B.candidates(spark, d, design), B.inner_verdicts(spark, d, design))
 
 
 def compared(spark, d):
-    design = B.nested(spark, d)
+    design = B.designs(spark, d)
     return P.policy_compare(B.candidates(spark, d, design), B.inner_verdicts(spark, d, design))
 
 
@@ -855,33 +856,33 @@ def policy_compare(spark, d):
     return compared(spark, d)
 
 
-@query("""SELECT CASE WHEN grouping(protocol) = 1 THEN 'all' ELSE protocol END AS protocol, count(*) AS settings, count(*) FILTER (NOT live) AS differing, count(*) FILTER (n_feasible = 0) AS empty_feasible, count(*) FILTER (NOT live) AS refused, sum(G_released)::BIGINT AS "G_released", sum(G_unsafe)::BIGINT AS "G_unsafe", coalesce(sum(G_released) FILTER (live), 0)::BIGINT AS "A_released", coalesce(sum(G_unsafe) FILTER (live), 0)::BIGINT AS "A_unsafe" FROM pol GROUP BY GROUPING SETS ((protocol), ())""")
+@query("""SELECT CASE WHEN grouping(protocol) = 1 THEN 'all' ELSE scenario END AS scenario, CASE WHEN grouping(protocol) = 1 THEN 'all' ELSE action_set END AS action_set, CASE WHEN grouping(protocol) = 1 THEN 'all' ELSE protocol END AS protocol, count(*) AS settings, count(*) FILTER (NOT live) AS differing, count(*) FILTER (n_feasible = 0) AS empty_feasible, count(*) FILTER (NOT live) AS refused, sum(G_released)::BIGINT AS "G_released", sum(G_unsafe)::BIGINT AS "G_unsafe", coalesce(sum(G_released) FILTER (live), 0)::BIGINT AS "A_released", coalesce(sum(G_unsafe) FILTER (live), 0)::BIGINT AS "A_unsafe" FROM pol GROUP BY GROUPING SETS ((scenario, action_set, protocol), ())""")
 def policy_summary(spark, d):
     return P.policy_summary(compared(spark, d))
 
 
-UTILITY = ", ut AS (SELECT alpha, " + ", ".join(f"sum(CASE WHEN protocol = '{p}' THEN {c} ELSE 0 END)::BIGINT AS {a}" for p, c, a in [("random", "n_test", "N"), ("random", "n_released", "A_rand"), ("random", "n_unsafe", "E_rand"), ("source", "n_released", "A_src"), ("source", "n_unsafe", "E_src")]) + " FROM dec GROUP BY alpha) "
+UTILITY = ", ut AS (SELECT scenario, action_set, alpha, " + ", ".join(f"sum(CASE WHEN protocol = '{p}' THEN {c} ELSE 0 END)::BIGINT AS {a}" for p, c, a in [("random", "n_test", "N"), ("random", "n_released", "A_rand"), ("random", "n_unsafe", "E_rand"), ("source", "n_released", "A_src"), ("source", "n_unsafe", "E_src")]) + " FROM dec GROUP BY scenario, action_set, alpha) "
 
 
-@query(UTILITY + 'SELECT alpha::INT AS alpha, N AS "N", A_rand AS "A_rand", E_rand AS "E_rand", A_src AS "A_src", E_src AS "E_src", A_src - A_rand AS "dA", E_src - E_rand AS "dE", (A_src - A_rand) - (E_src - E_rand) AS base, -(E_src - E_rand) AS coeff FROM ut')
+@query(UTILITY + 'SELECT scenario, action_set, alpha::INT AS alpha, N AS "N", A_rand AS "A_rand", E_rand AS "E_rand", A_src AS "A_src", E_src AS "E_src", A_src - A_rand AS "dA", E_src - E_rand AS "dE", (A_src - A_rand) - (E_src - E_rand) AS base, -(E_src - E_rand) AS coeff FROM ut')
 def utility_sensitivity(spark, d):
     return P.utility_sensitivity(B.realised(spark, d))
 
 
-@query(UTILITY + ", bc AS (SELECT alpha, (A_src - A_rand) - (E_src - E_rand) AS b, -(E_src - E_rand) AS c FROM ut) SELECT alpha::INT AS alpha, round(CASE WHEN c <> 0 AND -b / c::DOUBLE > 0 THEN -b / c::DOUBLE END, 6) AS break_even FROM bc")
+@query(UTILITY + ", bc AS (SELECT scenario, action_set, alpha, (A_src - A_rand) - (E_src - E_rand) AS b, -(E_src - E_rand) AS c FROM ut) SELECT scenario, action_set, alpha::INT AS alpha, round(CASE WHEN c <> 0 AND -b / c::DOUBLE > 0 THEN -b / c::DOUBLE END, 6) AS break_even FROM bc")
 def utility_break_even(spark, d):
     return B.rounded(P.utility_break_even(P.utility_sensitivity(B.realised(spark, d))))
 
 
-CONCENTRATION = ", fc AS (SELECT outer_fold, " + ", ".join(f"sum({c}) FILTER (protocol = '{p}')::BIGINT AS {a}" for p, c, a in [("random", "n_unsafe", "random"), ("source", "n_unsafe", "source"), ("random", "n_released", "rr"), ("source", "n_released", "rs")]) + " FROM dec WHERE alpha = 5 GROUP BY outer_fold) "
+CONCENTRATION = ", fc AS (SELECT scenario, action_set, outer_fold, " + ", ".join(f"sum({c}) FILTER (protocol = '{p}')::BIGINT AS {a}" for p, c, a in [("random", "n_unsafe", "random"), ("source", "n_unsafe", "source"), ("random", "n_released", "rr"), ("source", "n_released", "rs")]) + " FROM dec WHERE alpha = 5 GROUP BY scenario, action_set, outer_fold) "
 
 
-@query(CONCENTRATION + "SELECT outer_fold, random, source, random - source AS avoided, rr AS released_random, rs AS released_source FROM fc")
+@query(CONCENTRATION + "SELECT scenario, action_set, outer_fold, random, source, random - source AS avoided, rr AS released_random, rs AS released_source FROM fc")
 def fold_concentration(spark, d):
     return P.fold_concentration(B.realised(spark, d), 5)
 
 
-@query(CONCENTRATION + "SELECT outer_fold, random - source AS avoided, rr - rs AS coverage_cost FROM fc")
+@query(CONCENTRATION + "SELECT scenario, action_set, outer_fold, random - source AS avoided, rr - rs AS coverage_cost FROM fc")
 def fold_influence(spark, d):
     return P.fold_influence(P.fold_concentration(B.realised(spark, d), 5))
 
@@ -899,9 +900,9 @@ def suite(spark, d):
     m = written(M.control_metrics(predicted), "metrics")
     p = C.contrast_admissible(C.contrast_pairs(m, spark.createDataFrame(B.HONOURED, "variant string, sizematch string")), verdicts(spark, d, a))
     # Released and unsafe rows of the chosen rules, row by row.
-    design = B.nested(spark, d)
-    chosen = written(D.rule_choose(B.candidates(spark, d, design)), "chosen")
-    outer_rows = written(B.outer_rows(spark, d, design), "outer-rows")
+    made = B.designs(spark, d)
+    chosen = written(D.rule_choose(B.candidates(spark, d, made)).where(F.col("scenario") == B.RELEASE), "chosen")
+    outer_rows = written(B.outer_rows(spark, d, made[B.RELEASE]), "outer-rows")
     rows = outer_rows.join(chosen, ["outer_fold", "model"]).where("released")
     acts = written(rows.where(D.act_regression(F.col("knob"))).select("outer_fold", "protocol", "alpha", D.unsafe_regression().alias("unsafe")), "acts")
     outer = written(D.decision_outer(chosen, outer_rows), "decisions")
@@ -935,13 +936,13 @@ def suite(spark, d):
 
 
 #: Every check again, from the tables.
-SUITE = """, acts AS (SELECT c.outer_fold, c.protocol, c.alpha, exp(y) < demand AS unsafe FROM cho c JOIN orow o ON o.outer_fold = c.outer_fold AND o.model = c.model WHERE released AND p >= ln(demand) + ln(1 + knob / 100.0)),
+SUITE = """, acts AS (SELECT c.outer_fold, c.protocol, c.alpha, exp(y) < demand AS unsafe FROM cho c JOIN orow o ON o.outer_fold = c.outer_fold AND o.model = c.model WHERE scenario = 'release' AND released AND p >= ln(demand) + ln(1 + knob / 100.0)),
 suite AS (
 SELECT 'each_row_once' AS name, max(k) = 1 AS ok FROM (SELECT count(*) AS k FROM asg GROUP BY variant, row_id)
 UNION ALL SELECT 'no_straddling', max(k) = 1 FROM (SELECT count(DISTINCT fold) AS k FROM a_source5 JOIN rec USING (row_id) GROUP BY src)
-UNION ALL SELECT 'pooled', bool_and(r = coalesce(n, 0) AND u = coalesce(b, 0)) FROM (SELECT protocol, alpha, sum(n_released) AS r, sum(n_unsafe) AS u FROM dec GROUP BY ALL) LEFT JOIN (SELECT protocol, alpha, count(*) AS n, count(*) FILTER (unsafe) AS b FROM acts GROUP BY ALL) USING (protocol, alpha)
-UNION ALL SELECT 'utility', bool_and(r = coalesce(n, 0) AND u = coalesce(b, 0)) FROM (SELECT alpha, sum(CASE protocol WHEN 'source' THEN n_released ELSE -n_released END) AS r, sum(CASE protocol WHEN 'source' THEN n_unsafe ELSE -n_unsafe END) AS u FROM dec GROUP BY alpha) LEFT JOIN (SELECT alpha, sum(CASE protocol WHEN 'source' THEN 1 ELSE -1 END) AS n, sum(CASE WHEN NOT unsafe THEN 0 WHEN protocol = 'source' THEN 1 ELSE -1 END) AS b FROM acts GROUP BY alpha) USING (alpha)
-UNION ALL SELECT 'concentration', bool_and(u = coalesce(b, 0)) FROM (SELECT outer_fold, protocol, n_unsafe AS u FROM dec WHERE alpha = 5) LEFT JOIN (SELECT outer_fold, protocol, count(*) FILTER (unsafe) AS b FROM acts WHERE alpha = 5 GROUP BY ALL) USING (outer_fold, protocol)
+UNION ALL SELECT 'pooled', bool_and(r = coalesce(n, 0) AND u = coalesce(b, 0)) FROM (SELECT protocol, alpha, sum(n_released) AS r, sum(n_unsafe) AS u FROM dec WHERE scenario = 'release' GROUP BY ALL) LEFT JOIN (SELECT protocol, alpha, count(*) AS n, count(*) FILTER (unsafe) AS b FROM acts GROUP BY ALL) USING (protocol, alpha)
+UNION ALL SELECT 'utility', bool_and(r = coalesce(n, 0) AND u = coalesce(b, 0)) FROM (SELECT alpha, sum(CASE protocol WHEN 'source' THEN n_released ELSE -n_released END) AS r, sum(CASE protocol WHEN 'source' THEN n_unsafe ELSE -n_unsafe END) AS u FROM dec WHERE scenario = 'release' GROUP BY alpha) LEFT JOIN (SELECT alpha, sum(CASE protocol WHEN 'source' THEN 1 ELSE -1 END) AS n, sum(CASE WHEN NOT unsafe THEN 0 WHEN protocol = 'source' THEN 1 ELSE -1 END) AS b FROM acts GROUP BY alpha) USING (alpha)
+UNION ALL SELECT 'concentration', bool_and(u = coalesce(b, 0)) FROM (SELECT outer_fold, protocol, n_unsafe AS u FROM dec WHERE alpha = 5 AND scenario = 'release') LEFT JOIN (SELECT outer_fold, protocol, count(*) FILTER (unsafe) AS b FROM acts WHERE alpha = 5 GROUP BY ALL) USING (outer_fold, protocol)
 UNION ALL SELECT 'registry', (SELECT sum(records) FROM (SELECT count(*) AS records FROM part GROUP BY p_brand)) = (SELECT count(*) FROM part)
 UNION ALL SELECT 'contrast', count(*) FILTER (r2_honoured < r2_sizematch) = count(*) FILTER (delta_vs_sizematch < 0) AND count(delta_vs_sizematch) = 4 FROM pairs WHERE model = 'ridge'
 UNION ALL SELECT 'source_difference', abs(max(delta_vs_sizematch) - (SELECT max(pooled_r2) FILTER (variant = 'source5') - max(pooled_r2) FILTER (variant = 'source5_sm') FROM met WHERE model = 'ridge')) < 1e-9 FROM pairs WHERE model = 'ridge' AND variant = 'source5'

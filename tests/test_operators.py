@@ -70,8 +70,12 @@ def test_published_feasibility(spark):
     assert A.min_feasible_bound(groups, spark.createDataFrame([(3,)], "k long")).first().num == 674
 
 
+def one_scenario(df):
+    return df.withColumns({"scenario": F.lit("release"), "action_set": F.lit(D.MARGIN)})
+
+
 def test_published_utility(spark):
-    outer = spark.createDataFrame([(0, "random", 5, 804, 416, 40), (0, "source", 5, 804, 396, 16), (0, "random", 10, 804, 416, 40), (0, "source", 10, 804, 363, 13)], "outer_fold int, protocol string, alpha int, n_test long, n_released long, n_unsafe long")
+    outer = one_scenario(spark.createDataFrame([(0, "random", 5, 804, 416, 40), (0, "source", 5, 804, 396, 16), (0, "random", 10, 804, 416, 40), (0, "source", 10, 804, 363, 13)], "outer_fold int, protocol string, alpha int, n_test long, n_released long, n_unsafe long"))
     got = {r.alpha: r for r in P.utility_sensitivity(outer).collect()}
     assert (got[5].dA, got[5].dE, got[5].base, got[5].coeff) == (-20, -24, 4, 24)
     assert (got[10].base, got[10].coeff) == (-26, 27)
@@ -82,7 +86,7 @@ def test_published_utility(spark):
 def test_published_concentration(spark):
     data = [(0, 0, 0, 17, 17), (1, 9, 9, 90, 90), (2, 5, 3, 114, 115), (3, 4, 4, 136, 136), (4, 22, 0, 59, 38)]
     rows = [(f, p, 5, 160, r, u) for f, a, b, c, d in data for p, r, u in (("random", c, a), ("source", d, b))]
-    outer = spark.createDataFrame(rows, "outer_fold int, protocol string, alpha int, n_test long, n_released long, n_unsafe long")
+    outer = one_scenario(spark.createDataFrame(rows, "outer_fold int, protocol string, alpha int, n_test long, n_released long, n_unsafe long"))
     c = P.fold_concentration(outer, 5)
     assert sum(r.avoided for r in c.collect()) == 24
     top = P.largest_fold_share(c).first()
@@ -187,13 +191,57 @@ def test_curve_equals_rule_by_rule(spark, rows):
 
 
 def test_policies_agree_when_no_gate_binds(spark):
-    c = spark.createDataFrame([(0, "random", 5, "m", k, 100, 50 - k, 2, True) for k in (0, 5)], "outer_fold int, protocol string, alpha int, model string, knob int, n_test long, n_released long, n_unsafe long, feasible boolean")
-    good = spark.createDataFrame([(0, "random", True)], "outer_fold int, protocol string, admissible boolean")
+    c = one_scenario(spark.createDataFrame([(0, "random", 5, "m", k, 100, 50 - k, 2, True) for k in (0, 5)], "outer_fold int, protocol string, alpha int, model string, knob int, n_test long, n_released long, n_unsafe long, feasible boolean"))
+    good = one_scenario(spark.createDataFrame([(0, "random", True)], "outer_fold int, protocol string, admissible boolean"))
     assert P.policy_compare(c, good).first().same_choice
     refused = P.policy_compare(c, good.withColumn("admissible", F.lit(False))).first()
     assert refused.A_mode == "refuse" and refused.A_released == 0 and refused.G_released == 50
 
 
+def test_published_category_decisions(spark):
+    """Screening at a target of 5 %: what the two protocols release and get wrong, pooled over folds, and the reversal at 10 %."""
+    rows = [("random", 5, 393, 193, 31), ("source", 5, 393, 164, 22), ("random", 10, 393, 193, 30), ("source", 10, 393, 197, 35)]
+    outer = spark.createDataFrame([(0, *r) for r in rows], "outer_fold int, protocol string, alpha int, n_test long, n_released long, n_unsafe long").withColumns({"scenario": F.lit("category"), "action_set": F.lit(D.NOT_DESIGNATED)})
+    better = {r.alpha: r.better for r in D.protocol_compare(outer).collect()}
+    assert better == {5: True, 10: False}
+    assert {r.alpha: (r.dA, r.dE) for r in P.utility_sensitivity(outer).collect()} == {5: (-29, -9), 10: (4, 5)}
+
+
+def test_action_sets_differ_by_the_designated_category(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 0.9), (2, 1, 0, 0.9), (3, 0, 1, 0.5), (4, 2, 2, 1.0)], "row_id long, y int, label int, confidence double")
+    both = D.with_action_sets(rows).withColumn("unsafe", D.unsafe_category(F.lit(0)))
+    got = {(r.action_set, r.knob): (r.n_test, r.n_released, r.n_unsafe) for r in D.risk_curve(both, ["action_set"], [0, 60, 100], lambda k: D.act_category(k, F.lit(0))).collect()}
+    assert [got[D.CONFIDENT, k] for k in (0, 60, 100)] == [(4, 4, 2), (4, 3, 1), (4, 1, 0)]
+    assert [got[D.NOT_DESIGNATED, k] for k in (0, 60, 100)] == [(4, 2, 1), (4, 1, 0), (4, 1, 0)]
+    chosen = spark.createDataFrame([("category", a, 0, "random", 5, True, 2, "bayes", 60, 0.1, 0.5) for a in (D.CONFIDENT, D.NOT_DESIGNATED)], "scenario string, action_set string, outer_fold int, protocol string, alpha int, released boolean, n_feasible int, model string, knob int, inner_r_all double, inner_coverage double")
+    outer = rows.withColumns({"outer_fold": F.lit(0), "model": F.lit("bayes")})
+    done = {r.action_set: (r.n_released, r.n_unsafe, r.target_met) for r in D.decision_outer(chosen, outer, act=lambda k: D.act_category(k, F.lit(0)), unsafe=D.unsafe_category(F.lit(0))).collect()}
+    assert done == {D.CONFIDENT: (3, 1, False), D.NOT_DESIGNATED: (1, 0, True)}
+
+
+def test_class_probabilities_equal_a_plain_recomputation(spark):
+    """Gaussian naive Bayes of each fold's other rows; a category that training lacks is never predicted."""
+    rng = np.random.default_rng(4)
+    data = [(i, int(c), float(rng.normal(c, 1.0)), float(rng.normal(-c, 2.0)), i % 3) for i, c in enumerate(rng.integers(0, 3, 60))]
+    data = [(i, c, a, b, f) for i, c, a, b, f in data if not (c == 2 and f != 0)]  # category 2 is in fold 0 alone
+    df = spark.createDataFrame(data, "row_id long, y int, a double, b double, fold long")
+    got = {(r.model, r.row_id): (r.label, r.confidence) for r in L.learn_class_probabilities(df.drop("fold"), df.select(F.lit("v").alias("variant"), "row_id", "fold"), ["a", "b"], [0, 1, 2]).collect()}
+    assert len(got) == 2 * len(data)
+    for i, _, a, b, f in data:
+        scores, shares = {}, {}
+        for c in (0, 1, 2):
+            own = [r for r in data if r[4] != f and r[1] == c]
+            if own:
+                shares[c] = len(own) / sum(r[4] != f for r in data)
+                x = np.array([r[2:4] for r in own])
+                v = x.var(axis=0) + 1e-6
+                scores[c] = np.log(shares[c]) - 0.5 * (np.log(v) + (np.array([a, b]) - x.mean(axis=0)) ** 2 / v).sum()
+        best = max(scores, key=scores.get)
+        odds = 1 / sum(np.exp(s - scores[best]) for s in scores.values())
+        assert got["bayes", i][0] == best and abs(got["bayes", i][1] - odds) < 2e-6
+        assert got["prior", i] == (max(shares, key=shares.get), round(max(shares.values()), 6))
+
+
 def test_metrics_guard_degenerate_folds(spark):
     p = spark.createDataFrame([("v", "m", 0, 1, 2.0, 1.0), ("v", "m", 1, 2, 3.0, 3.0), ("v", "m", 1, 3, 3.0, 2.0)], "variant string, model string, fold int, row_id long, y double, p double")
     got = M.metric_fold_r2(p, ["variant", "model"]).first()
