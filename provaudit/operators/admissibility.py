@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provaudit.functions.dealing import least_largest
+
 #: A fold must hold from 5 % to 50 % of the rows.
 LOWER_PCT, UPPER_PCT = 5, 50
 
@@ -46,13 +50,28 @@ def feasibility_state(fmap: DataFrame) -> DataFrame:
     return fmap.withColumn("state", F.when(F.col("feasible"), "feasible").when(structural, "impossible").otherwise("bound"))
 
 
-def min_feasible_bound(groups: DataFrame, ks: DataFrame) -> DataFrame:
-    """The smallest upper bound, as an exact ratio of rows, at which K folds are not ruled out."""
-    s = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.max("n").alias("w"))
-    rows = ks.crossJoin(F.broadcast(s))
-    need = F.greatest(F.col("w"), F.floor((F.col("n") + F.col("k") - 1) / F.col("k")).cast("long"))
-    possible = (F.col("m") >= F.col("k")) & (F.col("k") * fold_bounds(F.col("n"))[0] <= F.col("n"))
-    return rows.select("k", F.when(possible, need).alias("num"), F.col("n").alias("den"))
+def min_feasible_bound(groups: DataFrame, ks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The smallest upper bound, as an exact ratio of rows, at which the groups can be dealt into K folds of L rows at least.
+
+    groups: (by, label, n); ks: (k), a small parameter table. num is NULL where no such folds exist. certificate lists how many groups
+    of which size each fold holds; proven is false where the search was given up and num is the best found. Sizes are counted
+    first: no more distinct sizes than the root of twice the rows reach a task, whatever the number of groups.
+    """
+    by = by or []
+    counts = groups.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("c")).groupBy(*by).agg(F.collect_list(F.struct("n", "c")).alias("sizes"))
+    deal = F.udf(lambda k, sizes: dealt_folds(k, sizes), "num long, den long, proven boolean, certificate array<struct<fold:int,size:long,groups:long>>")  # one call a K
+    out = counts.crossJoin(F.broadcast(ks.select(F.col("k").cast("long").alias("k")))).repartition(*by, "k").withColumn("x", deal("k", "sizes"))
+    return out.select(*by, "k", "x.*")
+
+
+def dealt_folds(k: int, sizes: list) -> tuple:
+    flat = [r["n"] for r in sizes for _ in range(r["c"])]
+    total = sum(flat)
+    folds, proven = least_largest(flat, k, (total * LOWER_PCT + 99) // 100)
+    if folds is None:
+        return None, total, proven, None
+    held = [(f, n, c) for f, own in enumerate(folds) for n, c in sorted(Counter(own).items())]
+    return max(map(sum, folds)), total, proven, held
 
 
 def inner_admissibility(inner: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provaudit.functions.order_statistics import quantiles
+
 SETTING = ["scenario", "action_set", "outer_fold", "protocol"]
 #: Keys of pooled tables: all of a setting but the fold, and the target.
 POOLED = ["scenario", "action_set", "protocol", "alpha"]
@@ -22,7 +24,16 @@ ALPHAS = [5, 10, 20]
 
 def demand_quantile(train: DataFrame, by: list[str], q: float | list[float] = 0.5) -> DataFrame:
     """The physical demand: a quantile of exp(y) over each training set; an array of them for a list of quantiles."""
-    return train.groupBy(*by).agg(F.percentile(F.exp("y"), q).alias("demand"))
+    qs = q if isinstance(q, list) else [q]
+    found = quantiles(train, F.exp("y"), qs, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("_v"))
+    values = F.transform("_v", lambda v: v["value"])  # in the order of the quantiles
+    return found.select(*by, F.array(*[values[sorted(set(qs)).index(x)] for x in qs]).alias("demand") if isinstance(q, list) else values[0].alias("demand"))
+
+
+def demand_of_complement(rows: DataFrame, outer: DataFrame, q: float = 0.5) -> DataFrame:
+    """outer_fold, demand: the quantile of exp(y) over the rows of all other outer folds, which are counted once."""
+    own = rows.select("row_id", "y").join(outer.select("row_id", F.col("fold").alias("outer_fold")), "row_id", "left")
+    return quantiles(own, F.exp("y"), [q], fold="outer_fold").select("outer_fold", F.col("value").alias("demand"))
 
 
 def rule_grid(spark, kind: str = "margin") -> DataFrame:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from provaudit.functions.order_statistics import quantiles
 
 #: Words that mark a split role, not a provenance group.
 ROLE_WORDS = ["random_fold", "held_out_source", "held_out"]
@@ -94,16 +101,38 @@ def filter_target_present(df: DataFrame, target: str) -> DataFrame:
     return df.where(y.isNotNull() & ~F.isnan(y))
 
 
+def few_values(df: DataFrame, columns: list[str], most: int = 12) -> dict[str, list[str] | None]:
+    """The distinct non-NULL values of each string column, sorted, or None where there are more than `most`.
+
+    Sets grow to most + 1 values within partitions and are then only known to be large, so one pass sends at most that many
+    values of each column from each partition, whatever the number of columns.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, set] = {c: set() for c in columns}
+        for batch in batches:
+            for c, column in zip(columns, batch.columns):
+                if len(held[c]) <= most:
+                    held[c].update(x for x in pc.unique(column).to_pylist() if x is not None)
+        pairs = [(c, v) for c in columns for v in sorted(held[c])[: most + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["column", "value"])
+
+    seen = df.select(*[F.col(c).cast("string") for c in columns]).mapInArrow(local, "column string, value string").distinct()
+    first = seen.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("r") <= most + 1)
+    found: dict[str, list] = {c: [] for c in columns}
+    for r in first.collect():  # most + 1 values a column
+        found[r["column"]].append(r["value"])
+    return {c: sorted(v) if len(v) <= most else None for c, v in found.items()}
+
+
 def lowcard_onehot(df: DataFrame, columns: list[str], most: int = 12) -> DataFrame:
     """String columns of at most `most` values become 0/1 columns, one for NULL as well; others are dropped."""
-    stats = df.agg(*[F.countDistinct(c).alias(c) for c in columns]).first().asDict() if columns else {}
-    low = [c for c in columns if stats[c] <= most]
-    levels = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in low]).first().asDict() if low else {}
     new = {}
-    for c in low:
-        for v in levels[c]:
-            new[f"{c}={v}"] = F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0))
-        new[f"{c}=NA"] = F.col(c).isNull().cast("double")
+    for c, levels in few_values(df, columns, most).items() if columns else ():
+        if levels is not None:
+            for v in levels:
+                new[f"{c}={v}"] = F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0))
+            new[f"{c}=NA"] = F.col(c).isNull().cast("double")
     return df.withColumns(new).drop(*columns)
 
 
@@ -117,14 +146,8 @@ def round_display(df: DataFrame, places: dict[str, int]) -> DataFrame:
 
 
 def train_median(rows: DataFrame, feature: str, by: list[str], fold: str = "fold") -> DataFrame:
-    """Median of a feature over the training rows of each fold. rows has each row once with its test fold.
-
-    A median has no form as a total less the fold, so rows go to every other fold (folds are few).
-    """
-    folds = rows.select(*by, fold).distinct().withColumnRenamed(fold, "_f")
-    train = rows.join(folds, by) if by else rows.crossJoin(folds)
-    train = train.where(F.col(fold).isNull() | (F.col(fold) != F.col("_f")))
-    return train.groupBy(*by, F.col("_f").alias(fold)).agg(F.percentile(feature, 0.5).alias("median"))
+    """Median of a feature over the training rows of each fold. rows has each row once with its test fold, which trains in all others."""
+    return quantiles(rows, feature, [0.5], by, fold).select(*by, fold, F.col("value").alias("median"))
 
 
 def train_moments(rows: DataFrame, feature: str, by: list[str], fold: str = "fold") -> DataFrame:

@@ -92,10 +92,16 @@ def split_group_k(rows: DataFrame, label: str, k: int = 5, by: list[str] | None
 
 
 def min_groups_guard(rows: DataFrame, relations: list[str], least: int = 3) -> DataFrame:
-    """Which relations have enough groups for an honoured split."""
-    counts = rows.agg(*[F.countDistinct(c).alias(c) for c in relations])
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("relation"), F.col(c).alias("groups")) for c in relations])).alias("x")
-    return counts.select(pairs).select("x.relation", "x.groups", (F.col("x.groups") >= least).alias("usable"))
+    """Which relations have enough groups for an honoured split.
+
+    (relation, group) pairs are made distinct within partitions first; no row is repeated for distinct counts of several columns.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("relation"), F.col(c).cast("string").alias("group")) for c in relations])).alias("x")
+    found = rows.select(*relations).distinct().select(pairs).select("x.*").where("group is not null").distinct()
+    counts = found.groupBy("relation").agg(F.count(F.lit(1)).alias("groups"))
+    named = rows.sparkSession.createDataFrame([(c,) for c in relations], "relation string")
+    n = F.coalesce("groups", F.lit(0).cast("long"))
+    return named.join(counts, "relation", "left").select("relation", n.alias("groups"), (n >= least).alias("usable"))
 
 
 def split_size_matched(rows: DataFrame, honoured: DataFrame, seed: int = 1, by: list[str] | None = None) -> DataFrame:

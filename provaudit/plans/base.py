@@ -170,20 +170,25 @@ def as_release(df: DataFrame) -> DataFrame:
 
 
 def designs(spark: SparkSession, sf_dir: str) -> dict[str, tuple]:
-    """The nested design of each scenario."""
-    return {RELEASE: nested(spark, sf_dir), CATEGORY: category_design(spark, sf_dir)}
+    """The nested design of each scenario, and the demands of the release."""
+    release = nested(spark, sf_dir)
+    return {RELEASE: release, CATEGORY: category_design(spark, sf_dir), "demand": demands(spark, sf_dir, release[0])}
 
 
-def inner_rows(spark: SparkSession, sf_dir: str, design: tuple | None = None) -> DataFrame:
-    """outer_fold, protocol, model, row_id, y, p, demand, unsafe for the inner folds. design: what `nested` gives, if at hand."""
-    _, inner, train = design or nested(spark, sf_dir)
-    return inner_predictions(train, inner).join(D.demand_quantile(train, ["outer_fold"]), "outer_fold").withColumn("unsafe", D.unsafe_regression())
+def demands(spark: SparkSession, sf_dir: str, outer: DataFrame) -> DataFrame:
+    return written(D.demand_of_complement(log_rec(spark, sf_dir), outer), "demands")
 
 
-def outer_rows(spark: SparkSession, sf_dir: str, design: tuple | None = None) -> DataFrame:
+def inner_rows(spark: SparkSession, sf_dir: str, design: tuple | None = None, demand: DataFrame | None = None) -> DataFrame:
+    """outer_fold, protocol, model, row_id, y, p, demand, unsafe for the inner folds. design: what `nested` gives, demand: what `demands` gives, if at hand."""
+    outer, inner, train = design or nested(spark, sf_dir)
+    return inner_predictions(train, inner).join(demand or demands(spark, sf_dir, outer), "outer_fold").withColumn("unsafe", D.unsafe_regression())
+
+
+def outer_rows(spark: SparkSession, sf_dir: str, design: tuple | None = None, demand: DataFrame | None = None) -> DataFrame:
     """outer_fold, model, row_id, y, p, demand for the outer folds."""
-    outer, _, train = design or nested(spark, sf_dir)
-    return outer_predictions(log_rec(spark, sf_dir), outer).join(D.demand_quantile(train, ["outer_fold"]), "outer_fold")
+    outer = design[0] if design else nested(spark, sf_dir)[0]
+    return outer_predictions(log_rec(spark, sf_dir), outer).join(demand or demands(spark, sf_dir, outer), "outer_fold")
 
 
 def demand_sweep(spark: SparkSession, sf_dir: str, quantiles: list[float]) -> DataFrame:
@@ -201,7 +206,7 @@ def demand_sweep(spark: SparkSession, sf_dir: str, quantiles: list[float]) -> Da
 def curve(spark: SparkSession, sf_dir: str, made: dict[str, tuple] | None = None) -> DataFrame:
     """The risk curve of every setting of both scenarios. made: what `designs` gives, if at hand."""
     made = made or designs(spark, sf_dir)
-    release = D.risk_curve(as_release(inner_rows(spark, sf_dir, made[RELEASE])), [*D.SETTING, "model"], KNOBS, D.act_regression)
+    release = D.risk_curve(as_release(inner_rows(spark, sf_dir, made[RELEASE], made["demand"])), [*D.SETTING, "model"], KNOBS, D.act_regression)
     return release.unionByName(category_curve(made[CATEGORY]))
 
 
@@ -211,7 +216,7 @@ def candidates(spark: SparkSession, sf_dir: str, made: dict[str, tuple] | None =
 
 def realise(spark: SparkSession, sf_dir: str, chosen: DataFrame, made: dict[str, tuple]) -> DataFrame:
     """What chosen rules of both scenarios do on the outer folds."""
-    release = D.decision_outer(chosen.where(F.col("scenario") == RELEASE), outer_rows(spark, sf_dir, made[RELEASE]))
+    release = D.decision_outer(chosen.where(F.col("scenario") == RELEASE), outer_rows(spark, sf_dir, made[RELEASE], made["demand"]))
     category = D.decision_outer(chosen.where(F.col("scenario") == CATEGORY), category_outer(spark, sf_dir, made[CATEGORY]), act=category_acts, unsafe=D.unsafe_category(F.lit(DESIGNATED)))
     return release.unionByName(category)
 
@@ -225,7 +230,8 @@ def inner_verdicts(spark: SparkSession, sf_dir: str, made: dict[str, tuple] | No
     """Verdicts on the inner splits of both scenarios."""
     made = made or designs(spark, sf_dir)
     out = []
-    for scenario, (_, inner, train) in made.items():
+    for scenario in (RELEASE, CATEGORY):
+        _, inner, train = made[scenario]
         labels = train.select("row_id", F.col("src").alias("label")).distinct()
         out.append(inner_admissibility(inner, labels).withColumn("scenario", F.lit(scenario)))
     return reduce(DataFrame.unionByName, out)

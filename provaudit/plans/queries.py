@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provaudit.functions.order_statistics import quantiles
 from provaudit.operators import admissibility as A
 from provaudit.operators import contrasts as C
 from provaudit.operators import decisions as D
@@ -330,10 +331,28 @@ def feasibility_state(spark, d):
     return A.feasibility_state(feasibility(spark, d)).select("k", "num", "den", "state")
 
 
-@query(", s AS (SELECT sum(c)::BIGINT AS n, count(*) AS m, max(c) AS w FROM (SELECT count(*) AS c FROM rec GROUP BY fam)) SELECT k::BIGINT AS k, CASE WHEN m >= k AND k * ((n * 5 + 99) // 100) <= n THEN greatest(w, (n + k - 1) // k)::BIGINT END AS num, n AS den FROM s, (VALUES (2), (3), (5), (7)) t(k)")
+#: Every vector of fold loads that groups can reach, one group after another, for two to four folds.
+REACHED = """WITH RECURSIVE g AS (SELECT 'nation' AS relation, s_nationkey % 25 AS label, count(*) AS n FROM supplier GROUP BY ALL UNION ALL SELECT 'block', s_nationkey % 7, count(*) FROM supplier GROUP BY ALL UNION ALL SELECT 'pair', s_nationkey % 3, count(*) FROM supplier GROUP BY ALL),
+o AS (SELECT relation, n, row_number() OVER (PARTITION BY relation ORDER BY label) AS i FROM g), t AS (SELECT relation, sum(n) AS n, count(*) AS m FROM g GROUP BY relation),
+v AS (SELECT DISTINCT relation, k, 0::BIGINT AS i, list_resize([]::BIGINT[], k, 0) AS loads FROM o, (VALUES (2), (3), (4)) x(k)
+  UNION SELECT v.relation, k, o.i, list_sort(list_transform(loads, lambda x, j: CASE WHEN j = f THEN x + n ELSE x END)) FROM v JOIN o ON o.relation = v.relation AND o.i = v.i + 1, unnest(range(1, k + 1)) u(f)),
+b AS (SELECT v.relation, k, min(list_max(loads)) FILTER (list_min(loads) > 0 AND list_min(loads) >= (n * 5 + 99) // 100) AS num, any_value(n) AS den FROM v JOIN t ON t.relation = v.relation AND v.i = m GROUP BY v.relation, k) """
+
+
+@query(REACHED + "SELECT relation, k::BIGINT AS k, num::BIGINT AS num, den::BIGINT AS den, true AS proven, true AS certified FROM b", False)
 def min_feasible_bound(spark, d):
-    groups = B.rec(spark, d).groupBy(F.col("fam").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return A.min_feasible_bound(groups, spark.createDataFrame([(2,), (3,), (5,), (7,)], "k long"))
+    """Suppliers by nation and by two coarser relations; the certificate is held against the sizes of groups and the bound."""
+    key = F.col("s_nationkey")
+    s = read_table(spark, d, "supplier").select(F.explode(F.array(*[F.struct(F.lit(name).alias("relation"), (key % m).alias("label")) for name, m in (("nation", 25), ("block", 7), ("pair", 3))])).alias("x")).select("x.*")
+    groups = written(s.groupBy("relation", "label").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    found = written(A.min_feasible_bound(groups, spark.createDataFrame([(2,), (3,), (4,)], "k long"), ["relation"]), "bounds")
+    held = found.select("relation", "k", "num", F.explode("certificate").alias("x")).select("relation", "k", "num", "x.*")
+    folds = held.groupBy("relation", "k", "num", "fold").agg(F.sum(F.col("size") * F.col("groups")).alias("load")).groupBy("relation", "k", "num").agg((F.max("load") == F.col("num")).alias("met"), F.count(F.lit(1)).alias("folds"))
+    used = held.groupBy("relation", "k", F.col("size").alias("n")).agg(F.sum("groups").alias("c"))
+    sizes = groups.groupBy("relation", "n").agg(F.count(F.lit(1)).alias("g")).join(found.where("num is not null").select("relation", "k"), "relation")
+    same = sizes.join(used, ["relation", "k", "n"], "left").groupBy("relation", "k").agg(F.bool_and(F.coalesce("c", F.lit(0)) == F.col("g")).alias("whole"))
+    ok = folds.join(same, ["relation", "k"]).select("relation", "k", (F.col("met") & F.col("whole") & (F.col("folds") == F.col("k"))).alias("ok"))
+    return found.join(ok, ["relation", "k"], "left").select("relation", "k", "num", "den", "proven", F.coalesce("ok", F.col("num").isNull()).alias("certified"))
 
 
 @query("SELECT scenario, outer_fold, protocol, n_train::BIGINT AS n_train, L::BIGINT AS L, U::BIGINT AS U, K, array_to_string(fold_sizes, ',') AS fold_sizes, array_to_string(groups_per_fold, ',') AS groups_per_fold, within_bounds, groups, groups >= K AS enough_groups, within_bounds AND groups >= K AS admissible FROM iadm")
@@ -687,7 +706,7 @@ def contrast_not_evaluated(spark, d):
 
 @query("SELECT outer_fold, round(demand, 6) AS demand FROM dem")
 def demand_quantile(spark, d):
-    return B.rounded(D.demand_quantile(B.nested(spark, d)[2], ["outer_fold"]))
+    return B.rounded(B.demands(spark, d, written(S.split_group_k(B.log_rec(spark, d), "src", B.K), "outer")))
 
 
 @query("SELECT outer_fold, model, knob::INT AS knob, count(*) FILTER (p >= ln(demand) + ln(1 + knob / 100.0)) AS released, count(*) FILTER (exp(y) < demand) AS unsafe FROM orow, knobs GROUP BY ALL")
@@ -737,7 +756,7 @@ def risk_block(spark, d):
     """Every rule's block, counted rule by rule: what `risk_curve` gets from running sums."""
     made = B.designs(spark, d)
     counts = lambda act: {"n_test": lambda knob: F.lit(True), "n_released": act, "n_unsafe": lambda knob: act(knob) & F.col("unsafe")}
-    release = D.by_rule(B.as_release(B.inner_rows(spark, d, made[B.RELEASE])), [*D.SETTING, "model"], B.KNOBS, counts(D.act_regression))
+    release = D.by_rule(B.as_release(B.inner_rows(spark, d, made[B.RELEASE], made["demand"])), [*D.SETTING, "model"], B.KNOBS, counts(D.act_regression))
     rows = D.with_action_sets(B.category_inner(made[B.CATEGORY])).withColumns({"scenario": F.lit(B.CATEGORY), "unsafe": D.unsafe_category(F.lit(B.DESIGNATED))})
     return B.rounded(D.with_rates(release.unionByName(D.by_rule(rows, [*D.SETTING, "model"], B.CONFIDENCES, counts(B.category_acts)))))
 
@@ -809,6 +828,15 @@ def gap_extreme(spark, d):
 
 
 QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+@query(", " + ", ".join(f"v{i} AS (SELECT {q}::DOUBLE AS q, l_returnflag AS flag, quantile_cont(l_extendedprice, {q}) AS value FROM lineitem GROUP BY l_returnflag)" for i, q in enumerate(QUANTILES)) + " " + " UNION ALL ".join(f"SELECT flag, q, round(value, 6) AS value FROM v{i}" for i in range(len(QUANTILES))))
+def exact_quantiles(spark, d):
+    """Five quantiles of all prices of each return flag, found by counting."""
+    rows = read_table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return B.rounded(quantiles(rows, "l_extendedprice", QUANTILES, ["flag"]))
+
+
 SWEEP = ", dq AS (" + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, outer_fold, quantile_cont(exp(y), {q}) AS demand FROM trn GROUP BY outer_fold" for q in QUANTILES) + """),
 cq AS (SELECT q, i.outer_fold, protocol, model, knob, count(*) AS n_test, count(*) FILTER (p >= ln(demand) + ln(1 + knob / 100.0)) AS n_released, count(*) FILTER (exp(y) < demand AND p >= ln(demand) + ln(1 + knob / 100.0)) AS n_unsafe FROM ipred i JOIN dq USING (outer_fold), knobs GROUP BY ALL),
 aq AS (SELECT *, n_unsafe / n_test::DOUBLE AS r_all, n_unsafe * 100 <= alpha * n_test AS feasible FROM cq, (VALUES (5), (10), (20)) t(alpha)),
@@ -902,7 +930,7 @@ def suite(spark, d):
     # Released and unsafe rows of the chosen rules, row by row.
     made = B.designs(spark, d)
     chosen = written(D.rule_choose(B.candidates(spark, d, made)).where(F.col("scenario") == B.RELEASE), "chosen")
-    outer_rows = written(B.outer_rows(spark, d, made[B.RELEASE]), "outer-rows")
+    outer_rows = written(B.outer_rows(spark, d, made[B.RELEASE], made["demand"]), "outer-rows")
     rows = outer_rows.join(chosen, ["outer_fold", "model"]).where("released")
     acts = written(rows.where(D.act_regression(F.col("knob"))).select("outer_fold", "protocol", "alpha", D.unsafe_regression().alias("unsafe")), "acts")
     outer = written(D.decision_outer(chosen, outer_rows), "decisions")
