@@ -75,11 +75,13 @@ class Hasher:
         x = self.stored(sample)
         basis = principal(x)
         turned = x @ basis
-        self.projection = np.concatenate([basis @ iterative_quantisation(turned, SEED + i) for i in range(ROTATIONS)], axis=1)
-        self.projection = self.projection[:, : self.projection.shape[1] // 64 * 64 or 64]
+        # Short vectors take more rotations, so that codes have at least 64 bits whatever the dimension.
+        rotations = max(ROTATIONS, -(-64 // basis.shape[1]))
+        self.projection = np.concatenate([basis @ iterative_quantisation(turned, SEED + i) for i in range(rotations)], axis=1)
         self.n_bits = self.projection.shape[1] // 64 * 64
+        self.projection = self.projection[:, : self.n_bits]
         self.radius = self.n_bits
-        if len(sample) > 2 * k and self.n_bits:
+        if len(sample) > 2 * k:
             queries = sample[: min(400, len(sample))]
             truth = queries @ sample.T
             truth[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
@@ -96,7 +98,7 @@ class Hasher:
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         bits = x @ self.projection >= 0
-        return np.packbits(bits, axis=1).view(np.uint64) if self.n_bits else np.zeros((len(x), 1), np.uint64)
+        return np.packbits(bits, axis=1).view(np.uint64)
 
 
 class MultiIndex:

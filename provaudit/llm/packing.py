@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provaudit.llm.common import as_bytes, chunks, keyed, table, written
-from provaudit.llm.vocabulary import BYTE_PATTERN, Memo, VocabularyFile, packed_ids, per_worker
+from provaudit.llm.vocabulary import ASCII_PATTERN, BYTE_PATTERN, Memo, VocabularyFile, packed_ids, per_worker
 
 END_ID = 2
 CAPACITY = 1024
@@ -61,6 +61,8 @@ class ByteCodec:
     def part(self, part: bytes) -> bytes:
         """A part of a text that is complete in pre-tokens."""
         words = self.words
+        if part.isascii():
+            return b"".join([words[w] for w in ASCII_PATTERN.findall(part)])
         return b"".join([words[w.encode()] for w in self.pattern.findall(part.decode("utf-8", "replace"))])
 
     def after_space(self, word: bytes) -> bytes:

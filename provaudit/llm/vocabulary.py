@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 from array import array
 from itertools import islice
@@ -21,9 +22,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Entries of one cache, those kept when it is trimmed, and the longest key kept (characters or bytes). Values are ids or
-#: a few bytes for each byte of the key, so a cache stays below some 30 MB whatever the texts are.
-CACHE_ENTRIES = 100_000
-KEPT_ENTRIES = 50_000
+#: a few bytes for each byte of the key, so a cache stays below some 45 MB whatever the texts are.
+CACHE_ENTRIES = 150_000
+KEPT_ENTRIES = 100_000
 LONGEST_KEY = 64
 
 #: The pre-token patterns of the two vocabulary files.
@@ -33,6 +34,9 @@ BYTE_PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
+#: The same for ASCII text as bytes.
+ASCII_PATTERN = re.compile(rb"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+
 
 def default_path(name: str) -> str:
     """The file of a public vocabulary on this machine; anything with a folder in it is a path already."""

@@ -712,6 +712,30 @@ def test_search_with_repeated_rows_and_clashing_names(spark):
         assert [(r, i) for r, i, _ in sorted(got[q])] == [(r + 1, i) for r, (i, _) in enumerate(want)]
 
 
+@pytest.mark.parametrize("dims", [1, 2, 4, 14, 15, 32, 70])
+def test_search_has_codes_at_every_dimension(spark, dims):
+    """Codes of 64 bits or more and a radius learned from the sample; recall and exact scores on clustered rows with copies and ties."""
+    rng = np.random.default_rng(dims)
+    centres = rng.standard_normal((30, dims)) * 2
+    x = centres[rng.integers(0, 30, 900)] + rng.standard_normal((900, dims)) * 0.2
+    x[500:560] = x[3]
+    hasher = hashing_search.Hasher(x, float(np.sqrt((x * x).sum(axis=1)).max()))
+    assert hasher.n_bits >= 64 and hasher.codes(hasher.stored(x)).shape == (900, hasher.n_bits // 64) and hasher.radius < hasher.n_bits
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    use = hashing_search.usable(df)
+    got = {}
+    for r in hashing_search.nearest(use, use.where("vec_id % 20 = 0"), block_rows=200).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    found = all_ = 0
+    for q, rows in got.items():
+        score = x @ x[q]
+        want = sorted((i for i in range(900) if i != q), key=lambda i: (-round(score[i], 9), i))[:20]
+        assert [r for r, _, _ in sorted(rows)] == list(range(1, 21)) and all(math.isclose(s, score[i], rel_tol=1e-9, abs_tol=1e-12) for _, i, s in rows)
+        least = score[want[-1]] - 1e-9
+        found, all_ = found + sum(score[i] >= least for _, i, _ in rows), all_ + 20
+    assert len(got) == 45 and found >= 0.9 * all_
+
+
 def test_pigeonhole_index_returns_all_within_radius():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)

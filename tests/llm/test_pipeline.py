@@ -49,6 +49,21 @@ def test_each_group_keeps_one_row_whatever_its_ids(spark):
     assert len({(None, text["f"]), (None, far)} & set(single)) == 1
 
 
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs.limit(40).withColumns({"score": F.lit("x"), "node": F.lit(1), "fp": F.lit(2), "row": F.lit("r"), "length": F.lit(3), "y": F.lit(4)})
+    long = " ".join(f"word{i % 50021}" for i in range(120_000))
+    more = more.unionByName(spark.createDataFrame([(10**7, long, None, None, None)], docs.schema), allowMissingColumns=True)
+    for name, stage in P.STAGES:
+        none = stage(spark, more.where("false"), SF)
+        assert none.count() == 0, name
+        some = stage(spark, more, SF)
+        assert some.columns == none.columns and (name == "packing" or some.columns == P.COLUMNS)
+        assert some.select("doc_id").distinct().count() <= 41
+        if name in ("near_duplicates", "packing"):
+            assert some.where("doc_id = 10000000").count() >= 1
+
+
 def test_run_over_documents(spark):
     out = P.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
