@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 Filtering stages keep the rows of documents with all their columns; the last returns pieces with their places.
+
+Of every stage: an empty table gives no rows; columns beyond those of documents are left out, whatever their names; NULL ids and
+repeated rows are judged like any other (each row on its own, but for the near-duplicate stage); a text is judged whole, however long.
 """
 
 from __future__ import annotations
@@ -17,14 +20,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality ranking rejects."""
+    """Drop documents that the quality ranking rejects: those that score below KEEP_AT.
+
+    NULL texts score as empty ones do. A score at the threshold is kept. Without labelled rows of both kinds nothing
+    is learned and all rows stay.
+    """
     docs = docs.select(*COLUMNS)
     score = quality.score_column(docs, table(spark, sf_dir, "labels"))
     return docs.where(score(F.col("text")) >= quality.KEEP_AT)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents flagged as toxic."""
+    """Drop documents flagged as toxic: those that score FLAG_AT or more.
+
+    NULL and empty texts have no window to flag. Without labelled rows of both kinds nothing is learned and all rows stay.
+    """
     docs = docs.select(*COLUMNS)
     score = toxicity.score_column(docs, table(spark, sf_dir, "labels"))
     return docs.where(score(F.col("text")) < toxicity.FLAG_AT)
@@ -47,7 +57,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack what is left into sequences."""
+    """Tokenise and pack what is left into sequences.
+
+    NULL and empty texts become the end mark alone; repeated rows are packed each; longer documents are cut into whole sequences.
+    """
     ship_package(spark)
     return packing.packed(docs, "byte_bpe_50k.json")
 
