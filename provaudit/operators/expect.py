@@ -62,3 +62,16 @@ def expect_table_text_rules(df: DataFrame, numbers: list[str], label: str, allow
     nan = reduce(lambda a, b: a + b, [F.count_if(F.isnan(c)) for c in numbers])
     levels = F.array_sort(F.collect_set(label))
     return expect_suite([check(df, "no_nan", nan == 0, nan), check(df, f"{label}_set", levels == F.array(*[F.lit(x) for x in sorted(allowed)]), F.array_join(levels, ","))])
+
+
+def expect_declared(measured: DataFrame, declared: DataFrame) -> DataFrame:
+    """check, key, expected, tolerance, value, difference, status of every declared or measured value.
+
+    measured: (check, key, value); declared: (version, check, key, expected, tolerance), of which the newest version counts. Keys may be
+    NULL. status: holds, differs, missing (declared, not measured or without a value) or undeclared.
+    """
+    newest = declared.join(F.broadcast(declared.agg(F.max("version").alias("version"))), "version").select(F.col("check").alias("c"), F.col("key").alias("k"), "expected", "tolerance")
+    rows = measured.join(newest, F.col("check").eqNullSafe(F.col("c")) & F.col("key").eqNullSafe(F.col("k")), "full")
+    gap = F.col("value") - F.col("expected")
+    status = F.when(F.col("expected").isNull(), "undeclared").when(F.col("value").isNull() | F.isnan("value"), "missing").when(F.abs(gap) <= F.col("tolerance"), "holds").otherwise("differs")
+    return rows.select(F.coalesce("check", "c").alias("check"), F.coalesce("key", "k").alias("key"), "expected", "tolerance", "value", gap.alias("difference"), status.alias("status"))

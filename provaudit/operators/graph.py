@@ -8,40 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provaudit.functions.components import components
 from provaudit.plans.storage import written
 
 #: Type levels up to which all structures are listed (their number grows as Bell numbers do).
 MOST_LEVELS = 8
-#: Types of which all ordered pairs are listed.
-MOST_TYPES = 500
 
 
 def union_components(rows: DataFrame, a: str, b: str) -> DataFrame:
     """rows with component: rows connected through equal values of either relation; named by the smallest value of a.
 
     NULL links nothing: a row without a belongs to the component of its b, or to one named after that b if no row with
-    an a has it; a row without either is a component of its own, named by its row_id. Works on distinct pairs of values, not
-    rows. Each round takes the smallest neighbouring label on both sides and is written out, which cuts
-    lineage; it ends when no label changes.
+    an a has it; a row without either is a component of its own, named by its row_id. Works on distinct pairs of values, not rows.
     """
-    values = rows.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct()
-    edges = written(values.where("a is not null and b is not null"), "pairs")
-    labels = values.where("a is not null").select("a", F.col("a").alias("label")).distinct()
-    while True:
-        by_b = edges.join(labels, "a").groupBy("b").agg(F.min("label").alias("m"))
-        by_a = edges.join(by_b, "b").groupBy("a").agg(F.min("m").alias("m"))
-        # A label is itself a value of a: follow it one step, so chains shorten fast.
-        jump = by_a.select(F.col("a").alias("m"), F.col("m").alias("further"))
-        new = by_a.join(jump, "m", "left").select("a", F.least("m", F.coalesce("further", "m")).alias("new"))
-        both = written(labels.join(new, "a", "left").select("a", F.least("label", F.coalesce("new", "label")).alias("label"), (F.coalesce("new", "label") < F.col("label")).alias("changed")), "labels")
-        labels = both.select("a", "label")
-        if not both.where("changed").limit(1).count():
-            break
-    by_b = written(edges.join(labels, "a").groupBy("b").agg(F.min("label").alias("_of_b")), "labels").withColumnRenamed("b", "_b")
+    values = written(rows.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct(), "pairs")
+    # Values of a sort before those of b, so the smallest node of a component is its smallest a.
+    links = values.where("a is not null and b is not null").select(F.concat(F.lit("0"), "a").alias("a"), F.concat(F.lit("1"), "b").alias("b"))
+    roots = written(components(links)[0].select("node", F.substr("root", F.lit(2)).alias("root")), "roots")
     out = rows.withColumns({"_a": F.col(a).cast("string"), "_b": F.col(b).cast("string")})
-    out = out.join(labels.toDF("_a", "_of_a"), "_a", "left").join(by_b, "_b", "left")
+    out = out.join(roots.select(F.col("node").alias("_kb"), F.col("root").alias("_of_b")), F.concat(F.lit("1"), "_b") == F.col("_kb"), "left")
+    out = out.join(roots.select(F.col("node").alias("_ka"), F.col("root").alias("_of_a")), F.concat(F.lit("0"), "_a") == F.col("_ka"), "left")
     alone = F.when(F.col("_b").isNotNull(), F.concat(F.lit("b:"), "_b")).otherwise(F.concat(F.lit("row:"), F.col("row_id").cast("string")))
-    return out.withColumn("component", F.coalesce("_of_a", "_of_b", alone)).drop("_a", "_b", "_of_a", "_of_b")
+    return out.withColumn("component", F.coalesce("_of_a", "_a", "_of_b", alone)).drop("_a", "_b", "_ka", "_kb", "_of_a", "_of_b")
 
 
 def component_concentration(members: DataFrame) -> DataFrame:
@@ -72,18 +60,19 @@ def single_vs_bridging(signatures: DataFrame) -> DataFrame:
     return signatures.select(F.explode("types").alias("type"), one.alias("one")).groupBy("type").agg(F.count_if("one").alias("single"), F.count_if(~F.col("one")).alias("bridging"))
 
 
-def type_implication(signatures: DataFrame) -> DataFrame:
-    """For each ordered pair of types, campaigns with the first and those among them without the second.
+def type_implication(signatures: DataFrame, least: int = 1) -> DataFrame:
+    """For each ordered pair of types that some campaign has together: campaigns with the first, and those among them without the second.
 
-    All pairs of types are listed, so their number is checked: at most MOST_TYPES.
+    Only pairs that occur are counted; of any other pair every campaign with the first is without the second. Types of fewer than `least`
+    campaigns are left out before they are paired, so a campaign with very many rare types makes few pairs.
     """
     has = signatures.groupBy("types").agg(F.count(F.lit(1)).alias("c"))
-    kinds = [r.u for r in has.select(F.explode("types").alias("u")).distinct().limit(MOST_TYPES + 1).collect()]
-    if len(kinds) > MOST_TYPES:
-        raise ValueError(f"at most {MOST_TYPES} types")
-    other = F.explode(F.array(*[F.lit(k) for k in sorted(kinds)]).cast("array<string>")).alias("u")
-    pairs = has.select(F.explode("types").alias("t"), "types", "c").select("t", "types", "c", other).where("t <> u")
-    return pairs.groupBy("t", "u").agg(F.sum("c").alias("support"), F.sum(F.when(F.array_contains("types", F.col("u")), 0).otherwise(F.col("c"))).alias("violations"))
+    support = written(has.select(F.explode("types").alias("t"), "c").groupBy("t").agg(F.sum("c").alias("support")).where(F.col("support") >= least), "type-support")
+    # A signature's number stands for its types while they are thinned out.
+    each = has.withColumn("s", F.xxhash64("types", F.concat_ws("\u0001", "types"))).select("s", "c", F.explode("types").alias("t")).join(support.select("t"), "t", "left_semi")
+    thin = each.groupBy("s", "c").agg(F.collect_list("t").alias("ts"))
+    together = thin.select("c", "ts", F.explode("ts").alias("t")).select("c", "t", F.explode("ts").alias("u")).where("t <> u").groupBy("t", "u").agg(F.sum("c").alias("both"))
+    return together.join(support, "t").select("t", "u", "support", (F.col("support") - F.col("both")).alias("violations"))
 
 
 def partitions(items: list) -> list[list[list]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,10 +74,22 @@ def input_fingerprint(spark, d):
 
 @query("SELECT o_orderpriority AS priority, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY o_orderpriority", False)
 def src_csv(spark, d):
-    """Orders written as CSV and read again with a schema."""
+    """Orders written as CSV and read again with the types that all its values allow."""
     path = shared_path(spark, "orders-csv")
     T.sink_table(read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), path)
-    return T.src_csv(spark, path, "o_orderkey long, o_orderpriority string").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    return T.src_csv(spark, path).groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query("SELECT src AS label, any_value(fold)::BIGINT AS fold, count(*) AS n, round(sum(y), 4) AS y, (count(*) FILTER (sz % 3 = 0))::DOUBLE AS small, round(sum(x), 4) AS x FROM rec JOIN k_src ON label = src GROUP BY src")
+def src_spec(spark, d):
+    """Parts as a raw CSV table whose last column is the target, loaded by a spec and dealt to folds by their relation."""
+    path = shared_path(spark, "parts-csv")
+    third = F.concat(F.lit("k"), (F.col("sz") % 3).cast("string"))
+    T.sink_table(B.rec(spark, d).select("row_id", F.col("src").alias("maker"), "fam", third.alias("third"), "x", (F.col("y") * 2).alias("leak"), F.when(F.col("row_id") >= 0, F.col("y")).alias("strength")), path)
+    rows = written(T.src_spec(spark, T.Spec(path, T.LAST, relation="maker", drop=["row_id", "leak", "fam"])), "spec")
+    folds = S.split_group_k(rows, "relation", B.K)
+    out = rows.join(folds, "row_id").groupBy(F.col("relation").alias("label")).agg(F.first("fold").alias("fold"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum("`third=k0`").alias("small"), F.sum("x").alias("x"))
+    return B.rounded(out, 4)
 
 
 @query("SELECT variant, fold, count(*) AS n, round(sum(p), 4) AS total FROM pred WHERE variant IN ('random5', 'source5') AND model = 'ridge' GROUP BY variant, fold")
@@ -446,7 +459,7 @@ def single_vs_bridging(spark, d):
     return G.single_vs_bridging(B.signatures(spark, d))
 
 
-@query(", u AS (SELECT DISTINCT unnest(types) AS u FROM sig), t AS (SELECT unnest(types) AS t, types FROM sig) SELECT t, u, count(*) AS support, count(*) FILTER (NOT list_contains(types, u)) AS violations FROM t, u WHERE t <> u GROUP BY t, u")
+@query(", u AS (SELECT DISTINCT unnest(types) AS u FROM sig), t AS (SELECT unnest(types) AS t, types FROM sig) SELECT t, u, count(*) AS support, count(*) FILTER (NOT list_contains(types, u)) AS violations FROM t, u WHERE t <> u GROUP BY t, u HAVING count(*) FILTER (list_contains(types, u)) > 0")
 def type_implication(spark, d):
     return G.type_implication(B.signatures(spark, d))
 
@@ -943,10 +956,13 @@ def suite(spark, d):
     registry = R.corpus_rollup(assets(spark, d)).where("part <> 'all'")
     odd = F.substring("p_brand", -1, 1).cast("int") % 2 == 1
     direct = read_table(spark, d, "part").groupBy(F.when(odd, "analysis").otherwise("inventory").alias("part")).agg(F.countDistinct("p_brand").alias("assets"), F.count(F.lit(1)).alias("records"))
-    scores = m.where("model = 'ridge'").groupBy().pivot("variant", [v for pair in B.HONOURED for v in pair]).agg(F.first("pooled_r2"))
-    worse = scores.select(sum(((F.col(h) < F.col(c)).cast("int") for h, c in B.HONOURED), F.lit(0)).alias("worse"), *[(F.col(h) - F.col(c)).alias(f"d_{h}") for h, c in B.HONOURED]).first()
+    # Scores and errors from sums over the predictions, not from the metrics that the contrasts are made of.
+    y, e = F.col("y"), F.col("p")
+    raw = predicted.where("model = 'ridge'").groupBy("variant").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in {"sy": y, "yy": y * y, "yp": y * e, "pp": e * e}.items()])
+    sse = F.col("yy") - 2 * F.col("yp") + F.col("pp")
+    raw = {r.variant: r for r in raw.select("variant", (1 - sse / (F.col("yy") - F.col("sy") * F.col("sy") / F.col("n"))).alias("r2"), F.sqrt(sse / F.col("n")).alias("rmse")).collect()}
+    worse = sum(raw[h].r2 < raw[c].r2 for h, c in B.HONOURED)
     ridge = p.where("model = 'ridge'")
-    errors = predicted.where("variant = 'source5' and model = 'ridge'").agg(F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)).alias("rmse")).first().rmse
     return E.expect_suite(
         [
             E.check(sizes, "each_row_once", F.max("k") == 1, F.max("k")),
@@ -955,26 +971,78 @@ def suite(spark, d):
             E.expect_utility(P.utility_sensitivity(outer), utility),
             E.expect_concentration(P.fold_concentration(outer, 5), folds.withColumn("avoided", F.col("random") - F.col("source"))),
             E.expect_registry(registry, direct, ["part"]),
-            E.expect_contrast(ridge, worse.worse, len(B.HONOURED)),
-            E.expect_numeric_tolerance(ridge.where("variant = 'source5'"), "delta_vs_sizematch", worse.d_source5, 1e-9, "source_difference"),
-            E.expect_numeric_tolerance(m.where("variant = 'source5' and model = 'ridge'"), "rmse", errors, 1e-9, "source_rmse"),
+            E.expect_contrast(ridge, worse, len(B.HONOURED)),
+            E.expect_numeric_tolerance(ridge.where("variant = 'source5'"), "delta_vs_sizematch", raw["source5"].r2 - raw["source5_sm"].r2, 1e-6, "source_difference"),
+            E.expect_numeric_tolerance(m.where("variant = 'source5' and model = 'ridge'"), "rmse", raw["source5"].rmse, 1e-6, "source_rmse"),
             E.expect_table_text_rules(m, ["pooled_r2", "rmse"], "variant", B.VARIANTS),
         ]
     )
 
 
+#: Declared values: (version, check, key, value, tolerance). What must hold at every size of the tables.
+DECLARED = [
+    (1, "regions", "all", 5.0, 0.0), (1, "nations", "all", 25.0, 0.0), *[(1, "nations_of_region", str(k), 5.0, 0.0) for k in range(5)],
+    (1, "assets", "analysis", 15.0, 0.0), (1, "assets", "inventory", 10.0, 0.0), (1, "each_row_once", "most", 1.0, 0.0), (1, "straddling", "source5", 0.0, 0.0),
+    (1, "folds", "source5", 5.0, 0.0), (1, "folds", "combo5", 5.0, 0.0), (1, "folds", "dup5", 5.0, 0.0), (1, "settings", "release", 30.0, 0.0), (1, "settings", "category", 60.0, 0.0),
+    (1, "ridge_r2", "random5", 0.95, 0.06), (1, "dummy_r2", "random5", 0.0, 0.05), (1, "discount", "most", 0.1, 1e-9), (0, "discount", "most", 0.2, 1e-9),
+]
+
+
+def measured(spark, d):
+    """(check, key, value): what the tables and results hold."""
+    a = B.assignments(spark, d)
+    m = written(M.control_metrics(B.predictions(spark, d, ["random5"], a.where("variant = 'random5'"))), "metrics")
+    leak = S.split_leak_check(a.where("variant = 'source5'"), B.rec(spark, d).select("row_id", F.col("src").alias("label")), ["variant"])
+    number = lambda c: c.cast("double").alias("value")
+    row = lambda df, check, key, value: df.select(F.lit(check).alias("check"), (key if isinstance(key, F.Column) else F.lit(key)).cast("string").alias("key"), number(value))
+    parts = [
+        row(read_table(spark, d, "region").agg(F.count(F.lit(1)).alias("n")), "regions", "all", F.col("n")),
+        row(read_table(spark, d, "nation").agg(F.count(F.lit(1)).alias("n")), "nations", "all", F.col("n")),
+        row(read_table(spark, d, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")), "nations_of_region", F.col("n_regionkey"), F.col("n")),
+        row(R.corpus_rollup(assets(spark, d)).where("part <> 'all'"), "assets", F.col("part"), F.col("assets")),
+        row(a.groupBy("variant", "row_id").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k").alias("k")), "each_row_once", "most", F.col("k")),
+        row(leak, "straddling", F.col("variant"), F.col("straddling")),
+        row(a.where("variant in ('source5', 'combo5', 'dup5')").groupBy("variant").agg(F.countDistinct("fold").alias("k")), "folds", F.col("variant"), F.col("k")),
+        row(B.realised(spark, d).groupBy("scenario").agg(F.count(F.lit(1)).alias("k")), "settings", F.col("scenario"), F.col("k")),
+        row(m, F.concat("model", F.lit("_r2")), F.col("variant"), F.col("pooled_r2")),
+        row(read_table(spark, d, "lineitem").agg(F.max("l_discount").alias("k")), "discount", "most", F.col("k")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+DECLARED_SQL = (
+    ", dcl(version, chk, key, expected, tolerance) AS (VALUES "
+    + ", ".join(f"({v}, '{c}', '{k}', {x}::DOUBLE, {t}::DOUBLE)" for v, c, k, x, t in DECLARED)
+    + """), mea(chk, key, value) AS (SELECT 'regions', 'all', count(*)::DOUBLE FROM region UNION ALL SELECT 'nations', 'all', count(*) FROM nation UNION ALL SELECT 'nations_of_region', n_regionkey::VARCHAR, count(*) FROM nation GROUP BY n_regionkey
+UNION ALL SELECT 'assets', CASE WHEN right(p_brand, 1)::INT % 2 = 1 THEN 'analysis' ELSE 'inventory' END, count(DISTINCT p_brand) FROM part GROUP BY ALL UNION ALL SELECT 'each_row_once', 'most', max(k) FROM (SELECT count(*) AS k FROM asg GROUP BY variant, row_id)
+UNION ALL SELECT 'straddling', 'source5', count(*) FILTER (k > 1) FROM (SELECT count(DISTINCT fold) AS k FROM a_source5 JOIN rec USING (row_id) GROUP BY src) UNION ALL SELECT 'folds', variant, count(DISTINCT fold) FROM asg WHERE variant IN ('source5', 'combo5', 'dup5') GROUP BY variant
+UNION ALL SELECT 'settings', scenario, count(*) FROM dec GROUP BY scenario UNION ALL SELECT model || '_r2', variant, 1 - sum((y - p) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)) FROM pred WHERE variant = 'random5' GROUP BY ALL UNION ALL SELECT 'discount', 'most', max(l_discount) FROM lineitem),
+"""
+)
+
+
+@query(DECLARED_SQL + """nul AS (SELECT 1) SELECT coalesce(d.chk, m.chk) AS "check", coalesce(d.key, m.key) AS key, d.expected, round(m.value, 6) AS value, CASE WHEN d.chk IS NULL THEN 'undeclared' WHEN m.value IS NULL THEN 'missing' WHEN abs(m.value - d.expected) <= d.tolerance THEN 'holds' ELSE 'differs' END AS status
+FROM (SELECT * FROM dcl WHERE version = (SELECT max(version) FROM dcl)) d FULL JOIN mea m ON m.chk = d.chk AND m.key = d.key""")
+def expect_declared(spark, d):
+    """Measured values against the declared ones of the newest version."""
+    declared = spark.createDataFrame(DECLARED, "version int, check string, key string, expected double, tolerance double")
+    return B.rounded(E.expect_declared(measured(spark, d), declared).select("check", "key", "expected", "value", "status"))
+
+
 #: Every check again, from the tables.
 SUITE = """, acts AS (SELECT c.outer_fold, c.protocol, c.alpha, exp(y) < demand AS unsafe FROM cho c JOIN orow o ON o.outer_fold = c.outer_fold AND o.model = c.model WHERE scenario = 'release' AND released AND p >= ln(demand) + ln(1 + knob / 100.0)),
+sums AS (SELECT variant, 1 - (sum(y * y) - 2 * sum(y * p) + sum(p * p)) / (sum(y * y) - sum(y) ** 2 / count(*)) AS r2, sqrt((sum(y * y) - 2 * sum(y * p) + sum(p * p)) / count(*)) AS rmse FROM pred WHERE model = 'ridge' GROUP BY variant),
 suite AS (
 SELECT 'each_row_once' AS name, max(k) = 1 AS ok FROM (SELECT count(*) AS k FROM asg GROUP BY variant, row_id)
 UNION ALL SELECT 'no_straddling', max(k) = 1 FROM (SELECT count(DISTINCT fold) AS k FROM a_source5 JOIN rec USING (row_id) GROUP BY src)
 UNION ALL SELECT 'pooled', bool_and(r = coalesce(n, 0) AND u = coalesce(b, 0)) FROM (SELECT protocol, alpha, sum(n_released) AS r, sum(n_unsafe) AS u FROM dec WHERE scenario = 'release' GROUP BY ALL) LEFT JOIN (SELECT protocol, alpha, count(*) AS n, count(*) FILTER (unsafe) AS b FROM acts GROUP BY ALL) USING (protocol, alpha)
 UNION ALL SELECT 'utility', bool_and(r = coalesce(n, 0) AND u = coalesce(b, 0)) FROM (SELECT alpha, sum(CASE protocol WHEN 'source' THEN n_released ELSE -n_released END) AS r, sum(CASE protocol WHEN 'source' THEN n_unsafe ELSE -n_unsafe END) AS u FROM dec WHERE scenario = 'release' GROUP BY alpha) LEFT JOIN (SELECT alpha, sum(CASE protocol WHEN 'source' THEN 1 ELSE -1 END) AS n, sum(CASE WHEN NOT unsafe THEN 0 WHEN protocol = 'source' THEN 1 ELSE -1 END) AS b FROM acts GROUP BY alpha) USING (alpha)
 UNION ALL SELECT 'concentration', bool_and(u = coalesce(b, 0)) FROM (SELECT outer_fold, protocol, n_unsafe AS u FROM dec WHERE alpha = 5 AND scenario = 'release') LEFT JOIN (SELECT outer_fold, protocol, count(*) FILTER (unsafe) AS b FROM acts WHERE alpha = 5 GROUP BY ALL) USING (outer_fold, protocol)
-UNION ALL SELECT 'registry', (SELECT sum(records) FROM (SELECT count(*) AS records FROM part GROUP BY p_brand)) = (SELECT count(*) FROM part)
-UNION ALL SELECT 'contrast', count(*) FILTER (r2_honoured < r2_sizematch) = count(*) FILTER (delta_vs_sizematch < 0) AND count(delta_vs_sizematch) = 4 FROM pairs WHERE model = 'ridge'
-UNION ALL SELECT 'source_difference', abs(max(delta_vs_sizematch) - (SELECT max(pooled_r2) FILTER (variant = 'source5') - max(pooled_r2) FILTER (variant = 'source5_sm') FROM met WHERE model = 'ridge')) < 1e-9 FROM pairs WHERE model = 'ridge' AND variant = 'source5'
-UNION ALL SELECT 'source_rmse', abs(max(rmse) - (SELECT sqrt(avg((y - p) ** 2)) FROM pred WHERE variant = 'source5' AND model = 'ridge')) < 1e-9 FROM met WHERE variant = 'source5' AND model = 'ridge'
+UNION ALL SELECT 'registry', bool_and(a.assets = b.assets AND a.records = b.records) AND count(*) = 2 FROM (SELECT in_analysis, count(*) AS assets, sum(records) AS records FROM (SELECT right(p_brand, 1)::INT % 2 = 1 AS in_analysis, count(*) AS records FROM part GROUP BY p_brand) GROUP BY in_analysis) a
+  LEFT JOIN (SELECT regexp_matches(p_brand, '[13579]$') AS odd, count(DISTINCT p_brand) AS assets, count(*) AS records FROM part GROUP BY ALL) b ON a.in_analysis = b.odd
+UNION ALL SELECT 'contrast', (SELECT count(*) FROM sums h JOIN ctl ON ctl.variant = h.variant JOIN sums s ON s.variant = ctl.sizematch WHERE h.r2 < s.r2) = count(*) FILTER (delta_vs_sizematch < 0) AND count(delta_vs_sizematch) = 4 FROM pairs WHERE model = 'ridge'
+UNION ALL SELECT 'source_difference', abs(max(delta_vs_sizematch) - (SELECT max(r2) FILTER (variant = 'source5') - max(r2) FILTER (variant = 'source5_sm') FROM sums)) < 1e-6 FROM pairs WHERE model = 'ridge' AND variant = 'source5'
+UNION ALL SELECT 'source_rmse', abs(max(rmse) - (SELECT max(rmse) FILTER (variant = 'source5') FROM sums)) < 1e-6 FROM met WHERE variant = 'source5' AND model = 'ridge'
 UNION ALL SELECT 'no_nan', count(*) FILTER (isnan(pooled_r2) OR isnan(rmse)) = 0 FROM met
 UNION ALL SELECT 'variant_set', list_sort(list(DISTINCT variant)) = """ + str(sorted(B.VARIANTS)) + """ FROM met)
 """
