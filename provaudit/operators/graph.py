@@ -120,12 +120,13 @@ def closed_campaigns(signatures: DataFrame, structures: DataFrame) -> DataFrame:
 
 
 def groupings(spark, most: int, ks: list[int]) -> DataFrame:
-    """m, k, places: every way to deal m clusters into k folds, as the fold of each cluster."""
+    """m, k, places: every way to deal m clusters into k folds, as the fold of each cluster; folds are numbered as they first occur."""
     rows = []
     for m in range(1, most + 1):
         for p in partitions(list(range(m))):
             if len(p) in ks:
-                rows.append((m, len(p), [next(f for f, part in enumerate(p) if i in part) for i in range(m)]))
+                names: dict[int, int] = {}
+                rows.append((m, len(p), [names.setdefault(next(f for f, part in enumerate(p) if i in part), len(names)) for i in range(m)]))
     return spark.createDataFrame(rows, "m int, k int, places array<int>")
 
 
@@ -182,11 +183,13 @@ def quarantine_list(signatures: DataFrame, kept: DataFrame) -> DataFrame:
     return signatures.join(kept.select("campaign").distinct(), "campaign", "left_anti").select("campaign", F.col("n").alias("records"), "types")
 
 
-def closure_verify(rows: DataFrame, folds: DataFrame, relations: list[str]) -> DataFrame:
-    """Of each relation, how many values straddle folds. rows: (row_id, relations); folds: (row_id, fold)."""
-    joined = rows.join(folds, "row_id")
-    parts = [joined.groupBy(F.col(r).cast("string").alias("v")).agg(F.countDistinct("fold").alias("k")).agg(F.lit(r).alias("relation"), F.count(F.lit(1)).alias("values"), F.count_if(F.col("k") > 1).alias("straddling")) for r in relations]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def closure_verify(rows: DataFrame, folds: DataFrame, relations: list[str], by: list[str] | None = None) -> DataFrame:
+    """Of each relation, how many values straddle folds. rows: (by, row_id, relations); folds: (by, row_id, fold).
+
+    Values and their folds are made distinct once for all relations.
+    """
+    by = by or []
+    joined = rows.join(folds, [*by, "row_id"])
+    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("relation"), F.col(r).cast("string").alias("v")) for r in relations])).alias("x")
+    spread = joined.select(*by, "fold", pairs).select(*by, "fold", "x.*").groupBy(*by, "relation", "v").agg(F.countDistinct("fold").alias("_k"))
+    return spread.groupBy(*by, "relation").agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("_k") > 1).alias("straddling"))

@@ -6,6 +6,8 @@ prelude names the same relations, so a query's SQL is the prelude and one SELECT
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,11 +68,14 @@ def variants(spark: SparkSession, sf_dir: str, only: list[str]) -> DataFrame:
         parts.append(S.split_family_holdout(rows, "fam").select(F.lit("holdout").alias("variant"), "row_id", F.col("fold").cast("long").alias("fold")))
     if any(v.endswith("_sm") for v in only):
         parts = [written(reduce(DataFrame.unionByName, parts), "honoured")]
-    made = list(parts)
-    for seed, some in ((1, ["source5", "combo5", "dup5"]), (3, ["holdout"])):
-        if wanted := [v for v in some if f"{v}_sm" in only]:
-            own = parts[0].where(F.col("variant").isin(wanted))
-            made.append(S.split_size_matched(rows, own, seed, ["variant"]).withColumn("variant", F.concat("variant", F.lit("_sm"))))
+
+    def matched(seed: int, wanted: list[str]) -> DataFrame:
+        own = parts[0].where(F.col("variant").isin(wanted))
+        return S.split_size_matched(rows, own, seed, ["variant"]).withColumn("variant", F.concat("variant", F.lit("_sm")))
+
+    wanted = [(seed, [v for v in some if f"{v}_sm" in only]) for seed, some in ((1, ["source5", "combo5", "dup5"]), (3, ["holdout"]))]
+    makers = [lambda seed=seed, some=some: matched(seed, some) for seed, some in wanted if some]
+    made = [*parts, *(together(*makers) if makers else [])]
     if "random5" in only:
         made.append(S.split_random_k(rows, K).select(F.lit("random5").alias("variant"), "row_id", "fold"))
     out = reduce(DataFrame.unionByName, [df.select("variant", "row_id", F.col("fold").cast("long").alias("fold")) for df in made])
@@ -98,10 +103,10 @@ def log_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec(spark, sf_dir).withColumn("y", F.log("y"))
 
 
-def nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def nested(spark: SparkSession, sf_dir: str, outer: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(outer assignment, inner assignment, outer training rows)."""
     rows = log_rec(spark, sf_dir)
-    outer = written(S.split_group_k(rows, "src", K), "outer")
+    outer = outer or written(S.split_group_k(rows, "src", K), "outer")
     inner = written(S.split_nested(rows, outer, "src", INNER_K), "inner")
     train = inner.where("protocol = 'random'").select("outer_fold", "row_id").join(rows, "row_id")
     return outer, inner, train
@@ -169,10 +174,22 @@ def as_release(df: DataFrame) -> DataFrame:
     return df.withColumns({"scenario": F.lit(RELEASE), "action_set": F.lit(D.MARGIN)})
 
 
+def together(*makers: Callable) -> list:
+    """What makers give, their jobs running side by side: many are too small to fill a cluster."""
+    with ThreadPoolExecutor(len(makers)) as pool:
+        return [f.result() for f in [pool.submit(m) for m in makers]]
+
+
 def designs(spark: SparkSession, sf_dir: str) -> dict[str, tuple]:
     """The nested design of each scenario, and the demands of the release."""
-    release = nested(spark, sf_dir)
-    return {RELEASE: release, CATEGORY: category_design(spark, sf_dir), "demand": demands(spark, sf_dir, release[0])}
+
+    def outer_first() -> tuple:
+        rows = log_rec(spark, sf_dir)
+        outer = written(S.split_group_k(rows, "src", K), "outer")
+        return together(lambda: nested(spark, sf_dir, outer), lambda: demands(spark, sf_dir, outer))
+
+    (release, demand), category = together(outer_first, lambda: category_design(spark, sf_dir))
+    return {RELEASE: release, CATEGORY: category, "demand": demand}
 
 
 def demands(spark: SparkSession, sf_dir: str, outer: DataFrame) -> DataFrame:

@@ -41,9 +41,6 @@ def query(sql: str | None = None, prelude: bool = True):
     return add
 
 
-SPLITS = ["random5", "source5"]
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -92,11 +89,11 @@ def src_spec(spark, d):
     return B.rounded(out, 4)
 
 
-@query("SELECT variant, fold, count(*) AS n, round(sum(p), 4) AS total FROM pred WHERE variant IN ('random5', 'source5') AND model = 'ridge' GROUP BY variant, fold")
+@query("SELECT variant, fold, count(*) AS n, round(sum(p), 4) AS total FROM pred WHERE model = 'ridge' GROUP BY variant, fold")
 def sink_parquet(spark, d):
     """Out-of-fold predictions written as Parquet by variant and read again by a filter on the partition."""
     path = shared_path(spark, "predictions-parquet")
-    T.sink_parquet(B.predictions(spark, d, SPLITS), path, ["model", "variant"])
+    T.sink_parquet(B.predictions(spark, d), path, ["model", "variant"])
     return B.rounded(T.src_parquet(spark, path).where("model = 'ridge'").groupBy("variant", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total")), 4)
 
 
@@ -406,9 +403,9 @@ def admissibility_ledger(spark, d):
 
 def pairs(spark, d):
     a = B.assignments(spark, d)
-    m = written(M.control_metrics(B.predictions(spark, d, a=a)), "metrics")
+    m, v = B.together(lambda: written(M.control_metrics(B.predictions(spark, d, a=a)), "metrics"), lambda: verdicts(spark, d, a))
     p = C.contrast_pairs(m, spark.createDataFrame(B.HONOURED, "variant string, sizematch string"))
-    return C.contrast_admissible(p, verdicts(spark, d, a))
+    return C.contrast_admissible(p, v)
 
 
 def copied_pairs(spark, d):
@@ -497,7 +494,23 @@ def selection(spark, d):
     return written(G.discard_select(B.signatures(spark, d), structures(spark, d), [2, 3, 4, 5]), "selection")
 
 
-@query()
+#: The selection again: removals in order, every state of the clusters, every way to deal them, the first that fits.
+SELECTED = STRUCTURES + """, mem AS (SELECT e.structure, e.cluster, s.campaign, count(*) AS n FROM sev e JOIN sig s ON s.types = e.types JOIN camp p ON p.campaign = s.campaign AND list_contains(string_split(e.cluster, '+'), p.kind) WHERE e.cluster IS NOT NULL GROUP BY ALL),
+rm0 AS (SELECT *, row_number() OVER (PARTITION BY structure, cluster ORDER BY n, campaign) AS i, sum(n) OVER (PARTITION BY structure, cluster ORDER BY n, campaign ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS size, count(*) OVER (PARTITION BY structure, cluster) AS m FROM mem),
+rms AS (SELECT structure, cluster, campaign, n, row_number() OVER (PARTITION BY structure ORDER BY size DESC, cluster, i) AS step FROM rm0 WHERE i < m),
+whl AS (SELECT structure, cluster, sum(n) AS whole FROM mem GROUP BY ALL), grd AS (SELECT structure, step FROM rms UNION SELECT structure, 0 FROM whl),
+gne AS (SELECT g.structure, g.step, r.cluster, sum(r.n) AS gone FROM grd g JOIN rms r ON r.structure = g.structure AND r.step <= g.step GROUP BY ALL),
+sta AS (SELECT g.structure, g.step, w.cluster, whole - coalesce(gone, 0) AS size FROM grd g JOIN whl w USING (structure) LEFT JOIN gne x ON x.structure = g.structure AND x.step = g.step AND x.cluster = w.cluster),
+clu AS (SELECT structure, step, count(*) AS m, sum(size)::BIGINT AS retained, list(size::BIGINT ORDER BY cluster) AS parts, list(cluster ORDER BY cluster) AS clusters FROM sta GROUP BY structure, step),
+rgs AS (SELECT 0 AS i, []::BIGINT[] AS places, 0::BIGINT AS k UNION ALL SELECT i + 1, list_append(places, f), greatest(k, f + 1) FROM rgs, unnest(range(0, k + 1)) u(f) WHERE i < 5),
+fld AS (SELECT clu.*, k, places, list_reverse_sort(list_transform(range(0, k), lambda f: list_sum(list_transform(parts, lambda n, j: CASE WHEN places[j] = f THEN n ELSE 0 END)))) AS sizes FROM clu JOIN rgs ON i = m AND k BETWEEN 2 AND 5),
+fst1 AS (SELECT * FROM fld WHERE list_min(sizes) >= (retained * 5 + 99) // 100 AND list_max(sizes) <= retained * 50 // 100 QUALIFY row_number() OVER (PARTITION BY structure, k ORDER BY step, places) = 1),
+best AS (SELECT * FROM fst1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY retained DESC, structure) = 1),
+kep AS (SELECT b.k, m.campaign, m.cluster, b.places[list_position(b.clusters, m.cluster)] AS fold FROM best b JOIN mem m USING (structure) LEFT JOIN rms r ON r.structure = m.structure AND r.campaign = m.campaign WHERE r.step IS NULL OR r.step > b.step)
+"""
+
+
+@query(SELECTED + "SELECT k::INT AS k, structure, step::INT AS step, retained, array_to_string(list_transform(sizes, lambda x: x::BIGINT), ',') AS sizes FROM best")
 def discard_select(spark, d):
     return selection(spark, d).select("k", "structure", "step", "retained", F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"))
 
@@ -506,7 +519,7 @@ def kept(spark, d):
     return G.kept_campaigns(B.signatures(spark, d), structures(spark, d), selection(spark, d))
 
 
-@query()
+@query(SELECTED + "SELECT b.k::INT AS k, s.campaign, s.n AS records, array_to_string(s.types, '+') AS types FROM best b, sig s WHERE NOT EXISTS (SELECT 1 FROM kep WHERE kep.k = b.k AND kep.campaign = s.campaign) AND EXISTS (SELECT 1 FROM kep WHERE kep.k = b.k)")
 def quarantine_selected(spark, d):
     """Campaigns that the selection for each K leaves out."""
     s, k = B.signatures(spark, d), written(kept(spark, d), "kept")
@@ -514,13 +527,12 @@ def quarantine_selected(spark, d):
     return wanted.join(k.select("k", "campaign"), ["k", "campaign"], "left_anti").select("k", "campaign", F.col("n").alias("records"), F.array_join("types", "+").alias("types"))
 
 
-@query()
+@query(SELECTED + ", w AS (SELECT k, fold, campaign, kind FROM camp JOIN kep USING (campaign) WHERE list_contains(string_split(cluster, '+'), kind)), v AS (SELECT k, 'campaign' AS relation, campaign AS v, count(DISTINCT fold) AS c FROM w GROUP BY ALL UNION ALL SELECT k, 'kind', kind, count(DISTINCT fold) FROM w GROUP BY ALL) SELECT k::INT AS k, relation, count(*) AS values, count(*) FILTER (c > 1) AS straddling FROM v GROUP BY k, relation")
 def closure_selected(spark, d):
-    """Values of either relation that straddle the folds of the selection with the most folds."""
+    """Values of either relation that straddle the folds of the selection for each K."""
     k = written(kept(spark, d), "kept")
-    most = k.select("campaign", "cluster", "fold").where(F.col("k") == F.lit(k.agg(F.max("k")).first()[0]))
-    rows = B.campaign_rows(spark, d).join(most, "campaign").where(F.array_contains(F.split("cluster", r"\+"), F.col("kind")))
-    return G.closure_verify(rows.select("row_id", "campaign", "kind"), rows.select("row_id", "fold"), ["campaign", "kind"])
+    rows = B.campaign_rows(spark, d).join(k, "campaign").where(F.array_contains(F.split("cluster", r"\+"), F.col("kind")))
+    return G.closure_verify(rows.select("k", "row_id", "campaign", "kind"), rows.select("k", "row_id", "fold"), ["campaign", "kind"], ["k"])
 
 
 @query("SELECT campaign, n AS records, array_to_string(types, '+') AS types FROM sig WHERE len(types) > 1")
