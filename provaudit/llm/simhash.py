@@ -49,7 +49,7 @@ MOST_HEAVY = 20_000
 HASHES = 200_000
 PAIRS = 1_000_000
 #: Shingle hashes of a block of texts whose links are settled on whole sets.
-SET_HASHES = 1_000_000
+SET_HASHES = 200_000
 #: Links that one task settles at once.
 SETTLED = 200_000
 #: Fixed values of a 64-bit finaliser (splitmix64), which derives further hashes from one.
