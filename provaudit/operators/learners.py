@@ -11,10 +11,12 @@ import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provaudit.operators.boosting import learn_boosted
+
 
 def complement(rows: DataFrame, assignment: DataFrame, sums: dict[str, Column], by: list[str], scope: list[str] | None = None) -> DataFrame:
     """Sums over each fold's training rows, as totals less the fold's own: one pass, whatever the number of folds.
@@ -147,9 +149,9 @@ def learn_rf_reg(rows: DataFrame, assignment: DataFrame, features: list[str], tr
     return oof_predict(rows, assignment, features, make, "rf", lambda t: t.select("row_id", "y", F.col("prediction").alias("p")))
 
 
-def learn_gbt_reg(rows: DataFrame, assignment: DataFrame, features: list[str], rounds: int = 20, seed: int = 0) -> DataFrame:
-    make = lambda: GBTRegressor(labelCol="y", maxIter=rounds, seed=seed, maxDepth=3)
-    return oof_predict(rows, assignment, features, make, "gbt", lambda t: t.select("row_id", "y", F.col("prediction").alias("p")))
+def learn_gbt_reg(rows: DataFrame, assignment: DataFrame, features: list[str], rounds: int = 20) -> DataFrame:
+    """Boosted trees for every fold of every variant, grown together in one fit."""
+    return learn_boosted(rows, assignment, features, rounds)
 
 
 def learn_rf_clf(rows: DataFrame, assignment: DataFrame, features: list[str], trees: int = 300, seed: int = 0) -> DataFrame:

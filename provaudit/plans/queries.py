@@ -590,7 +590,16 @@ def learn_rf_reg(spark, d):
 
 @query()
 def learn_gbt_reg(spark, d):
-    return L.learn_gbt_reg(ml_rows(spark, d), B.assignments(spark, d, ["source5"]), ["x", "sz"])
+    return L.learn_gbt_reg(ml_rows(spark, d), B.assignments(spark, d), ["x", "sz"])
+
+
+@query()
+def contrast_trees(spark, d):
+    """The contrasts of every honoured split for boosted trees, beside those of the mean and ridge."""
+    a = B.assignments(spark, d)
+    p = written(L.learn_gbt_reg(ml_rows(spark, d), a, ["x", "sz"]).unionByName(B.predictions(spark, d, a=a)), "tree-predictions")
+    pairs_ = C.contrast_pairs(written(M.control_metrics(p), "tree-metrics"), spark.createDataFrame(B.HONOURED, "variant string, sizematch string"))
+    return C.contrast_admissible(pairs_, verdicts(spark, d, a))
 
 
 def quality_rows(spark, d):

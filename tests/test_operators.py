@@ -242,6 +242,54 @@ def test_class_probabilities_equal_a_plain_recomputation(spark):
         assert got["prior", i] == (max(shares, key=shares.get), round(max(shares.values()), 6))
 
 
+def test_boosted_trees_of_all_folds_equal_folds_one_by_one(spark):
+    """Two splits fitted together give what a plain recomputation of each fold gives, and better than the mean."""
+    from provaudit.operators import boosting
+
+    rng = np.random.default_rng(8)
+    n = 400
+    x = np.round(rng.uniform(0, 10, (n, 2)), 2)
+    y = np.where(x[:, 0] > 5, 3.0, 0.0) + np.sin(x[:, 1]) + rng.normal(0, 0.1, n)
+    folds = {"a": np.arange(n) % 4, "b": np.where(np.arange(n) < 100, -1, np.arange(n) // 100)}  # in b some rows are never tested
+    df = spark.createDataFrame([(i, float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(n)], "row_id long, y double, p double, q double").repartition(3)
+    asg = spark.createDataFrame([(v, i, int(f) if f >= 0 else None) for v, fs in folds.items() for i, f in enumerate(fs)], "variant string, row_id long, fold long")
+    got = {(r.variant, r.row_id): (r.fold, r.p) for r in L.learn_gbt_reg(df, asg, ["p", "q"], rounds=8).collect()}
+    assert len(got) == 400 + 300
+    edges = boosting.edges_of(df, ["p", "q"])
+    bins = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
+    for v, fs in folds.items():
+        for f in sorted(set(fs.tolist()) - {-1}):
+            train, test = fs != f, fs == f
+            p_train, p_test = np.full(train.sum(), y[train].mean()), np.full(test.sum(), y[train].mean())
+            for _ in range(8):
+                res, bt, be = y[train] - p_train, bins[train], bins[test]
+                at, ae = np.zeros(len(bt), int), np.zeros(len(be), int)
+                for _ in range(3):
+                    nt, ne = 2 * at, 2 * ae
+                    for node in set(at.tolist()):
+                        own = at == node
+                        best = (1e-12, None)
+                        for j in (0, 1):
+                            for c in range(32):
+                                left = own & (bt[:, j] <= c)
+                                right = own & ~left
+                                if left.any() and right.any():
+                                    gain = res[left].sum() ** 2 / left.sum() + res[right].sum() ** 2 / right.sum() - res[own].sum() ** 2 / own.sum()
+                                    if gain > best[0] + 1e-9:
+                                        best = (gain, (j, c))
+                        if best[1]:
+                            j, c = best[1]
+                            nt[own] += bt[own, j] > c
+                            ne[ae == node] += be[ae == node, j] > c
+                    at, ae = nt, ne
+                value = {leaf: 0.1 * res[at == leaf].mean() for leaf in set(at.tolist())}
+                p_train = p_train + np.array([value[a] for a in at])
+                p_test = p_test + np.array([value.get(a, 0.0) for a in ae])
+            for i, p in zip(np.flatnonzero(test).tolist(), p_test):
+                assert got[v, i][0] == f and abs(got[v, i][1] - p) < 1e-6
+            assert ((y[test] - p_test) ** 2).mean() < 0.6 * ((y[test] - y[train].mean()) ** 2).mean()
+
+
 def test_metrics_guard_degenerate_folds(spark):
     p = spark.createDataFrame([("v", "m", 0, 1, 2.0, 1.0), ("v", "m", 1, 2, 3.0, 3.0), ("v", "m", 1, 3, 3.0, 2.0)], "variant string, model string, fold int, row_id long, y double, p double")
     got = M.metric_fold_r2(p, ["variant", "model"]).first()
