@@ -60,11 +60,12 @@ def single_vs_bridging(signatures: DataFrame) -> DataFrame:
     return signatures.select(F.explode("types").alias("type"), one.alias("one")).groupBy("type").agg(F.count_if("one").alias("single"), F.count_if(~F.col("one")).alias("bridging"))
 
 
-def type_implication(signatures: DataFrame, least: int = 1) -> DataFrame:
+def type_implication(signatures: DataFrame, least: int = 1, absent: bool = False) -> DataFrame:
     """For each ordered pair of types that some campaign has together: campaigns with the first, and those among them without the second.
 
-    Only pairs that occur are counted; of any other pair every campaign with the first is without the second. Types of fewer than `least`
-    campaigns are left out before they are paired, so a campaign with very many rare types makes few pairs.
+    Only pairs that occur are counted; of any other pair every campaign with the first is without the second, and `absent` lists these
+    too, so that all ordered pairs are there. Types of fewer than `least` campaigns are left out before they are paired, so a campaign
+    with very many rare types makes few pairs.
     """
     has = signatures.groupBy("types").agg(F.count(F.lit(1)).alias("c"))
     support = written(has.select(F.explode("types").alias("t"), "c").groupBy("t").agg(F.sum("c").alias("support")).where(F.col("support") >= least), "type-support")
@@ -72,6 +73,9 @@ def type_implication(signatures: DataFrame, least: int = 1) -> DataFrame:
     each = has.withColumn("s", F.xxhash64("types", F.concat_ws("\u0001", "types"))).select("s", "c", F.explode("types").alias("t")).join(support.select("t"), "t", "left_semi")
     thin = each.groupBy("s", "c").agg(F.collect_list("t").alias("ts"))
     together = thin.select("c", "ts", F.explode("ts").alias("t")).select("c", "t", F.explode("ts").alias("u")).where("t <> u").groupBy("t", "u").agg(F.sum("c").alias("both"))
+    if absent:
+        every = support.crossJoin(support.select(F.col("t").alias("u"))).where("t <> u")
+        return every.join(together, ["t", "u"], "left").select("t", "u", "support", (F.col("support") - F.coalesce("both", F.lit(0))).alias("violations"))
     return together.join(support, "t").select("t", "u", "support", (F.col("support") - F.col("both")).alias("violations"))
 
 

@@ -456,9 +456,9 @@ def single_vs_bridging(spark, d):
     return G.single_vs_bridging(B.signatures(spark, d))
 
 
-@query(", u AS (SELECT DISTINCT unnest(types) AS u FROM sig), t AS (SELECT unnest(types) AS t, types FROM sig) SELECT t, u, count(*) AS support, count(*) FILTER (NOT list_contains(types, u)) AS violations FROM t, u WHERE t <> u GROUP BY t, u HAVING count(*) FILTER (list_contains(types, u)) > 0")
+@query(", u AS (SELECT DISTINCT unnest(types) AS u FROM sig), t AS (SELECT unnest(types) AS t, types FROM sig) SELECT t, u, count(*) AS support, count(*) FILTER (NOT list_contains(types, u)) AS violations FROM t, u WHERE t <> u GROUP BY t, u")
 def type_implication(spark, d):
-    return G.type_implication(B.signatures(spark, d))
+    return G.type_implication(B.signatures(spark, d), absent=True)
 
 
 def structures(spark, d):

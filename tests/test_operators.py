@@ -13,6 +13,8 @@ from provaudit.operators import metrics as M
 from provaudit.operators import policy as P
 from provaudit.operators import relations as R
 from provaudit.operators import splits as S
+from provaudit.plans import base as B
+from provaudit.plans.queries import ORACLES, QUERIES
 from provaudit.sources import tables as T
 
 # An incidence of our own, small enough to work out every result by hand.
@@ -55,6 +57,15 @@ def test_implication(signatures):
     assert got == {("P", "R"): (3, 2), ("R", "P"): (2, 1)}  # pairs that no campaign has together are violated by all of the first
 
 
+def test_implication_of_all_pairs(spark, signatures):
+    got = {(r.t, r.u): (r.support, r.violations) for r in G.type_implication(signatures, absent=True).collect()}
+    assert got == {("P", "Q"): (3, 3), ("P", "R"): (3, 2), ("Q", "P"): (2, 2), ("Q", "R"): (2, 2), ("R", "P"): (2, 1), ("R", "Q"): (2, 2)}
+    small = "/root/testdata/sf0.001"
+    types = {t for r in B.signatures(spark, small).collect() for t in r.types}
+    assert QUERIES["type_implication"](spark, small).count() == len(types) * (len(types) - 1)
+    assert "HAVING" not in ORACLES["type_implication"]
+
+
 def test_published_family_verdict(spark):
     sizes = [674, 396, 246]
     st = spark.createDataFrame([("honoured", f, 1316 - n, n) for f, n in enumerate(sizes)], "variant string, fold long, n_train long, n_test long")
