@@ -475,6 +475,27 @@ def test_bradley_terry_orders_by_preference():
     assert np.corrcoef(s, x[:, 0] - x[:, 1])[0, 1] > 0.95
 
 
+def test_quality_learns_from_all_rows_and_all_pairs(spark):
+    """Weights at the least loss over all pairs, the threshold against all cuts, and a table of more than 12,000 labelled rows."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 3)) * [1.0, 5.0, 0.2] + [0.0, 3.0, 1.0]
+    y = (x[:, 0] + x[:, 2] + rng.standard_normal(300) > 1.2).astype(int)
+    w, mean, scale = quality.all_pairs(lambda v, shift: quality.cell_sums(x, y, v, shift), 3)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, 3)
+    loss = lambda v: quality.PAIRS * np.log1p(np.exp(-(d @ v))).mean() + 0.5 * v @ v
+    assert all(loss(w) <= loss(w + step) for k in range(3) for step in (0.01 * np.eye(3)[k], -0.01 * np.eye(3)[k]))
+    for trial in range(30):
+        s, t = rng.standard_normal(200).round(1 + trial % 3), rng.integers(0, 2, 200)
+        got = quality.least_wrong_cut(lambda parts, each: quality.cell_counts(s[:, None], t, np.ones(1), parts, each))
+        levels = np.unique(s)
+        cuts = [((t[s > c] == 0).sum() + (t[s < c] == 1).sum(), b - a, c) for a, b in zip(levels[1:], levels) if abs((s < (c := (a + b) / 2)).mean() - (t == 0).mean()) <= 0.05]
+        assert got == min(cuts, key=lambda k: (k[0], k[1]))[2]
+    docs = spark.range(26_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id").cast("string")).alias("text"))
+    seen = quality.labelled_measures(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")), "quality", F.col("doc_id") >= 1_000)
+    assert seen.count() == 25_000
+
+
 def test_toxicity_finds_planted_words(spark, docs, empty):
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
