@@ -14,6 +14,7 @@ column, so which copy lies where does not matter; the number that each piece got
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,9 @@ MOST_BLOCKS = 20_000
 #: White space that is not a lone space or line feed between words (or may be: first bytes suffice).
 ODD_SPACE = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\x0b", b"\x0c", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 EDGES = (b"", b" ", b"\n")
+#: Words that are letters for certain, whatever the version of Unicode.
+LATIN_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+MARKS = b".,;:!?"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -66,10 +70,10 @@ class ByteCodec:
         return b"".join([words[w.encode()] for w in self.pattern.findall(part.decode("utf-8", "replace"))])
 
     def after_space(self, word: bytes) -> bytes:
-        if word.isalpha():
-            return self.words[b" " + word]
-        if word[:-1].isalpha() and word[-1:] in b".,;:!?":
-            return self.words[b" " + word[:-1]] + self.words[word[-1:]]
+        mark = word[-1:] if word[-1:] in MARKS else b""
+        stem = word[:-1] if mark else word
+        if stem.isalpha() or not stem.isascii() and LATIN_LETTERS.fullmatch(stem.decode("utf-8", "replace")):
+            return self.words[b" " + stem] + self.words[mark] if mark else self.words[b" " + stem]
         return self.part(b" " + word)
 
     def odd_text(self, text: bytes) -> bytes:

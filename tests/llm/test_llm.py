@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from provaudit.llm import bpe_codec, gru_lm, hashing_search, packing, quality, revisits, simhash, sketch, token_counts, toxicity
+from provaudit.llm import bpe_codec, gru_lm, hashing_search, packing, quality, revisits, simhash, sketch, token_counts, toxicity, vocabulary
 from provaudit.llm.vocabulary import default_path
 
 SF = "/root/testdata/sf0.001"
@@ -475,6 +475,28 @@ def test_bradley_terry_orders_by_preference():
     assert np.corrcoef(s, x[:, 0] - x[:, 1])[0, 1] > 0.95
 
 
+def test_latin_words_and_marks_encode_as_the_library_does():
+    """Words with accents take no slower way than others, and a cache that is trimmed keeps what came first."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.ByteCodec("byte_bpe_50k.json")
+    text = "Où déjà, ça! naïve; straße. über× a÷b œuvre: Ærø? ñandú,, Ǽ ɏx ªb µm 3é é3 l'été d'où. " * 2 + "fin"
+    assert np.frombuffer(next(codec.encode([text.encode()])), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert codec.after_space(b"") == codec.part(b" ")
+    codec.pattern = None  # the general pattern is not asked for words of Latin letters
+    assert codec.after_space("élève,".encode()) == codec.words[" élève".encode()] + codec.words[b","]
+    memo = vocabulary.Memo(lambda k: k)
+    for k in range(250_000):
+        memo[b"%d" % k]
+    memo.trim()
+    assert len(memo) == 250_000
+    for k in range(250_000, 310_000):
+        memo[b"%d" % k]
+    memo.trim()
+    assert len(memo) == vocabulary.KEPT_ENTRIES and next(iter(memo)) == b"0" and b"199999" in memo and b"200000" not in memo
+
+
 def test_quality_learns_from_all_rows_and_all_pairs(spark):
     """Weights at the least loss over all pairs, the threshold against all cuts, and a table of more than 12,000 labelled rows."""
     rng = np.random.default_rng(4)
