@@ -23,17 +23,16 @@ from __future__ import annotations
 
 import io
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provaudit.llm.common import as_bytes, chunks, crc_mod, keyed, table, worker_state, written
+from provaudit.llm.common import chunks, crc_mod, keyed, table, worker_state, written
 
 TABLE = 65_536
 SHORTLIST = 1_024
@@ -53,12 +52,18 @@ SALTS = 256
 RATE = 0.02
 #: Rows of states whose class probabilities are worked out at once.
 SLAB = 512
-FLUSH = 400_000
+#: Largest exponent taken as it is: exp(80) times the number of classes is still a float32.
+FAR = 80
+#: Documents scored side by side.
+ABREAST = 1_024
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words of a text; the end mark is left to the caller."""
-    return text.lower().split()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens of a string column in their order, tokens of each text): lower-cased words, and the empty word as the end mark."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # White space at the end, or no text at all, leaves one empty word.
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), "", pc.binary_join_element_wise(trimmed, "", " ")))
+    return lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy().astype(np.int64)
 
 
 def bucket(word: bytes) -> int:
@@ -73,20 +78,10 @@ def word_counts(docs: DataFrame, name: str = "counts") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state()
-        seen: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
         for batch in batches:
-            for text in as_bytes(batch.column(1)):
-                seen.update(tokens(text))
-                seen[b""] += 1
-                if len(seen) > FLUSH:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            for part in chunks(batch, "text", 16_000_000):
+                words, n = split(part.column(1))[0].value_counts().flatten()
+                yield pa.RecordBatch.from_arrays([words.cast(pa.string()), n], ["word", "n"])
 
     return written(docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), name)
 
@@ -97,6 +92,7 @@ class Lexicon:
     def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int, bucket_n: np.ndarray, bucket_v: np.ndarray):
         self.total, self.distinct = total, distinct
         self.index = {w: i for i, (w, _) in enumerate(frequent)}
+        self.listed = pa.array(list(self.index), pa.binary())
         n = np.asarray([c for _, c in frequent], np.float64)
         self.n_short = min(SHORTLIST, len(frequent))
         self.n_classes = -(-self.n_short // CLASS_SIZE)
@@ -117,28 +113,14 @@ class Lexicon:
         short = x < SHORTLIST
         return np.where(short, x // CLASS_SIZE, self.n_classes + x - SHORTLIST), np.where(short, x % CLASS_SIZE, -1)
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes], float, float, int]:
-        """Input ids with the end mark, unlisted words, and what the listed ones add to base and bucket scores."""
-        at = np.fromiter(map(self.index.get, chain(words, (b"",)), repeat(-1)), np.int64, len(words) + 1)
-        miss = np.flatnonzero(at < 0)
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the table (-1 where unlisted) and input id of tokens."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.listed), -1).to_numpy()
         x = self.input[at] if len(self.input) else np.zeros(len(at), np.int64)
-        missed = [words[i] if i < len(words) else b"" for i in miss.tolist()]
-        x[miss] = [SHORTLIST + bucket(w) for w in missed]
-        known = at[at >= 0]
-        in_bucket = x >= SHORTLIST
-        listed = known[self.input[known] >= SHORTLIST] if len(known) else known
-        base = float(self.log_count[known].sum()) - len(at) * self.log_total
-        rest = float(self.log_count[listed].sum()) - float(self.log_bucket[x[in_bucket] - SHORTLIST].sum())
-        return x, missed, base, rest, len(known)
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)), in place."""
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+        miss = np.flatnonzero(at < 0)
+        heads = pc.binary_slice(words.take(pa.array(miss)), 0, 2).dictionary_encode()
+        x[miss] = SHORTLIST + np.asarray([bucket(w) for w in heads.dictionary.to_pylist()], np.int64)[heads.indices.to_numpy()]
+        return at, x
 
 
 class ClassGru:
@@ -165,69 +147,95 @@ class ClassGru:
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         return self
 
-    def step(self, gates: np.ndarray, h: np.ndarray):
-        n = HIDDEN
-        a = h @ self.w["u"]
-        zr = sigmoid(gates[:, : 2 * n] + a[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        m = r * a[:, 2 * n :]
-        m += gates[:, 2 * n :]
+    def by_gate(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input and recurrent weights with the gates in front, so that a gate's values lie together; those of z and r negated."""
+        gate = lambda v: np.ascontiguousarray(v.reshape(len(v), 3, HIDDEN).transpose(1, 0, 2))
+        x, u = gate(self.w["x"]), gate(self.w["u"])
+        for v in (x[:2], u[:2]):
+            np.negative(v, out=v)
+        return x, u
+
+    @staticmethod
+    def advance(gates: np.ndarray, u: np.ndarray, h: np.ndarray, a: np.ndarray, m: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """One step: a receives z, r and h @ u of the candidate, m the candidate, new the next state."""
+        np.matmul(h, u, out=a)
+        zr = a[:2]
+        zr += gates[:2]
+        np.exp(zr, out=zr)  # of the negated sum; infinity gives 0
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.multiply(zr[1], a[2], out=m)
+        m += gates[2]
         np.tanh(m, out=m)
-        new = h - m
-        new *= z
+        np.subtract(h, m, out=new)
+        new *= zr[0]
         new += m
-        return z, r, m, a, new
+        return new
+
+    def step(self, gates: np.ndarray, h: np.ndarray):
+        """z, r, candidate, h @ u of the candidate and next state for rows of input weights."""
+        signed = gates.reshape(len(gates), 3, HIDDEN).transpose(1, 0, 2) * np.asarray([-1, -1, 1], gates.dtype)[:, None, None]
+        a, m, new = np.empty((3, *h.shape), h.dtype), np.empty_like(h), np.empty_like(h)
+        with np.errstate(over="ignore"):
+            self.advance(signed, self.by_gate()[1], h, a, m, new)
+        return a[0], a[1], m, a[2], new
 
     def word_logs(self, h: np.ndarray, cls: np.ndarray, place: np.ndarray, gradient: bool = False):
         """Natural-log probability of each token given the state before it; with gradient, also d/dh and weight gradients."""
-        w, n = self.w, len(h)
-        out, grads = np.empty(n, h.dtype), None
+        w, n, kinds = self.w, len(h), self.w["c"].shape[1]
+        out, total, grads = np.empty(n, h.dtype), np.empty(n, h.dtype), None
+        wide = np.ones((n, HIDDEN + 1), h.dtype)  # biases are the weights of a last input of one
+        wide[:, :-1] = h
+        class_w, word_w = np.concatenate([w["c"], w["cb"][None]]), np.concatenate([w["w"][: len(w["wb"])], w["wb"][:, None]], axis=1)
+        # Sums that cannot leave the range of exp need no maximum taken off.
+        most = float(max(h.max(initial=0), -h.min(initial=0)))
+        far = [most * float(np.abs(v).sum(axis=-2).max()) + float(np.abs(b).max(initial=0)) > FAR for v, b in ((w["c"], w["cb"]), (w["w"], w["wb"]))]
         if gradient:
-            grads = {k: np.zeros_like(w[k]) for k in ("c", "cb", "w", "wb")}
-            dh = np.empty_like(h)
-        slab = np.empty((SLAB, w["c"].shape[1]), h.dtype)
-        ones = np.ones(w["c"].shape[1], h.dtype)
+            dh, class_g, word_g, back_w = np.empty_like(h), np.zeros_like(class_w.T), np.zeros_like(word_w), np.ascontiguousarray(w["c"].T)
+        slab, ones, first = np.empty((SLAB, kinds), h.dtype), np.ones(kinds, h.dtype), np.arange(SLAB) * kinds
         for s in range(0, n, SLAB):  # what the class softmax works on stays in a core's cache
-            hs, cs = h[s : s + SLAB], cls[s : s + SLAB]
-            p, row = np.matmul(hs, w["c"], out=slab[: len(hs)]), np.arange(len(hs))
-            p += w["cb"]
-            p -= p.max(axis=1, keepdims=True)
-            at = p[row, cs]
+            hs = wide[s : s + SLAB]
+            p = np.matmul(hs, class_w, out=slab[: len(hs)])
+            if far[0]:
+                p -= p.max(axis=1, keepdims=True)
+            flat, at, sums = p.reshape(-1), first[: len(hs)] + cls[s : s + SLAB], total[s : s + SLAB]
+            out[s : s + SLAB] = flat[at]
             np.exp(p, out=p)
-            total = p @ ones
-            out[s : s + SLAB] = at - np.log(total)
+            np.matmul(p, ones, out=sums)
             if gradient:
-                p /= total[:, None]
-                p[row, cs] -= 1
-                grads["c"] += hs.T @ p
-                grads["cb"] += p.sum(axis=0)
-                np.matmul(p, w["c"].T, out=dh[s : s + SLAB])
+                p *= np.reciprocal(sums)[:, None]
+                flat[at] -= 1
+                class_g += p.T @ hs
+                np.matmul(p, back_w, out=dh[s : s + SLAB])
+        out -= np.log(total)
         short = np.flatnonzero(place >= 0)
-        order = short[np.argsort(cls[short], kind="stable")]
-        found, starts = np.unique(cls[order], return_index=True)
-        hs, ps, more = h[order], place[order], np.empty(len(order), h.dtype)
-        back = np.empty_like(hs) if gradient else None
-        for k, s, e in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
-            hk = hs[s:e]
-            q = hk @ w["w"][k]
-            q += w["wb"][k]
+        order = short[np.argsort(cls[short].astype(np.int16), kind="stable")]
+        ends = np.cumsum(np.bincount(cls[short], minlength=1)).tolist()
+        spans = [(k, s, e) for k, (s, e) in enumerate(zip([0, *ends], ends)) if e > s]
+        hs, q, ones = wide[order], np.empty((len(order), CLASS_SIZE), h.dtype), np.ones(CLASS_SIZE, h.dtype)
+        for k, s, e in spans:
+            np.matmul(hs[s:e], word_w[k], out=q[s:e])
+        if far[1] and len(q):
             q -= q.max(axis=1, keepdims=True)
-            at = np.arange(e - s)
-            more[s:e] = q[at, ps[s:e]]
-            np.exp(q, out=q)
-            sums = q.sum(axis=1, keepdims=True)
-            more[s:e] -= np.log(sums[:, 0])
-            if gradient:
-                q /= sums
-                q[at, ps[s:e]] -= 1
-                grads["w"][k], grads["wb"][k] = hk.T @ q, q.sum(axis=0)
-                np.matmul(q, w["w"][k].T, out=back[s:e])
+        flat, at = q.reshape(-1), np.arange(len(q)) * CLASS_SIZE + place[order]
+        more = flat[at]
+        np.exp(q, out=q)
+        sums = q @ ones
+        more -= np.log(sums)
         out[order] += more
-        if gradient:
-            dh[order] += back
-        return (out, dh, grads) if gradient else out
-
-    def scores(self, documents: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
+        if not gradient:
+            return out
+        q *= np.reciprocal(sums)[:, None]
+        flat[at] -= 1
+        back, back_w = np.empty((len(q), HIDDEN), h.dtype), np.ascontiguousarray(w["w"].transpose(0, 2, 1))
+        for k, s, e in spans:
+            word_g[k] = hs[s:e].T @ q[s:e]
+            np.matmul(q[s:e], back_w[k], out=back[s:e])
+        dh[order] += back
+        grads = {"c": class_g[:, :-1].T, "cb": class_g[:, -1], "w": word_g[:, :-1], "wb": word_g[:, -1]}
+        return out, dh, grads
+
+    def scores(self, documents: list[np.ndarray], lanes: int = ABREAST) -> np.ndarray:
         """Log10 probability of classes and shortlist words of whole documents, in windows that carry the state."""
         out = np.zeros(len(documents))
         order = np.argsort([-len(d) for d in documents], kind="stable")
@@ -240,20 +248,28 @@ class ClassGru:
         """Natural-log probabilities of documents sorted by falling length, each a lane."""
         lengths, out = np.asarray([len(d) for d in documents]), np.zeros(len(documents))
         flat, first = np.concatenate(documents), np.cumsum(lengths) - lengths
-        h, t = np.zeros((len(lengths), HIDDEN), np.float32), 0
+        h, t, (table, u) = np.zeros((len(lengths), HIDDEN), np.float32), 0, self.by_gate()
+        span = min(4 * WINDOW, int(lengths[0]))
+        gates, a, m = (np.empty(k * h.size, h.dtype) for k in (3, 3, 1))
         while t < lengths[0]:
-            span = min(4 * WINDOW, int(lengths[0]) - t)
-            states, xs, who = [], [], []
-            for s in range(t, t + span):
-                lanes = int(np.searchsorted(-lengths, -s, side="left"))
-                x = flat[first[:lanes] + s]
-                states.append(h[:lanes])
-                xs.append(x)
-                who.append(np.arange(lanes))
-                h = self.step(self.w["x"][x], h[:lanes])[4]
-            cls, place = self.lexicon.target(np.concatenate(xs))
-            logs = self.word_logs(np.concatenate(states), cls, place)
-            out[: len(who[0])] += np.bincount(np.concatenate(who), logs, len(who[0]))
+            span = min(span, int(lengths[0]) - t)
+            wide = np.searchsorted(-lengths, -np.arange(t, t + span), side="left").tolist()  # lanes of each step
+            ends = np.cumsum(wide).tolist()
+            xs, states = np.empty(ends[-1], np.int64), np.empty((ends[-1], HIDDEN), h.dtype)
+            for s, (lanes, e) in enumerate(zip(wide, ends)):
+                x, state, size = xs[e - lanes : e], states[e - lanes : e], lanes * HIDDEN
+                np.take(flat, first[:lanes] + (t + s), out=x, mode="clip")
+                state[:] = h[:lanes]
+                h, g = h[:lanes], gates[: 3 * size].reshape(3, lanes, HIDDEN)
+                for k in range(3):
+                    np.take(table[k], x, axis=0, out=g[k], mode="clip")
+                with np.errstate(over="ignore"):
+                    self.advance(g, u, state, a[: 3 * size].reshape(3, lanes, HIDDEN), m[:size].reshape(lanes, HIDDEN), h)
+            cls, place = self.lexicon.target(xs)
+            logs, e = self.word_logs(states, cls, place), 0
+            for lanes in wide:
+                out[:lanes] += logs[e : e + lanes]
+                e += lanes
             t += span
         return out
 
@@ -275,67 +291,86 @@ class ClassGru:
             h = self.window(x[t : t + WINDOW], start[t : t + WINDOW], real[t : t + WINDOW], h, rate)
 
     def window(self, x, start, real, h, rate):
-        n, w, steps = HIDDEN, self.w, len(x)
-        gates, keep = w["x"][x], np.where(start, 0.0, 1.0).astype(np.float32)[:, :, None]
-        before, z, r, m, turned = (np.empty((steps, x.shape[1], n), h.dtype) for _ in range(5))
-        for s in range(steps):
-            h = np.multiply(h, keep[s], out=before[s])
-            zr = h @ w["u"]
-            turned[s] = zr[:, 2 * n :]
-            zr = sigmoid(np.add(zr[:, : 2 * n], gates[s, :, : 2 * n], out=zr[:, : 2 * n]))
-            z[s], r[s] = zr[:, :n], zr[:, n:]
-            np.multiply(r[s], turned[s], out=m[s])
-            m[s] += gates[s, :, 2 * n :]
-            np.tanh(m[s], out=m[s])
-            h = h - m[s]
-            h *= z[s]
-            h += m[s]
+        n, w, (steps, lanes) = HIDDEN, self.w, x.shape
+        table, u = self.by_gate()
+        gates, acts, da = (np.empty((3, steps, lanes, n), h.dtype) for _ in range(3))
+        for g in range(3):
+            np.take(table[g], x, axis=0, out=gates[g], mode="clip")
+        before, m = np.empty((steps + 1, lanes, n), h.dtype), np.empty((steps, lanes, n), h.dtype)
+        before[0], fresh = h, [np.flatnonzero(v) for v in start]
+        with np.errstate(over="ignore"):
+            for s in range(steps):
+                before[s, fresh[s]] = 0
+                self.advance(gates[:, s], u, before[s], acts[:, s], m[s], before[s + 1])
+        last, before, (z, r, turned) = before[steps].copy(), before[:steps], acts
         every, mask = before.reshape(-1, n), real.ravel()
         cls, place = self.lexicon.target(x.ravel())
         rows = np.flatnonzero(mask)
         full = len(rows) == len(mask)
-        _, dh_rows, g = self.word_logs(every if full else every[rows], cls if full else cls[rows], place if full else place[rows], True)
+        _, dh_rows, grads = self.word_logs(every if full else every[rows], cls if full else cls[rows], place if full else place[rows], True)
         dh_out = dh_rows
         if not full:
             dh_out = np.zeros_like(every)
             dh_out[rows] = dh_rows
         dh_out = dh_out.reshape(before.shape)
-        # What a step's gradient is multiplied by, for all steps at once.
-        by_z = (before - m) * z
-        by_z *= 1 - z
-        by_m = (1 - z) * (1 - m * m)
-        turned *= r
-        turned *= 1 - r
-        da, dm, back, u = np.empty((*before.shape[:2], 3 * n), h.dtype), np.empty_like(m), np.zeros_like(h), np.ascontiguousarray(w["u"].T)
+        # What a step's gradient is multiplied by, for all steps at once, in the place of its gates.
+        by_z, by_m, by_r = gates
+        np.subtract(1, z, out=by_m)
+        np.subtract(before, m, out=by_z)
+        by_z *= z
+        by_z *= by_m
+        np.multiply(m, m, out=by_r)
+        np.subtract(1, by_r, out=by_r)
+        by_m *= by_r
+        np.subtract(1, r, out=by_r)
+        by_r *= r
+        by_r *= turned
+        dm, back, some = turned, np.zeros_like(h), np.empty((3, lanes, n), h.dtype)
+        turn = np.ascontiguousarray(w["u"].T).reshape(3, n, n)
         for s in range(steps - 1, -1, -1):
             np.multiply(back, by_m[s], out=dm[s])
-            np.multiply(back, by_z[s], out=da[s, :, :n])
-            np.multiply(dm[s], turned[s], out=da[s, :, n : 2 * n])
-            np.multiply(dm[s], r[s], out=da[s, :, 2 * n :])
+            np.multiply(back, by_z[s], out=da[0, s])
+            np.multiply(dm[s], by_r[s], out=da[1, s])
+            np.multiply(dm[s], r[s], out=da[2, s])
             back *= z[s]
-            back += da[s] @ u
+            np.matmul(da[:, s], turn, out=some)
+            for v in some:
+                back += v
             back += dh_out[s]
-            back *= keep[s]
-        flat = da.reshape(-1, 3 * n)
-        g["u"] = every.T @ flat
-        da[:, :, 2 * n :] = dm
-        g["x"] = np.zeros_like(w["x"])
-        at = x.ravel()
+            back[fresh[s]] = 0
+        grads["u"] = np.matmul(every.T, da.reshape(3, -1, n)).transpose(1, 0, 2).reshape(n, 3 * n)
+        at = x.ravel().astype(np.int16)
         order = np.argsort(at, kind="stable")
-        found, starts = np.unique(at[order], return_index=True)
-        g["x"][found] = np.add.reduceat(flat[order], starts, axis=0)
-        self.adam({k: v / max(1, len(rows)) for k, v in g.items()}, rate)
-        return h
+        counts = np.bincount(at, minlength=len(w["x"]))
+        found = np.flatnonzero(counts)
+        by_row = np.empty((len(at), 3, n), h.dtype)
+        for g, v in enumerate((da[0], da[1], dm)):
+            by_row[:, g] = v.reshape(-1, n)[order]
+        grads["x"] = np.zeros_like(w["x"])
+        grads["x"][found] = np.add.reduceat(by_row.reshape(-1, 3 * n), (np.cumsum(counts) - counts)[found], axis=0)
+        self.adam({k: v / max(1, len(rows)) for k, v in grads.items()}, rate)
+        return last
 
     def adam(self, grads: dict[str, np.ndarray], rate: float) -> None:
         self.steps += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         scale, fix1, fix2 = min(1.0, 1.0 / (norm + 1e-9)), 1 - 0.9**self.steps, 1 - 0.999**self.steps
         for k, g in grads.items():
             m, v = self.moments[k]
-            m += 0.1 * (g * scale - m)
-            v += 0.001 * ((g * scale) ** 2 - v)
-            self.w[k] -= (rate * (m / fix1) / (np.sqrt(v / fix2) + 1e-8)).astype(np.float32)
+            g = g * scale
+            by = g * 0.1
+            m *= 0.9
+            m += by
+            np.multiply(g, g, out=by)
+            by *= 0.001
+            v *= 0.999
+            v += by
+            np.multiply(v, 1 / fix2, out=by)
+            np.sqrt(by, out=by)
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= rate / fix1
+            self.w[k] -= by
 
 
 def lexicon_of(counts: DataFrame) -> Lexicon:
@@ -383,9 +418,10 @@ def trained_weights(train_docs: DataFrame, lexicon) -> tuple[bytes, int]:
             rate = RATE / (1 + turn)
             for batch in batches:
                 for part in chunks(batch, "text"):
-                    for text in as_bytes(part.column(1)):
-                        held.append(words.ids(tokens(text))[0])
-                        size += len(held[-1])
+                    found, n = split(part.column(1))
+                    for ids in np.split(words.ids(found)[1], np.cumsum(n)[:-1]):
+                        held.append(ids)
+                        size += len(ids)
                         if size >= HELD:
                             own.train(held, rate, seed=turn)
                             held, size, total = [], 0, total + size
@@ -437,19 +473,28 @@ def scores(docs: DataFrame, is_train) -> DataFrame:
         model, names = ClassGru(words).load(weights.value), [c.split()[0] for c in ROWS.split(", ")]
         for batch in batches:
             for part in chunks(batch, "text", 16_000_000):
-                ids, hashes = part.column(0), part.column(2)
-                parsed = [words.ids(tokens(t)) for t in as_bytes(part.column(1))]
-                logs = model.scores([p[0] for p in parsed])
-                n = len(parsed)
+                ids, hashes, (found, lengths) = part.column(0), part.column(2), split(part.column(1))
+                at, x = words.ids(found)
+                n, first = len(lengths), np.cumsum(lengths) - lengths
+                logs = model.scores(np.split(x, first[1:]))
+                # What a token adds to the base score and within its bucket, but for counts that are not in the table.
+                listed, in_bucket = at >= 0, x >= SHORTLIST
+                base = np.where(listed, words.log_count[at], 0.0) if len(words.log_count) else np.zeros(len(at))
+                rest = np.where(in_bucket, base - words.log_bucket[np.where(in_bucket, x - SHORTLIST, 0)], 0.0)
+                of_text = lambda v: np.add.reduceat(v, first)
                 # A document's own row joins no count: its word holds a space.
                 own = pa.array([f" {d} {h}" for d, h in zip(ids.to_pylist(), hashes.to_pylist())], pa.string())
                 of = lambda values, kind=np.int64: pa.array(np.asarray(values, kind))
-                yield pa.RecordBatch.from_arrays([ids, hashes, own, of([0] * n), of([1] * n), of([len(p[0]) for p in parsed]), of([p[4] for p in parsed]), of([p[2] for p in parsed], np.float64), of(logs + [p[3] for p in parsed], np.float64)], names)
-                unlisted = [Counter(p[1]) for p in parsed]
-                rare = pa.array([w for c in unlisted for w in c], pa.binary()).cast(pa.string())
-                at, zero = of(np.repeat(np.arange(n), [len(c) for c in unlisted])), np.zeros(len(rare), np.int64)
+                zero = np.zeros(n, np.int64)
+                yield pa.RecordBatch.from_arrays([ids, hashes, own, of(zero), of(zero + 1), of(lengths), of(of_text(listed.astype(np.int64))), of(of_text(base) - lengths * words.log_total, np.float64), of(logs + of_text(rest), np.float64)], names)
+                unlisted = np.flatnonzero(~listed)
+                rare = found.take(pa.array(unlisted)).dictionary_encode()
+                kinds = max(1, len(rare.dictionary))
+                pairs, times = np.unique(np.repeat(np.arange(n), lengths)[unlisted] * kinds + rare.indices.to_numpy(), return_counts=True)
+                text, word = (pa.array(v) for v in np.divmod(pairs, kinds))
+                zero = np.zeros(len(pairs), np.int64)
                 none = of(zero, np.float64)
-                yield pa.RecordBatch.from_arrays([ids.take(at), hashes.take(at), rare, of([k for c in unlisted for k in c.values()]), of(zero), of(zero), of(zero), none, none], names)
+                yield pa.RecordBatch.from_arrays([ids.take(text), hashes.take(text), rare.dictionary.take(word).cast(pa.string()), of(times), of(zero), of(zero), of(zero), none, none], names)
 
     rows = docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, ROWS)
     joined = rows.join(counts.withColumnRenamed("n", "c"), "word", "left")

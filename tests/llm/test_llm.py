@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -699,6 +701,55 @@ def test_language_model_gradients():
         assert math.isclose((up - down) / 2e-5, seen[name][at], rel_tol=1e-3, abs_tol=1e-7)
 
 
+def test_language_model_scores_like_documents_side_by_side(monkeypatch):
+    """A step is taken once for all documents of a chunk, not once for every 256 of them."""
+    words = [(f"w{i}".encode(), 50) for i in range(40)]
+    n = np.zeros(gru_lm.BUCKETS)
+    model = gru_lm.ClassGru(gru_lm.Lexicon(words, 2000, 40, n, n))
+    rng, calls, tanh = np.random.default_rng(0), [], np.tanh
+    docs = [rng.integers(0, 40, 1 + k % 50) for k in range(1000)]
+    want = [model.scores([d])[0] for d in docs[:60]]
+    monkeypatch.setattr(gru_lm.np, "tanh", lambda *a, **k: calls.append(1) or tanh(*a, **k))
+    got = model.scores(docs)
+    assert len(calls) == 50
+    assert np.allclose(got[:60], want, rtol=1e-5)
+
+
+def test_language_model_splits_columns_as_words():
+    rng = np.random.default_rng(1)
+    odd = [None, "", " ", "a", " a  b\x1cC ", "\t\n\x0b\x0c\r A", "\0 \0", "\u00c9\u0085x \u00a0y"]
+    odd += ["".join(rng.choice(list(" \t\n\x0b\x0c\rabAB\x1c\x1f\x85\u00e9\u0130\0"), int(k))) for k in rng.integers(0, 30, 500)]
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    want = [[*(w.translate(lower).encode() for w in re.findall("[^\x20\x09-\x0d]+", t or "")), b""] for t in odd]
+    for part, rows in ((pa.array(odd), want), (pa.array(odd).slice(3, 20), want[3:23]), (pa.array([None], pa.string()), [[b""]])):
+        found, n = gru_lm.split(part)
+        assert n.tolist() == [len(w) for w in rows] and found.to_pylist() == [w for r in rows for w in r]
+    words = [(b"a", 9), (b"", 5), (b"b", 3)]
+    lexicon = gru_lm.Lexicon(words, 20, 6, np.zeros(gru_lm.BUCKETS), np.zeros(gru_lm.BUCKETS))
+    at, x = lexicon.ids(found := gru_lm.split(pa.array(odd))[0])
+    places = {b"a": 0, b"": 1, b"b": 2}
+    assert at.tolist() == [places.get(w, -1) for w in found.to_pylist()]
+    assert x.tolist() == [places.get(w, gru_lm.SHORTLIST + gru_lm.bucket(w)) for w in found.to_pylist()]
+
+
+@pytest.mark.parametrize("scale", [1, 400])
+def test_language_model_probabilities_of_far_weights(scale):
+    """Sums beyond the range of exp are reduced by their maximum first."""
+    words = [(f"w{i}".encode(), 50) for i in range(70)]
+    n = np.zeros(gru_lm.BUCKETS)
+    model = gru_lm.ClassGru(gru_lm.Lexicon(words, 3500, 70, n, n))
+    model.w["c"], model.w["w"] = model.w["c"] * scale * 10, model.w["w"] * scale * 10
+    rng = np.random.default_rng(2)
+    h, x = rng.uniform(-1, 1, (600, gru_lm.HIDDEN)).astype(np.float32), np.concatenate([rng.integers(0, 70, 400), gru_lm.SHORTLIST + rng.integers(0, gru_lm.BUCKETS, 200)])
+    cls, place = model.lexicon.target(x)
+    got, _, grads = model.word_logs(h, cls, place, True)
+    soft = lambda q: q - q.max() - np.log(np.exp(q - q.max()).sum())
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    want = [soft(r @ w["c"] + w["cb"])[c] + (soft(r @ w["w"][c] + w["wb"][c])[k] if k >= 0 else 0) for r, c, k in zip(h.astype(np.float64), cls, place)]
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and all(np.isfinite(g).all() for g in grads.values())
+    assert np.allclose(got, model.word_logs(h, cls, place), rtol=1e-6)
+
+
 def test_search_recall_and_exact_scores(spark):
     rows = hashing_search.usable(table(spark, "embeddings"))
     got = hashing_search.nearest(rows, rows.where("vec_id % 20 = 0"), block_rows=200).collect()
