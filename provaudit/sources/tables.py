@@ -9,6 +9,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -142,8 +143,13 @@ def opened(name: str) -> tuple | None:
 
 
 def present_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """name of every Parquet table under a path, as a file or a folder of files; lists files and reads none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    """name of every Parquet table right in a folder, as a file or a folder of files of any names; lists files and reads none."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/*.parquet")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "name string")
     return files.select(F.regexp_extract("path", r"([^/]+)\.parquet(?:/.*)?$", 1).alias("name")).distinct()
 
 

@@ -1,6 +1,8 @@
 """Audit operators against published shapes and small literal tables."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,6 +350,20 @@ def test_missing_inputs_are_noted(spark, tmp_path):
     assert {r.name: r.note for r in got} == {"here": "read", "absent": "skipped: missing"}
 
 
+def test_inputs_are_tables_right_in_the_folder(spark, tmp_path):
+    """A folder of parts of any names is a table; what lies deeper is not."""
+    registered = spark.createDataFrame([("whole",), ("parts",), ("deeper",)], "name string")
+    noted = lambda: {r.name: r.note for r in T.skip_missing_input(registered, T.present_inputs(spark, str(tmp_path)), "name").collect()}
+    assert set(noted().values()) == {"skipped: missing"}
+    for name in ("parts", "old/deeper"):
+        spark.range(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    pq.write_table(pa.table({"id": [1]}), f"{tmp_path}/whole.parquet")
+    for i, part in enumerate(sorted((tmp_path / "parts.parquet").glob("part-*"))):
+        part.rename(part.with_name(f"{i}.snappy"))
+    assert spark.read.parquet(f"{tmp_path}/parts.parquet").count() == 3
+    assert noted() == {"whole": "read", "parts": "read", "deeper": "skipped: missing"}
+
+
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, [1, 2]), ("b", 2, [])], "k string, n long, xs array<long>")
     T.sink_parquet(df, f"{tmp_path}/p", ["k"])
