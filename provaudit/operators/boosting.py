@@ -1,10 +1,12 @@
 """Boosted regression trees for all folds of all splits in one fit.
 
-Features are cut into bins once. Every (variant, fold) has an ensemble of its own, and all grow together: a pass over the rows, which
-carry their fold in each variant, adds each row's residual to the histograms of every ensemble that trains on it; histograms
-are summed in Spark by slot, and the next level of all trees is chosen from them. So ten splits of five folds take as many jobs as one
-fold does: rounds times depth, and no row is sent to a fold. What reaches the driver is one number a slot: ensembles * nodes *
-features * bins, whatever the number of rows.
+Features are cut into bins once. Rows whose features fall into the same bins are one cell, as every tree treats them alike: all that a fit needs
+of them is their number and the sum of y, in all and by the fold that tests them. These are counted in one pass over the rows, and the
+rounds run on cells, of which there are BINS to the power of the features at most, and never more than rows. Every (variant, fold) is a
+key with an ensemble of its own, and all grow together: a pass over the cells adds the residuals of what each key trains on (the whole
+cell less what the fold tests) to the histograms of its ensemble; histograms are summed in Spark by slot, and the next level of all trees
+is chosen from them. So ten splits of five folds take as many jobs as one fold does: rounds times depth, and no row is sent to a fold.
+What reaches the driver is one number a slot: ensembles * nodes * features * bins, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -45,18 +47,21 @@ class Ensembles:
             out += value[k, self.leaf(bins, k, feature, cut, DEPTH)]
         return out
 
-    def histogram(self, bins: np.ndarray, y: np.ndarray, folds: np.ndarray, depth: int) -> np.ndarray:
-        """Training rows and residual sums by (key, node, feature, bin); leaves have one feature and bin."""
+    def histogram(self, bins: np.ndarray, n: np.ndarray, y: np.ndarray, depth: int) -> np.ndarray:
+        """Training rows and residual sums by (key, node, feature, bin); leaves have one feature and bin.
+
+        n, y: rows and their sum of y by cell and key.
+        """
         leaves = depth == DEPTH
         d, b = (1, 1) if leaves else (self.features, BINS)
         out = np.zeros((len(self.keys), 2**depth, d, b, 2))
-        for k, (v, f) in enumerate(self.keys):
-            own = np.flatnonzero(folds[:, v] != f)
-            x = bins[own]
-            residual, node = y[own] - self.predicted(x, k), self.leaf(x, k, self.feature, self.cut, depth)
+        for k in range(len(self.keys)):
+            own = np.flatnonzero(n[:, k])
+            x, rows = bins[own], n[own, k]
+            residual, node = y[own, k] - rows * self.predicted(x, k), self.leaf(x, k, self.feature, self.cut, depth)
             for j in range(d):
                 slot = node * b + (0 if leaves else x[:, j])
-                out[k, :, j, :, 0] = np.bincount(slot, minlength=2**depth * b).reshape(-1, b)
+                out[k, :, j, :, 0] = np.bincount(slot, rows, 2**depth * b).reshape(-1, b)
                 out[k, :, j, :, 1] = np.bincount(slot, residual, 2**depth * b).reshape(-1, b)
         return out
 
@@ -88,32 +93,64 @@ def edges_of(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
     return [np.unique(np.asarray(got[f"e{i}"] or [], np.float64)) for i in range(len(features))]
 
 
+def tested_by(assignment: DataFrame, keys: DataFrame, variants: int) -> DataFrame:
+    """row_id, ks: the keys that test a row, one a variant at most. keys: (variant, fold, v, k), a row a fold."""
+    named = assignment.join(F.broadcast(keys), ["variant", "fold"])
+    of = [F.max(F.when(F.col("v") == v, F.col("k"))) for v in range(variants)]
+    own = named.groupBy("row_id").agg(F.array_compact(F.array(*of)).alias("ks"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.lit("a row is assigned twice in a variant"))
+    return own.select("row_id", F.when(F.size("ks") == F.col("_n"), F.col("ks")).otherwise(twice).alias("ks"))
+
+
 def learn_boosted(rows: DataFrame, assignment: DataFrame, features: list[str], rounds: int = 20) -> DataFrame:
     """variant, model, fold, row_id, y, p: each fold's test rows predicted by trees boosted on all other rows.
 
     rows: (row_id, y, features...), each row once; assignment: (variant, row_id, fold), few variants and folds. Rows that no fold tests
     train in all; missing features fall into the first bin; rows without y take no part.
     """
-    named = sorted(r.variant for r in assignment.select("variant").distinct().collect())
-    place = {v: i for i, v in enumerate(named)}
-    pairs = F.map_from_entries(F.collect_list(F.struct("variant", F.col("fold").cast("int").alias("fold"))))
-    own = assignment.where("fold is not null").groupBy("row_id").agg(pairs.alias("_m"))
-    folds = F.array(*[F.coalesce(F.col("_m")[v], F.lit(-1)) for v in named])
-    x = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
-    data = rows.where("y is not null").join(own, "row_id", "left").select("row_id", F.col("y").cast("double").alias("y"), x.alias("x"), folds.alias("folds"))
-    data = written(data, "boosting")
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    found = sorted((r.variant, int(r.fold)) for r in assignment.where("fold is not null").select("variant", "fold").distinct().collect())  # a row a fold
+    place = {v: i for i, v in enumerate(sorted({v for v, _ in found}))}
+    keys = spark.createDataFrame([(v, f, place[v], k) for k, (v, f) in enumerate(found)], "variant string, fold long, v int, k int")
     edges = edges_of(rows, features)
-    by_fold = data.select("y", F.posexplode("folds").alias("v", "f")).groupBy("v", "f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).collect()  # a row a fold
-    total = {v: (sum(r.n for r in by_fold if r.v == v), sum(r.s for r in by_fold if r.v == v)) for v in place.values()}
-    cells = sorted((r.v, r.f, total[r.v][0] - r.n, total[r.v][1] - r.s) for r in by_fold if r.f >= 0)
-    model = Ensembles([(v, f) for v, f, _, _ in cells], np.array([s / n if n else 0.0 for _, _, n, s in cells]), len(features))
-    sc = rows.sparkSession.sparkContext
-
-    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat = lambda i, kind: np.asarray(batch.column(i).flatten().to_numpy(zero_copy_only=False), kind).reshape(batch.num_rows, -1)
-        values = flat(2, np.float64)
-        bins = np.stack([np.searchsorted(e, np.nan_to_num(values[:, j], nan=-np.inf), side="left") for j, e in enumerate(edges)], axis=1)
-        return bins, batch.column(1).to_numpy(), flat(3, np.int64)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A cell goes by the bins of its features, a byte each."""
+        for batch in batches:
+            values = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, len(features))
+            bins = np.stack([np.searchsorted(e, np.nan_to_num(values[:, j], nan=-np.inf), side="left") for j, e in enumerate(edges)], axis=1)
+            cell = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(features)), batch.num_rows, [None, pa.py_buffer(bins.astype(np.uint8).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cell.cast(pa.binary())], ["row_id", "y", "cell"])
+
+    kind = rows.schema["row_id"].dataType.simpleString()
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    cut = rows.where("y is not null").select("row_id", F.col("y").cast("double").alias("y"), x.alias("x")).mapInArrow(binned, f"row_id {kind}, y double, cell binary")
+    # Both sides hold about a row for each row of the table, so none is broadcast, however small its files are.
+    data = written(cut.join(tested_by(assignment, keys, len(place)).hint("merge"), "row_id", "left"), "boosting")
+    # Sums of a cell by key; -1 has all its rows, tested or not.
+    each = F.explode(F.array_append(F.coalesce("ks", F.array().cast("array<int>")), F.lit(-1))).alias("k")
+    sums = written(data.select("cell", "y", each).groupBy("cell", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")), "boosting-sums")
+    cells = written(sums.groupBy("cell").agg(F.collect_list("k").alias("k"), F.collect_list("n").alias("n"), F.collect_list("s").alias("s")), "boosting-cells")
+    whole = {r.k: (r.n, r.s) for r in sums.groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()}  # a row a fold
+    n_all, s_all = whole.get(-1, (0, 0.0))
+    others = [(n_all - n, s_all - s) for n, s in (whole.get(k, (0, 0.0)) for k in range(len(found)))]
+    model = Ensembles(found, np.array([s / n if n else 0.0 for n, s in others]), len(features))
+
+    def read(batch: pa.RecordBatch) -> np.ndarray:
+        """Bins of each cell."""
+        return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, len(features)).astype(np.int64)
+
+    def trained(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and sums of y that each key trains on, by cell and key: the whole cell less what the key tests."""
+        at = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
+        k = batch.column(1).flatten().to_numpy()
+        out = []
+        for i in (2, 3):
+            dense = np.zeros((batch.num_rows, len(found) + 1))
+            dense[at, k] = batch.column(i).flatten().to_numpy()  # -1 is the last place
+            out.append(dense[:, -1:] - dense[:, :-1])
+        return out[0], np.where(out[0] > 0, out[1], 0.0)
 
     def summed(depth: int) -> np.ndarray:
         shared = sc.broadcast(model)
@@ -124,32 +161,31 @@ def learn_boosted(rows: DataFrame, assignment: DataFrame, features: list[str], r
             out = np.zeros(shape)
             for batch in batches:
                 if batch.num_rows:
-                    out += shared.value.histogram(*read(batch), depth)
+                    out += shared.value.histogram(read(batch), *trained(batch), depth)
             flat = out.reshape(-1, 2)
             slot = np.flatnonzero(flat[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(flat[slot, 0]), pa.array(flat[slot, 1])], ["slot", "n", "s"])
 
         h = np.zeros((int(np.prod(shape[:-1])), 2))
-        for r in data.mapInArrow(run, "slot long, n double, s double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
+        for r in cells.mapInArrow(run, "slot long, n double, s double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
             h[r.slot] = r.n, r.s
         shared.unpersist()
         return h.reshape(shape)
 
-    for _ in range(rounds if model.keys else 0):
+    for _ in range(rounds if found and n_all else 0):
         for depth in range(DEPTH):
             model.split(summed(depth), depth)
         model.grow(summed(DEPTH))
     shared = sc.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each key predicts for a cell."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, y, tested = read(batch)
-            for k, (v, f) in enumerate(shared.value.keys):
-                own_ = np.flatnonzero(tested[:, v] == f)
-                p = shared.value.predicted(bins[own_], k)
-                yield pa.RecordBatch.from_arrays([pa.array([named[v]] * len(own_), pa.string()), pa.array([f] * len(own_), pa.int64()), batch.column(0).take(pa.array(own_)), pa.array(y[own_]), pa.array(p)], ["variant", "fold", "row_id", "y", "p"])
-
-    kind = data.schema["row_id"].dataType.simpleString()
-    return data.mapInArrow(predict, f"variant string, fold long, row_id {kind}, y double, p double").select("variant", F.lit("gbt").alias("model"), "fold", "row_id", "y", "p")
+            bins = read(batch)
+            p = np.array([shared.value.predicted(bins, k) for k in range(len(found))]).reshape(len(found), batch.num_rows)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(p.T.ravel()))], ["cell", "p"])
+
+    fitted = written(cells.mapInArrow(predict, "cell binary, p array<double>"), "boosting-predicted")
+    out = data.join(fitted, "cell").select("row_id", "y", "p", F.explode("ks").alias("k")).withColumn("p", F.get("p", F.col("k")))
+    return out.join(F.broadcast(keys), "k").select("variant", F.lit("gbt").alias("model"), "fold", "row_id", "y", "p")

@@ -333,6 +333,24 @@ def test_expectations(spark):
     assert tuple(E.suite_totals(suite).first()) == (1, 1)
 
 
+def test_boosting_rounds_run_on_cells(spark, monkeypatch):
+    """Rows whose features share their bins are counted once; copies of all rows change neither the cells nor what is predicted."""
+    from provaudit.operators import boosting
+
+    kept = {}
+    monkeypatch.setattr(boosting, "written", lambda df, name, f=boosting.written: kept.setdefault(name, f(df, name)))
+    got = []
+    for copies in (1, 5):
+        kept.clear()
+        rows = spark.range(60 * copies).select(F.col("id").alias("row_id"), F.pow(F.col("id") % 60, F.lit(2.0)), F.col("id") % 6 * 1.0).toDF("row_id", "y", "x")
+        folds = rows.select(F.lit("v").alias("variant"), "row_id", (F.col("row_id") % 60 % 4).alias("fold"))
+        got.append({r.row_id: r.p for r in L.learn_gbt_reg(rows, folds, ["x"], rounds=3).collect()})
+        assert kept["boosting-cells"].count() == 6 and len(got[-1]) == 60 * copies
+    assert all(abs(got[1][i] - got[0][i % 60]) < 1e-9 for i in got[1])
+    with pytest.raises(Exception, match="assigned twice"):
+        L.learn_gbt_reg(rows, folds.unionByName(folds), ["x"], rounds=1)
+
+
 def test_demand_sweep_groups_settings_by_quantile(spark):
     rows = spark.createDataFrame([(0.1, "random", 0.2), (0.1, "random", -0.1), (0.9, "random", 0.3)], "q double, protocol string, gap_r_all double")
     assert {r.q: (r.settings, r.above) for r in D.demand_sweep_gap(rows).collect()} == {0.1: (2, 1), 0.9: (1, 1)}
