@@ -961,18 +961,21 @@ def suite(spark, d):
     predicted = B.predictions(spark, d, a=a)
     m = written(M.control_metrics(predicted), "metrics")
     p = C.contrast_admissible(C.contrast_pairs(m, spark.createDataFrame(B.HONOURED, "variant string, sizematch string")), verdicts(spark, d, a))
-    # Released and unsafe rows of the chosen rules, row by row.
+    # Released and unsafe rows of the chosen rules, row by row. Only their counts meet other tables: written rows of few distinct values
+    # are such small files that Spark would broadcast all of them.
     made = B.designs(spark, d)
     chosen = written(D.rule_choose(B.candidates(spark, d, made)).where(F.col("scenario") == B.RELEASE), "chosen")
     outer_rows = written(B.outer_rows(spark, d, made[B.RELEASE], made["demand"]), "outer-rows")
     rows = outer_rows.join(chosen, ["outer_fold", "model"]).where("released")
-    acts = written(rows.where(D.act_regression(F.col("knob"))).select("outer_fold", "protocol", "alpha", D.unsafe_regression().alias("unsafe")), "acts")
+    released = rows.where(D.act_regression(F.col("knob"))).withColumn("unsafe", D.unsafe_regression())
+    acts = written(released.groupBy("outer_fold", "protocol", "alpha").agg(F.count(F.lit(1)).alias("n"), F.count_if("unsafe").alias("u")), "acts")
     outer = written(D.decision_outer(chosen, outer_rows), "decisions")
     settings = outer.select("protocol", "alpha").distinct()
-    pooled = settings.join(acts, ["protocol", "alpha"], "left").groupBy("protocol", "alpha").agg(F.count("unsafe").alias("n_released"), F.count_if("unsafe").alias("n_unsafe"))
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    pooled = settings.join(acts, ["protocol", "alpha"], "left").groupBy("protocol", "alpha").agg(none("n").alias("n_released"), none("u").alias("n_unsafe"))
     sign = F.when(F.col("protocol") == "source", 1).when(F.col("protocol") == "random", -1)
-    utility = outer.select("alpha").distinct().join(acts, "alpha", "left").groupBy("alpha").agg(F.coalesce(F.sum(sign), F.lit(0)).alias("dA"), F.coalesce(F.sum(F.when(F.col("unsafe"), sign)), F.lit(0)).alias("dE"))
-    bad = lambda protocol: F.count_if(F.col("unsafe") & (F.col("protocol") == protocol))
+    utility = outer.select("alpha").distinct().join(acts, "alpha", "left").groupBy("alpha").agg(none(sign * F.col("n")).alias("dA"), none(sign * F.col("u")).alias("dE"))
+    bad = lambda protocol: none(F.when(F.col("protocol") == protocol, F.col("u")))
     folds = outer.select("outer_fold").distinct().join(acts.where("alpha = 5"), "outer_fold", "left").groupBy("outer_fold").agg(bad("random").alias("random"), bad("source").alias("source"))
     registry = R.corpus_rollup(assets(spark, d)).where("part <> 'all'")
     odd = F.substring("p_brand", -1, 1).cast("int") % 2 == 1

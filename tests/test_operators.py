@@ -16,9 +16,12 @@ from provaudit.operators import policy as P
 from provaudit.operators import relations as R
 from provaudit.operators import splits as S
 from provaudit.plans import base as B
+from provaudit.plans import queries
 from provaudit.plans.queries import ORACLES, QUERIES
 from provaudit.sources import tables as T
 
+SMALL = "/root/testdata/sf0.001"
+
 # An incidence of our own, small enough to work out every result by hand.
 INCIDENCE = {"m1": {"P": 6}, "m2": {"P": 4}, "m3": {"Q": 5}, "m4": {"Q": 5}, "m5": {"R": 4}, "m6": {"P": 1, "R": 1}}
 
@@ -333,6 +336,15 @@ def test_expectations(spark):
     assert tuple(E.suite_totals(suite).first()) == (1, 1)
 
 
+def test_the_suite_joins_counts_of_acts(spark, monkeypatch):
+    """What the chosen rules release is a row for each fold, protocol and target where it meets other tables, not a row for each act."""
+    kept = {}
+    monkeypatch.setattr(queries, "written", lambda df, name, f=queries.written: kept.setdefault(name, f(df, name)))
+    assert all(r.ok for r in QUERIES["expect_suite"](spark, SMALL).collect())
+    folds = B.K * 2 * len(D.ALPHAS)
+    assert 0 < kept["acts"].count() <= folds < kept["acts"].agg(F.sum("n")).first()[0]
+
+
 def test_boosting_rounds_run_on_cells(spark, monkeypatch):
     """Rows whose features share their bins are counted once; copies of all rows change neither the cells nor what is predicted."""
     from provaudit.operators import boosting
