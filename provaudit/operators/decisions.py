@@ -32,7 +32,7 @@ def demand_quantile(train: DataFrame, by: list[str], q: float | list[float] = 0.
 
 def demand_of_complement(rows: DataFrame, outer: DataFrame, q: float = 0.5) -> DataFrame:
     """outer_fold, demand: the quantile of exp(y) over the rows of all other outer folds, which are counted once."""
-    own = rows.select("row_id", "y").join(outer.select("row_id", F.col("fold").alias("outer_fold")), "row_id", "left")
+    own = rows.select("row_id", "y").join(outer.select("row_id", F.col("fold").alias("outer_fold")).hint("merge"), "row_id", "left")
     return quantiles(own, F.exp("y"), [q], fold="outer_fold").select("outer_fold", F.col("value").alias("demand"))
 
 

@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 from provaudit.operators.boosting import learn_boosted
 
 
+def by_row(rows: DataFrame, assignment: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Rows with their folds. Neither side is broadcast, however small its files are: both grow with the table."""
+    return rows.join(assignment.hint("merge"), [*(scope or []), "row_id"])
+
+
 def complement(rows: DataFrame, assignment: DataFrame, sums: dict[str, Column], by: list[str], scope: list[str] | None = None) -> DataFrame:
     """Sums over each fold's training rows, as totals less the fold's own: one pass, whatever the number of folds.
 
     scope: columns of rows and assignment within which folds complement each other (nested designs).
     """
     scope = scope or []
-    tested = rows.join(assignment, [*scope, "row_id"]).where("fold is not null")
+    tested = by_row(rows, assignment, scope).where("fold is not null")
     fold = tested.groupBy(*by, "fold").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
     total = rows.groupBy(*scope).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
     both = fold.join(total, scope) if scope else fold.crossJoin(F.broadcast(total))
@@ -36,7 +41,7 @@ def learn_dummy_mean(rows: DataFrame, assignment: DataFrame, by: list[str] | Non
     by = by or ["variant"]
     fit = complement(rows, assignment, {"n": F.lit(1), "sy": F.col("y")}, by, scope).select(*by, "fold", F.try_divide("sy", "n").alias("p"))
     on = [*(scope or []), "row_id"]
-    return rows.select(*on, "y").join(assignment, on).join(fit, [*by, "fold"]).select(*by, F.lit("dummy").alias("model"), "fold", "row_id", "y", "p")
+    return by_row(rows.select(*on, "y"), assignment, scope).join(fit, [*by, "fold"]).select(*by, F.lit("dummy").alias("model"), "fold", "row_id", "y", "p")
 
 
 def learn_ridge1(rows: DataFrame, assignment: DataFrame, x: str = "x", alpha: float = 1.0, by: list[str] | None = None, scope: list[str] | None = None) -> DataFrame:
@@ -50,7 +55,7 @@ def learn_ridge1(rows: DataFrame, assignment: DataFrame, x: str = "x", alpha: fl
     slope = (F.col("sxy") - F.col("n") * mx * my) / sd / (F.col("n") + alpha)
     fit = s.select(*by, "fold", mx.alias("mx"), my.alias("my"), sd.alias("sd"), slope.alias("slope"))
     on = [*(scope or []), "row_id"]
-    joined = rows.select(*on, "y", x).join(assignment, on).join(fit, [*by, "fold"])
+    joined = by_row(rows.select(*on, "y", x), assignment, scope).join(fit, [*by, "fold"])
     return joined.select(*by, F.lit("ridge").alias("model"), "fold", "row_id", "y", (F.col("my") + (F.col(x) - F.col("mx")) / F.col("sd") * F.col("slope")).alias("p"))
 
 
@@ -79,7 +84,7 @@ def learn_ridge(rows: DataFrame, assignment: DataFrame, features: list[str], alp
         return [float(my - w @ mx), *w.tolist()]
 
     fit = stats.select(*by, "fold", solve(F.array(*names)).alias("w"))
-    joined = rows.select("row_id", "y", *features).join(assignment, "row_id").join(fit, [*by, "fold"])
+    joined = by_row(rows.select("row_id", "y", *features), assignment).join(fit, [*by, "fold"])
     p = F.col("w")[0] + sum(((F.col(a) * F.col("w")[i + 1]) for i, a in enumerate(features)), F.lit(0.0))
     return joined.select(*by, F.lit("ridge").alias("model"), "fold", "row_id", "y", p.alias("p"))
 
@@ -94,7 +99,7 @@ def class_log_scores(rows: DataFrame, assignment: DataFrame, features: list[str]
             sums |= {f"s{i}_{j}": own(c, F.col(x)), f"q{i}_{j}": own(c, F.col(x) * F.col(x))}
     on = [*scope, "row_id"]
     fit = complement(rows, assignment, sums, by, scope)
-    return rows.select(*on, "y", *features).join(assignment, on).join(fit, [*by, "fold"])
+    return by_row(rows.select(*on, "y", *features), assignment, scope).join(fit, [*by, "fold"])
 
 
 #: Added to every variance, so that a constant feature has one.

@@ -20,6 +20,8 @@ from provaudit.plans.storage import written
 EPSILON = 0.05
 #: Stretches of ranks in which cuts are looked up.
 STRETCHES = 4_096
+#: Groups up to which their folds are broadcast to the rows; otherwise rows and groups are sorted, and neither is broadcast.
+FEW = 50_000
 
 
 def split_random_k(rows: DataFrame, k: int = 5, seed: int = 0, by: list[str] | None = None) -> DataFrame:
@@ -87,8 +89,10 @@ def split_group_k(rows: DataFrame, label: str, k: int = 5, by: list[str] | None
     """
     by = by or []
     groups = written(rows.groupBy(*by, F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")), "groups")
-    packed = pack_groups(groups, k if by else max(1, min(k, groups.count())), by)
-    return rows.select(*by, "row_id", F.col(label).alias("label")).join(packed.select(*by, "label", "fold"), [*by, "label"]).select(*by, "row_id", "fold")
+    n = groups.count()
+    packed = pack_groups(groups, k if by else max(1, min(k, n)), by).select(*by, "label", "fold")
+    packed = F.broadcast(packed) if n <= FEW else packed.hint("merge")
+    return rows.select(*by, "row_id", F.col(label).alias("label")).join(packed, [*by, "label"]).select(*by, "row_id", "fold")
 
 
 def min_groups_guard(rows: DataFrame, relations: list[str], least: int = 3) -> DataFrame:
@@ -125,7 +129,7 @@ def dealt_labels(rows: DataFrame, label: str, seed: int = 2) -> DataFrame:
     """(row_id, label): every label dealt to another row by two permutations."""
     labels = hash_rank(rows.select("row_id", F.col(label).alias("label")), "row_id", seed, out="r").select("r", "label")
     places = hash_rank(rows.select("row_id"), "row_id", seed + 1, out="r").select("r", "row_id")
-    return places.join(labels, "r").select("row_id", "label")
+    return places.join(labels.hint("merge"), "r").select("row_id", "label")  # a row for each row on both sides
 
 
 def split_shuffled_labels(rows: DataFrame, label: str, k: int = 5, seed: int = 2) -> DataFrame:
@@ -146,7 +150,7 @@ def split_family_holdout_sizematch(rows: DataFrame, holdout: DataFrame, seed: in
 
 def split_nested(rows: DataFrame, outer: DataFrame, source: str, k: int = 4, seed: int = 4) -> DataFrame:
     """Inner folds inside each outer training set, by both protocols: outer_fold, protocol, row_id, fold."""
-    base = rows.select("row_id", F.col(source).alias("source")).join(outer.withColumnRenamed("fold", "own"), "row_id", "left")
+    base = rows.select("row_id", F.col(source).alias("source")).join(outer.withColumnRenamed("fold", "own").hint("merge"), "row_id", "left")
     folds = outer.select(F.col("fold").alias("outer_fold")).distinct()
     train = base.crossJoin(F.broadcast(folds)).where(F.col("own").isNull() | (F.col("own") != F.col("outer_fold"))).select("outer_fold", "row_id", "source")
     random = split_random_k(train, k, seed, ["outer_fold"]).withColumn("protocol", F.lit("random"))
@@ -168,7 +172,7 @@ def split_coverage(assignment: DataFrame, n_rows: DataFrame, by: list[str]) -> D
 
 def split_leak_check(assignment: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
     """Labels that straddle folds. labels: (row_id, label)."""
-    spread = assignment.join(labels, "row_id").groupBy(*by, "label").agg(F.countDistinct(F.coalesce("fold", F.lit(-1))).alias("folds"))
+    spread = assignment.join(labels.hint("merge"), "row_id").groupBy(*by, "label").agg(F.countDistinct(F.coalesce("fold", F.lit(-1))).alias("folds"))
     return spread.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("folds") > 1).alias("straddling"))
 
 

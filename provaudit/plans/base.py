@@ -108,7 +108,7 @@ def nested(spark: SparkSession, sf_dir: str, outer: DataFrame | None = None) ->
     rows = log_rec(spark, sf_dir)
     outer = outer or written(S.split_group_k(rows, "src", K), "outer")
     inner = written(S.split_nested(rows, outer, "src", INNER_K), "inner")
-    train = inner.where("protocol = 'random'").select("outer_fold", "row_id").join(rows, "row_id")
+    train = inner.where("protocol = 'random'").select("outer_fold", "row_id").join(rows.hint("merge"), "row_id")
     return outer, inner, train
 
 
@@ -133,11 +133,12 @@ MARKS = ["upper", "marks", "size"]
 def category_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as records: row_id, y (category), src, and three features of the whole text."""
     labels = read_table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
-    docs = read_table(spark, sf_dir, "documents").join(labels, "doc_id")
     size = F.greatest(F.lit(1), F.length("text"))
     y = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     share = lambda pattern: F.regexp_count("text", F.lit(pattern)) / size
-    return docs.select(F.col("doc_id").alias("row_id"), y.alias("y"), F.col("source").alias("src"), share("[A-Z]").alias("upper"), share("[!#$%&*|]").alias("marks"), F.log(size).alias("size"))
+    # Features come before the join, which is by sorting: labels grow with the table, however small their files are, and texts stay where they are.
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("src"), share("[A-Z]").alias("upper"), share("[!#$%&*|]").alias("marks"), F.log(size).alias("size"))
+    return docs.join(labels.hint("merge"), "doc_id").select(F.col("doc_id").alias("row_id"), y.alias("y"), "src", "upper", "marks", "size")
 
 
 def category_design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -145,7 +146,7 @@ def category_design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     rows = written(category_rec(spark, sf_dir), "category-records")
     outer = written(S.split_group_k(rows, "src", K), "category-outer")
     inner = written(S.split_nested(rows, outer, "src", INNER_K), "category-inner")
-    train = inner.where("protocol = 'random'").select("outer_fold", "row_id").join(rows, "row_id")
+    train = inner.where("protocol = 'random'").select("outer_fold", "row_id").join(rows.hint("merge"), "row_id")
     return outer, inner, train
 
 

@@ -345,6 +345,21 @@ def test_the_suite_joins_counts_of_acts(spark, monkeypatch):
     assert 0 < kept["acts"].count() <= folds < kept["acts"].agg(F.sum("n")).first()[0]
 
 
+def test_rows_and_folds_are_never_broadcast(spark, monkeypatch):
+    """Both have a row for each row of the table, however small their files are."""
+    rows = spark.range(9).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("y"), F.col("id").cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("src"))
+    folds = rows.select(F.lit("v").alias("variant"), "row_id", (F.col("row_id") % 3).alias("fold"))
+    labels = rows.select("row_id", F.col("src").alias("label"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (L.by_row(rows, folds), S.split_leak_check(folds, labels, ["variant"]), S.dealt_labels(rows, "src"), B.category_rec(spark, SMALL)):
+        assert "SortMergeJoin [" in plan(df) and "BroadcastHashJoin [row_id" not in plan(df)
+    # Folds of few groups are broadcast, never the rows; those of many are sorted.
+    assert "Inner, BuildRight" in plan(S.split_group_k(rows, "src", 3)).split("BroadcastHashJoin [label", 1)[1][:60]
+    monkeypatch.setattr(S, "FEW", 0)
+    by_groups = S.split_group_k(rows, "src", 3)
+    assert "SortMergeJoin [label" in plan(by_groups) and by_groups.count() == 9
+
+
 def test_boosting_rounds_run_on_cells(spark, monkeypatch):
     """Rows whose features share their bins are counted once; copies of all rows change neither the cells nor what is predicted."""
     from provaudit.operators import boosting
